@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kgspark.llm.bpe import op10_bpe_chunk_reuse
 from kgspark.llm.packing import op3_best_fit_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
 }
 ORACLE_SQL: dict[str, str] = {}
