@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kgspark.llm import quality_rules
 from kgspark.llm.bpe import op10_bpe_chunk_reuse
 from kgspark.llm.packing import op3_best_fit_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
+}
