@@ -6,9 +6,13 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space; words are the runs of everything else.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -47,6 +51,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def squeezed(df: DataFrame) -> DataFrame:
+    """``df`` with its column text compressed (zstd, binary), to be shuffled at less than half the size."""
+    fields = [T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType, f.nullable) for f in df.schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            cols = [pa.array([squeeze(t.encode()) for t in c.to_pylist()], pa.binary()) if f.name == "text" else c for f, c in zip(fields, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def unsqueezed(column: pa.Array) -> list[bytes]:
+    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

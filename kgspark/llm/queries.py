@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from kgspark.llm import quality_rules
 from kgspark.llm.bpe import op10_bpe_chunk_reuse
 from kgspark.llm.packing import op3_best_fit_packing
+from kgspark.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
 }
 ORACLE_SQL: dict[str, str] = {
