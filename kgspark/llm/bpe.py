@@ -16,6 +16,7 @@ their own; special tokens' strings in a text become special tokens, as the libra
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import WordEncoder, documents, stored, table, tokenizer_path
+from kgspark.llm.common import WordEncoder, documents, squeezed, stored, table, tokenizer_path, unsqueezed
 
 #: Chunks are 2**BITS bytes long on average; the rolling hash sees WINDOW bytes.
 BITS, WINDOW = 9, 32
@@ -120,20 +121,20 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
 
 
 def encoded_once(owners: DataFrame, path: str) -> DataFrame:
-    """hash, ids of the chunks named in ``wanted`` of each row."""
+    """hash, ids (zlib) of the chunks named in ``wanted`` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [t.encode() for t in part.column("text").to_pylist()]
+                texts = unsqueezed(part.column("text"))
                 out: dict[bytes, bytes] = {}
                 for text, borders, wanted in zip(texts, cuts(texts), part.column("wanted").to_pylist(), strict=True):
                     names = set(wanted)
                     for c in chunks(text, borders):
                         if (h := digest(c)) in names and h not in out:
-                            out[h] = encoder.encode(c)
+                            out[h] = zlib.compress(encoder.encode(c), 1)
                 yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.binary())], names=["hash", "ids"])
 
     return owners.select("doc_id", "text", "wanted").mapInArrow(run, "hash binary, ids binary")
@@ -152,7 +153,8 @@ def _assembled(docs: DataFrame, path: str | None, result: str, made) -> DataFram
     shared = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("key").alias("owner")).where("n > 1")
     wanted = shared.groupBy(F.col("owner").alias("key")).agg(F.collect_list("hash").alias("wanted"))
     # This join and the last one read the same shuffle of the texts, so both keep the same columns.
-    once = encoded_once(docs.join(wanted, "key"), path).groupBy("hash").agg(F.first("ids").alias("ids"))
+    texts = squeezed(docs)
+    once = encoded_once(texts.join(wanted, "key"), path).groupBy("hash").agg(F.first("ids").alias("ids"))
     lists = found.join(once, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "ids")).alias("have"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +162,10 @@ def _assembled(docs: DataFrame, path: str | None, result: str, made) -> DataFram
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                texts = [t.encode() for t in part.column("text").to_pylist()]
+                texts = unsqueezed(part.column("text"))
                 rows = []
                 for text, borders, have in zip(texts, cuts(texts), part.column("have").to_pylist(), strict=True):
-                    ready = {x["hash"]: x["ids"] for x in have or ()}
+                    ready = {x["hash"]: zlib.decompress(x["ids"]) for x in have or ()}
                     parts = chunks(text, borders)
                     ids = [ready.get(digest(c)) if ready else None for c in parts]
                     ids = [encoder.encode(c) if x is None else x for c, x in zip(parts, ids, strict=True)]
@@ -171,7 +173,7 @@ def _assembled(docs: DataFrame, path: str | None, result: str, made) -> DataFram
                     rows.append(made(whole, encoder.decode(whole)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, zip(*rows, strict=True))], names=["doc_id", *[x.split()[0] for x in result.split(", ")]])
 
-    return docs.join(lists, "key", "left").select("doc_id", "text", "have").mapInArrow(run, f"doc_id {kind}, {result}")
+    return texts.join(lists, "key", "left").select("doc_id", "text", "have").mapInArrow(run, f"doc_id {kind}, {result}")
 
 
 def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
