@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import WordEncoder, documents, squeezed, stored, table, tokenizer_path, unsqueezed
+from kgspark.llm.common import WordEncoder, documents, slices, squeezed, stored, table, tokenizer_path, unsqueezed
 
 #: Chunks are 2**BITS bytes long on average; the rolling hash sees WINDOW bytes.
 BITS, WINDOW = 9, 32
@@ -107,8 +107,7 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, "text"):
                 texts = [t.encode() for t in part.column("text").to_pylist()]
                 of, found = [], []
                 for i, (text, borders) in enumerate(zip(texts, cuts(texts), strict=True)):
@@ -126,8 +125,7 @@ def encoded_once(owners: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, "text"):
                 texts = unsqueezed(part.column("text"))
                 out: dict[bytes, bytes] = {}
                 for text, borders, wanted in zip(texts, cuts(texts), part.column("wanted").to_pylist(), strict=True):
@@ -160,8 +158,7 @@ def _assembled(docs: DataFrame, path: str | None, result: str, made) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in slices(batch, "text"):
                 texts = unsqueezed(part.column("text"))
                 rows = []
                 for text, borders, have in zip(texts, cuts(texts), part.column("have").to_pylist(), strict=True):

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows and, but for a longer single row, ``most`` bytes of ``column``."""
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
+    at = total = 0
+    for i, n in enumerate(sizes):
+        if i > at and (total + n > most or i - at == rows):
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def squeezed(df: DataFrame) -> DataFrame:
     """``df`` with its column text compressed (zstd, binary), to be shuffled at less than half the size."""
     fields = [T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType, f.nullable) for f in df.schema]

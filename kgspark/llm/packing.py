@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgspark.llm.common import WordEncoder, documents, stored, table, tokenizer_path
+from kgspark.llm.common import WordEncoder, documents, slices, stored, table, tokenizer_path
 
 CAPACITY = 2048
 #: No share of a length has more rows than this, or than a thousandth of all rows if that is less.
@@ -37,8 +37,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, "text"):
                 split = [t.encode().split() for t in part.column(1).to_pylist()]
                 encoder.learn(split)
                 known = encoder.known.__getitem__
