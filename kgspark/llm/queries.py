@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kgspark.llm import quality_rules
 from kgspark.llm.bpe import op10_bpe_chunk_reuse
+from kgspark.llm.fingerprints import op2_merkle_fingerprints
 from kgspark.llm.jaccard_join import op7_ngram_jaccard_join
 from kgspark.llm.packing import op3_best_fit_packing
 from kgspark.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_merkle_fingerprints": op2_merkle_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
