@@ -13,6 +13,7 @@ from kgspark.llm.jaccard_join import op7_ngram_jaccard_join
 from kgspark.llm.line_dedup import op8_line_dedup
 from kgspark.llm.packing import op3_best_fit_packing
 from kgspark.llm.quality_crf import op9_quality_crf
+from kgspark.llm.secret_scan import op6_secret_scan
 from kgspark.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_crf": op9_quality_crf,
+    "op6_secret_scan": op6_secret_scan,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
 }
 ORACLE_SQL: dict[str, str] = {
