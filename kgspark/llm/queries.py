@@ -10,6 +10,7 @@ from kgspark.llm import quality_rules
 from kgspark.llm.bpe import op10_bpe_chunk_reuse
 from kgspark.llm.fingerprints import op2_merkle_fingerprints
 from kgspark.llm.jaccard_join import op7_ngram_jaccard_join
+from kgspark.llm.license_scan import op5_license_scan
 from kgspark.llm.line_dedup import op8_line_dedup
 from kgspark.llm.packing import op3_best_fit_packing
 from kgspark.llm.quality_crf import op9_quality_crf
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_crf": op9_quality_crf,
     "op6_secret_scan": op6_secret_scan,
+    "op5_license_scan": op5_license_scan,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
 }
 ORACLE_SQL: dict[str, str] = {
