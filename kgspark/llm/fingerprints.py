@@ -95,7 +95,7 @@ def edits(docs: DataFrame) -> DataFrame:
         "doc_id", "n_chars", "n1", "n2",
         F.substring("text", F.lit(1), F.col("n_chars") - F.floor(F.col("n_chars") / 2).cast("int")).alias("head"),
         root(F.col("tree")).alias("fingerprint"), leaves(F.col("tree")).alias("leaves"),
-        paragraphs(F.col("tree")).alias("paragraphs"),
+        F.transform(paragraphs(F.col("tree")), lambda p: F.xxhash64(p)).alias("paragraphs"),  # short, to be shuffled
     )
     nth = Window.partitionBy("n1", "n2").orderBy("doc_id")
     # Repeated rows stand for one: the same shuffle as the first join's.
@@ -103,7 +103,7 @@ def edits(docs: DataFrame) -> DataFrame:
     met = own.join(after_text, ["n1", "n2"])
     met = met.withColumn("edited", F.concat("head", F.substring("next_text", F.lit(1), F.floor(F.col("n_chars") / 2).cast("int")))).drop("head", "n1", "n2")
     met = met.withColumn("edited_tree", tree(F.col("edited"))).withColumn("next_leaves", leaves(tree(F.col("next_text"))))
-    return met.withColumn("edited_paragraphs", paragraphs(F.col("edited_tree")))
+    return met.withColumn("edited_paragraphs", F.transform(paragraphs(F.col("edited_tree")), lambda p: F.xxhash64(p)))
 
 
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
