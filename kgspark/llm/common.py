@@ -44,6 +44,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def where_column(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose boolean ``column`` is true, where its expression is large.
+
+    The optimizer moves filters below projections by copying expressions into them, once for every mention; it leaves
+    filters above a column that is not deterministic.
+    """
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(F.col(column) & (F.col("_row") >= 0)).drop("_row")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
