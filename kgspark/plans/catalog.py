@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from kgspark.plans import graph_queries, retrieval_queries, text_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = graph_queries.QUERIES | text_queries.QUERIES | retrieval_queries.QUERIES
+ORACLE_SQL: dict[str, str] = graph_queries.SQL | text_queries.SQL | retrieval_queries.SQL
