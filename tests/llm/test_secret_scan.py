@@ -1,0 +1,49 @@
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from kgspark.llm import secret_scan as s
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return s.fit(s.labelled(docs, "source"))
+
+
+def test_planted_secrets_are_found_and_prose_is_left(spark, forest):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = s.secret_scan(docs, forest=forest).select("doc_id", "text", "findings").where("size(findings) > 0").collect()
+    want, have = set(), set()
+    for r in found:
+        for p in (r"\bAKIA[A-Z0-9]{16}\b", r"(?i)password=([0-9a-f]{16,})", r'(?i)token = "([0-9a-f]{40})"'):
+            want |= {(r.doc_id, m[m.lastindex or 0]) for m in re.finditer(p, r.text)}
+        have |= {(r.doc_id, x.value) for x in r.findings if x.secret}
+    assert len(want & have) >= 0.98 * len(want)
+    assert len(have - want) <= 0.05 * len(have)
+
+
+def test_candidates_are_those_of_a_loop(spark, docs):
+    rows = docs.select("doc_id", "text", s.candidates(docs["text"]).alias("x")).collect()
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text)
+        want = [(i, v) for i, w in enumerate(words) for v in re.findall(s.SHAPE, w)]
+        assert [(x.nth, x.value) for x in r.x or []] == want
+
+
+def test_redaction(spark, forest):
+    secret = "0123456789abcdef0123456789abcdef01234567"
+    docs = spark.createDataFrame([(1, f'He wrote token = "{secret}" there.', "src1")], "doc_id long, text string, source string")
+    r = s.secret_scan(docs, forest=forest).select(s.redacted(F.col("text"), F.col("findings")).alias("t")).first()
+    assert r.t == f'He wrote token = "{s.REDACTED}" there.'
+
+
+def test_odd_rows(odd, nothing, forest):
+    rows = s.secret_scan(odd, forest=forest).collect()
+    assert len(rows) == odd.count()
+    assert sum(x.secret for r in rows if r.doc_id == 8 for x in r.findings) == 2
+    assert s.secret_scan(nothing).collect() == []
+    assert len(s.secret_scan(odd.where("doc_id = 4")).collect()) == 1
