@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.plans import graph_queries, retrieval_queries, text_queries
+from kgspark.plans import graph_queries, retrieval_queries, stream_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = graph_queries.QUERIES | text_queries.QUERIES | retrieval_queries.QUERIES
-ORACLE_SQL: dict[str, str] = graph_queries.SQL | text_queries.SQL | retrieval_queries.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = graph_queries.QUERIES | text_queries.QUERIES | retrieval_queries.QUERIES | stream_queries.QUERIES
+ORACLE_SQL: dict[str, str] = graph_queries.SQL | text_queries.SQL | retrieval_queries.SQL | stream_queries.SQL

@@ -91,7 +91,6 @@ def term_frequency(spark: SparkSession, d: str) -> DataFrame:
 def hash_buckets(spark: SparkSession, d: str) -> DataFrame:
     """The bucket and sign of a token's hash."""
     h = text.stable_hash(F.col("p_name"))
-    bit = F.floor(h / 2) % 2
     odd = F.conv(F.substring(F.sha2("p_name", 256), 16, 1), 16, 10).cast("int").bitwiseAND(2)
     return g.table(spark, d, "part").select("p_partkey", (h % 384).cast("long").alias("bucket"), F.when(odd == 2, 1).otherwise(-1).alias("sign"))
 
