@@ -14,8 +14,8 @@ unique. Steps:
 4. spans found are united per text and cut out.
 
 Equal texts count as one text with their smallest doc_id from the start; further copies go whole. A key with more than
-HOT contexts (a phrase in a large share of all rows) is not sorted in one task: its windows are dealt by their own bytes
-and take the smallest doc_id by a plain aggregation with partial sums.
+HOT contexts (a phrase in a large share of all rows) is not sorted in one task: its different contexts are cut into
+windows, which are dealt by their own bytes and take the smallest doc_id by an aggregation with partial results.
 
 Defined results: a null or empty text has no bytes; a null doc_id comes after all others; rows with equal doc_id never
 remove bytes of each other; repeated rows give repeated results; an empty table gives no rows.
@@ -29,16 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import documents, squeezed, stored, table, unsqueezed
+from kgspark.llm.common import documents, slices, squeezed, stored, table, unsqueezed
 
 SPAN, GRAM, SHALLOW = 50, 24, 16
 WIDE = SPAN - GRAM + 1
 HOT = 200_000
 #: Contexts sorted together, and anchors sent together.
-BLOCK, FLUSH = 50_000, 4_000_000
+BLOCK, FLUSH = 20_000, 750_000
 LAST = 2**63 - 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -81,7 +81,7 @@ class Anchors:
         self.begins = self.ends - lens
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.at = self.doc = np.zeros(0, np.int64)
-        self.key = np.zeros(0, np.uint64)
+        self.name = self.key = np.zeros(0, np.uint64)
         if len(self.data) < SPAN:
             return
         h = gram_hashes(self.data)
@@ -92,17 +92,18 @@ class Anchors:
         self.least = np.where(np.cumsum(over)[: len(least)] > 0, _U(0), least)
         edge = np.zeros(WIDE - 1, np.uint64)
         self.at = np.flatnonzero(_sliding(np.concatenate([edge, self.least, edge]), WIDE, np.maximum)[: len(h)] == h)
-        self.key = h[self.at]
+        self.name = h[self.at]
+        self.key = _mixed(self.name)  # names are small, being minima; keys are spread evenly
         self.doc = np.searchsorted(self.ends, self.at, "right")
 
     def windows(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last start of the windows that name each of these places."""
-        at, key = self.at[pick], self.key[pick]
+        at, name = self.at[pick], self.name[pick]
         first, last = at.copy(), np.maximum(at - WIDE, -1)
         for back in range(WIDE):
             s = at - back
             ok = (s >= 0) & (s < len(self.least))
-            ok[ok] = self.least[s[ok]] == key[ok]
+            ok[ok] = self.least[s[ok]] == name[ok]
             first[ok] = s[ok]
             last = np.where(ok & (last < s), s, last)
         return first, last
@@ -138,7 +139,7 @@ def _sent(parts: int, bits: int):
 
     def flush(keys: np.ndarray, who: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
         _, rep, same = np.unique(k1, return_index=True, return_inverse=True)  # equal texts are one
-        who = rep[same][who]
+        who = rep[same].astype(np.int32)[who]
         k1, k2 = np.append(k1, _U(0)), np.append(k2, _U(0))  # the last stands for several texts
         order = np.lexsort((who, keys))
         keys, who = keys[order], who[order]
@@ -169,11 +170,10 @@ def _sent(parts: int, bits: int):
         keys, who, k1, k2, n, docs = [], [], [], [], 0, 0
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, "text", 1 << 18):
                 a = Anchors([t.encode() for t in part.column("text").to_pylist()])
                 keys.append(a.key >> _U(64 - bits))
-                who.append(a.doc + docs)
+                who.append((a.doc + docs).astype(np.int32))
                 k1.append(part.column("k1").to_numpy().view(np.uint64))
                 k2.append(part.column("k2").to_numpy().view(np.uint64))
                 docs += part.num_rows
@@ -196,22 +196,25 @@ def _told(table_: pa.Table) -> pa.Table:
         own = np.frombuffer(row["k1"], np.uint64), np.frombuffer(row["k2"], np.uint64)
         texts.append(own)
         keys.append(k)
-        who.append(_unplaned(row["who"], np.uint32).astype(np.int64) + n)
+        who.append((_unplaned(row["who"], np.uint32) + np.uint32(n)).astype(np.int32))
         sure.append(np.full(len(k), row["sure"]))
         n += len(own[0])
     k1, k2 = (np.concatenate(x) for x in zip(*texts, strict=True))
     keys, who, sure = np.concatenate(keys), np.concatenate(who), np.concatenate(sure)
     _, same = np.unique(k1, return_inverse=True)
-    order = np.lexsort((same[who], keys))
-    order = order[~sure[order]]
-    k, w = keys[order], same[who[order]]
-    begins = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
-    shared = np.zeros(len(k), bool)
-    if len(k):
-        lo, hi = np.minimum.reduceat(w, begins), np.maximum.reduceat(w, begins)
-        many = np.maximum.reduceat(k1[who[order]] == 0, begins)  # the stand-in for several texts of one mapper
-        shared = np.repeat((lo != hi) | many, np.diff(np.r_[begins, len(k)]))
-    tell = np.r_[np.flatnonzero(sure), order[shared]]
+    same = same.astype(np.int32)
+    order = np.flatnonzero(~sure)
+    order = order[np.argsort(keys[order])].astype(np.int32)
+    shared = np.zeros(len(order), bool)
+    if len(order):
+        k = keys[order]
+        begins = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        del k
+        w = same[who[order]]
+        many = np.maximum.reduceat((k1 == 0)[who[order]], begins)  # the stand-in for several texts of one mapper
+        shared = np.repeat((np.minimum.reduceat(w, begins) != np.maximum.reduceat(w, begins)) | many, np.diff(np.r_[begins, len(order)]))
+        del w
+    tell = np.r_[np.flatnonzero(sure).astype(np.int32), order[shared]]
     tell = tell[k1[who[tell]] != 0]
     tell = tell[np.argsort(same[who[tell]], kind="stable")]
     w = same[who[tell]]
@@ -227,8 +230,7 @@ def _contexts(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, "text", 1 << 18):
                 a = Anchors(unsqueezed(part.column("text")))
                 told = [np.concatenate([np.frombuffer(b, np.uint64) for b in x]) for x in part.column("told").to_pylist()]
                 salt = np.arange(part.num_rows, dtype=np.uint64) * _U(_BASE)
@@ -291,7 +293,7 @@ def suffix_classes(rows: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> tuple
     return first, out
 
 
-FOUND = "k1 long, k2 long, spans binary, window binary, id long, start long"
+FOUND = "k1 long, k2 long, spans binary, bytes binary, id long, start long"
 
 
 def _spans(k1: np.ndarray, k2: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -304,7 +306,7 @@ def _spans(k1: np.ndarray, k2: np.ndarray, begin: np.ndarray, end: np.ndarray) -
     none = lambda t: pa.nulls(len(begins), t)
     return pa.RecordBatch.from_arrays(
         [pa.array(k1[begins]), pa.array(k2[begins]), _binaries(np.frombuffer(pairs.astype(np.int64).tobytes(), np.uint8), begins * 16, lens), none(pa.binary()), none(pa.int64()), none(pa.int64())],
-        names=["k1", "k2", "spans", "window", "id", "start"],
+        names=["k1", "k2", "spans", "bytes", "id", "start"],
     )
 
 
@@ -326,8 +328,11 @@ def _block(t: pa.Table) -> pa.RecordBatch | None:
     window = _ranges(first[of], n)
     gone = least[window] < ids[row]
     row, s = row[gone], (window - first[of[row]])[gone]
-    if not len(row):
-        return None
+    return _runs(row, s, t) if len(row) else None
+
+
+def _runs(row: np.ndarray, s: np.ndarray, t: pa.Table | pa.RecordBatch) -> pa.RecordBatch:
+    """Windows s of the contexts t[row], in order, as spans of their texts."""
     fresh = np.r_[True, (row[1:] != row[:-1]) | (s[1:] != s[:-1] + 1)]
     ends = np.r_[np.flatnonzero(fresh)[1:], len(row)] - 1
     r = row[fresh]
@@ -336,7 +341,7 @@ def _block(t: pa.Table) -> pa.RecordBatch | None:
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3 over contexts in key order; those of hot keys go on as windows."""
+    """Step 3 over contexts in key order; those of hot keys go on as they are."""
     held: list[pa.RecordBatch] = []
     n = 0
 
@@ -346,17 +351,8 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b
         if hot.any():
             h = t.filter(pa.array(hot))
-            data = h.column("bytes").combine_chunks()
-            text = np.frombuffer(b"".join(data.to_pylist()), np.uint8)
-            lens = np.array([len(x) for x in data.to_pylist()])
-            times = lens - SPAN + 1
-            at = _ranges(np.cumsum(lens) - lens, times)
-            of = pa.array(np.repeat(np.arange(len(lens)), times))
-            start = h.column("start").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [h.column("k1").combine_chunks().take(of), h.column("k2").combine_chunks().take(of), pa.nulls(len(of), pa.binary()), _binaries(text, at, np.full(len(at), SPAN)), h.column("id").combine_chunks().take(of), pa.array(_ranges(start, times))],
-                names=["k1", "k2", "spans", "window", "id", "start"],
-            )
+            h = h.append_column("spans", pa.nulls(h.num_rows, pa.binary())).select(["k1", "k2", "spans", "bytes", "id", "start"])
+            yield from h.combine_chunks().to_batches()
 
     for batch in batches:
         if batch.num_rows:
@@ -398,29 +394,43 @@ def _united(spans: list[np.ndarray]) -> np.ndarray:
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, text (zstd), spans (list of binary: [begin, end) pairs of bytes to remove, may overlap), copy (goes whole)."""
-    parts = max(8, docs.rdd.getNumPartitions())  # the number alone
+    parts = docs.rdd.getNumPartitions() + 8  # the number alone
     bits = min(64, 36 + math.ceil(math.log2(parts)))
     n = F.when(F.col("doc_id").isNull(), F.lit(LAST)).otherwise(F.col("doc_id").cast("long"))
     docs = documents(docs).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text")).withColumn("own", n)
     least = docs.groupBy("k1", "k2").agg(F.min("own").alias("id"))
     told = docs.select("k1", "k2", "text").mapInArrow(_sent(parts, bits), SENT).groupBy("part").applyInArrow(_told, "k1 long, k2 long, keys binary").groupBy("k1", "k2").agg(F.collect_list("keys").alias("told"))
     known = squeezed(docs).join(least, ["k1", "k2"])
-    dealt = known.join(told, ["k1", "k2"]).where("own <= id").select("text", "id", "k1", "k2", "told").mapInArrow(_contexts(bits), "key long, bytes binary, id long, k1 long, k2 long, start long").repartition("key")
+    dealt = known.join(told, ["k1", "k2"]).where("own <= id").select("text", "id", "k1", "k2", "told").mapInArrow(_contexts(bits), "key long not null, bytes binary, id long, k1 long, k2 long, start long").repartition("key")
     # Counts from the same columns, so that both read one shuffle.
     counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("bytes", "id", "k1", "k2", "start"), F.lit(2))).alias("_")).where((F.col("n") > hot) & F.col("_").isNotNull()).select("key", F.lit(True).alias("hot"))
     flagged = dealt.join(counts, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).sortWithinPartitions("key")
     found = stored(flagged.mapInArrow(_sorted, FOUND), "suffixes")
-    wide = found.where("window is not null")
-    first = wide.groupBy("window").agg(F.min("id").alias("least"))
-    hit = wide.join(first, "window").where("least < id").select("k1", "k2", F.array("start", F.col("start") + SPAN).alias("p"))
-    pairs = hit.select("k1", "k2", _pair(F.get("p", 0)).alias("a"), _pair(F.get("p", 1)).alias("b")).select("k1", "k2", F.concat("a", "b").alias("spans"))
+    pairs = _hot_spans(found.where("bytes is not null"))
     spans = found.where("spans is not null").select("k1", "k2", "spans").union(pairs).groupBy("k1", "k2").agg(F.collect_list("spans").alias("spans"))
     return known.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans", (F.col("own") > F.col("id")).alias("copy"))
 
 
-def _pair(c):
-    """A long as eight bytes, the low one first."""
-    return F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 16, "0"), 15 - 2 * i, 2) for i in range(8)]))
+def _hot_spans(contexts: DataFrame) -> DataFrame:
+    """Step 3 for the contexts of hot keys: k1, k2, spans. Different contexts are cut into windows once."""
+    least = contexts.groupBy("bytes").agg(F.min("id").alias("id"))
+    cut = F.transform(F.sequence(F.lit(0), F.length("bytes") - SPAN), lambda i: F.substring("bytes", i + 1, F.lit(SPAN)))
+    windows = least.select("bytes", "id", F.posexplode(cut).alias("at", "window"))
+    first = windows.groupBy("window").agg(F.min("id").alias("least"))
+    placed = windows.join(first, "window").groupBy("bytes").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("x"))
+    known = placed.select("bytes", F.col("x.least").alias("least"))
+    return contexts.join(known, "bytes").select("k1", "k2", "id", "start", "least").mapInArrow(_cut_hot, "k1 long, k2 long, spans binary")
+
+
+def _cut_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        least = batch.column("least")
+        n = least.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        gone = least.flatten().to_numpy() < batch.column("id").to_numpy()[row]
+        at = _ranges(np.zeros(len(n), np.int64), n)[gone]
+        if len(at):
+            yield _runs(row[gone], at, batch).select(["k1", "k2", "spans"])
 
 
 def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
