@@ -19,7 +19,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import documents, table
+from kgspark.llm.common import documents, stored, table
 
 LEAST = 0.5
 CUE = "(?i)licen[sc]e|copyright|permission is|warrant|redistribut|spdx|creative commons|public domain|\\bCC[ -]BY"
@@ -94,16 +94,17 @@ def license_scan(files: DataFrame, path: Column, is_file: Column | None = None,
     is_file = F.coalesce(F.rlike(F.col("path"), F.lit(FILE)), F.lit(False)) if is_file is None else is_file
     rows = rows.withColumn("licence_file", is_file)
     cued = F.filter(F.split("text", "\n"), lambda line: F.rlike(line, F.lit(CUE)))
-    headers = F.when(F.col("licence_file"), F.array("text")).otherwise(cued)
-    rows = rows.withColumn("headers", F.array_distinct(headers))
+    headers = F.when(F.col("licence_file"), F.array("text")).when(F.rlike("text", F.lit(CUE)), cued).otherwise(F.array().cast("array<string>"))
+    row = F.xxhash64("doc_id", "path", "headers")
+    # The texts are read once; what follows uses the headers alone.
+    rows = rows.withColumn("headers", F.array_distinct(headers)).select("doc_id", "path", "licence_file", "headers", row.alias("row"))
+    rows = stored(rows, "headers")
     # Equal headers are scored once: most documents that state a licence state it in the same words.
     texts = rows.select(F.explode("headers").alias("text")).distinct().select(F.col("text").alias("unit"), "text")
-    best = stated(texts, templates, least)
-    row = F.xxhash64("doc_id", "path", "headers")
-    rows = rows.select("doc_id", "path", "licence_file", "headers", row.alias("row"))
+    best = stored(stated(texts, templates, least), "scored")
     own = rows.where(F.size("headers") > 0).select("row", F.explode("headers").alias("unit")).distinct().join(best, "unit")
     own = own.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("x")).select("row", F.col("x.license").alias("own"), (-F.col("x.s")).alias("score"))
-    rows = rows.drop("headers").join(own, "row", "left")
+    rows = stored(rows.drop("headers").join(own, "row", "left"), "licensed")
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     given = rows.where("licence_file and own is not null and path is not null").groupBy(folder.alias("dir")).agg(F.min(F.struct("path", "own", "score")).alias("x"))
     given = given.select("dir", F.col("x.own").alias("theirs"), F.col("x.score").alias("their_score"))
