@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kgspark.functions.text import letters
-
 #: The function words of each language, in the order in which ties are resolved after English.
 MARKERS = {
     "en": "the and is are of to in for with this that from on at by a an be",
@@ -21,11 +19,10 @@ ACCENTS = {"fr": "éèêëàâçôîïùûœ", "de": "äöüß", "es": "ñ¿¡",
 
 def scores(text: Column) -> Column:
     """array<struct<score, nth, lang>>: larger is better, ties go to the larger ``nth`` (English, then marker order)."""
-    w = letters(text)
 
     def score(lang: str) -> Column:
-        known = F.array(*map(F.lit, MARKERS[lang].split()))
-        n = F.size(F.filter(w, lambda x: F.array_contains(known, x)))
+        # One scan for each language: a run of letters that is a marker.
+        n = F.regexp_count(F.lower(text), F.lit(f"(?<!\\p{{L}})(?:{'|'.join(MARKERS[lang].split())})(?!\\p{{L}})"))
         for c in ACCENTS.get(lang, ""):
             n = n + F.contains(F.lower(text), F.lit(c)).cast("int")
         return n
