@@ -91,6 +91,18 @@ def unsqueezed(column: pa.Array) -> list[bytes]:
     return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))
 
 
+def restored(df: DataFrame) -> DataFrame:
+    """The inverse of ``squeezed``."""
+    fields = [T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType, f.nullable) for f in df.schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [pa.array([b.decode() for b in unsqueezed(c)], pa.string()) if f.name == "text" else c for f, c in zip(fields, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -101,25 +113,39 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-į]+)([.,]?)")
 
 
+class _Known(dict):
+    """A dictionary that makes missing values, emptied when it has ``limit`` entries."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordEncoder:
     """Encodes byte strings as the tokenizers library does, word by word.
 
     The vocabulary's pre-tokenizer never joins across ASCII white space, so a text's ids are the ids of its words in
-    turn. Words are kept in a dictionary of at most ``limit`` entries, which is emptied when full; it only saves time.
+    turn. Words are kept in dictionaries of at most ``limit`` entries, which are emptied when full; that only saves time.
     """
 
     _open: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.limit = limit
-        self.known: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
+        self.known = _Known(self._word, limit)
+        self.letters = _Known(self._letters, limit)
         self.marks = {m: self._ids(m) for m in ("", ".", ",")}
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE's printable bytes
         hidden = [b for b in range(256) if b not in visible]
@@ -140,32 +166,15 @@ class WordEncoder:
         text = word.decode()
         if not (m := PLAIN.fullmatch(text)):
             return self._ids(text)
-        low = m[1].lower()
-        if (ids := self.letters.get(low)) is None:
-            chars = low if low.isascii() else "".join([self.chars[b] for b in low.encode()])
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(chars)])
-            self.letters[low] = ids
-        return ids + self.marks[m[2]]
-
-    def learn(self, split: list[list[bytes]]) -> None:
-        """Make all the words of these lists known."""
-        if len(self.known) + len(self.letters) > self.limit:
-            self.known.clear()
-            self.letters.clear()
-        known = self.known
-        for w in set().union(*split):
-            if w not in known:
-                known[w] = self._word(w)
+        return self.letters[m[1].lower()] + self.marks[m[2]]
+
+    def _letters(self, low: str) -> bytes:
+        chars = low if low.isascii() else "".join([self.chars[b] for b in low.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(chars)])
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        split = text.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in split])
-        except KeyError:
-            self.learn([split])
-            return b"".join(map(self.known.__getitem__, split))
+        return b"".join(map(self.known.__getitem__, text.split()))
 
     def decode(self, ids: bytes) -> str:
         """decode(ids, skip_special_tokens=False) of a tokenizer without a decoder: its tokens, spaced."""

@@ -38,12 +38,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         encoder = WordEncoder.of(path)
         for batch in batches:
             for part in slices(batch, "text"):
-                split = [t.encode().split() for t in part.column(1).to_pylist()]
-                encoder.learn(split)
-                known = encoder.known.__getitem__
                 rows: list[tuple[int, int, int, int, int]] = []
-                for i, w in enumerate(split):
-                    ids = b"".join(map(known, w)) + b"\0\0\0\0"
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    ids = encoder.encode(text.encode()) + b"\0\0\0\0"
                     n = len(ids) >> 2
                     if n <= capacity:
                         rows.append((i, 0, 0, n, zlib.crc32(ids)))
