@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgspark.llm.common import stored, table, where_column, words
+from kgspark.llm.common import restored, squeezed, stored, table, where_column, words
 from kgspark.llm.jaccard_join import jaccard_classes
 from kgspark.llm.line_dedup import line_dedup
 from kgspark.llm.packing import pack
@@ -42,11 +42,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group linked at five-word Jaccard 0.8: the one with the smallest doc_id."""
     found = stored(jaccard_classes(docs).where("comp is not null").select("doc_id", "k", "comp"), "groups")
     firsts = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")).alias("x")).select("x.doc_id", "x.k")
-    keyed = docs.withColumn("k", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).select(COLUMNS)
+    keyed = squeezed(rows.withColumn("k", F.unhex(F.md5("text"))))
     first = keyed.join(firsts.withColumnRenamed("doc_id", "_first"), "k").where(F.col("doc_id").eqNullSafe(F.col("_first")))
     once = Window.partitionBy("k").orderBy("lang", "source", "n_chars")
-    blank = docs.where(F.size(words(F.coalesce("text", F.lit("")))) == 0)  # in no group
-    return first.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(COLUMNS).union(blank.select(COLUMNS))
+    first = restored(first.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(COLUMNS))
+    return first.union(rows.where(F.size(words(F.col("text"))) == 0))  # texts without words are in no group
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
