@@ -187,7 +187,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, small: i
     counts = spark.sparkContext.broadcast(b"".join(bytes(r.counts) for r in sorted(sums.collect())))  # BUCKETS numbers
     classes = survey.where("k is not null and n > 0").groupBy("k").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"))
 
-    dealt = docs.select("k", "text").mapInArrow(_prefixes(words, num, den, counts), "hash long, k binary, n long, place long").repartition("hash")
+    dealt = docs.select("k", "text").mapInArrow(_prefixes(words, num, den, counts), "hash long not null, k binary not null, n long not null, place long not null").repartition("hash")
     many = dealt.groupBy("hash").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum(F.col("n") % 2 + F.col("place") % 2).alias("_")).where("lo <> hi and _ >= 0").select("hash")
     met = dealt.join(many, "hash").groupBy("hash", "k").agg(F.first("n").alias("n"), F.first("place").alias("place"))
     met = stored(met.join(classes.select("k", "ranges"), "k"), "met")
