@@ -1,6 +1,7 @@
 """5. Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory. Native.
 
-Headers are lines with a licence cue; a licence file is compared as one text. Terms are words and word pairs, weighted by
+Headers are lines with a licence cue; a licence file is compared as one text. Templates are notices, and the whole texts
+of the folder ``licences``. Terms are words and word pairs, weighted by
 their rarity among the templates; each text goes to the template of the largest cosine of at least LEAST. The templates'
 weights are a table of fixed size, which is broadcast. A file that states no licence takes that of the nearest directory
 above it with a licence file: its directories, one row each, join the licensed directories by path.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,21 +26,42 @@ from kgspark.llm.common import documents, stored, table
 LEAST = 0.5
 CUE = "(?i)licen[sc]e|copyright|permission is|warrant|redistribut|spdx|creative commons|public domain|\\bCC[ -]BY"
 FILE = "(?i)(?:^|/)(?:licen[sc]e|copying|notice|unlicense)[^/]*$"
+#: The beginning of a text that is a whole licence: titles and copyright lines, then its first words or its title.
+WHOLE = (
+    "(?i)^\\s*(?:[^\\n.]{0,60}licen[sc]e[^\\n.]{0,40}\\n\\s*|copyright[^\\n]{0,200}\\n\\s*|all rights reserved\\.?\\s*\\n\\s*)*"
+    "(?:permission is hereby granted, free|permission to use, copy, modify|redistribution and use in source and binary|this is free and unencumbered"
+    "|this software is provided 'as-is'|(?:gnu )?(?:(?:affero|lesser|library) )?(?:general public|free documentation) licen[sc]e\\s+version|apache licen[sc]e\\s+version"
+    "|mozilla public licen[sc]e,?\\s+version|eclipse public licen[sc]e - v|creative commons legal code|(?:gnu )?(?:affero |lesser |library )?general public licen[sc]e\\s*\\n)"
+)
 #: Notices by which works state their licence.
-TEMPLATES = {
+NOTICES = {
+    "0BSD": ["Licensed under the BSD Zero Clause License.", "Released under the Zero-Clause BSD License (0BSD)."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the GNU Affero GPL version 3 (AGPL)."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License."],
-    "BSD-3-Clause": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted."],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "Licensed under the Simplified BSD License."],
+    "BSD-3-Clause": ["Released under the BSD License.", "Redistribution and use in source and binary forms, with or without modification, are permitted.", "Released under the BSD 3-Clause License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Licensed under Creative Commons Attribution."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Licensed under Creative Commons Attribution NonCommercial."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "Licensed under Creative Commons Attribution ShareAlike."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "Dedicated to the public domain under Creative Commons Zero."],
+    "EPL-1.0": ["Licensed under the Eclipse Public License, version 1.0."],
+    "EPL-2.0": ["Licensed under the Eclipse Public License, version 2.0."],
+    "GFDL-1.3": ["Licensed under the GNU Free Documentation License, version 1.3."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
+    "ISC": ["Licensed under the ISC License."],
+    "LGPL-2.0": ["This library is licensed under the GNU Library General Public License, version 2."],
+    "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1."],
     "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."],
+    "MPL-1.1": ["This file is subject to the terms of the Mozilla Public License, version 1.1."],
     "MPL-2.0": ["This file is subject to the terms of the Mozilla Public License, version 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Zlib": ["Licensed under the zlib License."],
 }
+#: Whole texts, without their copyright lines.
+TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+TEMPLATES = {name: [*notices, *([TEXTS[name]] if name in TEXTS else [])] for name, notices in NOTICES.items()}
 _TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -123,9 +146,9 @@ def license_scan(files: DataFrame, path: Column, is_file: Column | None = None,
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of their source: source/<thousands>/<doc_id>. A document that is little but a licence notice
-    stands for its directory's licence file."""
+    """Documents as files of their source: source/<thousands>/<doc_id>. A document that is little but a licence notice,
+    or a whole licence, stands for its directory's licence file."""
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
-    notice = F.rlike("text", F.lit(CUE)) & (F.length("text") <= 600)
+    notice = F.rlike("text", F.lit(CUE)) & ((F.length("text") <= 600) | F.rlike("text", F.lit(WHOLE)))
     return license_scan(docs, path, notice)

@@ -68,3 +68,42 @@ def test_query_covers_every_document(spark, sf, texts):
     for r in rows:
         stated = any(n[0] in (texts[r.doc_id] or "") for n in s.TEMPLATES.values())
         assert not stated or r.origin in ("header", "file")
+
+
+MIT = """MIT License
+
+Copyright (c) 2021 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+
+def test_whole_licence_files(spark):
+    whole = {"MIT": MIT} | {name: f"Copyright 2019 The {name} Authors\n\n{' '.join(text.split())}\n\nAll rights not granted are kept." for name, text in s.TEXTS.items() if name != "MIT"}
+    rows = [(i, f"d{i}/LICENSE", text) for i, text in enumerate(whole.values())] + [(100 + i, f"d{i}/src/x.txt", "Prose.") for i in range(len(whole))]
+    got = scan(spark, rows)
+    assert {name: got[i].license for i, name in enumerate(whole)} == {name: name for name in whole}
+    assert [(got[100 + i].license, got[100 + i].origin) for i in range(len(whole))] == [(name, "inherited") for name in whole]
+
+
+def test_notices_of_near_names(spark):
+    lines = {"Released under the BSD 2-Clause License.": "BSD-2-Clause", "Licensed under GNU Affero GPL version 3.": "AGPL-3.0", "Licensed under the ISC license": "ISC", "Released under the BSD License.": "BSD-3-Clause"}
+    got = {r.unit: r.license for r in s.stated(spark.createDataFrame([(t, t) for t in lines], "unit string, text string")).collect()}
+    assert got == lines
+
+
+def test_documents_that_begin_as_a_licence_are_licence_files(spark, tmp_path):
+    spark.createDataFrame([(1, MIT, "src"), (2, "Prose.", "src"), (3, s.TEXTS["GPL-3.0"] + "\nEnd", "other")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.origin) for r in s.op5_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "file")}
