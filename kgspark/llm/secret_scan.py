@@ -1,9 +1,12 @@
 """6. Secret scans: candidates found by shape, judged by a random forest. Native.
 
-A candidate is a run of at least SHORTEST key characters inside a word. Its features are length, shares of character
+A candidate is a run of at least SHORTEST key characters inside a word, or a value of any length and characters that a
+word gives to a key name (in the same word or after one that ends in = or :) or that is the user part of a URL (the
+password, or the user where there is none). A value ends with its word. Its features are length, shares of character
 kinds, character transitions, the share covered by dictionary words, the path and the neighbouring words. The forest is
 trained from labelled findings; where none are given, a bounded sample of the corpus's own candidates is labelled by
-strict formats (a key prefix, or an assignment to a name such as token or password). The trained trees become one
+formats (a key prefix, an assignment to a name such as token or password, a URL's user part), and made-up findings of both
+kinds are added, as a corpus may have no short ones. Dictionary words are the most frequent ones of all documents. The trained trees become one
 expression, so scanning is a projection: no shuffle, and a candidate costs a few comparisons.
 
 Defined results: a null or empty text has no candidates; a null path is empty; null doc_ids and repeated rows are scanned
@@ -13,6 +16,7 @@ there are none).
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -30,6 +34,16 @@ TREES, DEPTH, SEED = 15, 5, 7
 NAMES = "(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api_?-?key|apikey|auth|bearer|credential|private_?key|access_?key)"
 TESTS = "(?i)(?:test|example|sample|mock|fixture)"
 PREFIXED = "^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk-[A-Za-z0-9_-]{20,}$"
+#: Names whose values are candidates; ways to assign; a value in a word, and a URL's user part.
+KEYS = "(?i)(?:token|secret|passw(?:or)?d|passwd|passphrase|passcode|pwd|api[_-]?key|auth(?!or)|bearer|credential|private[_-]?key|access[_-]?key)"
+GIVES = "[\\w.-]*[\"'`\\])]*(?:=>|:=|=+|:)"
+VALUE = "[\"'`(\\[]*([^\\s\"'`]+)"
+KEYED, AFTER_KEY = KEYS + GIVES + VALUE, KEYS + "[\\w.-]*[\"'`\\])]*\\s?(?:=>|:=|=+|:)$"
+USER, BARE_USER = "://[^\\s/:@]*:([^\\s/]+)@", "://([^\\s/:@]+)@"
+IN_URL = "://[^\\s/:@]*:$"
+CLOSING = "[.,;:)\\]}>]+$"
+#: Values that only stand for a secret.
+STAND_IN = "(?i)^[$<{%(\\[*]|[(]|^(?:null|none|nil|true|false|changeme|required|optional|hidden|redacted|password|secret|token|x+)$"
 REDACTED = "[REDACTED]"
 
 
@@ -39,14 +53,34 @@ def candidates(text: Column) -> Column:
     w = words(text)
 
     def found(w: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: (F.length(F.get(w, i)) >= SHORTEST) & F.rlike(F.get(w, i), F.lit(SHAPE)))
+        def near(i: Column) -> Column:
+            return F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1))
+
+        def follows(i: Column) -> Column:
+            return F.rlike(F.get(w, i - 1), F.lit("[=:>]$")) & F.rlike(near(i), F.lit(AFTER_KEY))
+
+        def wanted(i: Column) -> Column:
+            word = F.get(w, i)
+            return (F.length(word) >= SHORTEST) & F.rlike(word, F.lit(SHAPE)) | F.rlike(word, F.lit(f"{KEYED}|{USER}|{BARE_USER}")) | F.coalesce(follows(i), F.lit(False))
+
+        def values(i: Column) -> Column:
+            word = F.get(w, i)
+            after = F.when(follows(i), F.regexp_extract_all(word, F.lit("^" + VALUE), F.lit(1))).otherwise(F.array().cast("array<string>"))
+            given = F.concat(after, F.regexp_extract_all(word, F.lit(KEYED), F.lit(1)))
+            given = F.transform(given, lambda v: F.regexp_replace(v, CLOSING, ""))
+            given = F.concat(given, F.regexp_extract_all(word, F.lit(USER), F.lit(1)), F.regexp_extract_all(word, F.lit(BARE_USER), F.lit(1)))
+            runs = F.regexp_extract_all(word, F.lit(SHAPE), F.lit(0))
+            # Runs may repeat; a value that is a run is that run.
+            return F.concat(F.array_except(F.filter(given, lambda v: v != ""), runs), runs)
+
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), wanted)
         return F.flatten(
             F.transform(
                 at,
                 lambda i: F.transform(
-                    F.regexp_extract_all(F.get(w, i), F.lit(SHAPE), F.lit(0)),
+                    values(i),
                     lambda v: F.struct(
-                        i.alias("nth"), v.alias("value"), F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1)).alias("before"),
+                        i.alias("nth"), v.alias("value"), near(i).alias("before"),
                         F.left(F.get(w, i), F.instr(F.get(w, i), v) - 1).alias("lead"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("after"),
                     ),
                 ),
@@ -54,7 +88,8 @@ def candidates(text: Column) -> Column:
         )
 
     # One element, so that the words are split once.
-    return F.when(F.rlike(text, F.lit(SHAPE)), F.get(F.transform(F.array(w), found), F.lit(0)))
+    some = F.rlike(text, F.lit(SHAPE)) | F.rlike(text, F.lit(KEYS + "[^\\s]*\\s*(?:=>|:=|=+|:)")) | F.rlike(text, F.lit("://[^\\s/]+@"))
+    return F.when(some, F.get(F.transform(F.array(w), found), F.lit(0)))
 
 
 def features(x: Column, path: Column, dictionary: str) -> Column:
@@ -76,20 +111,63 @@ def features(x: Column, path: Column, dictionary: str) -> Column:
         F.lit(1.0) - F.length(F.regexp_replace(F.lower(v), F.lit(dictionary), F.lit(""))) / n,
         flag(F.rlike(near, F.lit(NAMES))), flag(F.rlike(near, F.lit("[=:]\\s*[\"']?$"))), flag(F.rlike(x["lead"], F.lit("[\"'`]$"))),
         flag(F.rlike(x["after"], F.lit("^[a-z]+[.,]?$"))), flag(F.rlike(path, F.lit(TESTS))),
+        share("[^A-Za-z0-9+/_-]"), flag(F.rlike(x["lead"], F.lit(IN_URL))), flag(F.rlike(v, F.lit(STAND_IN))),
     )
 
 
 def format_label(x: Column) -> Column:
-    """1 for candidates of a strict secret format, else 0."""
-    near = F.concat_ws(" ", x["before"], x["lead"])
-    assigned = F.rlike(near, F.lit(NAMES + "\\S*\\s*[=:]\\s*[\"']?$")) & F.rlike(x["value"], F.lit("[0-9]")) & F.rlike(x["value"], F.lit("[A-Za-z]"))
-    return (F.rlike(x["value"], F.lit(PREFIXED)) | assigned).cast("int")
+    """1 for candidates of a secret format, else 0."""
+    near, v = F.concat_ws(" ", x["before"], x["lead"]), x["value"]
+    mixed = F.rlike(v, F.lit("[0-9]")) & F.rlike(v, F.lit("[A-Za-z]"))
+    odd = F.rlike(v, F.lit("[A-Za-z]")) & F.rlike(v, F.lit("[!#$%&*?@^~]"))
+    given = F.rlike(near, F.lit(NAMES + "\\S*\\s*[=:]>?\\s*[\"'`]?$")) & (mixed | odd & (F.length(v) >= 6))
+    return (F.rlike(v, F.lit(PREFIXED)) | (given | F.rlike(x["lead"], F.lit(IN_URL))) & ~F.rlike(v, F.lit(STAND_IN))).cast("int")
+
+
+def made_up(n: int = 400) -> list[tuple[str, int]]:
+    """``n`` texts with a short secret (1) and as many with a value that is none (0)."""
+    draw = random.Random(SEED)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    every = small + small.upper() + "0123456789"
+    plain = "required optional hidden none null true false the is was below above empty changeme string value see ask expired valid missing ${DB_PASSWORD} <password> {{secret}} %s $TOKEN getpass() ****".split()
+    frames = ['{} = "{}"', "{}='{}'", '{}="{}",', "{}: {}", "{}={}", "{} := {}"]
+    rows = []
+    for i in range(n):
+        name = draw.choice(["password", "passwd", "pwd", "api_key", "token", "secret", "db_password", "auth_token", "access_key"])
+        length = draw.randint(6, 20)
+        v = "".join(draw.choice(every) for _ in range(length - 1)) + draw.choice("0123456789")
+        if i % 2:
+            v = v[: length // 2] + draw.choice("!#$%&*?@^~-") + v[length // 2 :]
+        if i % 4 < 2:
+            stem = "".join(draw.choice(small) for _ in range(draw.randint(4, 8)))
+            v = stem + draw.choice(["", "!", "-", "#", "&", "_"]) + str(draw.randint(1, 9999))
+        v = draw.choice(small) + v  # no stand-in, and a letter
+        no = draw.choice(plain) if draw.random() < 0.6 else "".join(draw.choice(small) for _ in range(draw.randint(3, 9)))
+        if i % 5 == 4:
+            rows += [(f"see postgres://app:{v.replace('@', '!')}@db/x here", 1), (f"see ftp://{no.strip('<>') if no.isalpha() else 'anonymous'}@host/x here", 0)]
+        else:
+            rows += [(f"Set {draw.choice(frames).format(name, v)} there.", 1), (f"Set {draw.choice(frames).format(name, no)} there.", 0)]
+    return rows
 
 
 def labelled(docs: DataFrame, path: str, sample: int = SAMPLE) -> DataFrame:
-    """Findings labelled by format: x (a candidate), path, label; those with the smallest hashes, at most ``sample``."""
+    """Findings labelled by format: x (a candidate), path, label; those with the smallest hashes, at most ``sample``, and
+    the made-up ones."""
     rows = documents(docs, path).select(F.coalesce(path, F.lit("")).alias("path"), F.explode(candidates(F.col("text"))).alias("x"))
-    return rows.withColumn("label", format_label(F.col("x"))).orderBy(F.xxhash64("x"), "x").limit(sample)
+    rows = rows.withColumn("label", format_label(F.col("x"))).orderBy(F.xxhash64("x"), "x").limit(sample)
+    made = docs.sparkSession.createDataFrame(made_up(), "text string, label int").select(F.lit("").alias("path"), F.explode(candidates(F.col("text"))).alias("x"), "label")
+    return rows.union(made)
+
+
+def frequent(docs: DataFrame, n: int = DICTIONARY) -> list[str]:
+    """The ``n`` most frequent words of all documents, of at least three letters."""
+    raw = docs.select(F.explode(words(F.coalesce("text", F.lit("")))).alias("raw")).where(F.length("raw") >= 3).groupBy("raw").count()
+    return _top(raw.select("raw", "count"), n)
+
+
+def _top(raw: DataFrame, n: int) -> list[str]:
+    clean = raw.select(F.lower(F.regexp_replace("raw", "[^\\p{L}]", "")).alias("word"), "count").where(F.length("word") >= 3)
+    return [r.word for r in clean.groupBy("word").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "word").limit(n).collect()]
 
 
 class Forest:
@@ -111,14 +189,14 @@ class Forest:
         return sum(votes[1:], votes[0]) / len(votes)
 
 
-def fit(findings: DataFrame) -> Forest:
-    """Train on labelled findings (x, path, label)."""
+def fit(findings: DataFrame, docs: DataFrame | None = None) -> Forest:
+    """Train on labelled findings (x, path, label). The dictionary is that of ``docs``, or of the findings' neighbours."""
     rows = findings.select("x", "path", "label").persist()
     try:
         counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-        near = rows.select(F.explode(F.split(F.concat_ws(" ", "x.before", "x.after"), " ")).alias("word")).select(F.lower(F.regexp_replace("word", "[^\\p{L}]", "")).alias("word"))
-        top = near.where(F.length("word") >= 3).groupBy("word").count().orderBy(F.desc("count"), "word").limit(DICTIONARY).collect()
-        dictionary = "|".join(re.escape(w) for w in sorted((r.word for r in top), key=lambda w: (-len(w), w))) or "(?!)"
+        near = rows.select(F.explode(F.split(F.concat_ws(" ", "x.before", "x.after"), " ")).alias("raw")).groupBy("raw").count()
+        top = _top(near, DICTIONARY) if docs is None else frequent(docs)
+        dictionary = "|".join(re.escape(w) for w in sorted(top, key=lambda w: (-len(w), w))) or "(?!)"
         if set(counts) != {0, 1}:
             return Forest(dictionary, [max(counts, default=0)])
         ready = rows.select(array_to_vector(features(F.col("x"), F.col("path"), dictionary)).alias("features"), F.col("label").cast("double").alias("label"))
@@ -137,7 +215,7 @@ def _tree(node):
 
 def secret_scan(docs: DataFrame, *keep: str, path: str = "source", forest: Forest | None = None) -> DataFrame:
     """doc_id, ``keep``, text, findings: array<struct<nth, value, score, secret>> for every row."""
-    forest = forest or fit(labelled(docs, path))
+    forest = forest or fit(labelled(docs, path), docs)
     rows = documents(docs, *dict.fromkeys([*keep, path])).withColumn("findings", candidates(F.col("text")))
     place = F.coalesce(path, F.lit(""))
     rows = rows.withColumn("findings", F.transform("findings", lambda x: F.struct(x["nth"].alias("nth"), x["value"].alias("value"), features(x, place, forest.dictionary).alias("f"))))
@@ -147,8 +225,13 @@ def secret_scan(docs: DataFrame, *keep: str, path: str = "source", forest: Fores
 
 
 def redacted(text: Column, findings: Column) -> Column:
-    """The text with every secret found in it blanked out."""
-    return F.aggregate(F.filter(findings, lambda x: x["secret"]), text, lambda t, x: F.replace(t, x["value"], F.lit(REDACTED)))
+    """The text with every secret found in it blanked out; short ones only where they are not part of a longer word."""
+
+    def without(t: Column, v: Column) -> Column:
+        alone = F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9])"))
+        return F.when(F.length(v) >= SHORTEST, F.replace(t, v, F.lit(REDACTED))).otherwise(F.regexp_replace(t, alone, F.lit(REDACTED)))
+
+    return F.aggregate(F.filter(findings, lambda x: x["secret"]), text, lambda t, x: without(t, x["value"]))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,37 @@ def test_odd_rows(odd, nothing, forest):
     assert sum(x.secret for r in rows if r.doc_id == 8 for x in r.findings) == 2
     assert s.secret_scan(nothing).collect() == []
     assert len(s.secret_scan(odd.where("doc_id = 4")).collect()) == 1
+
+
+SHORT = [
+    ('He set password = "Tr0ub4dor&3x" there.', "Tr0ub4dor&3x"),
+    ('Use password="hunter2-2024", please.', "hunter2-2024"),
+    ("The passwd: C0rrect!Horse#Battery9 is old.", "C0rrect!Horse#Battery9"),
+    ("Dial postgres://app:s3cr3tPw@db/x now.", "s3cr3tPw"),
+    ('And api_key = "a1b2c3d4e5f6" too.', "a1b2c3d4e5f6"),
+    ('One {"api_key":"a1b2c3d4","user":"bob"} line.', "a1b2c3d4"),
+]
+NONE = ["The password: required field is hidden.", "Set password=${DB_PASSWORD} there.", "Written by author: John yesterday.", "See https://example.org/a and http://host:8080/x."]
+
+
+def test_short_and_punctuated_secrets_are_found_and_blanked_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = s.fit(s.labelled(docs, "source"), docs)
+    rows = [(i, t, "src1") for i, t in enumerate([t for t, _ in SHORT] + NONE)]
+    found = s.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), forest=own)
+    got = {r.doc_id: r for r in found.select("doc_id", "findings", s.redacted(F.col("text"), F.col("findings")).alias("t")).collect()}
+    for i, (text, value) in enumerate(SHORT):
+        assert [x.value for x in got[i].findings if x.secret] == [value], (text, got[i].findings)
+        assert got[i].t == text.replace(value, s.REDACTED)
+    assert not [x for i in range(len(SHORT), len(rows)) for x in got[i].findings if x.secret]
+
+
+def test_the_dictionary_is_counted_over_all_documents(spark):
+    rows = [(1, "Alpha beta, beta gamma\nbeta alpha. of", "s"), (2, None, "s"), (3, "gamma! alpha-", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert s.frequent(docs, 2) == ["alpha", "beta"]
+
+
+def test_short_secrets_are_blanked_out_as_whole_words_only(spark):
+    df = spark.createDataFrame([("pwd=ab1 cab12 ab1", [(0, "ab1", True)])], "t string, f array<struct<nth:int,value:string,secret:boolean>>")
+    assert df.select(s.redacted(F.col("t"), F.col("f")).alias("t")).first().t == f"pwd={s.REDACTED} cab12 {s.REDACTED}"
