@@ -341,20 +341,21 @@ def _runs(row: np.ndarray, s: np.ndarray, t: pa.Table | pa.RecordBatch) -> pa.Re
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3 over contexts in key order; those of hot keys go on as they are."""
+    """Step 3 over contexts in key order; those of hot keys go on as they are, batch by batch."""
     held: list[pa.RecordBatch] = []
     n = 0
 
     def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        hot = t.column("hot").to_numpy()
-        if (cold := t.filter(pa.array(~hot))).num_rows and (b := _block(cold)) is not None:
+        if (b := _block(t)) is not None:
             yield b
-        if hot.any():
-            h = t.filter(pa.array(hot))
-            h = h.append_column("spans", pa.nulls(h.num_rows, pa.binary())).select(["k1", "k2", "spans", "bytes", "id", "start"])
-            yield from h.combine_chunks().to_batches()
 
     for batch in batches:
+        hot = batch.column("hot").to_numpy(zero_copy_only=False)
+        if hot.any():
+            h = batch.filter(pa.array(hot))
+            names = ["k1", "k2", "spans", "bytes", "id", "start"]
+            yield pa.RecordBatch.from_arrays([pa.nulls(h.num_rows, pa.binary()) if c == "spans" else h.column(c) for c in names], names=names)
+            batch = batch.filter(pa.array(~hot))
         if batch.num_rows:
             held.append(batch)
             n += batch.num_rows

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kgspark.llm import suffix_dedup as s
@@ -68,3 +69,21 @@ def test_odd_rows(odd, nothing):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert got(odd) == brute(rows)
     assert got(nothing) == []
+
+
+def test_contexts_of_a_hot_key_are_not_held():
+    read = 0
+
+    def batches():
+        nonlocal read
+        for i in range(50):
+            read += 1
+            n = 1000
+            yield pa.RecordBatch.from_pydict(
+                {"key": [7] * n, "bytes": [b"x" * 60] * n, "id": list(range(n)), "k1": [i] * n, "k2": list(range(n)), "start": [0] * n, "hot": [True] * n},
+                schema=pa.schema([("key", pa.int64()), ("bytes", pa.binary()), *((c, pa.int64()) for c in ("id", "k1", "k2", "start")), ("hot", pa.bool_())]),
+            )
+
+    out = s._sorted(batches())
+    assert next(out).num_rows == 1000 and read == 1
+    assert sum(b.num_rows for b in out) == 49_000
