@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of this session where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='kgspark-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -61,6 +63,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of more than one part in SHARES of all rows count as hot; there are fewer of them than SHARES.
+SHARES = 1024
+
+
+def joined(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``one``, which has a row for each key and in ``n`` how often ``rows`` has it; ``n`` is dropped.
+
+    Rows of hot keys stay where they are and meet the broadcast rows of ``one``, of which there are fewer than SHARES at any
+    size of the data; only the others are shuffled. Give a stored ``one``, as it is read three times.
+    """
+    sizes = one.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    if not sizes.total or sizes.most * SHARES <= sizes.total:
+        return rows.join(one.drop("n"), key, how)
+    is_hot = F.col("n") * SHARES > sizes.total
+    hot, cold = F.broadcast(one.where(is_hot).drop("n")), one.where(~is_hot).drop("n")
+    rest = rows.join(F.broadcast(one.where(is_hot).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Parts of at most ``rows`` rows and, but for a longer single row, ``most`` bytes of ``column``."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()
