@@ -1,9 +1,10 @@
 """2. Document fingerprints: a Merkle tree over leaves, paragraphs, sections and the document. Native.
 
-Sections end at empty lines, paragraphs at line ends, leaves at the end of a sentence or after RUN words; together they
-hold every character. A leaf's node is its 64-bit hash, each node above is the SHA-256 of its children's nodes, and the
-root is the document's fingerprint: equal texts have equal roots, and following the branches that differ finds edits
-without comparing the rest. The likeness of two documents is the share of leaves they have in common (Dice).
+Sections end at empty lines, paragraphs at line ends; together they hold every character. A paragraph's node is the
+SHA-256 of its text, each node above is the SHA-256 of its children's nodes, and the root is the document's fingerprint:
+texts are equal where their roots are, and following the branches that differ finds edits without comparing the rest. Below
+a paragraph stand its leaves, which end at the end of a sentence or after RUN words; the likeness of two documents is the
+share of leaves (by 64-bit hash) they have in common (Dice).
 
 Defined results: a null text is empty and an empty text has no leaves; two documents without leaves are alike (1.0); a
 null doc_id comes last in the order; repeated rows share one place in it and repeat their result; the next of a single
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgspark.llm.common import documents, table
+from kgspark.llm.common import documents, stored, table
 
 RUN = 8
 LEAF = f"(?s)\\s++|(?:\\S*[^\\s.!?]\\s*+){{0,{RUN - 1}}}\\S++\\s*+"
@@ -33,8 +34,7 @@ def tree(text: Column) -> Column:
         return F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.xxhash64(x))
 
     def section(s: Column) -> Column:
-        leaves = F.transform(F.split(s, "\n"), paragraph)
-        return F.transform(leaves, lambda x: F.struct(_node(x.cast("array<string>")).alias("node"), x.alias("leaves")))
+        return F.transform(F.split(s, "\n"), lambda p: F.struct(F.sha2(p, 256).alias("node"), paragraph(p).alias("leaves")))
 
     return F.transform(F.transform(F.split(text, "\n\n"), section), lambda p: F.struct(_node(p["node"]).alias("node"), p.alias("paragraphs")))
 
@@ -62,13 +62,14 @@ def likeness(a: Column, b: Column) -> Column:
 def following(ids: DataFrame) -> DataFrame:
     """h1, h2 -> n1, n2: each row's successor by descending doc_id; the last one's is the first.
 
-    Ranges of the order are numbered by task, rows find their successor inside their range, and only one row of each
-    range (so as many as there are tasks) is ordered in one place.
+    Ranges of the order are numbered and written as a table, so that all that follows reads the same numbers; rows find
+    their successor inside their range, and only one row of each range (so as many as there are tasks) is ordered in one
+    place.
     """
     ids = ids.distinct()
     order = [F.desc_nulls_last("doc_id"), F.asc("h1"), F.asc("h2")]
     parts = max(2, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = ids.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    dealt = stored(ids.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
     row = F.struct("h1", "h2")
     own = Window.partitionBy("part").orderBy(*order)
     ahead = dealt.withColumn("ahead", F.lead(row).over(own)).withColumn("nth", F.row_number().over(own))

@@ -1,12 +1,29 @@
 from __future__ import annotations
 
 import hashlib
+import re
+
+import pytest
 
 from kgspark.llm import fingerprints as f
 
 
-def test_edited_texts_and_likeness(spark, sf, texts):
-    rows = {r.doc_id: r for r in f.op2_merkle_fingerprints(spark, sf).collect()}
+def leaves(text: str) -> set[str]:
+    return {x for line in text.split("\n") for x in re.findall(f.LEAF, line, re.ASCII)}
+
+
+def likeness(a: str, b: str) -> float:
+    a, b = leaves(a), leaves(b)
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_edited_texts_and_likeness(spark, sf, texts, reuse):
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        rows = {r.doc_id: r for r in f.op2_merkle_fingerprints(spark, sf).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
     order = sorted(texts, reverse=True)
     prints = {}
     for i, doc_id in enumerate(order):
@@ -14,7 +31,9 @@ def test_edited_texts_and_likeness(spark, sf, texts):
         edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
         r = rows[doc_id]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert r.near_edited == pytest.approx(likeness(text, edited)) and r.near_next == pytest.approx(likeness(text, after))
+        lines, other = text.split("\n"), edited.split("\n")
+        assert (r.n_paragraphs, r.n_same_paragraphs) == (len(lines), sum(map(str.__eq__, lines, other)))
         prints.setdefault(text, set()).add(r.fingerprint)
         prints.setdefault(edited, set()).add(r.edited_fingerprint)
     assert all(len(p) == 1 for p in prints.values())
