@@ -67,7 +67,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 SHARES = 1024
 
 
-def joined(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def joined(rows: DataFrame, one: DataFrame, *key: str, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``one``, which has a row for each key and in ``n`` how often ``rows`` has it; ``n`` is dropped.
 
     Rows of hot keys stay where they are and meet the broadcast rows of ``one``, of which there are fewer than SHARES at any
@@ -75,11 +75,11 @@ def joined(rows: DataFrame, one: DataFrame, key: str, how: str = "inner") -> Dat
     """
     sizes = one.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
     if not sizes.total or sizes.most * SHARES <= sizes.total:
-        return rows.join(one.drop("n"), key, how)
+        return rows.join(one.drop("n"), [*key], how)
     is_hot = F.col("n") * SHARES > sizes.total
     hot, cold = F.broadcast(one.where(is_hot).drop("n")), one.where(~is_hot).drop("n")
-    rest = rows.join(F.broadcast(one.where(is_hot).select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
+    rest = rows.join(F.broadcast(one.where(is_hot).select(*key)), [*key], "left_anti")
+    return rows.join(hot, [*key]).unionByName(rest.join(cold, [*key], how))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-į]+)([.,]?)")
 
 
-class _Known(dict):
+class Known(dict):
     """A dictionary that makes missing values, emptied when it has ``limit`` entries."""
 
     def __init__(self, make, limit: int):
@@ -165,8 +165,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known = _Known(self._word, limit)
-        self.letters = _Known(self._letters, limit)
+        self.known = Known(self._word, limit)
+        self.letters = Known(self._letters, limit)
         self.marks = {m: self._ids(m) for m in ("", ".", ",")}
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE's printable bytes
         hidden = [b for b in range(256) if b not in visible]

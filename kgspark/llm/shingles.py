@@ -1,16 +1,17 @@
-"""Word shingles as sorted 64-bit hashes, for many texts at once."""
+"""Word shingles as sorted 64-bit hashes, for many texts at once, and exactly for the pairs to verify."""
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
+import xxhash
+
+from kgspark.llm.common import Known
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Hashes of words met before, emptied when full; that only saves time.
+_WORDS = Known(xxhash.xxh3_64_intdigest, 1 << 18)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -19,33 +20,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _U(_BASE))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(i: int, n: int) -> np.ndarray:
-    """The first n powers of the base (0) or of its inverse (1), modulo 2**64."""
-    if len(_powers[i]) < n:
-        p = np.full(n, _U((_BASE, _INVERSE)[i]))
-        p[0] = 1
-        _powers[i] = np.cumprod(p)
-    return _powers[i][:n]
+def _split(texts: list[bytes], value: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words (A-Z lower-cased): ``value``, text, place in the text."""
+    parts = [t.lower().split() for t in texts]
+    n = np.array([len(p) for p in parts], np.int64)
+    w = np.fromiter(map(value.__getitem__, chain.from_iterable(parts)), np.uint64, int(n.sum()))
+    return w, np.repeat(np.arange(len(texts)), n), np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all words (A-Z lower-cased): hash, text, place in the text."""
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = _LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    space = _SPACE[data]
-    begin = np.flatnonzero(~space & np.r_[True, space[:-1]])
-    end = np.flatnonzero(space & np.r_[False, ~space[:-1]])
-    sums = np.r_[_U(0), np.cumsum(_BYTE[data] * _grown(0, len(data)))]
-    h = mixed((sums[end] - sums[begin]) * _grown(1, len(data))[begin] + (end - begin).astype(np.uint64))
-    doc = np.searchsorted(ends, begin, "right")
-    n = np.bincount(doc, minlength=len(texts))
-    return h, doc, np.arange(len(h)) - (np.cumsum(n) - n)[doc]
+    return _split(texts, _WORDS)
 
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,3 +50,32 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     s, doc = s[order], doc[order]
     fresh = np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])] if len(s) else np.zeros(0, bool)
     return s[fresh], doc[fresh]
+
+
+class _Numbered(dict):
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def shared(left: list[bytes], right: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set sizes of the left and right texts and of their intersections, by the shingles themselves, without hashes."""
+    rows = len(left)
+    w, doc, place = _split(left + right, _Numbered())
+    n = np.bincount(doc, minlength=2 * rows)
+    s = w.copy()
+    base = w.max(initial=_U(0)) + _U(2)
+    for i in range(1, words):  # number the sequences of i + 1 words; 0 stands for no word
+        go = place + i < n[doc]
+        follow = np.zeros(len(w), np.uint64)
+        follow[go] = w[np.flatnonzero(go) + i] + _U(1)
+        s = np.unique(s * base + follow, return_inverse=True)[1].astype(np.uint64)
+    ok = (place <= n[doc] - words) | (place == 0)
+    s, doc = s[ok], doc[ok]
+    order = np.lexsort((doc, s, doc % max(rows, 1)))
+    s, doc = s[order], doc[order]
+    fresh = np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])] if len(s) else np.zeros(0, bool)
+    s, doc = s[fresh], doc[fresh]
+    size = np.bincount(doc, minlength=2 * rows)
+    both = (s[1:] == s[:-1]) & (doc[1:] == doc[:-1] + rows)
+    return size[:rows], size[rows:], np.bincount(doc[:-1][both], minlength=rows)
