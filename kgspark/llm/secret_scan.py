@@ -5,9 +5,10 @@ word gives to a key name (in the same word or after one that ends in = or :) or
 password, or the user where there is none). A value ends with its word. Its features are length, shares of character
 kinds, character transitions, the share covered by dictionary words, the path and the neighbouring words. The forest is
 trained from labelled findings; where none are given, a bounded sample of the corpus's own candidates is labelled by
-formats (a key prefix, an assignment to a name such as token or password, a URL's user part), and made-up findings of both
-kinds are added, as a corpus may have no short ones. Dictionary words are the most frequent ones of all documents. The trained trees become one
-expression, so scanning is a projection: no shuffle, and a candidate costs a few comparisons.
+formats (a key prefix, an assignment to a name such as token or password, a URL's user part), up to half the bound for
+either label, and made-up findings of both kinds are added, as a corpus may have no short ones. Dictionary words are the
+most frequent ones of all documents. The trained trees become one expression, so scanning is a projection: no shuffle, and
+a candidate costs a few comparisons.
 
 Defined results: a null or empty text has no candidates; a null path is empty; null doc_ids and repeated rows are scanned
 as rows of their own; without findings of both kinds to learn from, every candidate scores the one kind's label (0 if
@@ -24,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import documents, table, words
+from kgspark.llm.common import documents, stored, table, words
 
 SHORTEST = 16
 SHAPE = f"[A-Za-z0-9+/_-]{{{SHORTEST},}}"
@@ -151,10 +152,12 @@ def made_up(n: int = 400) -> list[tuple[str, int]]:
 
 
 def labelled(docs: DataFrame, path: str, sample: int = SAMPLE) -> DataFrame:
-    """Findings labelled by format: x (a candidate), path, label; those with the smallest hashes, at most ``sample``, and
-    the made-up ones."""
+    """Findings labelled by format: x (a candidate), path, label; of each label those with the smallest hashes, together at
+    most ``sample``, so that rare secrets are learnt from however many other candidates there are; and the made-up ones."""
     rows = documents(docs, path).select(F.coalesce(path, F.lit("")).alias("path"), F.explode(candidates(F.col("text"))).alias("x"))
-    rows = rows.withColumn("label", format_label(F.col("x"))).orderBy(F.xxhash64("x"), "x").limit(sample)
+    rows = stored(rows.withColumn("label", format_label(F.col("x"))), "candidates")
+    some = [rows.where(F.col("label") == label).orderBy(F.xxhash64("x"), "x").limit(sample // 2) for label in (0, 1)]
+    rows = some[0].union(some[1])
     made = docs.sparkSession.createDataFrame(made_up(), "text string, label int").select(F.lit("").alias("path"), F.explode(candidates(F.col("text"))).alias("x"), "label")
     return rows.union(made)
 
@@ -173,8 +176,8 @@ def _top(raw: DataFrame, n: int) -> list[str]:
 class Forest:
     """A fitted forest: the dictionary as a pattern, and its trees as (feature, threshold, below, above) or a vote."""
 
-    def __init__(self, dictionary: str, trees: list):
-        self.dictionary, self.trees = dictionary, trees
+    def __init__(self, dictionary: str, trees: list, model=None):
+        self.dictionary, self.trees, self.model = dictionary, trees, model
 
     def score(self, f: Column) -> Column:
         """The share of trees for "secret"."""
@@ -203,7 +206,7 @@ def fit(findings: DataFrame, docs: DataFrame | None = None) -> Forest:
         model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird").fit(ready)
     finally:
         rows.unpersist()
-    return Forest(dictionary, [_tree(t._call_java("rootNode")) for t in model.trees])
+    return Forest(dictionary, [_tree(t._call_java("rootNode")) for t in model.trees], model)
 
 
 def _tree(node):
@@ -231,7 +234,9 @@ def redacted(text: Column, findings: Column) -> Column:
         alone = F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), F.replace(v, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9])"))
         return F.when(F.length(v) >= SHORTEST, F.replace(t, v, F.lit(REDACTED))).otherwise(F.regexp_replace(t, alone, F.lit(REDACTED)))
 
-    return F.aggregate(F.filter(findings, lambda x: x["secret"]), text, lambda t, x: without(t, x["value"]))
+    # Longer ones first, as a shorter one may be their beginning.
+    found = F.transform(F.filter(findings, lambda x: x["secret"]), lambda x: F.struct((-F.length(x["value"])).alias("n"), x["value"].alias("value")))
+    return F.aggregate(F.array_sort(F.array_distinct(found)), text, lambda t, x: without(t, x["value"]))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

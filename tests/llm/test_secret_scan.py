@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from kgspark.llm import secret_scan as s
@@ -81,3 +82,25 @@ def test_the_dictionary_is_counted_over_all_documents(spark):
 def test_short_secrets_are_blanked_out_as_whole_words_only(spark):
     df = spark.createDataFrame([("pwd=ab1 cab12 ab1", [(0, "ab1", True)])], "t string, f array<struct<nth:int,value:string,secret:boolean>>")
     assert df.select(s.redacted(F.col("t"), F.col("f")).alias("t")).first().t == f"pwd={s.REDACTED} cab12 {s.REDACTED}"
+
+
+def test_a_longer_secret_is_blanked_out_before_its_beginning(spark):
+    key = "0123456789abcdef0123"
+    df = spark.createDataFrame([(f"a={key} b={key}TAIL", [(0, key, True), (1, f"{key}TAIL", True)])], "t string, f array<struct<nth:int,value:string,secret:boolean>>")
+    assert df.select(s.redacted(F.col("t"), F.col("f")).alias("t")).first().t == f"a={s.REDACTED} b={s.REDACTED}"
+
+
+def test_one_secret_among_very_many_candidates_is_in_the_sample(spark):
+    plain = spark.range(20_000).selectExpr("id AS doc_id", "concat('see path/to/some/folder', id, '/of/things and go') AS text", "'s' AS source")
+    key = "AKIA" + "Q7" * 8
+    docs = plain.union(spark.createDataFrame([(99_999, f"The key {key} is in use here.", "s")], plain.schema))
+    found = s.secret_scan(docs, forest=s.fit(s.labelled(docs, "source", 20), docs)).select("doc_id", F.explode("findings").alias("x")).where("x.secret").collect()
+    assert [(r.doc_id, r.x.value) for r in found] == [(99_999, key)]
+
+
+def test_the_expression_votes_as_the_trees_do(spark, forest):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.explode(s.candidates(F.col("text"))).alias("x")).limit(300)
+    f = s.features(F.col("x"), F.lit("src"), forest.dictionary)
+    for r in rows.select(f.alias("f"), forest.score(f).alias("score")).collect():
+        votes = [t.predict(Vectors.dense(r.f)) for t in forest.model.trees]
+        assert r.score == pytest.approx(sum(votes) / len(votes))
