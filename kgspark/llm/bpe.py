@@ -3,11 +3,11 @@
 A gear rolling hash cuts every text into chunks at places that depend on nearby bytes alone, so copies and shared
 passages give equal chunks wherever they stand. A first pass counts chunk hashes; chunks seen more than once are encoded
 once, from the text of one owner, and their ids travel to every document that has them. All other chunks are encoded
-where they are met. A cut may fall inside a word, which changes its tokens: at each seam the words around it are encoded
-again from the text, over a wider stretch until the outer words' ids agree with what the chunks have.
+where they are met. A cut may fall inside a word, which changes its tokens: at each seam the text around it is encoded
+again as one, over a wider stretch until the outer words' ids agree with what the chunks have.
 
 Only hashes, the shared chunks and one shuffle of the texts are moved, and no key gathers rows: a chunk that a third of
-the documents hold is one row of the shared table, joined to its (document, hash) rows.
+the documents hold is one row of the shared table, and as a hot key it is broadcast to its (document, hash) rows.
 
 Defined results: a null or empty text has no ids and decodes to ''; null doc_ids and repeated rows are encoded as rows of
 their own; special tokens' strings in a text become special tokens, as the library has it.
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import WordEncoder, documents, slices, squeezed, stored, table, tokenizer_path, unsqueezed
+from kgspark.llm.common import WordEncoder, documents, joined, slices, squeezed, stored, table, tokenizer_path, unsqueezed
 
 #: Chunks are 2**BITS bytes long on average; the rolling hash sees WINDOW bytes.
 BITS, WINDOW = 9, 32
@@ -65,31 +65,45 @@ def digest(chunk: bytes) -> bytes:
     return xxhash.xxh3_128_digest(chunk)
 
 
-def joined(encoder: WordEncoder, parts: list[bytes], ids: list[bytes]) -> bytes:
-    """The ids of the whole text from those of its chunks, with the words at every seam encoded again."""
+def repaired(encoder: WordEncoder, parts: list[bytes], ids: list[bytes]) -> bytes:
+    """The ids of the whole text from those of its chunks.
+
+    Around every seam inside a word, the text from some words before to some words after it is encoded as one; where the
+    outer words come out with the ids that the chunks have, that stands in for the seam, else the stretch is widened.
+    """
     out: list[bytes] = []
-    known, ahead = parts[0], ids[0]  # the stretch whose ids are right but for its last word, which may go on
+    known, ahead = parts[0], ids[0]  # the last stretch and its ids
     for part, own in zip(parts[1:], ids[1:], strict=True):
         if known[-1] in SPACES or part[0] in SPACES:
             out.append(ahead)
             known, ahead = part, own
             continue
-        for width in (1, 2, 4, 8, 16, 32, 1 << 62):
+        width = 2
+        while True:
             left, right = known.rsplit(None, width)[-width:], part.split(None, width)[:width]
-            lead, tail = b"".join(map(encoder.encode, left)), b"".join(map(encoder.encode, right))
-            if not (ahead.endswith(lead) and own.startswith(tail)):
-                continue  # the chunk's own ids differ from those of its words: look further
-            seam = [*left[:-1], left[-1] + right[0], *right[1:]]
-            out.append(ahead[: len(ahead) - len(lead)] + b"".join(map(encoder.encode, seam[:-1])))
-            last = encoder.encode(seam[-1])
-            known, ahead = seam[-1] + part[_after(part, right) :], last + own[len(tail) :]
-            break
-        else:
-            return encoder.encode(b"".join(parts))  # they never agree
+            begin, end = _before(known, left), _after(part, right)
+            again = encoder.whole(known[begin:] + part[:end])
+            lead, tail = (b"".join(map(encoder.encode, x)) for x in (left[:-1], right[1:]))
+            last, first = encoder.encode(left[-1]), encoder.encode(right[0])
+            if ahead.endswith(lead + last) and own.startswith(first + tail) and again.startswith(lead) and again.endswith(tail):
+                out.append(ahead[: len(ahead) - len(lead) - len(last)])
+                known, ahead = known[begin:] + part, again + own[len(first) + len(tail) :]
+                break
+            if len(left) < width and len(right) < width:  # both chunks are in the stretch
+                known, ahead = known + part, encoder.whole(known + part)
+                break
+            width *= 2
     out.append(ahead)
     return b"".join(out)
 
 
+def _before(known: bytes, words: list[bytes]) -> int:
+    at = len(known)
+    for w in reversed(words):
+        at = known.rindex(w, 0, at)
+    return at
+
+
 def _after(part: bytes, words: list[bytes]) -> int:
     at = 0
     for w in words:
@@ -148,12 +162,12 @@ def _assembled(docs: DataFrame, path: str | None, result: str, made) -> DataFram
     docs = keyed(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = stored(chunk_hashes(docs), "chunks")
-    shared = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("key").alias("owner")).where("n > 1")
+    shared = stored(found.groupBy("hash").agg(F.count("*").alias("n"), F.min("key").alias("owner")).where("n > 1"), "shared")
     wanted = shared.groupBy(F.col("owner").alias("key")).agg(F.collect_list("hash").alias("wanted"))
     # This join and the last one read the same shuffle of the texts, so both keep the same columns.
     texts = squeezed(docs)
     once = encoded_once(texts.join(wanted, "key"), path).groupBy("hash").agg(F.first("ids").alias("ids"))
-    lists = found.join(once, "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "ids")).alias("have"))
+    lists = joined(found, once, "hash", sizes=shared).groupBy("key").agg(F.collect_list(F.struct("hash", "ids")).alias("have"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
@@ -166,7 +180,7 @@ def _assembled(docs: DataFrame, path: str | None, result: str, made) -> DataFram
                     parts = chunks(text, borders)
                     ids = [ready.get(digest(c)) if ready else None for c in parts]
                     ids = [encoder.encode(c) if x is None else x for c, x in zip(parts, ids, strict=True)]
-                    whole = joined(encoder, parts, ids) if parts else b""
+                    whole = repaired(encoder, parts, ids) if parts else b""
                     rows.append(made(whole, encoder.decode(whole)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, zip(*rows, strict=True))], names=["doc_id", *[x.split()[0] for x in result.split(", ")]])
 

@@ -67,19 +67,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 SHARES = 1024
 
 
-def joined(rows: DataFrame, one: DataFrame, *key: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined to ``one``, which has a row for each key and in ``n`` how often ``rows`` has it; ``n`` is dropped.
+def joined(rows: DataFrame, one: DataFrame, *key: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined to ``one``, which has one row for each key.
 
-    Rows of hot keys stay where they are and meet the broadcast rows of ``one``, of which there are fewer than SHARES at any
-    size of the data; only the others are shuffled. Give a stored ``one``, as it is read three times.
+    ``n`` in ``sizes`` (or in ``one``, which drops it) is how often ``rows`` has a key. Rows of hot keys stay where they are
+    and meet the broadcast rows of ``one``, of which there are fewer than SHARES at any size of the data; only the others
+    are shuffled. Give stored tables, as they are read more than once.
     """
-    sizes = one.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
-    if not sizes.total or sizes.most * SHARES <= sizes.total:
-        return rows.join(one.drop("n"), [*key], how)
-    is_hot = F.col("n") * SHARES > sizes.total
-    hot, cold = F.broadcast(one.where(is_hot).drop("n")), one.where(~is_hot).drop("n")
-    rest = rows.join(F.broadcast(one.where(is_hot).select(*key)), [*key], "left_anti")
-    return rows.join(hot, [*key]).unionByName(rest.join(cold, [*key], how))
+    keys = [*key]
+    sizes, one = (one if sizes is None else sizes), (one.drop("n") if sizes is None else one)
+    size = sizes.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    if not size.total or size.most * SHARES <= size.total:
+        return rows.join(one, keys, how)
+    hot = F.broadcast(sizes.where(F.col("n") * SHARES > size.total).select(keys))
+    spread = rows.join(F.broadcast(one.join(hot, keys, "left_semi")), keys)
+    return spread.unionByName(rows.join(hot, keys, "left_anti").join(one.join(hot, keys, "left_anti"), keys, how))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -197,6 +199,10 @@ class WordEncoder:
         """The ids as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.known.__getitem__, text.split()))
 
+    def whole(self, text: bytes) -> bytes:
+        """The same ids by one call of the library over the text."""
+        return self._ids(text.decode())
+
     def decode(self, ids: bytes) -> str:
         """decode(ids, skip_special_tokens=False) of a tokenizer without a decoder: its tokens, spaced."""
         return " ".join(map(self.pieces.__getitem__, memoryview(ids).cast("I")))

@@ -25,7 +25,7 @@ def test_chunks_join_to_the_library_s_ids(text, bits):
     data = (text * 3).encode("utf-8", "ignore")
     parts = bpe.chunks(data, bpe.cuts([data], bits)[0])
     assert b"".join(parts) == data
-    whole = bpe.joined(ENCODER, parts, [ENCODER.encode(p) for p in parts]) if parts else b""
+    whole = bpe.repaired(ENCODER, parts, [ENCODER.encode(p) for p in parts]) if parts else b""
     assert list(memoryview(whole).cast("I")) == library(data.decode())
     assert ENCODER.decode(whole) == LIBRARY.decode(library(data.decode()), skip_special_tokens=False)
 
@@ -55,3 +55,11 @@ def test_query_digests(spark, sf, texts):
 
 def test_nothing(nothing):
     assert bpe.encode(nothing).collect() == []
+
+
+def test_a_stretch_is_widened_until_the_outer_words_agree():
+    """Ids of a chunk that are not those of its words, as of an encoder that looks across words, are not built upon."""
+    parts = [b"one two thr", b"ee four five six seven"]
+    wrong = b"\0\0\0\0" * 2 + ENCODER.encode(b" six seven")
+    whole = bpe.repaired(ENCODER, parts, [ENCODER.encode(parts[0]), wrong])
+    assert list(memoryview(whole).cast("I")) == library("one two three four five six seven")
