@@ -8,17 +8,22 @@ unique. Steps:
 1. anchors: the named places of every text, about one in 14 bytes; their keys go out as sorted, delta-coded arrays, and
    keys met in two different texts come back to the texts that have them (a false match only costs a comparison);
 2. contexts: around each such place, the bytes of all windows that name it, dealt by key;
-3. each task puts the windows of its contexts into suffix order by deep-shallow sorting: multikey sorting by machine
-   words down to SHALLOW bytes, then for each group that is still equal a blind trie, which skips words where the group
-   does not branch. Windows equal to the end form a class, whose smallest doc_id decides;
+3. each task puts the windows of its contexts into suffix order by deep-shallow sorting: multikey quicksort by machine
+   words down to SHALLOW bytes, then for each group that is still equal a blind trie, whose nodes hold only where their
+   suffixes first differ and branch by that byte. Windows equal to the end form a class, whose smallest doc_id decides;
 4. spans found are united per text and cut out.
 
-Equal texts count as one text with their smallest doc_id from the start; further copies go whole. A key with more than
-HOT contexts (a phrase in a large share of all rows) is not sorted in one task: its different contexts are cut into
-windows, which are dealt by their own bytes and take the smallest doc_id by an aggregation with partial results.
+Both sorts run over all groups of a task at once, one level of quicksort or of the tries after the other.
+
+Equal texts count as one text with their smallest doc_id from the start; further copies go whole. A key that more than
+HOT texts are told of (a phrase in a large share of all rows) is known before contexts are dealt. Its contexts are dealt by
+their place and not sorted: the different ones are cut into windows, which are dealt by their own bytes and take the
+smallest doc_id by an aggregation with partial results. Both ways are exact. Of the hot keys 8 bytes each are broadcast; one
+stands for over HOT contexts of about 100 bytes.
 
 Defined results: a null or empty text has no bytes; a null doc_id comes after all others; rows with equal doc_id never
-remove bytes of each other; repeated rows give repeated results; an empty table gives no rows.
+remove bytes of each other; repeated rows give repeated results; an empty table gives no rows. doc_id has to be a number
+(other values that do not read as one count as null).
 """
 
 from __future__ import annotations
@@ -32,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import documents, slices, squeezed, stored, table, unsqueezed
+from kgspark.llm.common import documents, joined, slices, squeezed, stored, table, unsqueezed
 
 SPAN, GRAM, SHALLOW = 50, 24, 16
 WIDE = SPAN - GRAM + 1
 HOT = 200_000
+#: Texts of one part that are told of a key, from which on the part counts it among those that may be hot.
+OFTEN = 16
 #: Contexts sorted together, and anchors sent together.
 BLOCK, FLUSH = 20_000, 750_000
 LAST = 2**63 - 1
@@ -187,8 +194,14 @@ def _sent(parts: int, bits: int):
     return run
 
 
+TOLD = "k1 long, k2 long, keys binary, often binary"
+
+
 def _told(table_: pa.Table) -> pa.Table:
-    """Reducer of step 1: k1, k2, keys for the texts that have a key of this part which other texts have too."""
+    """Reducer of step 1: k1, k2, keys for the texts that have a key of this part which other texts have too.
+
+    One row more has ``often``: pairs of a key and how many texts it is told to here.
+    """
     texts, keys, who, sure = [], [], [], []
     n = 0
     for row in table_.to_pylist():
@@ -222,7 +235,18 @@ def _told(table_: pa.Table) -> pa.Table:
     first = who[tell][begins]
     lens = np.diff(np.r_[begins, len(w)]) * 8
     found = np.frombuffer(keys[tell].tobytes(), np.uint8)
-    return pa.table([pa.array(k1[first].view(np.int64)), pa.array(k2[first].view(np.int64)), _binaries(found, begins * 8, lens)], names=["k1", "k2", "keys"])
+    told, times = np.unique(keys[tell], return_counts=True)
+    often = np.stack([told, times.astype(np.uint64)], 1)[times >= OFTEN].tobytes()
+    columns = [pa.array(k1[first].view(np.int64)), pa.array(k2[first].view(np.int64)), _binaries(found, begins * 8, lens)]
+    columns = [pa.concat_arrays([c, pa.nulls(1, c.type)]) for c in columns]
+    return pa.table([*columns, pa.array([None] * len(first) + [often], pa.binary())], names=["k1", "k2", "keys", "often"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mapper: key, n of the pairs in ``often``."""
+    for batch in batches:
+        pairs = np.frombuffer(b"".join(batch.column("often").to_pylist()), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["short", "n"])
 
 
 def _contexts(bits: int):
@@ -243,11 +267,12 @@ def _contexts(bits: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(a.key[pick].view(np.int64)),
+                        pa.array((a.key[pick] >> _U(64 - bits)).view(np.int64)),
                         _binaries(a.data, first, last - first + SPAN),
                         *(part.column(c).take(doc) for c in ("id", "k1", "k2")),
                         pa.array(first - a.begins[a.doc[pick]]),
                     ],
-                    names=["key", "bytes", "id", "k1", "k2", "start"],
+                    names=["key", "short", "bytes", "id", "k1", "k2", "start"],
                 )
 
     return run
@@ -268,24 +293,9 @@ def suffix_classes(rows: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> tuple
     for i in range(8):
         word = (word << _U(8)) | flat[i : i + len(word)]
     place = row * width + start
-    steps = [*range(0, SPAN - 8, 8), SPAN - 8]
-    order = np.lexsort(tuple(word[place + s] for s in reversed(steps[: SHALLOW // 8])))  # shallow: multikey by words
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for s in steps[: SHALLOW // 8]:
-        w = word[place[order] + s]
-        new[1:] |= w[1:] != w[:-1]
-    for s in steps[SHALLOW // 8 :]:  # deep: one level of the blind tries of all groups
-        group = np.cumsum(new) - 1
-        w = word[place[order] + s]
-        branches = np.zeros(group[-1] + 1, bool)
-        branches[group[1:][(w[1:] != w[:-1]) & ~new[1:]]] = True
-        at = np.flatnonzero(branches[group])
-        if len(at):
-            o = np.lexsort((w[at], group[at]))
-            order[at] = order[at[o]]
-            w[at] = w[at[o]]
-            new[1:] |= w[1:] != w[:-1]
+    order = np.arange(len(place))
+    new = _quicksorted(word, place, order)
+    _tried(flat, word, place, order, new)
     begins = np.flatnonzero(new)
     least = np.minimum.reduceat(ids[row[order]], begins)
     out = np.empty(len(order), np.int64)
@@ -293,6 +303,82 @@ def suffix_classes(rows: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> tuple
     return first, out
 
 
+def _groups(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the groups of more than one member."""
+    begins = np.flatnonzero(new)
+    ends = np.r_[begins[1:], len(new)]
+    many = ends - begins > 1
+    return begins[many], ends[many]
+
+
+def _quicksorted(word: np.ndarray, place: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Multikey quicksort of ``order`` by the first SHALLOW bytes, eight at a time; returns where groups begin.
+
+    Each round splits every group around its own pivot (the median of three): smaller ones, equal ones, which go on with
+    their next word, and larger ones.
+    """
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    begins, ends = _groups(new)
+    depth = np.zeros(len(begins), np.int64)
+    while len(begins):
+        size = ends - begins
+        off = np.cumsum(size) - size
+        group = np.repeat(np.arange(len(size)), size)
+        at = _ranges(begins, size)
+        own = order[at]
+        w = word[place[own] + depth[group]]
+        a, b, c = w[off], w[off + size // 2], w[off + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
+        less, same = w < pivot, w == pivot
+        n_less, n_same = np.add.reduceat(less, off, dtype=np.int64), np.add.reduceat(same, off, dtype=np.int64)
+        more = ~(less | same)
+        to = np.empty(len(at), np.int64)
+        for mask, first in ((less, begins), (same, begins + n_less), (more, begins + n_less + n_same)):
+            of = group[mask]
+            nth = np.arange(len(of)) - np.searchsorted(of, np.arange(len(size)))[of]
+            to[mask] = first[of] + nth
+        order[to] = own
+        at = np.stack([begins, begins + n_less, begins + n_less + n_same, ends], 1)
+        new[at[:, 1][n_less > 0]] = True
+        new[at[:, 2][at[:, 2] < ends]] = True
+        deeper = np.stack([depth, depth + 8, depth], 1).ravel()
+        begins, ends = at[:, :3].ravel(), at[:, 1:].ravel()
+        on = (ends - begins > 1) & (deeper < SHALLOW)
+        begins, ends, depth = begins[on], ends[on], deeper[on]
+    return new
+
+
+def _tried(flat: np.ndarray, word: np.ndarray, place: np.ndarray, order: np.ndarray, new: np.ndarray) -> None:
+    """Blind tries of all groups that are equal in SHALLOW bytes, a level in each round; sorts ``order``, marks ``new``."""
+    begins, ends = _groups(new)
+    while len(begins):
+        size = ends - begins
+        off = np.cumsum(size) - size
+        group = np.repeat(np.arange(len(size)), size)
+        at = _ranges(begins, size)
+        own = place[order[at]]
+        leader = own[off][group]
+        differs = np.full(len(at), SPAN, np.int64)
+        for s in (SPAN - 8, *range((SPAN - 9) // 8 * 8, SHALLOW - 1, -8)):
+            x = word[own + s] ^ word[leader + s]
+            odd = np.flatnonzero(x)
+            differs[odd] = s + sum((x[odd] >> _U(64 - 8 * i) == 0).astype(np.int64) for i in range(1, 8))
+        skip = np.minimum.reduceat(differs, off)  # where the node branches
+        on = (skip < SPAN)[group]
+        at, own, group = at[on], own[on], group[on]
+        branch = group * 256 + flat[own + skip[group]]
+        o = np.argsort(branch, kind="stable")
+        order[at] = order[at][o]
+        branch = branch[o]
+        fresh = np.r_[True, branch[1:] != branch[:-1]][: len(branch)]
+        new[at[fresh]] = True
+        first = np.flatnonzero(fresh)
+        n = np.diff(np.r_[first, len(branch)])
+        begins = at[first][n > 1]
+        ends = begins + n[n > 1]
+
+
 FOUND = "k1 long, k2 long, spans binary, bytes binary, id long, start long"
 
 
@@ -397,30 +483,39 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, text (zstd), spans (list of binary: [begin, end) pairs of bytes to remove, may overlap), copy (goes whole)."""
     parts = docs.rdd.getNumPartitions() + 8  # the number alone
     bits = min(64, 36 + math.ceil(math.log2(parts)))
-    n = F.when(F.col("doc_id").isNull(), F.lit(LAST)).otherwise(F.col("doc_id").cast("long"))
+    n = F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LAST))
     docs = documents(docs).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text")).withColumn("own", n)
     least = docs.groupBy("k1", "k2").agg(F.min("own").alias("id"))
-    told = docs.select("k1", "k2", "text").mapInArrow(_sent(parts, bits), SENT).groupBy("part").applyInArrow(_told, "k1 long, k2 long, keys binary").groupBy("k1", "k2").agg(F.collect_list("keys").alias("told"))
-    known = squeezed(docs).join(least, ["k1", "k2"])
-    dealt = known.join(told, ["k1", "k2"]).where("own <= id").select("text", "id", "k1", "k2", "told").mapInArrow(_contexts(bits), "key long not null, bytes binary, id long, k1 long, k2 long, start long").repartition("key")
-    # Counts from the same columns, so that both read one shuffle.
-    counts = dealt.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("bytes", "id", "k1", "k2", "start"), F.lit(2))).alias("_")).where((F.col("n") > hot) & F.col("_").isNotNull()).select("key", F.lit(True).alias("hot"))
-    flagged = dealt.join(counts, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).sortWithinPartitions("key")
-    found = stored(flagged.mapInArrow(_sorted, FOUND), "suffixes")
+    sent = docs.select("k1", "k2", "text").mapInArrow(_sent(parts, bits), SENT).groupBy("part").applyInArrow(_told, TOLD)
+    told = sent.where("keys is not null").groupBy("k1", "k2").agg(F.collect_list("keys").alias("told"))
+    often = sent.where("often is not null").select("often").mapInArrow(_counted, "short long, n long").groupBy("short").agg(F.sum("n").alias("n"))
+    owners = least.withColumnRenamed("id", "own")
+    # Copies of a text are dealt by their doc_id too. Both joins of the texts keep the same columns, to read one shuffle.
+    texts = squeezed(docs.select("doc_id", "text", "k1", "k2", "own"))
+    shape = "key long not null, short long not null, bytes binary, id long, k1 long, k2 long, start long"
+    met = texts.join(owners.join(told, ["k1", "k2"]), ["k1", "k2", "own"])
+    contexts = met.select("doc_id", "text", F.col("own").alias("id"), "k1", "k2", "told").mapInArrow(_contexts(bits), shape)
+    hottest = often.where(F.col("n") > hot).select("short", F.lit(True).alias("hot"))
+    flagged = contexts.join(F.broadcast(hottest), "short", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).drop("short")
+    salt = F.when(F.col("hot"), F.xxhash64("k1", "start")).otherwise(0)
+    found = stored(flagged.repartition("key", salt).sortWithinPartitions("key").mapInArrow(_sorted, FOUND), "suffixes")
     pairs = _hot_spans(found.where("bytes is not null"))
     spans = found.where("spans is not null").select("k1", "k2", "spans").union(pairs).groupBy("k1", "k2").agg(F.collect_list("spans").alias("spans"))
-    return known.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans", (F.col("own") > F.col("id")).alias("copy"))
+    known = owners.join(spans, ["k1", "k2"], "left").withColumn("copy", F.lit(False))
+    return texts.join(known, ["k1", "k2", "own"], "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(True)).alias("copy"))
 
 
 def _hot_spans(contexts: DataFrame) -> DataFrame:
     """Step 3 for the contexts of hot keys: k1, k2, spans. Different contexts are cut into windows once."""
-    least = contexts.groupBy("bytes").agg(F.min("id").alias("id"))
+    least = stored(contexts.groupBy("bytes").agg(F.min("id").alias("id"), F.count("*").alias("n")), "hot")
+    if least.isEmpty():
+        return contexts.select("k1", "k2", "spans").where("false")
     cut = F.transform(F.sequence(F.lit(0), F.length("bytes") - SPAN), lambda i: F.substring("bytes", i + 1, F.lit(SPAN)))
-    windows = least.select("bytes", "id", F.posexplode(cut).alias("at", "window"))
-    first = windows.groupBy("window").agg(F.min("id").alias("least"))
-    placed = windows.join(first, "window").groupBy("bytes").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("x"))
-    known = placed.select("bytes", F.col("x.least").alias("least"))
-    return contexts.join(known, "bytes").select("k1", "k2", "id", "start", "least").mapInArrow(_cut_hot, "k1 long, k2 long, spans binary")
+    windows = stored(least.select("bytes", "id", F.posexplode(cut).alias("at", "window")), "windows")
+    first = stored(windows.groupBy("window").agg(F.min("id").alias("least"), F.count("*").alias("n")), "firsts")
+    placed = joined(windows, first, "window").groupBy("bytes").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("x"))
+    known = stored(placed.select("bytes", F.col("x.least").alias("least")), "least")
+    return joined(contexts.drop("spans"), known, "bytes", sizes=least).select("k1", "k2", "id", "start", "least").mapInArrow(_cut_hot, "k1 long, k2 long, spans binary")
 
 
 def _cut_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
