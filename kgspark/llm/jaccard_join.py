@@ -14,7 +14,7 @@ the shingle in its index prefix (which is about half as long as the prefix the l
 must fit, so that texts which share a template and do not link give no pairs. Shingles whose bucket counts far more texts
 than most are dealt in shares from the start, and groups of both steps in salted blocks: no task gets a whole group.
 
-Shingles meet by 64-bit hashes of words' hashes (xxh3): two that collide cost a verification. Within a text, a collision
+Shingles meet by 64-bit hashes of words' hashes: two that collide cost a verification. Within a text, a collision
 would make its set smaller by one; that has a chance of about n * n / 2**65 for n shingles.
 
 Defined results: null, empty and blank texts have empty sets and link with nothing, not even each other; equal texts
@@ -201,12 +201,12 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, small: i
 
     shape = "hash long not null, share int not null, shares int not null, n long not null, place long not null, k binary not null"
     dealt = docs.select("k", "text").mapInArrow(_prefixes(words, num, den, counts, most), shape).repartition("hash", "share")
-    # The aggregation names every column, so that it reads the same shuffle as the join; results do not rest on that.
+    # The aggregation and the join both name every column, so that they read one shuffle; results do not rest on that.
     parts = dealt.groupBy("hash", "share").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.max("shares").alias("shares"), F.sum(F.col("n") % 2 + F.col("place") % 2).alias("_"))
     whole = Window.partitionBy("hash")
     parts = parts.where("(lo <> hi or shares > 1) and _ >= 0").select("hash", "share", F.min("lo").over(whole).alias("lo"), F.max("hi").over(whole).alias("hi"))
     several = parts.where("lo <> hi").select("hash", "share")
-    met = dealt.join(several, ["hash", "share"]).groupBy("hash", "share", "k").agg(F.first("n").alias("n"), F.first("place").alias("place"))
+    met = dealt.join(several, ["hash", "share"]).groupBy("hash", "share", "k").agg(F.first("n").alias("n"), F.first("place").alias("place"), F.max("shares").alias("shares"))
     met = stored(met.join(classes.select("k", "ranges"), "k"), "met")
     pairs = met.repartition("hash", "share").sortWithinPartitions("hash", "share", F.xxhash64("k")).mapInArrow(_met(num, den, small, most), "a binary, b binary")
 
@@ -223,7 +223,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, small: i
     big = met.groupBy("hash").agg(F.count("*").alias("n"), F.min("share").alias("lo"), F.max("share").alias("hi")).where((F.col("n") > small) | (F.col("lo") < F.col("hi")))
     big = stored(big.select("hash", "n"), "big")
     if not big.isEmpty():
-        held = joined(met.drop("share").withColumnRenamed("n", "size"), big, "hash")
+        held = joined(met.drop("share", "shares").withColumnRenamed("n", "size"), big, "hash")
         known = held.join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("comp", "k"))
         known = stored(known.select("hash", "k", F.col("size").alias("n"), "place", "ranges", "comp"), "known")
         cross = known.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
