@@ -41,11 +41,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at five-word Jaccard 0.8: the one with the smallest doc_id."""
     found = stored(jaccard_classes(docs).where("comp is not null").select("doc_id", "k", "comp"), "groups")
-    firsts = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")).alias("x")).select("x.doc_id", "x.k")
+    least = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")).alias("x"))
+    firsts = least.select(F.col("x.k").alias("first_k"), F.col("x.doc_id").alias("first_id"))
     rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).select(COLUMNS)
     keyed = squeezed(rows.withColumn("k", F.unhex(F.md5("text"))))
-    first = keyed.join(firsts.withColumnRenamed("doc_id", "_first"), "k").where(F.col("doc_id").eqNullSafe(F.col("_first")))
-    once = Window.partitionBy("k").orderBy("lang", "source", "n_chars")
+    # By text and doc_id, so that the copies of a text do not meet in one task.
+    first = keyed.join(firsts, (F.col("k") == F.col("first_k")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    once = Window.partitionBy("k", "doc_id").orderBy("lang", "source", "n_chars")
     first = restored(first.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(COLUMNS))
     return first.union(rows.where(F.size(words(F.col("text"))) == 0))  # texts without words are in no group
 
