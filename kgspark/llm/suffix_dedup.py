@@ -45,7 +45,7 @@ HOT = 200_000
 #: Texts of one part that are told of a key, from which on the part counts it among those that may be hot.
 OFTEN = 16
 #: Contexts sorted together, and anchors sent together.
-BLOCK, FLUSH = 20_000, 750_000
+BLOCK, FLUSH = 8_000, 500_000
 LAST = 2**63 - 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -229,14 +229,17 @@ def _told(table_: pa.Table) -> pa.Table:
         del w
     tell = np.r_[np.flatnonzero(sure).astype(np.int32), order[shared]]
     tell = tell[k1[who[tell]] != 0]
+    del order, shared, sure
+    often = np.sort(keys[tell])
+    edges = np.flatnonzero(np.r_[True, often[1:] != often[:-1], True][: len(often) + 1])
+    many = np.diff(edges) >= OFTEN
+    often = np.stack([often[edges[:-1][many]], np.diff(edges)[many].astype(np.uint64)], 1).tobytes()
     tell = tell[np.argsort(same[who[tell]], kind="stable")]
     w = same[who[tell]]
     begins = np.flatnonzero(np.r_[True, w[1:] != w[:-1]][: len(w)])
     first = who[tell][begins]
     lens = np.diff(np.r_[begins, len(w)]) * 8
     found = np.frombuffer(keys[tell].tobytes(), np.uint8)
-    told, times = np.unique(keys[tell], return_counts=True)
-    often = np.stack([told, times.astype(np.uint64)], 1)[times >= OFTEN].tobytes()
     columns = [pa.array(k1[first].view(np.int64)), pa.array(k2[first].view(np.int64)), _binaries(found, begins * 8, lens)]
     columns = [pa.concat_arrays([c, pa.nulls(1, c.type)]) for c in columns]
     return pa.table([*columns, pa.array([None] * len(first) + [often], pa.binary())], names=["k1", "k2", "keys", "often"])
@@ -332,9 +335,9 @@ def _quicksorted(word: np.ndarray, place: np.ndarray, order: np.ndarray) -> np.n
         pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
         less, same = w < pivot, w == pivot
         n_less, n_same = np.add.reduceat(less, off, dtype=np.int64), np.add.reduceat(same, off, dtype=np.int64)
-        more = ~(less | same)
+        del w, pivot
         to = np.empty(len(at), np.int64)
-        for mask, first in ((less, begins), (same, begins + n_less), (more, begins + n_less + n_same)):
+        for mask, first in ((less, begins), (same, begins + n_less), (~(less | same), begins + n_less + n_same)):
             of = group[mask]
             nth = np.arange(len(of)) - np.searchsorted(of, np.arange(len(size)))[of]
             to[mask] = first[of] + nth
@@ -481,7 +484,7 @@ def _united(spans: list[np.ndarray]) -> np.ndarray:
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, text (zstd), spans (list of binary: [begin, end) pairs of bytes to remove, may overlap), copy (goes whole)."""
-    parts = docs.rdd.getNumPartitions() + 8  # the number alone
+    parts = docs.rdd.getNumPartitions() * 3 // 2 + 8  # the number alone
     bits = min(64, 36 + math.ceil(math.log2(parts)))
     n = F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LAST))
     docs = documents(docs).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text")).withColumn("own", n)
