@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import text
 from kgspark.operators import conflicts, facts, relations, retrieval, truth
-from kgspark.operators.visibility import Principal, visible, visible_rows, with_parent
+from kgspark.operators.visibility import DIMENSIONS, Principal, visible, visible_rows, with_parent
 from kgspark.sources.shared import stored
 
-_DIMENSIONS = ("is_public", "roles", "teams", "tenant")
-
 
 @dataclass
 class KnowledgeEngine:
@@ -21,7 +19,7 @@ class KnowledgeEngine:
 
     entities: id, label, is_public, roles, teams, tenant; facts and sources as the operators take them; relations:
     source_id, target_id, relation; documents: id, title, text, lang, verification_level, translation_state and the
-    visibility columns; terms: id, namespace, term; links: document_id, entity_id, term_id.
+    visibility columns; terms: id, namespace, term and, where they are not for all, the visibility columns; links: document_id, entity_id, term_id.
     """
 
     entities: DataFrame
@@ -51,7 +49,7 @@ class KnowledgeEngine:
 
     def neighbours(self, principal: Principal, entity_id) -> DataFrame:
         """GET /entities/{id}/relations: outgoing relations to visible targets."""
-        target = self.entities.select(F.col("id").alias("target_id"), F.col("label").alias("target_label"), *_DIMENSIONS)
+        target = self.entities.select(F.col("id").alias("target_id"), F.col("label").alias("target_label"), *DIMENSIONS)
         return visible_rows(self.relations.where(F.col("source_id") == F.lit(entity_id)).join(target, "target_id"), principal)
 
     def search(self, principal: Principal, query: str) -> DataFrame:
@@ -61,7 +59,7 @@ class KnowledgeEngine:
         if self.documents is not None:
             indexes.append(("document", visible_rows(self.documents, principal), "id", ["title"]))
         if self.terms is not None:
-            indexes.append(("term", self.terms, "id", ["term"]))
+            indexes.append(("term", self._seen(self.terms, principal), "id", ["term"]))
         return retrieval.search(query, indexes)
 
     def scan_conflicts(self, known: DataFrame | None = None) -> DataFrame:
@@ -95,8 +93,9 @@ class KnowledgeEngine:
         return retrieval.boosted(docs.join(near, "id"), query, lang).orderBy(F.desc("score"), "id").limit(limit)
 
     def glossary(self, principal: Principal, term_id: str) -> DataFrame:
-        """GET /glossary/query: visible documents that reach a term over their entities."""
-        met = self.links.where(F.col("term_id") == term_id).groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_set("entity_id")).alias("entities"))
+        """GET /glossary/query: visible documents that reach a visible term over their entities; nothing for another one."""
+        known = self._seen(self.terms, principal).select(F.col("id").alias("term_id"))
+        met = self.links.where(F.col("term_id") == term_id).join(known, "term_id", "left_semi").groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_set("entity_id")).alias("entities"))
         return visible_rows(self.documents, principal).join(met, "id")
 
     def document(self, principal: Principal, document_id, lang: str) -> DataFrame:
@@ -104,8 +103,13 @@ class KnowledgeEngine:
         row = visible_rows(self.documents.where(F.col("id") == F.lit(document_id)), principal)
         return row.withColumn("untranslated", text.untranslated_document(lang, F.col("lang"), F.col("translation_state")))
 
+    @staticmethod
+    def _seen(rows: DataFrame, principal: Principal) -> DataFrame:
+        """Visible rows; a table without visibility columns has nothing to hide."""
+        return visible_rows(rows, principal) if set(DIMENSIONS) <= set(rows.columns) else rows
+
     def may_see(self, principal: Principal) -> Column:
-        return visible(principal, *map(F.col, _DIMENSIONS))
+        return visible(principal, *map(F.col, DIMENSIONS))
 
     def upsert_relations(self, batch: DataFrame) -> DataFrame:
         """Relations with the batch's rows in place of those with the same ends and name."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kgspark.functions.text import folded
+
 #: The function words of each language, in the order in which ties are resolved after English.
 MARKERS = {
     "en": "the and is are of to in for with this that from on at by a an be",
@@ -19,15 +21,22 @@ ACCENTS = {"fr": "éèêëàâçôîïùûœ", "de": "äöüß", "es": "ñ¿¡",
 
 def scores(text: Column) -> Column:
     """array<struct<score, nth, lang>>: larger is better, ties go to the larger ``nth`` (English, then marker order)."""
+    every = sorted({m for words in MARKERS.values() for m in words.split()})
+
+    def of(low: Column, marked: Column) -> Column:
+        def score(lang: str) -> Column:
+            n = F.size(F.filter(marked, lambda w: w.isin(*MARKERS[lang].split())))
+            for c in ACCENTS.get(lang, ""):
+                n = n + F.contains(low, F.lit(c)).cast("int")
+            return n
+
+        return F.array(*[F.struct(score(lang).alias("score"), F.lit(len(MARKERS) - i).alias("nth"), F.lit(lang).alias("lang")) for i, lang in enumerate(MARKERS)])
 
-    def score(lang: str) -> Column:
-        # One scan for each language: a run of letters that is a marker.
-        n = F.regexp_count(F.lower(text), F.lit(f"(?<!\\p{{L}})(?:{'|'.join(MARKERS[lang].split())})(?!\\p{{L}})"))
-        for c in ACCENTS.get(lang, ""):
-            n = n + F.contains(F.lower(text), F.lit(c)).cast("int")
-        return n
+    def markers(low: Column) -> Column:
+        return F.filter(F.regexp_extract_all(low, F.lit("\\p{L}+"), F.lit(0)), lambda w: w.isin(*every))
 
-    return F.array(*[F.struct(score(lang).alias("score"), F.lit(len(MARKERS) - i).alias("nth"), F.lit(lang).alias("lang")) for i, lang in enumerate(MARKERS)])
+    # One element each, so that the text is folded once, and its markers are found once for all languages.
+    return F.get(F.transform(F.array(folded(text)), lambda low: F.get(F.transform(F.array(markers(low)), lambda m: of(low, m)), F.lit(0))), F.lit(0))
 
 
 def detect(text: Column) -> Column:

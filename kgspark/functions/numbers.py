@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = "\\d+(?:[.,]\\d+)?"
+#: A number of the content: no part of a word or identifier, and not zeros alone.
+NUMBER = "(?<![\\p{L}\\p{N}_.])(?!0+(?![\\p{L}\\p{N}_.]))-?\\d+(?:\\.\\d+)?(?![\\p{L}\\p{N}_.])"
+FRONT_MATTER = "(?s)\\A---\\s*\\n.*?\\n---\\s*\\n?"
+#: Numbers with a unit of time, and temperatures.
 MENTION = "(?i)-?\\d+(?:\\.\\d+)?\\s*(?:minuti|min\\b|ore|h\\b|secondi|sec\\b|s\\b)"
+TEMPERATURE = "(?i)-?\\d+(?:\\.\\d+)?\\s*(?:°C|°c|gradi|degrees)\\b"
 
 
 def numbers(text: Column) -> Column:
-    """Content numbers in order; step ordinals and tokens of zeros alone do not count."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_extract_all(F.regexp_replace(x, "^\\s*\\d+\\.\\s+", ""), F.lit(NUMBER), F.lit(0)))
-    return F.filter(F.flatten(lines), lambda x: ~F.rlike(x, F.lit("^0+$")))
+    """Content numbers in order; front matter, step ordinals, parts of identifiers and tokens of zeros do not count."""
+    lines = F.transform(F.split(F.regexp_replace(text, FRONT_MATTER, ""), "\n"), lambda x: F.regexp_extract_all(F.regexp_replace(x, "^\\s*\\d+\\.\\s+", ""), F.lit(NUMBER), F.lit(0)))
+    return F.flatten(lines)
 
 
 def same_numbers(a: Column, b: Column) -> Column:
@@ -21,8 +25,12 @@ def same_numbers(a: Column, b: Column) -> Column:
 
 
 def mentions(text: Column) -> Column:
-    """Numbers with a unit of time."""
-    return F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
+    """array<struct(property, value)>: numbers with a unit of time, then temperatures, each in order."""
+
+    def found(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(name).alias("property"), x.alias("value")))
+
+    return F.concat(found("time", MENTION), found("temperature", TEMPERATURE))
 
 
 def convert(quantity: Column, factor: Column, places: Column | None) -> Column:

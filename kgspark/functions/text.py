@@ -10,10 +10,29 @@ WORD = "[\\p{L}\\p{N}]+(?:['’][\\p{L}\\p{N}]+)?"
 CONNECTORS = "di|e"
 
 
+def folded(text: Column) -> Column:
+    """Case folding: lower case, and ss for the sharp s."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
+def counted(tokens_: Column) -> Column:
+    """array<struct<token, tf>> of an array's different values, by sorting it inside the row."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: (F.size(s) > 0) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+
+        def lengths(at: Column) -> Column:
+            return F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf")))
+
+        return F.get(F.transform(F.array(begins), lengths), F.lit(0))
+
+    return F.get(F.transform(F.array(F.array_sort(tokens_)), runs), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words and adjacent pairs."""
     w = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    return F.concat(w, adjacent(w))
+    return F.get(F.transform(F.array(w), lambda x: F.concat(x, adjacent(x))), F.lit(0))  # one element: words are found once
 
 
 def adjacent(w: Column) -> Column:
@@ -53,7 +72,7 @@ def slug(text: Column) -> Column:
 
 def first_sentence(text: Column) -> Column:
     """Up to and with the first sentence mark."""
-    return F.split(F.trim(text), "(?<=[.!?])\\s+", 2)[0]
+    return F.get(F.split(F.trim(text), "(?<=[.!?])[ \\t\\n\\f\\r]+", 2), F.lit(0))
 
 
 def title_overlap(query: Column, title: Column) -> Column:

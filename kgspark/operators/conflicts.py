@@ -15,28 +15,52 @@ def rank(confidence: Column) -> Column:
 def candidates(facts: DataFrame, sources: DataFrame) -> DataFrame:
     """Open facts with their source's recency, the first of each (entity, property, value, source)."""
     s = sources.select(F.col("id").alias("source_id"), "ingested_at")
-    rows = facts.where("valid_to IS NULL AND source_id IS NOT NULL").join(s, "source_id", "left")
+    rows = facts.where("valid_to IS NULL AND status = 'valid' AND source_id IS NOT NULL").join(s, "source_id", "left")
     first = Window.partitionBy("entity_id", "property", "value", "source_id").orderBy("id")
     return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
 def pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of one entity and property whose values and sources differ, ordered by (source, value)."""
+    """Pairs of one entity and property whose values and sources differ, ordered by (source, value).
+
+    The suggested side has the higher confidence, else the more recent source (an unknown time counts as the epoch), else
+    it is b; ``reason`` says which.
+    """
     keys = ["entity_id", "property"]
     side = ["value", "source_id", "confidence", "ingested_at"]
     a = rows.select(*keys, *[F.col(c).alias(f"{c}_a") for c in side])
     b = rows.select(*keys, *[F.col(c).alias(f"{c}_b") for c in side])
     ordered = (F.col("source_id_a") < F.col("source_id_b")) & (F.col("value_a") != F.col("value_b"))
     ra, rb = rank(F.col("confidence_a")), rank(F.col("confidence_b"))
-    winner = F.when(ra > rb, "a").when(rb > ra, "b").when(F.col("ingested_at_a") > F.col("ingested_at_b"), "a").otherwise("b")
-    return a.join(b, keys).where(ordered).withColumn("suggestion", winner)
+    ta, tb = recency(rows, "ingested_at_a"), recency(rows, "ingested_at_b")
+    winner = F.when(ra > rb, "a").when(rb > ra, "b").when(ta > tb, "a").otherwise("b")
+
+    def higher(x: str, y: str) -> Column:
+        names = [F.coalesce(f"confidence_{s}", F.lit("None")) for s in (x, y)]
+        return F.concat(F.lit("higher confidence ("), names[0], F.lit(" > "), names[1], F.lit(")"))
+
+    reason = F.when(ra > rb, higher("a", "b")).when(rb > ra, higher("b", "a")).when(ta != tb, "more recent source").otherwise("sources equally recent (tie-break b)")
+    return a.join(b, keys).where(ordered).withColumns({"suggestion": winner, "reason": reason})
+
+
+def recency(rows: DataFrame, column: str) -> Column:
+    """A source's time; the epoch where there is none."""
+    epoch = F.lit("1970-01-01 00:00:00").cast(rows.schema["ingested_at"].dataType)
+    return F.coalesce(F.col(column), epoch)
 
 
 def unreported(found: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs without a pending conflict on the same values in either order."""
-    low, high = F.least("value_a", "value_b"), F.greatest("value_a", "value_b")
-    k = known.where("status = 'pending'").select("entity_id", "property", low.alias("_low"), high.alias("_high"))
-    return found.withColumn("_low", low).withColumn("_high", high).join(k, ["entity_id", "property", "_low", "_high"], "left_anti").drop("_low", "_high")
+    """Pairs without a pending conflict on the same values of the same sources, in either order."""
+    sides = F.struct("source_id_a", "value_a"), F.struct("source_id_b", "value_b")
+    names = [f"_{c}" for c in ("source_1", "value_1", "source_2", "value_2")]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        swap = sides[0] > sides[1]
+        ends = [F.when(swap, F.col(b)).otherwise(F.col(a)) for a, b in (("source_id_a", "source_id_b"), ("value_a", "value_b"), ("source_id_b", "source_id_a"), ("value_b", "value_a"))]
+        return df.withColumns(dict(zip(names, ends, strict=True)))
+
+    k = keyed(known.where("status = 'pending'")).select("entity_id", "property", *names)
+    return keyed(found).join(k, ["entity_id", "property", *names], "left_anti").drop(*names)
 
 
 def losers(approved: DataFrame) -> DataFrame:

@@ -11,12 +11,21 @@ from pyspark.sql import functions as F
 def whole_words(lines: DataFrame, key: list[str], text: str, terms: DataFrame) -> DataFrame:
     """Key, term for every term (one or more words) that a line holds as whole words, case-insensitively.
 
-    Lines meet terms by the term's first word, so this is an equi-join; the rest of a longer term is compared after it.
+    Lines give their different sequences of as many words as terms have, so this is an equi-join of short rows. Only the
+    lengths of terms are collected.
     """
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " ")), F.lit(" "))
-    words = lines.select(*key, plain.alias("_plain")).withColumn("_first", F.explode(F.array_distinct(F.split(F.trim("_plain"), " "))))
-    t = terms.select("term", F.split(F.lower("term"), " ")[0].alias("_first"))
-    return words.join(t, "_first").where(F.contains("_plain", F.concat(F.lit(" "), F.lower("term"), F.lit(" ")))).select(*key, "term").distinct()
+    t = terms.select("term", F.lower("term").alias("_gram"))
+    sizes = sorted(r.n for r in t.select(F.size(F.split("_gram", " ")).alias("n")).distinct().collect())
+    plain = F.split(F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " ")), " ")
+
+    def of(w: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+
+    def grams(w: Column) -> Column:
+        return F.array_distinct(F.concat(*[of(w, n) for n in sizes])) if sizes else F.array().cast("array<string>")
+
+    rows = lines.select(*key, F.explode(F.get(F.transform(F.array(plain), grams), F.lit(0))).alias("_gram"))
+    return rows.join(t, "_gram").select(*key, "term").distinct()
 
 
 def seed_hits(lines: DataFrame, key: list[str], text: str, terms: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.functions.numbers import NUMBER, numbers, quantity_text
+from kgspark.functions.numbers import NUMBER, numbers, quantity_text, same_numbers
 from kgspark.functions.text import letters, overlap_coefficient
 
 ITEMS, STEPS = "## Items", "## Steps"
@@ -34,14 +34,14 @@ def _spliced(text: Column, pattern: str, put, values: Column | None = None) -> C
 
 
 def mask_numbers(text: Column) -> Column:
-    """Numbers become {N0}, {N1}, ..."""
-    return _spliced(text, NUMBER, lambda m, i, v: F.concat(F.lit("{N"), i.cast("string"), F.lit("}")))
+    """Numbers become {N1}, {N2}, ...; step ordinals and zeros alone stay."""
+    return _spliced(text, NUMBER, lambda m, i, v: F.concat(F.lit("{N"), (i + 1).cast("string"), F.lit("}")))
 
 
 def reinject_numbers(text: Column, values: Column) -> Column:
-    """Placeholders become the numbers again; NULL unless they are 0, 1, ... in order and as many."""
+    """Placeholders become the numbers again; NULL unless they are 1, 2, ... in order and as many."""
     holes = F.regexp_extract_all(text, F.lit("\\{N(\\d+)\\}"), F.lit(1))
-    whole = F.transform(values, lambda v, i: i.cast("string"))
+    whole = F.transform(values, lambda v, i: (i + 1).cast("string"))
     return F.when(holes == whole, _spliced(text, "\\{N\\d+\\}", lambda m, i, v: F.get(v, i), values))
 
 
@@ -56,9 +56,11 @@ def substitute(text: Column, terms: dict[str, str]) -> Column:
 
 
 def translate(text: Column, terms: dict[str, str]) -> Column:
-    """A dictionary translation under the guard that no number changes; NULL where one would."""
+    """A dictionary translation under the guard that no number changes, goes or comes; NULL where one would."""
     masked = substitute(mask_numbers(text), terms)
-    return reinject_numbers(masked, F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))
+    out = reinject_numbers(masked, F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))
+    guarded = F.transform(F.array(out), lambda x: F.when(same_numbers(numbers(text), numbers(x)), x))
+    return F.get(guarded, F.lit(0))
 
 
 def parse(md: Column, units: tuple[str, ...]) -> Column:

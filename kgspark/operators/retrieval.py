@@ -45,6 +45,37 @@ def embed(docs: DataFrame, idf: DataFrame) -> DataFrame:
     return sums.select("id", "bucket", F.when(norm > 0, F.col("w") / norm).otherwise(0.0).alias("weight"))
 
 
+def embedding_text(docs: DataFrame, sources: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Id, embedding_text: a document's title, its source's title and the sorted labels of its entities.
+
+    docs: id, title, source_id; sources: id, title; links: document_id, entity_id; labels: id, label. What is missing is
+    left out.
+    """
+    own = links.join(labels.withColumnRenamed("id", "entity_id"), "entity_id").groupBy(F.col("document_id").alias("id")).agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    s = sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"))
+    met = docs.join(s, "source_id", "left").join(own, "id", "left")
+    return met.select("id", F.concat_ws(" ", "title", "source_title", F.array_join("labels", " ")).alias("embedding_text"))
+
+
+def to_embed(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows of docs (id, text) without a vector, or whose text's digest is not the one it was made from; with ``digest``
+    and ``held`` (the stored digest)."""
+    now = docs.withColumn("digest", F.sha2("text", 256))
+    met = now.join(held.select("id", F.col("digest").alias("held")), "id", "left")
+    return met.where(~F.col("digest").eqNullSafe(F.col("held")))
+
+
+def backfilled(store: DataFrame, docs: DataFrame, idf: DataFrame) -> DataFrame:
+    """The stored vectors (id, digest, buckets array<struct<bucket, weight>>) with missing and outdated ones made anew.
+
+    A search reads this table; only documents that ``to_embed`` names are tokenized.
+    """
+    todo = to_embed(docs, store)
+    made = embed(todo.select("id", "text"), idf).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("buckets"))
+    fresh = todo.select("id", "digest").join(made, "id", "left")
+    return store.join(todo.select("id"), "id", "left_anti").select("id", "digest", "buckets").unionByName(fresh)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of two arrays of doubles."""
 
@@ -54,12 +85,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def topk(queries: DataFrame, rows: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+#: Rows of one block of ``topk``.
+BLOCK = 100_000
+
+
+def topk(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """query_id, vec_id, score, rank of the k nearest rows of each query, itself left out.
 
     A stated set of queries is held against all rows in blocks: the queries, joined to each block of rows by its number,
-    give their k best of the block, and the blocks' bests give the k best of all.
+    give their k best of the block, and the blocks' bests give the k best of all. There are as many blocks as rows fill, and
+    no fewer than shuffle partitions.
     """
+    blocks = blocks or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BLOCK))
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     r = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     met = r.join(q, "block").where("vec_id <> query_id").select("query_id", "vec_id", "block", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))

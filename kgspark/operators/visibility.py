@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+DIMENSIONS = ("is_public", "roles", "teams", "tenant")
+
+
 @dataclass(frozen=True)
 class Principal:
     user_id: str = ""
@@ -48,17 +51,25 @@ def visible_rows(df: DataFrame, principal: Principal) -> DataFrame:
 def with_parent(facts: DataFrame, entities: DataFrame) -> DataFrame:
     """Each fact's effective visibility, dimension by dimension: its own value, else its entity's.
 
-    A left join: facts without an entity keep their own visibility.
+    NULL inherits, also in the four columns that the facts do not have; empty arrays and false are explicit. A left join:
+    facts without an entity keep their own visibility.
     """
-    e = entities.select(F.col("id").alias("entity_id"), F.col("is_public").alias("_public"), "roles", "teams", "tenant")
-    out = facts.join(e, "entity_id", "left").withColumn("is_public", F.coalesce("is_public", "_public")).drop("_public")
-    return out
+    e = entities.select(F.col("id").alias("entity_id"), *[F.col(c).alias(f"_entity_{c}") for c in DIMENSIONS])
+    own = [F.coalesce(c, f"_entity_{c}") if c in facts.columns else F.col(f"_entity_{c}") for c in DIMENSIONS]
+    met = facts.join(e, "entity_id", "left").withColumns(dict(zip(DIMENSIONS, own, strict=True)))
+    return met.drop(*[f"_entity_{c}" for c in DIMENSIONS])
 
 
 def patched(df: DataFrame, patch: DataFrame, key: str, *columns: str) -> DataFrame:
-    """Replace columns by the patch's values where those are set."""
-    p = patch.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    """Replace columns by the patch's values where those are set.
+
+    With a column ``unset`` (array of names) the patch also sets NULL: the columns named in it lose their value, so that
+    they inherit again.
+    """
+    unset = F.col("unset") if "unset" in patch.columns else F.array().cast("array<string>")
+    p = patch.select(key, unset.alias("_unset"), *[F.col(c).alias(f"_{c}") for c in columns])
     out = df.join(p, key, "left")
     for c in columns:
-        out = out.withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
-    return out
+        gone = F.coalesce(F.array_contains("_unset", c), F.lit(False))
+        out = out.withColumn(c, F.when(~gone, F.coalesce(f"_{c}", c))).drop(f"_{c}")
+    return out.drop("_unset")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.operators import conflicts, facts, relations, truth
-from kgspark.operators.visibility import Principal, patched, visible_rows, with_parent
+from kgspark.operators import accounts, conflicts, curator, facts, queues, relations, truth
+from kgspark.operators.visibility import Principal, overlaps, patched, visible, visible_rows, with_parent
 from kgspark.sources import graph as g
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,13 +118,41 @@ def entity_patch(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT f.id, coalesce(f.is_public, e.is_public, false) AS is_public, coalesce(list_aggregate(e.roles, 'string_agg', ','), '') AS roles, list_aggregate(e.teams, 'string_agg', ',') AS teams, {SEEN.format(p='coalesce(f.is_public, e.is_public)')} AS visible FROM fact f LEFT JOIN entity e ON f.entity_id = e.id", g.FACT, g.ENTITY)
 def visibility_effective(spark: SparkSession, d: str) -> DataFrame:
     """F03, F05."""
-    from kgspark.operators.visibility import visible
-
     rows = with_parent(g.facts(spark, d), g.entities(spark, d))
     seen = visible(VIEWER, *map(F.col, ("is_public", "roles", "teams", "tenant")))
     return rows.select("id", F.coalesce("is_public", F.lit(False)).alias("is_public"), F.concat_ws(",", "roles").alias("roles"), F.concat_ws(",", "teams").alias("teams"), seen.alias("visible"))
 
 
+_OWN = """own AS (SELECT f.id, f.entity_id, f.is_public, CASE WHEN f.n % 3 = 1 THEN ['editor_x', 'viewer'] WHEN f.n % 3 = 2 THEN [] END AS roles,
+ CASE WHEN f.n % 5 = 1 THEN ['team_2'] WHEN f.n % 5 = 2 THEN [] END AS teams, CASE WHEN f.n % 4 = 1 THEN 't1' WHEN f.n % 4 = 2 THEN 't2' END AS tenant
+ FROM (SELECT *, CAST(split_part(id, '__v_', 2) AS BIGINT) AS n FROM fact) f)"""
+
+
+@query(
+    """SELECT id, is_public, list_aggregate(roles, 'string_agg', ',') AS roles, list_aggregate(teams, 'string_agg', ',') AS teams, tenant,
+ (tenant IS NULL OR tenant = 't1') AND (is_public OR coalesce(list_has_any(roles, ['viewer']), false) OR coalesce(list_has_any(teams, ['team_2']), false)) AS visible
+ FROM (SELECT o.id, coalesce(o.is_public, e.is_public, false) AS is_public, coalesce(o.roles, e.roles) AS roles, coalesce(o.teams, e.teams) AS teams, coalesce(o.tenant, e.tenant) AS tenant FROM own o LEFT JOIN entity e ON o.entity_id = e.id)""",
+    g.FACT, g.ENTITY, _OWN,
+)
+def visibility_own_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    """facts with roles, teams and tenants of their own, some of them empty, over those of their entities."""
+    n = F.split("id", "__v_")[1].cast("long")
+    empty = F.array().cast("array<string>")
+    own = g.facts(spark, d).select(
+        "id", "entity_id", "is_public",
+        F.when(n % 3 == 1, F.array(F.lit("editor_x"), F.lit("viewer"))).when(n % 3 == 2, empty).alias("roles"),
+        F.when(n % 5 == 1, F.array(F.lit("team_2"))).when(n % 5 == 2, empty).alias("teams"),
+        F.when(n % 4 == 1, "t1").when(n % 4 == 2, "t2").alias("tenant"),
+    )
+    rows = with_parent(own, g.entities(spark, d))
+    seen = visible(VIEWER, *map(F.col, ("is_public", "roles", "teams", "tenant")))
+
+    def text(c: str):
+        return F.when(F.size(c) > 0, F.array_join(c, ","))
+
+    return rows.select("id", F.coalesce("is_public", F.lit(False)).alias("is_public"), text("roles").alias("roles"), text("teams").alias("teams"), "tenant", seen.alias("visible"))
+
+
 @query("SELECT source_id, target_id, coalesce(max(relation) FILTER (relation <> 'N'), 'N') AS relation, count(*) AS n_parallel FROM rel GROUP BY ALL", g.RELATION)
 def relations_collapse(spark: SparkSession, d: str) -> DataFrame:
     """A19, W06."""
@@ -146,16 +174,19 @@ def relation_upsert(spark: SparkSession, d: str) -> DataFrame:
     return relations.upsert(base, batch, ["source_id", "target_id"])
 
 
-_CAND = "cand AS (SELECT * EXCLUDE (n) FROM (SELECT f.*, ingested_at, row_number() OVER (PARTITION BY entity_id, property, value, source_id ORDER BY f.id) AS n FROM fact f LEFT JOIN src ON f.source_id = src.id WHERE valid_to IS NULL) WHERE n = 1)"
+_CAND = "cand AS (SELECT * EXCLUDE (n) FROM (SELECT f.*, ingested_at, row_number() OVER (PARTITION BY entity_id, property, value, source_id ORDER BY f.id) AS n FROM fact f LEFT JOIN src ON f.source_id = src.id AND src.id <> 1 WHERE valid_to IS NULL) WHERE n = 1)"
 _RANK = "CASE {}.confidence WHEN 'EXTRACTED' THEN 3 WHEN 'INFERRED' THEN 2 WHEN 'AMBIGUOUS' THEN 1 ELSE 0 END"
 _PAIR = f"""pair AS (SELECT a.entity_id, a.property, a.value AS value_a, b.value AS value_b, a.source_id AS source_id_a, b.source_id AS source_id_b,
- CASE WHEN {_RANK.format('a')} > {_RANK.format('b')} THEN 'a' WHEN {_RANK.format('b')} > {_RANK.format('a')} THEN 'b' WHEN a.ingested_at > b.ingested_at THEN 'a' ELSE 'b' END AS suggestion
+ CASE WHEN {_RANK.format('a')} > {_RANK.format('b')} THEN 'a' WHEN {_RANK.format('b')} > {_RANK.format('a')} THEN 'b' WHEN coalesce(a.ingested_at, TIMESTAMP '1970-01-01') > coalesce(b.ingested_at, TIMESTAMP '1970-01-01') THEN 'a' ELSE 'b' END AS suggestion,
+ CASE WHEN {_RANK.format('a')} > {_RANK.format('b')} THEN 'higher confidence (' || a.confidence || ' > ' || b.confidence || ')' WHEN {_RANK.format('b')} > {_RANK.format('a')} THEN 'higher confidence (' || b.confidence || ' > ' || a.confidence || ')'
+  WHEN coalesce(a.ingested_at, TIMESTAMP '1970-01-01') <> coalesce(b.ingested_at, TIMESTAMP '1970-01-01') THEN 'more recent source' ELSE 'sources equally recent (tie-break b)' END AS reason
  FROM cand a JOIN cand b ON a.entity_id = b.entity_id AND a.property = b.property AND a.source_id < b.source_id AND a.value <> b.value)"""
 _CONFLICT = (g.FACT, g.SOURCE, _CAND, _PAIR)
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    return conflicts.pairs(conflicts.candidates(g.facts(spark, d), g.sources(spark, d)))
+    """Source 1 is not registered, so its time is unknown."""
+    return conflicts.pairs(conflicts.candidates(g.facts(spark, d), g.sources(spark, d).where("id <> 1")))
 
 
 @query("SELECT entity_id, property, value_a, value_b, source_id_a, source_id_b FROM pair", *_CONFLICT)
@@ -164,18 +195,19 @@ def conflict_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, d).select("entity_id", "property", "value_a", "value_b", "source_id_a", "source_id_b")
 
 
-@query("SELECT property, suggestion, count(*) AS n FROM pair GROUP BY ALL", *_CONFLICT)
+@query("SELECT property, suggestion, reason, count(*) AS n FROM pair GROUP BY ALL", *_CONFLICT)
 def conflict_suggestion(spark: SparkSession, d: str) -> DataFrame:
     """M10, M11, M12."""
-    return _found(spark, d).groupBy("property", "suggestion").agg(F.count("*").alias("n"))
+    return _found(spark, d).groupBy("property", "suggestion", "reason").agg(F.count("*").alias("n"))
 
 
-@query("SELECT entity_id, property, value_a, value_b FROM pair WHERE entity_id % 3 <> 0", *_CONFLICT)
+@query("SELECT entity_id, property, value_a, value_b, source_id_a, source_id_b FROM pair WHERE entity_id % 3 <> 0 OR source_id_b = 2", *_CONFLICT)
 def conflict_new_pending(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of every third entity are pending already, with their sides swapped."""
+    """Pairs of every third entity are pending already, with their sides swapped; those of source 2 name another
+    source, so they are new."""
     found = _found(spark, d)
-    known = found.where("entity_id % 3 = 0").select("entity_id", "property", F.col("value_b").alias("value_a"), F.col("value_a").alias("value_b"), F.lit("pending").alias("status"))
-    return conflicts.unreported(found, known).select("entity_id", "property", "value_a", "value_b")
+    known = found.where("entity_id % 3 = 0").select("entity_id", "property", F.col("value_b").alias("value_a"), F.col("value_a").alias("value_b"), F.when(F.col("source_id_b") == 2, 9).otherwise(F.col("source_id_b")).alias("source_id_a"), F.col("source_id_a").alias("source_id_b"), F.lit("pending").alias("status"))
+    return conflicts.unreported(found, known).select("entity_id", "property", "value_a", "value_b", "source_id_a", "source_id_b")
 
 
 @query("SELECT DISTINCT entity_id, property, CASE suggestion WHEN 'a' THEN value_b ELSE value_a END AS value, CASE suggestion WHEN 'a' THEN source_id_b ELSE source_id_a END AS source_id FROM pair", *_CONFLICT)
@@ -219,44 +251,70 @@ def rollback_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, user_id, ts FROM events) e JOIN (SELECT o_orderkey, o_custkey % 150 AS u, o_orderdate + INTERVAL 9500 DAY AS a, o_orderdate + INTERVAL 9530 DAY AS b FROM orders WHERE o_orderstatus = 'P') o ON e.user_id = o.u AND e.ts >= o.a AND e.ts < o.b"
+    "SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, user_id, ts FROM events) e JOIN (SELECT o_orderkey, o_custkey % 150 AS u, o_orderdate + INTERVAL 9500 DAY AS a, o_orderdate + INTERVAL 9530 DAY AS b FROM orders) o ON e.user_id = o.u AND e.ts >= o.a AND e.ts < o.b"
 )
 def asof_join_events_orders(spark: SparkSession, d: str) -> DataFrame:
     """F06 as an interval join: events in the thirty days after an order, by customer."""
-    o = g.table(spark, d, "orders").where("o_orderstatus = 'P'")
-    o = o.select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), F.expr("o_orderdate + INTERVAL '9500' DAY").alias("a"), F.expr("o_orderdate + INTERVAL '9530' DAY").alias("b"))
+    o = g.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), F.expr("o_orderdate + INTERVAL '9500' DAY").alias("a"), F.expr("o_orderdate + INTERVAL '9530' DAY").alias("b"))
     return g.table(spark, d, "events").join(o, "user_id").where("ts >= a AND ts < b").select("event_id", "o_orderkey")
 
 
-@query("SELECT user_id, property, value FROM (SELECT entity_id AS user_id, property, value, confidence FROM fact WHERE valid_to IS NULL) WHERE confidence = 'AMBIGUOUS'", g.FACT)
+@query(
+    """SELECT 'amb-' || replace(logical_id, ':', '-') AS issue_id, 'ambiguous_fact' AS kind, value AS term, '' AS candidates FROM fact WHERE valid_to IS NULL AND confidence = 'AMBIGUOUS'
+ UNION ALL SELECT 'untr-' || id, 'untranslated', coalesce(nullif(title, ''), id || ''), '' FROM doc WHERE translation_state NOT IN ('native', 'translated')
+ UNION ALL SELECT 'conf-' || n_nationkey, 'pending_conflict', n_name, n_name || '|' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0
+ UNION ALL SELECT 'gloss-' || p_partkey, 'glossary_proposal', p_name, '' FROM part WHERE p_size % 4 = 0
+ UNION ALL SELECT 'brief-1-dolce', 'brief_ambiguity', 'dolce', 'sweet|dessert'""",
+    g.FACT, g.DOCUMENT,
+)
 def curator_issues(spark: SparkSession, d: str) -> DataFrame:
-    """Ambiguous open facts."""
-    return facts.current(g.facts(spark, d)).where("confidence = 'AMBIGUOUS'").select(F.col("entity_id").alias("user_id"), "property", "value")
+    """The five kinds of issues as one list."""
+    nation, region = g.table(spark, d, "nation"), g.table(spark, d, "region")
+    pairs = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    conflict = pairs.select(F.col("n_nationkey").alias("id"), F.lit("e").alias("entity_id"), F.lit("p").alias("property"), F.col("n_name").alias("value_a"), F.col("r_name").alias("value_b"), F.when(F.col("n_nationkey") % 2 == 0, "pending").otherwise("approved").alias("status"))
+    proposals = g.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("term"), F.when(F.col("p_size") % 4 == 0, "pending").otherwise("rejected").alias("status"))
+    brief = spark.createDataFrame([(1, "dolce", ["sweet", "dessert"])], "nth int, term string, candidates array<string>")
+    found = curator.issues(g.facts(spark, d), g.documents(spark, d), conflict, proposals, brief)
+    return found.select("issue_id", "kind", "term", F.array_join("candidates", "|").alias("candidates"))
 
 
-@query("SELECT c_custkey AS user_id, coalesce(list_aggregate(list_sort(list_distinct([c_mktsegment])), 'string_agg', ','), '') AS roles, n_name AS team FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0")
+@query(
+    """SELECT name AS term, alias, entry_id FROM (SELECT name, alias, t.id AS entry_id, row_number() OVER (PARTITION BY name ORDER BY length(alias) DESC, alias, t.id) AS n
+  FROM (SELECT DISTINCT lower(p_name || ' ' || p_brand) AS name FROM part) JOIN (SELECT id, term AS alias FROM term) t ON contains(' ' || name || ' ', ' ' || alias || ' ')) WHERE n = 1 AND alias <> name""",
+    g.TERM,
+)
+def curator_modifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Names that hold a glossary alias and more words, with their longest alias."""
+    names = g.table(spark, d, "part").select(F.lower(F.concat_ws(" ", "p_name", "p_brand")).alias("term")).distinct()
+    return curator.modifiers(names, g.terms(spark, d).select(F.col("term").alias("alias"), F.col("id").alias("entry_id")))
+
+
+@query("SELECT c_custkey AS user_id, coalesce(string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority), '') AS roles, coalesce(string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus), '') AS teams FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY c_custkey")
 def users_roles_teams(spark: SparkSession, d: str) -> DataFrame:
-    """Users with their sets of roles and teams."""
-    c, n = g.table(spark, d, "customer").where("c_acctbal > 0"), g.table(spark, d, "nation")
-    rows = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return rows.groupBy(F.col("c_custkey").alias("user_id"), F.col("n_name").alias("team")).agg(F.concat_ws(",", F.array_sort(F.collect_set("c_mktsegment"))).alias("roles"))
+    """Active users with the sets of their roles and teams, many to many; users without any stay."""
+    users = g.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") > 0).alias("active"))
+    o = g.table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("role"), F.col("o_orderstatus").alias("team"))
+    return accounts.with_roles(accounts.active(users), o.select("user_id", "role"), o.select("user_id", "team")).select("user_id", F.array_join("roles", ",").alias("roles"), F.array_join("teams", ",").alias("teams"))
 
 
-@query("SELECT c_custkey AS user_id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+@query("SELECT DISTINCT c_custkey AS user_id FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') OR n_regionkey = 2")
 def rbac_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Users that have one of the required roles."""
-    from kgspark.operators.visibility import overlaps
-
-    return g.table(spark, d, "customer").where(overlaps(F.array("c_mktsegment"), ("BUILDING", "MACHINERY"))).select(F.col("c_custkey").alias("user_id"))
+    """Users with one of the required roles, by themselves or by their team (a nation's team has a role by
+    its region)."""
+    c = g.table(spark, d, "customer")
+    teams = g.table(spark, d, "nation").select(F.col("n_nationkey").alias("team"), F.when(F.col("n_regionkey") == 2, "BUILDING").otherwise("none").alias("role"))
+    roles = accounts.effective_roles(c.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("role")), teams, c.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("team")))
+    own = roles.groupBy("user_id").agg(F.collect_set("role").alias("roles"))
+    return own.where(overlaps(F.col("roles"), ("BUILDING", "MACHINERY"))).select("user_id")
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n, CAST(floor(100.0 * count(*) / (SELECT count(*) FROM orders)) AS BIGINT) AS progress FROM orders GROUP BY ALL")
 def job_status_list(spark: SparkSession, d: str) -> DataFrame:
     """Jobs by status with the share of all as a whole percentage."""
     o = g.table(spark, d, "orders")
-    total = o.agg(F.count("*").alias("total"))
+    total = o.agg(F.count("*")).scalar()
     n = o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(total)).select("status", "n", F.floor(F.lit(100) * F.col("n") / F.col("total")).cast("long").alias("progress"))
+    return n.select("status", "n", F.floor(F.lit(100) * F.col("n") / total).cast("long").alias("progress"))
 
 
 @query("SELECT event_type AS kind, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY ALL")
@@ -273,10 +331,14 @@ def stale_files(spark: SparkSession, d: str) -> DataFrame:
     return g.table(spark, d, "orders").where(F.col("o_orderdate") < day - F.expr("INTERVAL '365' DAY")).select(F.col("o_orderkey").alias("id"), F.date_diff(day, F.col("o_orderdate")).cast("long").alias("age_days"))
 
 
-@query("SELECT event_id, to_json({k: user_id, t: event_type})::VARCHAR AS new_value FROM events")
+@query("SELECT o_orderkey || '' AS entity_id, 'u' || (o_custkey % 5) AS user_id, 'decide' AS action, '{\"status\":\"pending\"}' AS old_value, '{\"status\":\"' || CASE WHEN o_orderkey % 2 = 0 THEN 'approved' ELSE 'rejected' END || '\"}' AS new_value FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 = 0")
 def audit_append(spark: SparkSession, d: str) -> DataFrame:
-    """Audit rows with the new value as JSON."""
-    return g.table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("user_id").alias("k"), F.col("event_type").alias("t"))).alias("new_value"))
+    """Decisions on every third of all queue rows; those that are pending leave an audit row."""
+    o = g.table(spark, d, "orders")
+    none = F.lit(None)
+    queue = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("approved").alias("status"), none.cast("string").alias("resolved_by"), none.cast("timestamp_ntz").alias("resolved_at"), _at(AT).alias("created_at"))
+    say = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "approved").otherwise("rejected").alias("status"), F.concat(F.lit("u"), F.col("o_custkey") % 5).alias("resolved_by"))
+    return queues.decided(queue, say, _at(NOW))[1].drop("ts")
 
 
 @query("SELECT l_suppkey, l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE s_acctbal > 0 AND p_size > 10")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions import numbers, text
-from kgspark.operators import mining, retrieval
+from kgspark.operators import entities, mining, retrieval
 from kgspark.sources import graph as g
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,17 +35,32 @@ b AS (SELECT id, CAST(h % 384 AS INT) AS bucket, sum(CASE WHEN (h // 2) % 2 = 1
 def embedding_sparse(spark: SparkSession, d: str) -> DataFrame:
     """Signed feature hashing of part names."""
     docs = g.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    n = docs.agg(F.count("*").alias("n"))
+    n = docs.agg(F.count("*")).scalar()
     tokens = docs.select("id", F.explode(text.tokens(F.col("text"))).alias("token")).distinct()
-    idf = tokens.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    idf = tokens.groupBy("token").agg(F.count("*").alias("df")).select("token", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     return retrieval.embed(docs, idf).select("id", "bucket", F.round("weight", 6).alias("weight"))
 
 
-@query("SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || lower(p_type) AS embedding_text FROM part")
+@query(
+    """SELECT o_orderkey AS id, concat_ws(' ', 'Order ' || o_orderkey, c_mktsegment, string_agg(DISTINCT p_name, ' ' ORDER BY p_name)) AS embedding_text
+ FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey, c_mktsegment"""
+)
 def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     """Title, source title and sorted labels of each document."""
-    labels = F.array_sort(F.array(F.lower("p_type")))
-    return g.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", F.array_join(labels, " ")).alias("embedding_text"))
+    o = g.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.col("o_custkey").alias("source_id"))
+    sources = g.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("title"))
+    links = g.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("entity_id"))
+    labels = g.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
+    return retrieval.embedding_text(o, sources, links, labels)
+
+
+@query("SELECT p_partkey AS id, p_partkey % 3 <> 0 AS stale FROM part WHERE p_partkey % 3 <> 0 OR p_size % 2 = 0")
+def embedding_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Which rows a back-fill embeds: those without a stored vector and those whose text has changed since."""
+    docs = g.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), "p_size")
+    old = F.when(F.col("p_size") % 2 == 0, F.concat("text", F.lit(" before"))).otherwise(F.col("text"))
+    held = docs.where("id % 3 = 0").select("id", F.sha2(old, 256).alias("digest"))
+    return retrieval.to_embed(docs, held).select("id", F.col("held").isNull().alias("stale"))
 
 
 _PLAIN = "plain AS (SELECT conv_id, turn, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS p FROM conversations), seed AS (SELECT unnest(['the', 'and the', 'der', 'de la', 'en']) AS term)"
@@ -75,7 +90,7 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DEC = """a AS (SELECT o_orderkey AS id, o_orderkey AS document_id, CASE WHEN o_orderkey % 2 = 0 THEN 'items' ELSE 'steps' END AS section FROM orders WHERE o_orderstatus = 'F'),
-log AS (SELECT l_orderkey AS document_id, CASE WHEN l_returnflag = 'A' THEN 'items.qty' ELSE 'title' END AS field, 'RULE-' || l_linenumber AS rule_id FROM lineitem WHERE l_linenumber <= 2)"""
+log AS (SELECT l_orderkey AS document_id, CASE WHEN l_returnflag = 'A' THEN 'items.qty' ELSE 'title' END AS field, 'RULE-' || l_linenumber AS rule_id FROM lineitem)"""
 
 
 @query("SELECT id, a.document_id, coalesce(field, '-') AS field, coalesce(rule_id, 'NONE') AS rule_id FROM a LEFT JOIN log ON a.document_id = log.document_id AND starts_with(field, section)", _DEC)
@@ -84,7 +99,7 @@ def decision_records(spark: SparkSession, d: str) -> DataFrame:
     o = g.table(spark, d, "orders")
     section = F.when(F.col("o_orderkey") % 2 == 0, "items").otherwise("steps")
     a = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("document_id"), section.alias("section"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("pending").alias("status"))
-    log = g.table(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("document_id"), F.when(F.col("l_returnflag") == "A", "items.qty").otherwise("title").alias("field"), F.concat(F.lit("RULE-"), "l_linenumber").alias("rule_id"))
+    log = g.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.when(F.col("l_returnflag") == "A", "items.qty").otherwise("title").alias("field"), F.concat(F.lit("RULE-"), "l_linenumber").alias("rule_id"))
     return mining.decisions(a, log)
 
 
@@ -94,18 +109,31 @@ def golden_generate(spark: SparkSession, d: str) -> DataFrame:
     return mining.golden(g.table(spark, d, "part"), "p_partkey", {"title": F.col("p_name"), "word": F.split("p_name", " ")[0], "brand": F.lower("p_brand")}).withColumnRenamed("p_partkey", "document_id")
 
 
-@query("SELECT r_regionkey AS id, r_name AS name, false AS created FROM region UNION ALL SELECT -1, 'ATLANTIS', true")
+@query(
+    """SELECT name, coalesce(r_regionkey || '', 'reg_' || substr(sha256(name), 1, 12)) AS id, r_regionkey IS NULL AS created
+ FROM (SELECT DISTINCT name FROM (SELECT r_name AS name FROM region WHERE r_regionkey % 2 = 0 UNION ALL SELECT n_name FROM nation UNION ALL SELECT n_name FROM nation)) LEFT JOIN region ON r_name = name"""
+)
 def upsert_or_select(spark: SparkSession, d: str) -> DataFrame:
-    """Existing rows by name, and a new one for a name that is not there."""
-    known = g.table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
-    asked = known.select("name").union(spark.createDataFrame([("ATLANTIS",)], "name string"))
-    return asked.join(known, "name", "left").select(F.coalesce("id", F.lit(-1)).alias("id"), "name", F.col("id").isNull().alias("created"))
+    """Existing rows by name, and one new row with a deterministic id for each name that is not there."""
+    known = g.table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("name"))
+    nations = g.table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    asked = g.table(spark, d, "region").where("r_regionkey % 2 = 0").select(F.col("r_name").alias("name")).union(nations).union(nations)
+    return entities.upsert_or_select(known, asked, "name", "reg_")
+
 
+_BAKE = """bake AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Bake ' || CAST(l_quantity AS INT) || CASE l_returnflag WHEN 'A' THEN ' min' WHEN 'N' THEN ' minuti' ELSE ' minutes' END ||
+ ', rest ' || l_linenumber || 'h at ' || CAST(l_quantity AS INT) || CASE WHEN l_linenumber % 2 = 0 THEN ' °C.' ELSE ' degrees, 3 hands.' END AS step FROM lineitem)"""
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INT) || ' min' AS first_mention, 2::BIGINT AS n FROM lineitem WHERE l_linenumber = 1")
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, list_aggregate(regexp_extract_all(step, '(?i)-?\\d+(?:\\.\\d+)?\\s*(?:minuti|min\\b|ore|h\\b|secondi|sec\\b|s\\b)'), 'string_agg', '|') AS times, list_aggregate(regexp_extract_all(step, '(?i)-?\\d+(?:\\.\\d+)?\\s*(?:°C|gradi|degrees)\\b'), 'string_agg', '|') AS temperatures FROM bake", _BAKE)
 def mention_time_temp(spark: SparkSession, d: str) -> DataFrame:
-    """Time mentions of a step in order."""
-    q = F.col("l_quantity").cast("int").cast("string")
-    step = F.concat(F.lit("Wait "), q, F.lit(" min, then 2 ore at 180 degrees."))
-    m = numbers.mentions(step)
-    return g.table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey", F.get(m, F.lit(0)).alias("first_mention"), F.size(m).cast("long").alias("n"))
+    """Mentions of times and temperatures of a step in order; ``minutes`` and ``hands`` are none."""
+    q, even = F.col("l_quantity").cast("int"), F.col("l_linenumber") % 2 == 0
+    unit = F.when(F.col("l_returnflag") == "A", " min").when(F.col("l_returnflag") == "N", " minuti").otherwise(" minutes")
+    step = F.concat(F.lit("Bake "), q, unit, F.lit(", rest "), "l_linenumber", F.lit("h at "), q, F.when(even, " °C.").otherwise(" degrees, 3 hands."))
+    rows = g.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", numbers.mentions(step).alias("m"))
+
+    def of(name: str) -> Column:
+        return F.array_join(F.transform(F.filter("m", lambda x: x["property"] == name), lambda x: x["value"]), "|")
+
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", of("time").alias("times"), of("temperature").alias("temperatures"))

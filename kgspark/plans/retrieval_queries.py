@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,9 @@ from pyspark.sql.window import Window
 
 from kgspark.functions import text
 from kgspark.operators import retrieval
+from kgspark.sources import files
 from kgspark.sources import graph as g
+from kgspark.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,10 +61,10 @@ def document_context(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("l_orderkey").alias("document_id")).agg(F.countDistinct("p_partkey").alias("n_entities"), F.countDistinct("term_id").alias("n_terms"))
 
 
-@query("SELECT DISTINCT l_partkey AS entity_id, l_orderkey AS document_id, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey < 50")
+@query("SELECT DISTINCT l_partkey AS entity_id, l_orderkey AS document_id, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def documents_by_entity(spark: SparkSession, d: str) -> DataFrame:
     """J05, S03."""
-    rows = g.table(spark, d, "lineitem").where("l_partkey < 50").join(g.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = g.table(spark, d, "lineitem").join(g.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rows.select(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("document_id"), "o_orderpriority").distinct()
 
 
@@ -78,15 +82,20 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT id, reason, score FROM (SELECT id, printf('lang=%.2f ver=%.2f title=%.2f', l, v, t) AS reason, round((1 + l) * (1 + v) * (1 + t), 6) AS score FROM (SELECT id,
+    """SELECT id, reason, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, printf('lang=%.2f ver=%.2f title=%.2f', l, v, t) AS reason, round(cosine * (1 + l) * (1 + v) * (1 + t), 6) AS score FROM (SELECT id, cosine,
  CASE WHEN lang = 'en' THEN 0.10 ELSE 0 END::DOUBLE AS l, CASE verification_level WHEN 'L2' THEN 0.05 WHEN 'L3' THEN 0.10 ELSE 0 END::DOUBLE AS v,
- 0.15::DOUBLE * len(list_intersect(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')), ['the', 'of', 'thing'])) / 3 AS t FROM doc))""",
-    g.DOCUMENT,
+ 0.15::DOUBLE * len(list_intersect(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')), ['the', 'of', 'thing'])) / 3 AS t
+ FROM doc JOIN (SELECT e.vec_id, list_cosine_similarity(e.v, q.v) AS cosine FROM e JOIN e q ON q.vec_id = 0) ON vec_id = id)) ORDER BY score DESC, id LIMIT 25""",
+    g.DOCUMENT, _EMB,
 )
 def rank_boosted(spark: SparkSession, d: str) -> DataFrame:
-    """Boosts by language, verification and title, with their reason."""
-    rows = retrieval.boosted(g.documents(spark, d).withColumn("cosine", F.lit(1.0)), "the of thing", "en")
-    return rows.select("id", "reason", "score")
+    """The 25 best documents by the cosine of their vectors with the first one, boosted by language, verification
+    and title, with the reason."""
+    e = g.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = F.broadcast(e.where("vec_id = 0").select(F.col("v").alias("asked"), F.lit(1).alias("k")).limit(1))
+    near = e.withColumn("k", F.lit(1)).join(asked, "k").select(F.col("vec_id").alias("id"), retrieval.cosine(F.col("v"), F.col("asked")).alias("cosine"))
+    best = retrieval.boosted(g.documents(spark, d).join(near, "id"), "the of thing", "en").orderBy(F.desc("score"), "id").limit(25)
+    return best.select("id", "reason", "score", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long").alias("rank"))
 
 
 @query("SELECT round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 9) AS recall, count(*) AS n FROM (SELECT item_id, bool_or(contains(d.text, b.text)) AS hit FROM benchmark b JOIN documents d ON true GROUP BY item_id)")
@@ -94,16 +103,18 @@ def recall_of_passages(spark: SparkSession, d: str) -> DataFrame:
     """The share of benchmark passages that some document holds, found by their first five words and then compared."""
     head = F.regexp_extract(F.col("text"), "^(?:\\S+\\s+){4}\\S+", 0)
     b = g.table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), head.alias("head"))
-    docs = g.table(spark, d, "documents").select("text")
+    docs = g.table(spark, d, "documents").select("doc_id", "text")
 
     def grams(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, 5), " "))
-
-    # One element, so that the text is split once.
-    lines = docs.select("text", F.explode(F.flatten(F.transform(F.array(F.split("text", " ")), grams))).alias("head"))
-    # A passage may begin behind a line end, so heads are cut there too.
-    lines = lines.withColumn("head", F.element_at(F.split("head", "\n"), -1)).where(F.length("head") > 0)
-    hits = b.join(lines.where(F.size(F.split("head", " ")) == 5).select("text", F.col("head")), "head").where(F.contains("text", F.col("passage"))).select("item_id").distinct()
+        heads = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 5, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, 5), " "))
+        # A passage may begin behind a line end, so heads are cut there too.
+        cut = F.transform(heads, lambda h: F.element_at(F.split(h, "\n"), -1))
+        return F.array_distinct(F.filter(cut, lambda h: F.size(F.split(h, " ")) == 5))
+
+    # One element, so that the text is split once. Texts are fetched for the documents that a head points to alone.
+    heads = docs.select("doc_id", F.explode(F.flatten(F.transform(F.array(F.split("text", " ")), grams))).alias("head"))
+    pointed = heads.join(b.select("item_id", "head", "passage"), "head").select("doc_id", "item_id", "passage").distinct()
+    hits = pointed.join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("item_id").distinct()
     return b.join(hits.withColumn("hit", F.lit(1.0)), "item_id", "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 9).alias("recall"), F.count("*").alias("n"))
 
 
@@ -113,18 +124,38 @@ def terms_list_ordered(spark: SparkSession, d: str) -> DataFrame:
     return g.terms(spark, d).orderBy("id").select("id", "namespace")
 
 
-@query("SELECT p_partkey AS id, replace(p_name, ' ', '_') AS name FROM part")
+@query("SELECT p_partkey AS id, replace(p_name, ' ', '_') || CASE p_size % 4 WHEN 3 THEN '.pyc' ELSE '' END AS name FROM part")
 def display_names(spark: SparkSession, d: str) -> DataFrame:
-    """T19."""
-    raw = F.concat(F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("()"))
+    """Methods, modules, plain names and a name that only looks like a module's, by the size of the part."""
+    name, k = F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_size") % 4
+    raw = F.when(k == 0, F.concat(F.lit("."), name, F.lit("()"))).when(k == 1, F.concat(name, F.lit(".py"))).when(k == 2, F.concat(F.lit(" "), name, F.lit(" "))).otherwise(F.concat(name, F.lit(".pyc")))
     return g.table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.display_name(raw).alias("name"))
 
 
-@query("SELECT DISTINCT source, lang FROM documents")
+@query(
+    """SELECT 'edge' AS kind, 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation WHERE n_nationkey % 5 NOT IN (1, 2)
+ UNION ALL SELECT 'node', 'n' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'n' || n_nationkey END FROM nation
+ UNION ALL SELECT 'node', 'r' || r_regionkey, r_name FROM region
+ UNION ALL SELECT 'violation', 'EDGE_WITHOUT_END', 'n' || n_nationkey FROM nation WHERE n_nationkey % 5 = 1
+ UNION ALL SELECT 'violation', 'NODE_WITHOUT_ID', n_name FROM nation WHERE n_nationkey % 7 = 0
+ UNION ALL SELECT DISTINCT 'source', 'src_' || substr(sha256(f), 1, 24), f FROM (SELECT 'nation' || n_regionkey || '.py' AS f FROM nation)"""
+)
 def import_node_link(spark: SparkSession, d: str) -> DataFrame:
-    """Sources registered once each from nodes and links."""
-    nodes = g.table(spark, d, "documents").select("source", "lang")
-    return nodes.union(nodes).where("source IS NOT NULL AND source <> ''").distinct()
+    """A node-link file with labels, ids and ends missing here and there, read back and registered."""
+    n, r = g.table(spark, d, "nation"), g.table(spark, d, "region")
+    own, k = F.concat(F.lit("n"), "n_nationkey"), F.col("n_nationkey")
+    file = F.concat(F.lit("nation"), "n_regionkey", F.lit(".py"))
+    node = n.select(F.struct(own.alias("id"), F.when(k % 2 == 0, F.col("n_name")).alias("label"), file.alias("source_file")).alias("x"))
+    node = node.union(r.select(F.struct(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("label"), F.lit(None).cast("string").alias("source_file"))))
+    node = node.union(n.where("n_nationkey % 7 = 0").select(F.struct(F.lit(None).cast("string").alias("id"), F.col("n_name").alias("label"), file.alias("source_file"))))
+    target = F.when(k % 5 == 2, "nowhere").when(k % 5 != 1, F.concat(F.lit("r"), "n_regionkey"))
+    link = n.select(F.struct(own.alias("source"), target.alias("target"), file.alias("source_file")).alias("x"))
+    both = node.agg(F.collect_list("x").alias("nodes")).withColumn("k", F.lit(1)).join(link.agg(F.collect_list("x").alias("links")).withColumn("k", F.lit(1)), "k")
+    path = f"{shared_dir(spark)}/node-link-{uuid.uuid4().hex}"
+    both.select(F.to_json(F.struct("nodes", "links"))).coalesce(1).write.text(path)
+    nodes, edges, violations = files.node_link(spark, path)
+    parts = [edges.select(F.lit("edge"), "source", "target"), nodes.select(F.lit("node"), "id", "label"), violations.select(F.lit("violation"), "code", "what"), files.registered(nodes, edges).select(F.lit("source"), "id", "uri")]
+    return reduce(DataFrame.union, parts).toDF("kind", "a", "b")
 
 
 @query("SELECT namespace, term, row_number() OVER (PARTITION BY namespace ORDER BY length(term) DESC, term) AS nth FROM term", g.TERM)

@@ -25,7 +25,6 @@ def query(sql: str | None = None, *ctes: str):
     return add
 
 
-_WORDS = "list_filter(regexp_extract_all(lower(text), '\\p{L}+'), lambda w: true)"
 _SCORE = ", ".join(
     f"len(list_filter(w, lambda x: x IN ({', '.join(repr(m) for m in language.MARKERS[lang].split())})))"
     + "".join(f" + (CASE WHEN contains(t, '{c}') THEN 1 ELSE 0 END)" for c in language.ACCENTS.get(lang, ""))
@@ -36,7 +35,7 @@ _SCORE = ", ".join(
 
 @query(
     f"""SELECT doc_id, CASE WHEN trim(t) = '' OR greatest(en, fr, de, it, es) = 0 OR en = greatest(en, fr, de, it, es) THEN 'en' WHEN fr = greatest(fr, de, it, es) THEN 'fr' WHEN de = greatest(de, it, es) THEN 'de' WHEN it >= es THEN 'it' ELSE 'es' END AS detected
- FROM (SELECT doc_id, t, {_SCORE} FROM (SELECT doc_id, lower(text) AS t, {_WORDS} AS w FROM documents))"""
+ FROM (SELECT doc_id, t, {_SCORE} FROM (SELECT doc_id, t, regexp_extract_all(t, '\\p{{L}}+') AS w FROM (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents)))"""
 )
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
     """T16."""
@@ -53,38 +52,35 @@ def localize_flags(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT conv_id, turn, regexp_extract(trim(text), '(?s)^.*?(?:[.!?](?:\\s|$)|$)') AS sentence FROM conversations WHERE text NOT LIKE '%\n%'")
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(trim(text), '[.!?]\\s') THEN regexp_extract(trim(text), '(?s)^(.*?[.!?])\\s', 1) ELSE trim(text) END AS sentence FROM conversations")
 def first_sentence_title(spark: SparkSession, d: str) -> DataFrame:
-    """The first sentence of one-line turns, with the space that ends it."""
-    rows = g.table(spark, d, "conversations").where(~F.contains("text", F.lit("\n")))
-    return rows.select("conv_id", "turn", F.regexp_extract(F.trim("text"), "(?s)^.*?(?:[.!?](?:\\s|$)|$)", 0).alias("sentence"))
+    """The first sentence of every turn."""
+    return g.table(spark, d, "conversations").select("conv_id", "turn", text.first_sentence(F.col("text")).alias("sentence"))
 
 
 _TOK = "tok AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS token FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}\\p{N}]+)?') AS w FROM documents))"
 
 
-def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return g.table(spark, d, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token"))
-
-
-@query("SELECT doc_id, count(*) AS n_tokens, count(DISTINCT token) AS n_distinct FROM tok GROUP BY doc_id", _TOK)
+@query("SELECT doc_id, count(token) AS n_tokens, count(DISTINCT token) AS n_distinct FROM documents LEFT JOIN tok USING (doc_id) GROUP BY doc_id", _TOK)
 def tokens_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    """X05, N10."""
-    return _tokens(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.countDistinct("token").alias("n_distinct"))
+    """Counted inside the row."""
+    sizes = F.transform(F.array(text.tokens(F.col("text"))), lambda t: F.struct(F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct")))
+    return g.table(spark, d, "documents").select("doc_id", F.inline(sizes))
 
 
-@query("SELECT token, count(DISTINCT doc_id) AS df, round(ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) + 1, 6) AS idf FROM tok GROUP BY token HAVING count(DISTINCT doc_id) > 1", _TOK)
+@query("SELECT token, count(DISTINCT doc_id) AS df, round(ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) + 1, 6) AS idf FROM tok GROUP BY token", _TOK)
 def idf_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    """Document frequency and smooth inverse of tokens in more than one document."""
-    n = g.table(spark, d, "documents").agg(F.count("*").alias("n"))
-    df = _tokens(spark, d).distinct().groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    return df.join(F.broadcast(n)).select("token", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
+    """Document frequency and smooth inverse; a document's tokens are made distinct in its row, so only counts move."""
+    docs = g.table(spark, d, "documents")
+    n = docs.agg(F.count("*")).scalar()
+    df = docs.select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return df.select("token", "df", F.round(F.log((n + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
 
 
-@query("SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY ALL HAVING count(*) > 3", _TOK)
+@query("SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY ALL", _TOK)
 def term_frequency(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens found more than three times in a document."""
-    return _tokens(spark, d).groupBy("doc_id", "token").agg(F.count("*").alias("tf")).where("tf > 3")
+    """How often each token is found in each document, without a shuffle."""
+    return g.table(spark, d, "documents").select("doc_id", F.inline(text.counted(text.tokens(F.col("text")))))
 
 
 @query("SELECT p_partkey, CAST(('0x' || substr(sha256(p_name), 1, 16))::UBIGINT % 384 AS BIGINT) AS bucket, CASE WHEN (('0x' || substr(sha256(p_name), 1, 16))::UBIGINT // 2) % 2 = 1 THEN 1 ELSE -1 END AS sign FROM part")
@@ -109,7 +105,11 @@ def hash_incremental(spark: SparkSession, d: str) -> DataFrame:
     return now.join(cache, ["doc_id", "digest"], "left_anti")
 
 
-@query("SELECT doc_id, len(n) AS n_numbers, coalesce(n[1], '') AS first_number FROM (SELECT doc_id, list_filter(flatten(list_transform(string_split(text, chr(10)), lambda x: regexp_extract_all(regexp_replace(x, '^\\s*\\d+\\.\\s+', ''), '\\d+(?:[.,]\\d+)?'))), lambda x: NOT regexp_full_match(x, '0+')) AS n FROM documents)")
+# RE2 has no lookarounds: signs after a word character become spaces and separators are doubled, so each match has its own.
+_PLAIN_LINE = "regexp_replace(regexp_replace(regexp_replace(x, '^\\s*\\d+\\.\\s+', ''), '([\\p{L}\\p{N}_.])-', '\\1 ', 'g'), '([^\\p{L}\\p{N}_.-])', '\\1\\1', 'g')"
+
+
+@query(f"SELECT doc_id, len(n) AS n_numbers, coalesce(n[1], '') AS first_number FROM (SELECT doc_id, list_filter(flatten(list_transform(string_split(regexp_replace(text, '(?s)\\A---\\s*\\n.*?\\n---\\s*\\n?', ''), chr(10)), lambda x: regexp_extract_all({_PLAIN_LINE}, '(?:^|[^\\p{{L}}\\p{{N}}_.])(-?\\d+(?:\\.\\d+)?)(?:$|[^\\p{{L}}\\p{{N}}_.])', 1))), lambda x: NOT regexp_full_match(x, '0+')) AS n FROM documents)")
 def numbers_extract(spark: SparkSession, d: str) -> DataFrame:
     """M01."""
     rows = g.table(spark, d, "documents").select("doc_id", numbers.numbers(F.col("text")).alias("n"))
@@ -128,18 +128,20 @@ def unit_convert(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "unit", numbers.convert(F.col("l_quantity"), F.col("factor"), None).cast("long").alias("quantity"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(l_quantity * 10 AS BIGINT) || '' AS scaled FROM lineitem WHERE l_discount = 0")
+@query("SELECT l_orderkey, l_linenumber, regexp_replace(regexp_replace(CAST(CAST(l_quantity AS DECIMAL(18,2)) * CAST(2.125 AS DECIMAL(4,3)) AS DECIMAL(18,3)) || '', '0+$', ''), '\\.$', '') AS scaled FROM lineitem")
 def dose_scale(spark: SparkSession, d: str) -> DataFrame:
-    """Quantities scaled to ten servings, written without trailing zeros."""
-    scaled = numbers.quantity_text(F.col("l_quantity").cast("decimal(18,4)") * F.lit(10))
-    return g.table(spark, d, "lineitem").where("l_discount = 0").select("l_orderkey", "l_linenumber", scaled.alias("scaled"))
+    """Quantities scaled by a factor with decimals, written without trailing zeros."""
+    scaled = numbers.quantity_text(F.col("l_quantity").cast("decimal(18,2)") * F.lit("2.125").cast("decimal(4,3)"))
+    return g.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scaled.alias("scaled"))
 
 
-@query("SELECT p_partkey, regexp_replace(trim(p_name), '\\s+', ' ', 'g') AS item FROM part")
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 1 THEN 'l' || chr(39) || p_name WHEN 2 THEN p_name || ' dietro' ELSE p_name END AS item FROM part")
 def item_clean_split(spark: SparkSession, d: str) -> DataFrame:
-    """``(2 kg) di small  e ring`` cleans to the plain name."""
-    w = F.split("p_name", " ")
-    raw = F.concat(F.lit("di "), w[0], F.lit(" (2 kg) e "), w[1])
+    """Parentheses, connectors, apostrophes and spaces by the size of the part; words that begin like a
+    connector stay."""
+    w, k = F.split("p_name", " "), F.col("p_size") % 4
+    raw = F.when(k == 0, F.concat(F.lit("di "), w[0], F.lit(" (2 kg) e "), w[1])).when(k == 1, F.concat(F.lit("l’"), w[0], F.lit("   "), w[1], F.lit(" (a, b) ")))
+    raw = raw.when(k == 2, F.concat(F.lit("E "), w[0], F.lit(" DI "), w[1], F.lit(" dietro"))).otherwise(F.concat(F.lit("  "), F.col("p_name")))
     return g.table(spark, d, "part").select("p_partkey", text.clean_item(raw).alias("item"))
 
 

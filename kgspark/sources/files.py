@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: File extensions by job type, and folders that are never read.
-EXTENSIONS = {"code": ("py", "js", "ts", "go", "rs", "java"), "document": ("md", "txt", "rst"), "image": ("png", "jpg", "jpeg")}
-SKIPPED = (".git", "node_modules", "__pycache__", ".venv")
+EXTENSIONS = {
+    "code": ("py", "pyi", "js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts", "go", "java", "c", "h", "cc", "cpp", "cxx", "hh", "hpp", "hxx"),
+    "document": ("md", "markdown", "txt", "rst", "text"),
+    "image": ("png", "jpg", "jpeg", "gif", "webp"),
+}
+SKIPPED = (".git", ".venv", "__pycache__", ".pytest_cache", ".ruff_cache", "node_modules", ".mypy_cache")
 _TEXT = T.StringType()
 NODE = T.StructType([T.StructField(c, _TEXT) for c in ("id", "label", "file_type", "source_file", "source_location")])
 LINK = T.StructType([T.StructField(c, _TEXT) for c in ("source", "target", "relation", "confidence", "source_file", "source_location")])
@@ -16,11 +20,13 @@ GRAPH = T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("
 
 
 def scan_files(spark: SparkSession, root: str, job_type: str) -> DataFrame:
-    """Path, modificationTime, length, content of a job type's files below a folder, skipped folders left out."""
+    """Path, modificationTime, length, content of a job type's files below a folder, by path; skipped folders left out."""
+    if job_type not in EXTENSIONS:
+        raise ValueError(f"unsupported job type {job_type!r}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     kind = F.lower(F.regexp_extract("path", "\\.([^./]+)$", 1)).isin(*EXTENSIONS[job_type])
     skip = F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED)))
-    return files.where(kind & ~skip)
+    return files.where(kind & ~skip).orderBy("path")
 
 
 def digests(files: DataFrame) -> DataFrame:

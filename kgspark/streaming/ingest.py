@@ -35,20 +35,30 @@ def drained(stream: DataFrame, mode: str = "append", where: str | None = None) -
     return spark.read.schema(stream.schema).parquet(f"{where}/rows")
 
 
-def changed(stream: DataFrame, key: str, digest: str) -> DataFrame:
-    """The first row of each key and content digest."""
-    return stream.dropDuplicates([key, digest])
+def changed(stream: DataFrame, key: str, digest: str, ts: str | None = None, late: str = "7 days") -> DataFrame:
+    """The first row of each key and content digest.
+
+    With an event time ``ts`` what was seen is forgotten ``late`` after it, so state does not grow for ever.
+    """
+    if ts is None:
+        return stream.dropDuplicates([key, digest])
+    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key, digest])
+
+
+def _by_time(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(batches)).sort_values(["ts", "seq"])
 
 
 def versions(stream: DataFrame) -> DataFrame:
     """logical_id, value, valid_from, valid_to of every version that a later row of its logical id closes.
 
     stream: logical_id, value, ts, seq. The open version is state. Rows older than the state's open version were late:
-    they follow it in arrival order, with the version closed at its own time.
+    they follow it in arrival order, with the version closed at its own time. A key's rows of one batch are held together
+    to be put in order; ``read_stream`` bounds a batch by its number of files.
     """
 
     def close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        rows = _by_time(batches)
         ts, values = list(rows["ts"]), list(rows["value"])
         if state.exists:
             value, start = state.get
@@ -62,18 +72,21 @@ def versions(stream: DataFrame) -> DataFrame:
     return stream.groupBy("logical_id").applyInPandasWithState(close, out, "value string, valid_from timestamp_ntz", "append", GroupStateTimeout.NoTimeout)
 
 
-def token_bucket(stream: DataFrame, rate: float) -> DataFrame:
-    """Seq, allowed: each key's bucket holds 2 * rate tokens, fills by ``rate`` a second, and a row takes one.
+def token_bucket(stream: DataFrame, rate: float, most: float | None = None) -> DataFrame:
+    """Seq, allowed: each key's bucket holds ``most`` (2 * rate) tokens, fills by ``rate`` a second, and a row takes one.
 
-    stream: key, ts, seq.
+    stream: key, ts, seq. A bucket that can hold no whole token would let nothing pass, so that is an error.
     """
+    most = 2 * rate if most is None else most
+    if most < 1:
+        raise ValueError("a bucket has to hold a token")
 
     def consume(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        tokens, last = state.get if state.exists else (2 * rate, None)
+        rows = _by_time(batches)
+        tokens, last = state.get if state.exists else (most, None)
         allowed = []
         for t in (rows["ts"] - pd.Timestamp(0)).dt.total_seconds():
-            tokens = min(2 * rate, tokens + (0 if last is None else max(0.0, t - last) * rate))
+            tokens = min(most, tokens + (0 if last is None else max(0.0, t - last) * rate))
             last = t
             allowed.append(tokens >= 1)
             tokens -= allowed[-1]

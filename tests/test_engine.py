@@ -14,8 +14,10 @@ VIEWER, ADMIN = Principal("u", ("viewer",), (), "t1"), Principal("a", ("admin",)
 def engine(spark, sf):
     docs = g.documents(spark, sf).withColumns({"is_public": F.col("id") % 2 == 0, "roles": F.lit(None).cast("array<string>"), "teams": F.lit(None).cast("array<string>"), "tenant": F.lit(None).cast("string")})
     links = docs.select(F.col("id").alias("document_id"), (F.col("id") % 7).alias("entity_id"), F.concat(F.lit("t:"), F.col("id") % 3).alias("term_id"))
+    none = F.lit(None)
+    terms = spark.range(3).select(F.concat(F.lit("t:"), "id").alias("id"), F.lit("n").alias("namespace"), F.concat(F.lit("term user_1 "), "id").alias("term"), (F.col("id") != 2).alias("is_public"), none.cast("array<string>").alias("roles"), none.cast("array<string>").alias("teams"), none.cast("string").alias("tenant"))
     edges = g.entities(spark, sf).select(F.col("id").alias("source_id"), ((F.col("id") + 1) % 15).alias("target_id"), F.lit("knows").alias("relation"))
-    return KnowledgeEngine(g.entities(spark, sf), g.facts(spark, sf), g.sources(spark, sf), edges, docs, g.terms(spark, sf), links)
+    return KnowledgeEngine(g.entities(spark, sf), g.facts(spark, sf), g.sources(spark, sf), edges, docs, terms, links)
 
 
 def now():
@@ -33,6 +35,7 @@ def test_reads_hide_what_a_principal_may_not_see(engine):
 def test_search_is_filtered_first(engine):
     mine, everything = (engine.search(p, "user_1").where("match_type = 'entity'").count() for p in (VIEWER, ADMIN))
     assert 0 < mine < everything
+    assert [{r.id for r in engine.search(p, "user_1").where("match_type = 'term'").collect()} for p in (VIEWER, ADMIN)] == [{"t:0", "t:1"}, {"t:0", "t:1", "t:2"}]
 
 
 def test_approved_conflicts_do_not_come_back(engine):
@@ -58,5 +61,6 @@ def test_retrieval_finds_a_document_by_its_text(engine):
 
 
 def test_glossary_groups_entities_by_document(engine):
+    assert engine.glossary(VIEWER, "t:2").count() == 0 < engine.glossary(ADMIN, "t:2").count()
     rows = engine.glossary(VIEWER, "t:1").collect()
     assert rows and all(r.id % 2 == 0 and r.id % 3 == 1 and r.entities == [r.id % 7] for r in rows)
