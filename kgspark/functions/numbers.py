@@ -43,3 +43,9 @@ def quantity_text(quantity: Column) -> Column:
     """At most three decimals, no trailing zeros."""
     text = F.round(quantity, 3).cast("decimal(38,3)").cast("string")
     return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
+
+
+def convert_float(quantity: Column, factor: Column, places: int | None) -> Column:
+    """The same in doubles, rounded half to even."""
+    product = quantity.cast("double") * factor.cast("double")
+    return product if places is None else F.bround(product, places)

@@ -1,4 +1,4 @@
-"""Entities and sources by name: found, or made with a deterministic id."""
+"""Entities and sources by name: found, or made with a deterministic id."""
 
 from __future__ import annotations
 
@@ -43,3 +43,8 @@ def sources_upserted(sources: DataFrame, batch: DataFrame) -> DataFrame:
 def listed(rows: DataFrame) -> DataFrame:
     """Visible rows by id; filter them first."""
     return rows.orderBy("id")
+
+
+def sample(rows: DataFrame, name: str, n: int) -> DataFrame:
+    """The first ``n`` rows by name, the same ones at every run."""
+    return rows.orderBy(name).limit(n)

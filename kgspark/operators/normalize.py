@@ -78,6 +78,14 @@ def parse(md: Column, units: tuple[str, ...]) -> Column:
     return F.struct(fm.alias("fm"), items.alias("items"), steps.alias("steps"))
 
 
+def translation_input(doc: Column, items: str = "## Ingredienti", steps: str = "## Procedimento") -> Column:
+    """Title and sections without front matter or a line end after them, as a translator gets them."""
+    rows = F.transform(doc["items"], lambda x: F.concat_ws(" ", F.lit("-"), x["qty"], x["unit"], x["item"]))
+    numbered = F.transform(doc["steps"], lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x))
+    title = F.coalesce(F.element_at(doc["fm"], "title"), F.lit(""))
+    return F.array_join(F.concat(F.array(title, F.lit(""), F.lit(items)), rows, F.array(F.lit(""), F.lit(steps)), numbered), "\n")
+
+
 def render(doc: Column) -> Column:
     """The inverse of ``parse``, with fixed key order and one closing line end."""
     head = F.concat(*[F.concat(F.lit(f"{k}: "), F.element_at(doc["fm"], k), F.lit("\n")) for k in KEYS])
