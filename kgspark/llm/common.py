@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
@@ -84,6 +86,13 @@ def joined(rows: DataFrame, one: DataFrame, *key: str, how: str = "inner", sizes
     return spread.unionByName(rows.join(hot, keys, "left_anti").join(one.join(hot, keys, "left_anti"), keys, how))
 
 
+def released() -> None:
+    """Give freed memory back at the end of a task: Python workers are reused, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Parts of at most ``rows`` rows and, but for a longer single row, ``most`` bytes of ``column``."""
     sizes = pc.binary_length(batch.column(column)).to_pylist()
@@ -106,6 +115,7 @@ def squeezed(df: DataFrame) -> DataFrame:
         for batch in batches:
             cols = [pa.array([squeeze(t.encode()) for t in c.to_pylist()], pa.binary()) if f.name == "text" else c for f, c in zip(fields, batch.columns, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+        released()
 
     return df.mapInArrow(run, T.StructType(fields))
 

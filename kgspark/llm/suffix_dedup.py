@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import documents, joined, slices, squeezed, stored, table, unsqueezed
+from kgspark.llm.common import documents, joined, released, slices, squeezed, stored, table, unsqueezed
 
 SPAN, GRAM, SHALLOW = 50, 24, 16
 WIDE = SPAN - GRAM + 1
@@ -190,6 +190,8 @@ def _sent(parts: int, bits: int):
                     keys, who, k1, k2, n, docs = [], [], [], [], 0, 0
         if n:
             yield flush(*map(np.concatenate, (keys, who, k1, k2)))
+        del keys, who, k1, k2
+        released()
 
     return run
 
@@ -202,9 +204,10 @@ def _told(table_: pa.Table) -> pa.Table:
 
     One row more has ``often``: pairs of a key and how many texts it is told to here.
     """
+    released()
     texts, keys, who, sure = [], [], [], []
     n = 0
-    for row in table_.to_pylist():
+    for row in (r for b in table_.to_batches(max_chunksize=64) for r in b.to_pylist()):
         k = np.cumsum(_unplaned(row["keys"], np.uint64))
         own = np.frombuffer(row["k1"], np.uint64), np.frombuffer(row["k2"], np.uint64)
         texts.append(own)
@@ -277,6 +280,7 @@ def _contexts(bits: int):
                     ],
                     names=["key", "short", "bytes", "id", "k1", "k2", "start"],
                 )
+        released()
 
     return run
 
@@ -460,6 +464,8 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         for a in _parts(t.column("key").to_numpy()):
             yield from done(t.slice(a[0], a[1] - a[0]))
+        del t, held
+    released()
 
 
 def _parts(key: np.ndarray) -> list[tuple[int, int]]:
@@ -541,7 +547,7 @@ def _cut(docs: DataFrame, hot: int, last: str, made) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 1 << 19)):
             rows = []
             for b, spans, copy in zip(unsqueezed(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 runs = [(0, len(b))] if copy and len(b) >= SPAN else _united(spans).tolist() if spans and not copy else []
@@ -550,6 +556,7 @@ def _cut(docs: DataFrame, hot: int, last: str, made) -> DataFrame:
                 rows.append((len(b), len(b) - len(rest), len(runs), made(rest)))
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", last.split()[0]])
+        released()
 
     return repeated_spans(docs, hot).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {last}")
 
