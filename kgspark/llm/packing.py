@@ -109,14 +109,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each document lies."""
     spark = docs.sparkSession
-    cut = stored(pieces(documents(docs), path or tokenizer_path(), capacity), "pieces")
+    # Rows are numbered in the table, so that repeated ones are spread over shares too.
+    cut = stored(pieces(documents(docs), path or tokenizer_path(), capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
     most = max(64, min(SHARE, sum(histogram.values()) // 1000))
     shares = F.broadcast(spark.createDataFrame([(n, -(-c // most)) for n, c in histogram.items()], "length long, shares int"))
-    salted = cut.join(shares, "length").withColumn("share", F.expr("pmod(xxhash64(doc_id, piece, start, ids_crc32), shares)"))
+    salted = cut.join(shares, "length").withColumn("share", F.expr("pmod(xxhash64(row), shares)"))
     by = Window.partitionBy("length").orderBy("share")
     before = salted.groupBy("length", "share").count().select("length", "share", (F.sum("count").over(by) - F.col("count")).alias("before"))
-    within = Window.partitionBy("length", "share").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "share").orderBy("row")
     ranked = (
         salted.withColumn("nth", F.row_number().over(within) - 1)
         .join(before, ["length", "share"])

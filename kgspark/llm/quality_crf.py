@@ -143,19 +143,30 @@ def marginals(score: np.ndarray, move: np.ndarray, doc: np.ndarray) -> tuple[np.
     return good, pairs
 
 
+def seen(cols: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each feature goes with a good line, and each label follows each other one inside a document."""
+    inner = ~np.r_[True, doc[1:] != doc[:-1]]
+    y = label.astype(int)
+    moves = np.zeros((2, 2))
+    np.add.at(moves, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1)
+    return np.bincount(cols.ravel(), np.repeat(label, cols.shape[1]), WIDTH), moves
+
+
+def gradient(w: np.ndarray, move: np.ndarray, cols: np.ndarray, doc: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the conditional log-likelihood: counts seen less counts expected."""
+    good, pairs = marginals(w[cols].sum(1), move, doc)
+    return counts[0] - np.bincount(cols.ravel(), np.repeat(good, cols.shape[1]), WIDTH), counts[1] - pairs.sum(0)
+
+
 def fit(bins: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and moves that maximize the regularized conditional likelihood (Adam, full gradient)."""
     cols = _columns(bins, doc)
+    counts = seen(cols, doc, label)
     w, move = np.zeros(WIDTH), np.zeros((2, 2))
-    inner = ~np.r_[True, doc[1:] != doc[:-1]]
-    y = label.astype(int)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1)
-    truth = np.bincount(cols.ravel(), np.repeat(label, cols.shape[1]), WIDTH)
     m = v = np.zeros(WIDTH + 4)
     for step in range(1, STEPS + 1):
-        good, pairs = marginals(w[cols].sum(1), move, doc)
-        grad = np.r_[truth - np.bincount(cols.ravel(), np.repeat(good, cols.shape[1]), WIDTH), (seen - pairs.sum(0)).ravel()] / len(label)
+        by_w, by_move = gradient(w, move, cols, doc, counts)
+        grad = np.r_[by_w, by_move.ravel()] / len(label)
         grad -= DECAY * np.r_[w, move.ravel()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         delta = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -181,7 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("quality"), pa.array(blobs, pa.binary())], names=["id", "quality", "bins"])
 
     met = documents(docs).join(chosen, "doc_id").select(F.xxhash64("doc_id").alias("id"), F.col("quality").cast("int").alias("quality"), "text")
-    rows = sorted((r for r in met.mapInArrow(run, "id long, quality int, bins binary").collect() if r.bins), key=lambda r: (r.id, bytes(r.bins)))
+    # One row for each chosen doc_id, also where it stands in several rows.
+    once = met.mapInArrow(run, "id long, quality int, bins binary").groupBy("id", "quality").agg(F.min("bins").alias("bins"))
+    rows = sorted((r for r in once.collect() if r.bins), key=lambda r: (r.id, bytes(r.bins)))
     if not rows:
         return None
     bins = [np.frombuffer(r.bins, np.uint8).reshape(-1, N) for r in rows]
