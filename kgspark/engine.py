@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
-from kgspark.operators import conflicts, facts, relations, retrieval, truth
+from kgspark.operators import conflicts, entities, facts, relations, retrieval, review, truth
 from kgspark.operators.visibility import DIMENSIONS, Principal, visible, visible_rows, with_parent
 from kgspark.sources.shared import stored
 
@@ -103,6 +103,41 @@ class KnowledgeEngine:
         row = visible_rows(self.documents.where(F.col("id") == F.lit(document_id)), principal)
         return row.withColumn("untranslated", text.untranslated_document(lang, F.col("lang"), F.col("translation_state")))
 
+    def get(self, principal: Principal, table: str, key) -> DataFrame:
+        """The visible row of ``entities``, ``documents``, ``terms`` or ``sources`` with an id; no row for any other."""
+        rows: DataFrame = getattr(self, table)
+        return self._seen(rows.where(F.col("id") == F.lit(key)), principal)
+
+    def list_documents(self, principal: Principal) -> DataFrame:
+        """GET /documents."""
+        return entities.listed(visible_rows(self.documents, principal))
+
+    def list_terms(self, principal: Principal) -> DataFrame:
+        """GET /terms."""
+        return entities.listed(self._seen(self.terms, principal))
+
+    def search_terms(self, principal: Principal, query: str) -> DataFrame:
+        """GET /terms/search: visible terms that hold the query, shorter ones first."""
+        found = self._seen(self.terms, principal).where(F.contains(text.folded(F.col("term")), text.folded(F.lit(query))))
+        return found.orderBy(F.length("term"), "id")
+
+    def retrieve_code(self, principal: Principal, query: str, limit: int = 5) -> DataFrame:
+        """POST /code/query: retrieval over documents of code, which are in English."""
+        return self.retrieve(principal, query, "en", limit)
+
+    def review_conflicts(self, queue: DataFrame, decisions: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """POST /conflicts/{id}/approve with a queue: facts, queue, audit rows, refused decisions."""
+        return review.approved(self.facts, queue, decisions, now)
+
+    def retract_source(self, source_id, edges: DataFrame, reason: str, user: str, now: Column, depth: int = 3) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """POST /sources/{id}/invalidate with a reason: facts, sources, report, audit row."""
+        return review.invalidated(self.facts, self.sources, source_id, edges, reason, user, now, depth)
+
+    def restore_document(self, snapshot: DataFrame) -> DataFrame:
+        """What brings a document's facts back to a snapshot of them."""
+        own = self.facts.join(snapshot.select("logical_id").distinct(), "logical_id", "left_semi")
+        return facts.reconcile(snapshot, own)
+
     @staticmethod
     def _seen(rows: DataFrame, principal: Principal) -> DataFrame:
         """Visible rows; a table without visibility columns has nothing to hide."""

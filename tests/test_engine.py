@@ -64,3 +64,19 @@ def test_glossary_groups_entities_by_document(engine):
     assert engine.glossary(VIEWER, "t:2").count() == 0 < engine.glossary(ADMIN, "t:2").count()
     rows = engine.glossary(VIEWER, "t:1").collect()
     assert rows and all(r.id % 2 == 0 and r.id % 3 == 1 and r.entities == [r.id % 7] for r in rows)
+
+
+def test_lists_and_lookups_show_visible_rows_in_order(engine):
+    ids = [r.id for r in engine.list_documents(VIEWER).select("id").collect()]
+    assert ids == sorted(ids) and all(i % 2 == 0 for i in ids)
+    assert [r.id for r in engine.list_terms(VIEWER).collect()] == ["t:0", "t:1"]
+    assert [r.id for r in engine.search_terms(ADMIN, "USER_1 2").collect()] == ["t:2"] and engine.search_terms(VIEWER, "user_1 2").count() == 0
+    assert engine.get(VIEWER, "documents", 2).count() == 1 and engine.get(VIEWER, "documents", 1).count() == 0
+    assert engine.get(VIEWER, "sources", 2).count() == 1
+
+
+def test_a_source_is_retracted_with_a_report(engine, spark):
+    edges = spark.createDataFrame([], "child string, parent string")
+    after, _, report, _ = engine.retract_source(2, edges, "wrong", "u", now(), 1)
+    assert after.where("source_id = 2 AND valid_to IS NULL AND status = 'valid'").count() == 0
+    assert {r.kind for r in report.select("kind").distinct().collect()} == {"invalidated", "under_review"}
