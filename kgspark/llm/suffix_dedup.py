@@ -45,7 +45,7 @@ HOT = 200_000
 #: Texts of one part that are told of a key, from which on the part counts it among those that may be hot.
 OFTEN = 16
 #: Contexts sorted together, and anchors sent together.
-BLOCK, FLUSH = 8_000, 500_000
+BLOCK, FLUSH = 8_000, 750_000
 LAST = 2**63 - 1
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -275,10 +275,10 @@ def _contexts(bits: int):
                         pa.array(a.key[pick].view(np.int64)),
                         pa.array((a.key[pick] >> _U(64 - bits)).view(np.int64)),
                         _binaries(a.data, first, last - first + SPAN),
-                        *(part.column(c).take(doc) for c in ("id", "k1", "k2")),
+                        *(part.column(c).take(doc) for c in ("id", "k1")),
                         pa.array(first - a.begins[a.doc[pick]]),
                     ],
-                    names=["key", "short", "bytes", "id", "k1", "k2", "start"],
+                    names=["key", "short", "bytes", "id", "k1", "start"],
                 )
         released()
 
@@ -386,20 +386,20 @@ def _tried(flat: np.ndarray, word: np.ndarray, place: np.ndarray, order: np.ndar
         ends = begins + n[n > 1]
 
 
-FOUND = "k1 long, k2 long, spans binary, bytes binary, id long, start long"
+FOUND = "k1 long, id long, spans binary, bytes binary, start long"
 
 
-def _spans(k1: np.ndarray, k2: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """One row for each text: its spans as pairs of 64-bit numbers."""
-    order = np.lexsort((begin, k2, k1))
-    k1, k2 = k1[order], k2[order]
+def _spans(k1: np.ndarray, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """One row for each text (by hash and smallest doc_id): its spans as pairs of 64-bit numbers."""
+    order = np.lexsort((begin, ids, k1))
+    k1, ids = k1[order], ids[order]
     pairs = np.stack([begin[order], end[order]], 1)
-    begins = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+    begins = np.flatnonzero(np.r_[True, (k1[1:] != k1[:-1]) | (ids[1:] != ids[:-1])])
     lens = np.diff(np.r_[begins, len(k1)]) * 16
     none = lambda t: pa.nulls(len(begins), t)
     return pa.RecordBatch.from_arrays(
-        [pa.array(k1[begins]), pa.array(k2[begins]), _binaries(np.frombuffer(pairs.astype(np.int64).tobytes(), np.uint8), begins * 16, lens), none(pa.binary()), none(pa.int64()), none(pa.int64())],
-        names=["k1", "k2", "spans", "bytes", "id", "start"],
+        [pa.array(k1[begins]), pa.array(ids[begins]), _binaries(np.frombuffer(pairs.astype(np.int64).tobytes(), np.uint8), begins * 16, lens), none(pa.binary()), none(pa.int64())],
+        names=["k1", "id", "spans", "bytes", "start"],
     )
 
 
@@ -430,7 +430,7 @@ def _runs(row: np.ndarray, s: np.ndarray, t: pa.Table | pa.RecordBatch) -> pa.Re
     ends = np.r_[np.flatnonzero(fresh)[1:], len(row)] - 1
     r = row[fresh]
     start = t.column("start").to_numpy()[r]
-    return _spans(t.column("k1").to_numpy()[r], t.column("k2").to_numpy()[r], start + s[fresh], start + s[ends] + SPAN)
+    return _spans(t.column("k1").to_numpy()[r], t.column("id").to_numpy()[r], start + s[fresh], start + s[ends] + SPAN)
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,7 +446,7 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = batch.column("hot").to_numpy(zero_copy_only=False)
         if hot.any():
             h = batch.filter(pa.array(hot))
-            names = ["k1", "k2", "spans", "bytes", "id", "start"]
+            names = ["k1", "id", "spans", "bytes", "start"]
             yield pa.RecordBatch.from_arrays([pa.nulls(h.num_rows, pa.binary()) if c == "spans" else h.column(c) for c in names], names=names)
             batch = batch.filter(pa.array(~hot))
         if batch.num_rows:
@@ -490,7 +490,7 @@ def _united(spans: list[np.ndarray]) -> np.ndarray:
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, text (zstd), spans (list of binary: [begin, end) pairs of bytes to remove, may overlap), copy (goes whole)."""
-    parts = docs.rdd.getNumPartitions() * 3 // 2 + 8  # the number alone
+    parts = docs.rdd.getNumPartitions() + 8  # the number alone
     bits = min(64, 36 + math.ceil(math.log2(parts)))
     n = F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LAST))
     docs = documents(docs).withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text")).withColumn("own", n)
@@ -501,7 +501,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     owners = least.withColumnRenamed("id", "own")
     # Copies of a text are dealt by their doc_id too. Both joins of the texts keep the same columns, to read one shuffle.
     texts = squeezed(docs.select("doc_id", "text", "k1", "k2", "own"))
-    shape = "key long not null, short long not null, bytes binary, id long, k1 long, k2 long, start long"
+    shape = "key long not null, short long not null, bytes binary, id long, k1 long, start long"
     met = texts.join(owners.join(told, ["k1", "k2"]), ["k1", "k2", "own"])
     contexts = met.select("doc_id", "text", F.col("own").alias("id"), "k1", "k2", "told").mapInArrow(_contexts(bits), shape)
     hottest = often.where(F.col("n") > hot).select("short", F.lit(True).alias("hot"))
@@ -509,22 +509,22 @@ def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     salt = F.when(F.col("hot"), F.xxhash64("k1", "start")).otherwise(0)
     found = stored(flagged.repartition("key", salt).sortWithinPartitions("key").mapInArrow(_sorted, FOUND), "suffixes")
     pairs = _hot_spans(found.where("bytes is not null"))
-    spans = found.where("spans is not null").select("k1", "k2", "spans").union(pairs).groupBy("k1", "k2").agg(F.collect_list("spans").alias("spans"))
-    known = owners.join(spans, ["k1", "k2"], "left").withColumn("copy", F.lit(False))
+    spans = found.where("spans is not null").select("k1", "id", "spans").union(pairs).groupBy("k1", F.col("id").alias("own")).agg(F.collect_list("spans").alias("spans"))
+    known = owners.join(spans, ["k1", "own"], "left").withColumn("copy", F.lit(False))
     return texts.join(known, ["k1", "k2", "own"], "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(True)).alias("copy"))
 
 
 def _hot_spans(contexts: DataFrame) -> DataFrame:
-    """Step 3 for the contexts of hot keys: k1, k2, spans. Different contexts are cut into windows once."""
+    """Step 3 for the contexts of hot keys: k1, id, spans. Different contexts are cut into windows once."""
     least = stored(contexts.groupBy("bytes").agg(F.min("id").alias("id"), F.count("*").alias("n")), "hot")
     if least.isEmpty():
-        return contexts.select("k1", "k2", "spans").where("false")
+        return contexts.select("k1", "id", "spans").where("false")
     cut = F.transform(F.sequence(F.lit(0), F.length("bytes") - SPAN), lambda i: F.substring("bytes", i + 1, F.lit(SPAN)))
     windows = stored(least.select("bytes", "id", F.posexplode(cut).alias("at", "window")), "windows")
     first = stored(windows.groupBy("window").agg(F.min("id").alias("least"), F.count("*").alias("n")), "firsts")
     placed = joined(windows, first, "window").groupBy("bytes").agg(F.array_sort(F.collect_list(F.struct("at", "least"))).alias("x"))
     known = stored(placed.select("bytes", F.col("x.least").alias("least")), "least")
-    return joined(contexts.drop("spans"), known, "bytes", sizes=least).select("k1", "k2", "id", "start", "least").mapInArrow(_cut_hot, "k1 long, k2 long, spans binary")
+    return joined(contexts.drop("spans"), known, "bytes", sizes=least).select("k1", "id", "start", "least").mapInArrow(_cut_hot, "k1 long, id long, spans binary")
 
 
 def _cut_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -535,7 +535,7 @@ def _cut_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = least.flatten().to_numpy() < batch.column("id").to_numpy()[row]
         at = _ranges(np.zeros(len(n), np.int64), n)[gone]
         if len(at):
-            yield _runs(row[gone], at, batch).select(["k1", "k2", "spans"])
+            yield _runs(row[gone], at, batch).select(["k1", "id", "spans"])
 
 
 def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
