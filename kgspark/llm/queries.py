@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kgspark.llm import quality_rules
+from kgspark.llm import conversation_trie, exact_dedup, hard_negatives, quality_rules
 from kgspark.llm.bpe import op10_bpe_chunk_reuse
 from kgspark.llm.fingerprints import op2_merkle_fingerprints
 from kgspark.llm.jaccard_join import op7_ngram_jaccard_join
@@ -28,7 +28,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op5_license_scan": op5_license_scan,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_conversation_trie": conversation_trie.op12_conversation_trie,
+    "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_conversation_trie": conversation_trie.SQL,
+    "op13_exact_dedup": exact_dedup.SQL,
 }
