@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
-from kgspark.operators import conflicts, entities, facts, relations, retrieval, review, truth
+from kgspark.operators import conflicts, entities, facts, relations, retrieval, review
 from kgspark.operators.visibility import DIMENSIONS, Principal, visible, visible_rows, with_parent
 from kgspark.sources.shared import stored
 
@@ -67,19 +67,6 @@ class KnowledgeEngine:
         found = conflicts.pairs(conflicts.candidates(self.facts, self.sources))
         return found if known is None else conflicts.unreported(found, known)
 
-    def approve_conflicts(self, approved: DataFrame, now: Column) -> DataFrame:
-        """POST /conflicts/{id}/approve: the facts with the losing sides closed."""
-        lost = self.facts.where("valid_to IS NULL").join(conflicts.losers(approved), ["entity_id", "property", "value", "source_id"], "left_semi")
-        return facts.invalidate(self.facts, lost, now)
-
-    def invalidate_source(self, source_id, edges: DataFrame, now: Column, depth: int = 3) -> DataFrame:
-        """POST /sources/{id}/invalidate: its facts closed, what was inferred from them under review."""
-        direct = stored(truth.derived_from(self.facts, source_id).select("logical_id").distinct())
-        review = truth.propagate(direct, edges, depth).select("logical_id", F.lit(True).alias("_review"))
-        closed = facts.invalidate(self.facts, direct, now).join(review, "logical_id", "left")
-        status = F.when(F.col("_review") & F.col("valid_to").isNull() & (F.col("confidence") == "INFERRED"), "under_review").otherwise(F.col("status"))
-        return closed.withColumn("status", status).select(self.facts.columns)
-
     def retrieve(self, principal: Principal, query: str, lang: str, limit: int = 5) -> DataFrame:
         """POST /rag/query: the visible documents nearest to the query by hashed tf-idf, boosted and explained."""
         docs = visible_rows(self.documents, principal)
@@ -126,11 +113,11 @@ class KnowledgeEngine:
         return self.retrieve(principal, query, "en", limit)
 
     def review_conflicts(self, queue: DataFrame, decisions: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """POST /conflicts/{id}/approve with a queue: facts, queue, audit rows, refused decisions."""
+        """POST /conflicts/{id}/approve: facts, queue, audit rows, refused decisions."""
         return review.approved(self.facts, queue, decisions, now)
 
     def retract_source(self, source_id, edges: DataFrame, reason: str, user: str, now: Column, depth: int = 3) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        """POST /sources/{id}/invalidate with a reason: facts, sources, report, audit row."""
+        """POST /sources/{id}/invalidate: facts, sources, report, audit row."""
         return review.invalidated(self.facts, self.sources, source_id, edges, reason, user, now, depth)
 
     def restore_document(self, snapshot: DataFrame) -> DataFrame:

@@ -26,17 +26,18 @@ def approved(facts_: DataFrame, queue: DataFrame, decisions: DataFrame, now: Col
     """The next facts and queue, the audit rows, and the decisions refused (id, reason).
 
     queue: id, entity_id, property, value_a, value_b, source_id_a, source_id_b, status, resolved_by, resolved_at;
-    decisions: id, choice, user_id. The losing fact has to be current; if it is not, nothing of the decision happens.
+    decisions: id, choice, user_id. The losing fact is the open one (under review or not) that was made last; without one,
+    or with two decisions on one id, nothing of the decision happens.
     """
-    d = decisions.dropDuplicates(["id"]).select("id", "choice", F.col("user_id").alias("_by"))
+    d = decisions.groupBy("id").agg(F.first("choice").alias("choice"), F.first("user_id").alias("_by"), (F.count("*") > 1).alias("_twice"))
     met = d.join(queue, "id", "left")
     a = F.col("choice") == "a"
     win, lose = F.when(a, F.col("value_a")).otherwise(F.col("value_b")), F.when(a, F.col("value_b")).otherwise(F.col("value_a"))
     met = met.withColumns({"_win": win, "value": lose, "source_id": F.when(a, F.col("source_id_b")).otherwise(F.col("source_id_a"))})
     sides = ["entity_id", "property", "value", "source_id"]
-    open_ = facts_.where("valid_to IS NULL AND status = 'valid'").groupBy(*sides).agg(F.min("logical_id").alias("_logical"))
+    open_ = facts_.where("valid_to IS NULL").groupBy(*sides).agg(F.max_by("logical_id", F.struct("valid_from", "id")).alias("_logical"))
     reason = (
-        F.when(~F.col("choice").isin("a", "b"), "INVALID_CHOICE").when(F.col("status").isNull(), "NOT_FOUND")
+        F.when(F.col("_twice"), "DECIDED_TWICE").when(~F.coalesce(F.col("choice").isin("a", "b"), F.lit(False)), "INVALID_CHOICE").when(F.col("status").isNull(), "NOT_FOUND")
         .when(F.col("status") != "pending", "ALREADY_RESOLVED").when(F.col("_logical").isNull(), "LOSING_FACT_NOT_FOUND")
     )
     judged = stored(met.join(open_, sides, "left").withColumn("reason", reason))
@@ -50,23 +51,37 @@ def approved(facts_: DataFrame, queue: DataFrame, decisions: DataFrame, now: Col
     return after, next_.select(queue.columns), audit, judged.where("reason IS NOT NULL").select("id", "reason")
 
 
-def dependents(facts_: DataFrame, edges: DataFrame) -> DataFrame:
-    """Child, parent: explicit edges between facts, and every open INFERRED fact on the other open facts of its entity.
+def dependents(facts_: DataFrame, edges: DataFrame, parents: DataFrame) -> DataFrame:
+    """logical_id of the open INFERRED facts that hang on ``parents`` (logical_id): over an explicit edge (child, parent),
+    or as facts of the same entity.
 
-    edges: child, parent. The second kind goes over the entity (``propagate`` needs rows by fact): each fact points to its
-    entity's node and the node to the entity's inferred facts, so an entity of n facts gives 2n rows, not n * n.
+    The second kind goes over the distinct entities of the parents, so an entity of n facts gives n rows and not n * n.
     """
-    open_ = facts_.where("valid_to IS NULL").select("logical_id", F.concat(F.lit("entity:"), "entity_id").alias("node"), "confidence")
-    up = open_.select(F.col("node").alias("child"), F.col("logical_id").alias("parent"))
-    down = open_.where("confidence = 'INFERRED'").select(F.col("logical_id").alias("child"), F.col("node").alias("parent"))
-    return edges.select("child", "parent").union(up).union(down).distinct()
+    inferred = facts_.where("valid_to IS NULL AND confidence = 'INFERRED'").select("logical_id", "entity_id").distinct()
+    homes = facts_.join(parents.select("logical_id"), "logical_id", "left_semi").select("entity_id").distinct()
+    children = edges.join(parents.select(F.col("logical_id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("logical_id"))
+    own = inferred.join(children, "logical_id", "left_semi").union(inferred.join(homes, "entity_id", "left_semi").select(inferred.columns))
+    return own.select("logical_id").distinct()
+
+
+def reached(facts_: DataFrame, edges: DataFrame, direct: DataFrame, depth: int) -> DataFrame:
+    """logical_id, depth of what hangs on ``direct`` in at most ``depth`` steps; a fact that is not INFERRED ends a path.
+
+    One written table for each level; the smallest depth counts, so cycles end.
+    """
+    seen = direct.select("logical_id").distinct().withColumn("depth", F.lit(0))
+    level = seen
+    for n in range(1, depth + 1):
+        level = stored(dependents(facts_, edges, level).join(seen, "logical_id", "left_anti").withColumn("depth", F.lit(n)))
+        seen = seen.union(level)
+    return seen.where("depth > 0")
 
 
 def invalidated(facts_: DataFrame, sources: DataFrame, source_id, edges: DataFrame, reason: str, user: str, now: Column, depth: int = 3) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The next facts and sources, a report (kind, fact_id) of what was invalidated and put under review, an audit row.
 
-    edges: child, parent between facts. What is under review gets a new version with that status. A blank reason and an
-    unknown source are errors.
+    edges: child, parent between facts. What is under review gets a new version with that status. Sources get (or keep)
+    status, invalidation_reason, invalidated_by and invalidated_at. A blank reason and an unknown source are errors.
     """
     if not reason or not reason.strip():
         raise ValueError("reason must not be empty")
@@ -75,10 +90,7 @@ def invalidated(facts_: DataFrame, sources: DataFrame, source_id, edges: DataFra
     if sources.where(F.col("id") == F.lit(source_id)).isEmpty():
         raise LookupError(f"source {source_id!r} not found")
     direct = stored(truth.derived_from(facts_, source_id).select("logical_id").distinct())
-    # Over an entity's node a dependency takes two steps.
-    reached = truth.propagate(direct, _doubled(dependents(facts_, edges), edges), 2 * depth).select("logical_id")
-    inferred = facts_.where("valid_to IS NULL AND confidence = 'INFERRED'").select("logical_id").distinct()
-    review = stored(reached.join(inferred, "logical_id", "left_semi").join(direct, "logical_id", "left_anti").distinct())
+    review = reached(facts_, edges, direct, depth).select("logical_id")
     closed = facts.invalidate(facts_, direct, now)
     hit = closed.join(review.withColumn("_hit", F.lit(True)), "logical_id", "left")
     again = F.coalesce("_hit", F.lit(False)) & F.col("valid_to").isNull() & (F.col("confidence") == "INFERRED")
@@ -88,18 +100,18 @@ def invalidated(facts_: DataFrame, sources: DataFrame, source_id, edges: DataFra
     new = marked.where("_again").withColumns({"id": F.concat("id", F.lit("+")), "valid_from": now, "valid_to": none, "status": F.lit("under_review")})
     next_ = old.select(facts_.columns).unionByName(new.select(facts_.columns))
     report = direct.select(F.lit("invalidated").alias("kind"), F.col("logical_id").alias("fact_id")).union(review.select(F.lit("under_review"), "logical_id"))
-    source = sources.withColumns({"status": F.when(F.col("id") == F.lit(source_id), "invalidated"), "invalidation_reason": F.when(F.col("id") == F.lit(source_id), reason)})
+    source = _invalidated_source(sources, source_id, reason, user, now)
     counts = report.groupBy().pivot("kind", ["invalidated", "under_review"]).count().na.fill(0)
     detail = F.to_json(F.struct(F.lit(reason).alias("reason"), "invalidated", "under_review", F.lit(depth).alias("max_depth")))
     audit = _audit(counts, F.lit(user), "INVALIDATE_SOURCE", F.lit(source_id), "Source", F.lit(None).cast("string"), detail, now)
     return next_, source, report, audit
 
 
-def _doubled(all_: DataFrame, explicit: DataFrame) -> DataFrame:
-    """Explicit edges with a node of their own in the middle, so that every dependency takes two steps."""
-    middle = F.concat(F.lit("edge:"), "child")
-    own = explicit.select(middle.alias("child"), "parent").union(explicit.select(F.col("child"), middle.alias("parent")))
-    return all_.join(explicit.select("child", "parent"), ["child", "parent"], "left_anti").select("child", "parent").union(own).distinct()
+def _invalidated_source(sources: DataFrame, source_id, reason: str, user: str, now: Column) -> DataFrame:
+    """``sources`` with one of them marked; what others say of themselves stays."""
+    marks = {"status": F.lit("invalidated"), "invalidation_reason": F.lit(reason), "invalidated_by": F.lit(user), "invalidated_at": now}
+    hit = F.col("id") == F.lit(source_id)
+    return sources.withColumns({name: F.when(hit, mark).otherwise(F.col(name)) if name in sources.columns else F.when(hit, mark) for name, mark in marks.items()})
 
 
 def snapshot(links: DataFrame, facts_: DataFrame, document_id) -> DataFrame:

@@ -39,18 +39,22 @@ def test_search_is_filtered_first(engine):
 
 
 def test_approved_conflicts_do_not_come_back(engine):
-    found = engine.scan_conflicts().persist()
-    after = KnowledgeEngine(engine.entities, engine.approve_conflicts(found, now()), engine.sources)
-    assert found.count() > 0 and after.scan_conflicts().count() == 0
-
-
-def test_an_invalidated_source_leaves_no_open_fact(engine, spark):
-    facts = engine.facts.where("valid_to IS NULL")
-    edges = facts.where("source_id = 3").select(F.col("logical_id").alias("child"), F.concat_ws(":", "entity_id", "property", F.lit(2)).alias("parent"))
-    out = engine.invalidate_source(2, edges, now()).persist()
-    assert out.where("source_id = 2 AND valid_to IS NULL").count() == 0
-    review = out.where("status = 'under_review'")
-    assert review.count() > 0 and review.where("source_id <> 3 OR confidence <> 'INFERRED'").count() == 0
+    none = F.lit(None)
+    found = engine.scan_conflicts().withColumns({"id": F.monotonically_increasing_id(), "status": F.lit("pending"), "resolved_by": none.cast("string"), "resolved_at": none.cast("timestamp_ntz")}).persist()
+    says = found.select("id", F.col("suggestion").alias("choice"), F.lit("u").alias("user_id"))
+    facts, queue, audit, refused = engine.review_conflicts(found, says, now())
+    after = KnowledgeEngine(engine.entities, facts, engine.sources)
+    assert found.count() == audit.count() > 0 == refused.count() and queue.where("status <> 'approved'").count() == 0
+    assert after.scan_conflicts().count() == 0
+
+
+def test_an_invalidated_source_leaves_no_open_fact(engine):
+    edges = engine.facts.where("valid_to IS NULL AND source_id = 3").select(F.col("logical_id").alias("child"), F.concat_ws(":", "entity_id", "property", F.lit(2)).alias("parent"))
+    facts, sources, report, _ = engine.retract_source(2, edges, "wrong", "u", now(), 1)
+    assert facts.where("source_id = 2 AND valid_to IS NULL").count() == 0
+    review = facts.where("status = 'under_review'")
+    assert review.count() == report.where("kind = 'under_review'").count() > 0 == review.where("source_id = 2 OR confidence <> 'INFERRED'").count()
+    assert [r.id for r in sources.where("status = 'invalidated'").collect()] == [2]
 
 
 def test_retrieval_finds_a_document_by_its_text(engine):

@@ -60,6 +60,41 @@ def test_a_source_s_facts_close_and_dependents_come_under_review(spark, facts, d
     assert audit.first().new_value == f'{{"reason":"wrong","invalidated":1,"under_review":{len(want)},"max_depth":{depth}}}'
 
 
+def test_invalidations_in_a_row_keep_each_other_s_marks(spark, facts):
+    sources = spark.createDataFrame([("s1", "u"), ("s2", "v"), ("s3", "w")], "id string, uri string")
+    edges = spark.createDataFrame([], "child string, parent string")
+    after, marked, *_ = review.invalidated(facts, sources, "s1", edges, "first", "u1", now(), 0)
+    _, marked, *_ = review.invalidated(after, marked, "s2", edges, "second", "u2", now(), 0)
+    got = {r.id: (r.status, r.invalidation_reason, r.invalidated_by, r.invalidated_at) for r in marked.collect()}
+    assert got == {"s1": ("invalidated", "first", "u1", T), "s2": ("invalidated", "second", "u2", T), "s3": (None, None, None, None)}
+    held = sources.selectExpr("*", "'active' AS status", "'old' AS invalidation_reason")
+    marked = review.invalidated(facts, held, "s1", edges, "new", "u1", now(), 0)[1]
+    assert {r.id: (r.status, r.invalidation_reason) for r in marked.collect()} == {"s1": ("invalidated", "new"), "s2": ("active", "old"), "s3": ("active", "old")}
+
+
+def test_a_fact_that_is_not_inferred_ends_the_path(spark):
+    rows = [fact("A", "e1", "x", "s1"), fact("B", "e2", "y", "s2", "EXTRACTED"), fact("C", "e3", "z", "s2", "INFERRED"), fact("D", "e2", "w", "s2", "INFERRED"), fact("E", "e4", "w", "s2", "INFERRED"), fact("F", "e4", "v", "s2", "INFERRED")]
+    facts_ = spark.createDataFrame(rows, FACT)
+    sources = spark.createDataFrame([("s1", "u")], "id string, uri string")
+    edges = spark.createDataFrame([("B", "A"), ("C", "B")], "child string, parent string")
+    report = review.invalidated(facts_, sources, "s1", edges, "r", "u", now())[2]
+    assert sorted(map(tuple, report.collect())) == [("invalidated", "A")]
+    edges = edges.union(spark.createDataFrame([("E", "A"), ("A", "E")], "child string, parent string"))  # a cycle
+    report = review.invalidated(facts_, sources, "s1", edges, "r", "u", now())[2]
+    assert sorted(map(tuple, report.collect())) == [("invalidated", "A"), ("under_review", "E"), ("under_review", "F")]
+
+
+def test_the_loser_may_be_under_review_and_is_the_last_one_made(spark, facts):
+    late = ("z@2", "z", "e1", "p", "y", "s2", "EXTRACTED", "under_review", dt.datetime(2025, 1, 1), None)
+    rows = facts.union(spark.createDataFrame([late], FACT))
+    queue = spark.createDataFrame([(1, "e1", "p", "x", "y", "s1", "s2", "pending", None, None), (2, "e1", "p", "x", "y", "s1", "s2", "pending", None, None)], QUEUE)
+    say = spark.createDataFrame([(1, "a", "u1"), (2, "a", "u1"), (2, "b", "u2")], "id int, choice string, user_id string")
+    after, queue2, audit, refused = review.approved(rows, queue, say, now())
+    assert {r.logical_id: r.status for r in after.where("entity_id = 'e1'").collect()} == {"a": "valid", "b": "valid", "c": "valid", "z": "obsolete"}
+    assert [tuple(r) for r in refused.collect()] == [(2, "DECIDED_TWICE")]
+    assert audit.count() == 1 and {r.id: r.status for r in queue2.collect()} == {1: "approved", 2: "pending"}
+
+
 def test_invalidation_needs_a_reason_and_a_source(spark, facts):
     sources, edges = spark.createDataFrame([("s1", "u")], "id string, uri string"), spark.createDataFrame([], "child string, parent string")
     with pytest.raises(ValueError):
