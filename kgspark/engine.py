@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions import text
-from kgspark.operators import conflicts, entities, facts, relations, retrieval, review
+from kgspark.operators import conflicts, entities, facts, relations, retrieval, review, search_index
+from kgspark.operators.search_index import SearchIndex
+from kgspark.operators.vector_index import VectorIndex
 from kgspark.operators.visibility import DIMENSIONS, Principal, visible, visible_rows, with_parent
-from kgspark.sources.shared import stored
+from kgspark.sources.shared import shared_dir
 
 
 @dataclass
@@ -29,7 +33,9 @@ class KnowledgeEngine:
     documents: DataFrame | None = None
     terms: DataFrame | None = None
     links: DataFrame | None = None
-    _idf: DataFrame | None = field(default=None, repr=False)
+    vectors: VectorIndex | None = None
+    idf: DataFrame | None = field(default=None, repr=False)
+    texts: SearchIndex | None = None
 
     def list_entities(self, principal: Principal, label: str | None = None) -> DataFrame:
         """GET /entities."""
@@ -67,17 +73,51 @@ class KnowledgeEngine:
         found = conflicts.pairs(conflicts.candidates(self.facts, self.sources))
         return found if known is None else conflicts.unreported(found, known)
 
-    def retrieve(self, principal: Principal, query: str, lang: str, limit: int = 5) -> DataFrame:
-        """POST /rag/query: the visible documents nearest to the query by hashed tf-idf, boosted and explained."""
+    def index_documents(self, path: str | None = None) -> VectorIndex:
+        """Embed every document once and keep the vectors, by cells, with the weights of tokens; ``retrieve`` reads these."""
+        spark = self.documents.sparkSession
+        path = path or f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+        n = self.documents.count()
+        df = self.documents.select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+        idf = df.select("token", F.log((n + 1) / (F.col("df") + 1)).alias("idf")).withColumn("idf", F.col("idf") + 1)
+        idf.withColumn("part", search_index.partition(F.col("token"), search_index.PARTITIONS)).repartition("part").sortWithinPartitions("part", "token").write.partitionBy("part").parquet(f"{path}/idf")
+        self.idf = spark.read.schema("token string, idf double, part int").parquet(f"{path}/idf")
+        vectors = retrieval.dense(retrieval.embed(self.documents.select("id", "text"), self.idf.drop("part")))
+        self.vectors = VectorIndex.built(vectors.withColumnRenamed("id", "key"), path)
+        return self.vectors
+
+    def retrieve(self, principal: Principal, query: str, lang: str, limit: int = 5, probe: int | None = None) -> DataFrame:
+        """POST /rag/query: the visible documents nearest to the query by hashed tf-idf, boosted and explained.
+
+        Only stored vectors are read (those of ``probe`` cells, or all), and of the weights those of the query's words;
+        the vectors are made by ``index_documents``, at the latest by the first question.
+        """
+        if self.vectors is None:
+            self.index_documents()
+        spark = self.documents.sparkSession
+        asked = spark.createDataFrame([("q", query)], "id string, text string")
+        words = search_index.placed(spark, query, text.tokens, search_index.PARTITIONS)
+        known = self.idf.where(F.col("part").isin([*set(words.values())]) & F.col("token").isin([*words])).drop("part")
+        made = retrieval.dense(retrieval.embed(asked, known)).first()
         docs = visible_rows(self.documents, principal)
-        if self._idf is None:
-            n = self.documents.agg(F.count("*").alias("n"))
-            df = self.documents.select("id", F.explode(text.tokens(F.col("text"))).alias("token")).distinct().groupBy("token").agg(F.count("*").alias("df"))
-            self._idf = stored(df.join(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")))
-        asked = docs.sparkSession.createDataFrame([("q", query)], "id string, text string")
-        q = retrieval.embed(asked, self._idf).select("bucket", F.col("weight").alias("q"))
-        near = retrieval.embed(docs.select("id", "text"), self._idf).join(q, "bucket").groupBy("id").agg(F.round(F.sum(F.col("q") * F.col("weight")), 6).alias("cosine"))
-        return retrieval.boosted(docs.join(near, "id"), query, lang).orderBy(F.desc("score"), "id").limit(limit)
+        near = self.vectors.nearest_to(made.v if made else [0.0] * retrieval.DIMENSIONS, max(limit * 10, 50), probe, docs.select(F.col("id").alias("key")))
+        return retrieval.boosted(docs.join(F.broadcast(near.withColumnsRenamed({"key": "id", "score": "cosine"})), "id"), query, lang).orderBy(F.desc("score"), "id").limit(limit)
+
+    def index_texts(self, path: str | None = None) -> SearchIndex:
+        """Write the inverted index of labels, types, facts, titles and terms that ``search_ranked`` reads."""
+        spark = self.entities.sparkSession
+        parts = [("entity", self.entities, ["label", "type"]), ("fact", facts.current(self.facts), ["property", "value"]), ("document", self.documents, ["title"]), ("term", self.terms, ["term"])]
+        rows = [t.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("key"), F.concat_ws(" ", *[c for c in names if c in t.columns]).alias("text")) for kind, t, names in parts if t is not None]
+        self.texts = SearchIndex.built(reduce(DataFrame.unionByName, rows), path or f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}")
+        return self.texts
+
+    def search_ranked(self, principal: Principal, query: str, limit: int = 20) -> DataFrame:
+        """GET /search: kind, key, score of the visible rows that have words of the query, the best first."""
+        if self.texts is None:
+            self.index_texts()
+        own = {"entity": visible_rows(self.entities, principal), "fact": visible_rows(with_parent(facts.current(self.facts), self.entities), principal)}
+        own |= {kind: self._seen(t, principal) for kind, t in (("document", self.documents), ("term", self.terms)) if t is not None}
+        return self.texts.ranked(query, limit, seen={kind: t.select(F.col("id").alias("key")) for kind, t in own.items()})
 
     def glossary(self, principal: Principal, term_id: str) -> DataFrame:
         """GET /glossary/query: visible documents that reach a visible term over their entities; nothing for another one."""

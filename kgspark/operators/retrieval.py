@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,40 +83,117 @@ def backfilled(store: DataFrame, docs: DataFrame, idf: DataFrame) -> DataFrame:
 def cosine(a: Column, b: Column) -> Column:
     """Of two arrays of doubles."""
 
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-#: Rows of one block of ``topk``.
-BLOCK = 100_000
+def dense(sparse: DataFrame) -> DataFrame:
+    """id, v: array<double> of DIMENSIONS from the rows (id, bucket, weight) of ``embed``."""
+    held = sparse.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))  # DIMENSIONS at most
+    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+
+
+#: Rows of one block of ``topk``, and of one step inside it.
+BLOCK, STEP = 100_000, 4096
+
+
+def _best(k: int):
+    """Mapper over rows in the order of (block, asks first): query_id, key, score of the k best rows of every step.
+
+    A block's queries are held, its rows are streamed. Scores are inner products to six places; ties go to the smaller key.
+    """
+
+    def matrix(lists: pa.Array) -> np.ndarray:
+        return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+    def met(ids: pa.Array, asked: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+        rows = rows.take(pc.sort_indices(rows.column("key")))  # so that a place stands for the key's order
+        score = np.round(matrix(rows.column("v")) @ asked.T, 6) + 0.0
+        least = np.partition(score, len(score) - min(k, len(score)), axis=0)[len(score) - min(k, len(score))]
+        at, q = np.nonzero(score >= least)
+        order = np.lexsort((at, -score[at, q], q))
+        at, q = at[order], q[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        at, q = at[rank < k], q[rank < k]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), rows.column("key").take(pa.array(at)), pa.array(score[at, q])], names=["query_id", "key", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, asked = None, [], []
+        for batch in batches:
+            blocks, rows = batch.column("block").to_numpy(), ~batch.column("asks").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((blocks[1:] != blocks[:-1]) | (rows[1:] != rows[:-1])) + 1
+            for a, b in zip(np.r_[0, edges], np.r_[edges, len(rows)], strict=True):
+                if a < b and blocks[a] != block:
+                    block, ids, asked = blocks[a], [], []
+                part = batch.slice(a, b - a)
+                if a < b and not rows[a]:
+                    ids.append(part.column("query_id"))
+                    asked.append(matrix(part.column("v")))
+                elif a < b and ids:
+                    if len(ids) > 1:
+                        ids, asked = [pa.concat_arrays(ids)], [np.concatenate(asked)]
+                    for at in range(0, part.num_rows, STEP):
+                        yield met(ids[0], asked[0], part.slice(at, STEP))
+
+    return run
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """query_id, key, score, rank of the ``k`` best rows for each query among the rows of its blocks.
+
+    queries: block, query_id, v; rows: block, key, v; all vectors of one length. Both meet by block; a block's best rows of
+    each query move on, and their best are the result.
+    """
+    kind = rows.schema["key"].dataType.simpleString()
+    asks = queries.select("block", "query_id", F.lit(None).cast(kind).alias("key"), "v", F.lit(True).alias("asks"))
+    both = asks.union(rows.select("block", F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "key", "v", F.lit(False).alias("asks")))
+    met = both.repartition("block").sortWithinPartitions("block", F.col("asks").desc())
+    found = met.mapInArrow(_best(k), f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {kind}, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def normalized(rows: DataFrame) -> DataFrame:
+    """Rows with ``v`` at length 1; those without a length are left out."""
+    sized = rows.where(F.col("v").isNotNull()).withColumn("v", F.col("v").cast("array<double>")).withColumn("_norm", F.sqrt(dot(F.col("v"), F.col("v"))))
+    return sized.where("_norm > 0 AND _norm < double('Infinity')").withColumn("v", F.transform("v", lambda x: x / F.col("_norm"))).drop("_norm")
 
 
 def topk(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank of the k nearest rows of each query, itself left out.
+    """query_id, vec_id, score, rank of the k nearest rows of each query by cosine, itself left out.
 
-    A stated set of queries is held against all rows in blocks: the queries, joined to each block of rows by its number,
-    give their k best of the block, and the blocks' bests give the k best of all. There are as many blocks as rows fill, and
-    no fewer than shuffle partitions.
+    A stated set of queries is held against all rows in blocks of about BLOCK, and at least one for each core.
     """
-    blocks = blocks or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BLOCK))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    r = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    met = r.join(q, "block").where("vec_id <> query_id").select("query_id", "vec_id", "block", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
-    inner = Window.partitionBy("query_id", "block").orderBy(F.desc("score"), "vec_id")
-    outer = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = met.withColumn("n", F.row_number().over(inner)).where(F.col("n") <= k)
-    return best.withColumn("rank", F.row_number().over(outer).cast("long")).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    blocks = blocks or max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // BLOCK))
+    q = normalized(queries).select(F.col("vec_id").alias("query_id"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    r = normalized(rows).select(F.col("vec_id").alias("key"), "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    found = nearest(q, r, k + 1).where("key <> query_id").withColumnRenamed("key", "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
 def boosted(docs: DataFrame, query: str, lang: str) -> DataFrame:
-    """Adds score and reason to rows with cosine, title, lang and verification_level."""
-    language = F.when(F.lower("lang") == lang.lower(), LANGUAGE_BOOST).otherwise(0.0)
+    """Adds score and reason to rows with cosine, title, lang and verification_level.
+
+    A document's own language is source_lang, else source_language, where rows have them; without these columns it is lang.
+    A text in English counts for English under each of its names. The reason ends in the labels of ``terms``
+    (array<string>), where rows have it.
+    """
+    asked, have = lang.lower(), set(docs.columns)
+    of = [F.nullif(F.col(c), F.lit("")) for c in ("source_lang", "source_language") if c in have] or [F.col("lang")]
+    boost = F.lower(F.coalesce(*of, F.lit(""))) == asked
+    if asked in ("en", "eng", "english"):
+        boost = boost | (F.col("lang") == "en")
+    language = F.when(boost & F.lit(bool(asked)), LANGUAGE_BOOST).otherwise(0.0)
     level = F.lit(0.0)
-    for name, boost in VERIFICATION_BOOST.items():
-        level = F.when(F.col("verification_level") == name, boost).otherwise(level)
+    for name, more in VERIFICATION_BOOST.items():
+        level = F.when(F.col("verification_level") == name, more).otherwise(level)
     title = text.title_overlap(F.lit(query), F.col("title")) * TITLE_BOOST
     rows = docs.withColumn("_l", language).withColumn("_v", level).withColumn("_t", title)
-    score = F.round(F.col("cosine") * (1 + F.col("_l")) * (1 + F.col("_v")) * (1 + F.col("_t")), 6)
-    return rows.withColumn("score", score).withColumn("reason", F.format_string("lang=%.2f ver=%.2f title=%.2f", "_l", "_v", "_t")).drop("_l", "_v", "_t")
+    final = F.col("cosine") * (1 + F.col("_l")) * (1 + F.col("_v")) * (1 + F.col("_t"))
+    labels = F.array_join(F.array_sort(F.array_distinct(F.filter("terms", lambda t: F.length(t) > 0))), ", ") if "terms" in have else F.lit("")
+    reason = F.format_string("cosine=%.4f boost_lang=%.2f boost_verification=%.2f boost_title=%.2f final=%.4f terms=%s", "cosine", "_l", "_v", "_t", final, F.coalesce(F.nullif(labels, F.lit("")), F.lit("-")))
+    return rows.withColumn("score", F.round(final, 6)).withColumn("reason", reason).drop("_l", "_v", "_t")

@@ -82,7 +82,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT id, reason, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, printf('lang=%.2f ver=%.2f title=%.2f', l, v, t) AS reason, round(cosine * (1 + l) * (1 + v) * (1 + t), 6) AS score FROM (SELECT id, cosine,
+    """SELECT id, reason, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, printf('cosine=%.4f boost_lang=%.2f boost_verification=%.2f boost_title=%.2f final=%.4f terms=-', cosine, l, v, t, cosine * (1 + l) * (1 + v) * (1 + t)) AS reason, round(cosine * (1 + l) * (1 + v) * (1 + t), 6) AS score FROM (SELECT id, cosine,
  CASE WHEN lang = 'en' THEN 0.10 ELSE 0 END::DOUBLE AS l, CASE verification_level WHEN 'L2' THEN 0.05 WHEN 'L3' THEN 0.10 ELSE 0 END::DOUBLE AS v,
  0.15::DOUBLE * len(list_intersect(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')), ['the', 'of', 'thing'])) / 3 AS t
  FROM doc JOIN (SELECT e.vec_id, list_cosine_similarity(e.v, q.v) AS cosine FROM e JOIN e q ON q.vec_id = 0) ON vec_id = id)) ORDER BY score DESC, id LIMIT 25""",

@@ -61,7 +61,7 @@ def test_retrieval_finds_a_document_by_its_text(engine):
     row = engine.documents.where("is_public AND length(text) > 800").orderBy("id").first()
     top = engine.retrieve(VIEWER, " ".join(row.text.split()[10:40]), "en", 3).collect()
     assert row.id in [r.id for r in top]
-    assert all(r.id % 2 == 0 and r.reason.startswith("lang=") for r in top)
+    assert all(r.id % 2 == 0 and r.reason.startswith("cosine=") for r in top)
 
 
 def test_glossary_groups_entities_by_document(engine):
