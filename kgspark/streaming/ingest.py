@@ -1,20 +1,18 @@
 """Streams over files, run to their end and checkpointed in the shared folder.
 
-State is kept for each key and bounded by it; rows of a batch are ordered by event time inside a key, as arrival order is
-what the versions mean. A restart from the same checkpoint goes on where it stopped.
+State is kept for each key in the state store (RocksDB), rows are taken in the order of their event time, and no key's rows
+are gathered in memory. A restart from the same checkpoint goes on where it stopped.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kgspark.sources.shared import shared_dir
+from kgspark.streaming import ordered
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -30,6 +28,7 @@ def drained(stream: DataFrame, mode: str = "append", where: str | None = None) -
     """Run a stream over all there is and read what it wrote. The same ``where`` goes on with new files only."""
     spark = stream.sparkSession
     where = where or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ordered.ROCKS)
     run = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").option("path", f"{where}/rows").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/rows")
@@ -45,56 +44,29 @@ def changed(stream: DataFrame, key: str, digest: str, ts: str | None = None, lat
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key, digest])
 
 
-def _by_time(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(["ts", "seq"])
-
-
-def versions(stream: DataFrame) -> DataFrame:
+def versions(stream: DataFrame, late: str = "0 seconds") -> DataFrame:
     """logical_id, value, valid_from, valid_to of every version that a later row of its logical id closes.
 
-    stream: logical_id, value, ts, seq. The open version is state. Rows older than the state's open version were late:
-    they follow it in arrival order, with the version closed at its own time. A key's rows of one batch are held together
-    to be put in order; ``read_stream`` bounds a batch by its number of files.
+    stream: logical_id, value, ts, seq. Rows wait as state until the watermark (``late`` behind the newest row) has passed
+    them and are then taken in the order of (ts, seq); those that come later than that are left out.
     """
+    rows = stream.select("logical_id", "value", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"))
+    out = ordered.run(rows, "logical_id", "value string", ordered.Versions(), "logical_id string, value string, start long, stop long", late)
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return out.select("logical_id", "value", at("start").alias("valid_from"), at("stop").alias("valid_to"))
 
-    def close(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _by_time(batches)
-        ts, values = list(rows["ts"]), list(rows["value"])
-        if state.exists:
-            value, start = state.get
-            values.insert(0, value)
-            ts.insert(0, pd.Timestamp(start))
-        state.update((values[-1], ts[-1].to_pydatetime()))
-        n = len(ts) - 1
-        yield pd.DataFrame({"logical_id": [key[0]] * n, "value": values[:-1], "valid_from": ts[:-1], "valid_to": [max(a, b) for a, b in zip(ts, ts[1:], strict=False)]})
-
-    out = "logical_id string, value string, valid_from timestamp_ntz, valid_to timestamp_ntz"
-    return stream.groupBy("logical_id").applyInPandasWithState(close, out, "value string, valid_from timestamp_ntz", "append", GroupStateTimeout.NoTimeout)
 
-
-def token_bucket(stream: DataFrame, rate: float, most: float | None = None) -> DataFrame:
+def token_bucket(stream: DataFrame, rate: float, most: float | None = None, late: str = "0 seconds") -> DataFrame:
     """Seq, allowed: each key's bucket holds ``most`` (2 * rate) tokens, fills by ``rate`` a second, and a row takes one.
 
-    stream: key, ts, seq. A bucket that can hold no whole token would let nothing pass, so that is an error.
+    stream: key, ts, seq, in order as ``versions`` has it. A full bucket is forgotten. A bucket that can hold no whole token
+    would let nothing pass, so that is an error.
     """
     most = 2 * rate if most is None else most
     if most < 1:
         raise ValueError("a bucket has to hold a token")
-
-    def consume(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _by_time(batches)
-        tokens, last = state.get if state.exists else (most, None)
-        allowed = []
-        for t in (rows["ts"] - pd.Timestamp(0)).dt.total_seconds():
-            tokens = min(most, tokens + (0 if last is None else max(0.0, t - last) * rate))
-            last = t
-            allowed.append(tokens >= 1)
-            tokens -= allowed[-1]
-        state.update((float(tokens), float(last)))
-        yield pd.DataFrame({"seq": rows["seq"], "allowed": allowed})
-
-    rows = stream.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    return rows.groupBy("key").applyInPandasWithState(consume, "seq long, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("key", F.lit(None).cast("string").alias("value"), F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"))
+    return ordered.run(rows, "key", "value string", ordered.Bucket(rate, most), "seq long, allowed boolean", late)
 
 
 def window_counts(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

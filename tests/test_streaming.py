@@ -29,6 +29,50 @@ def test_unchanged_content_is_dropped_across_batches(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [("f", "x"), ("f", "y"), ("g", "x")]
 
 
+def test_one_key_with_all_rows_waits_in_slices(spark, tmp_path):
+    """More rows than are held at a time, out of order, and some of them in a later file."""
+    data, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    at = [dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i * 7919 % 25_000) for i in range(25_000)]
+    rows = [("k", str(i), t, i) for i, t in enumerate(at)]
+    write(spark, data, rows, "logical_id string, value string, ts timestamp_ntz, seq long")
+    got = [tuple(r) for r in ingest.drained(ingest.versions(ingest.read_stream(spark, data)), where=out).collect()]
+    rows.sort(key=lambda r: r[2])
+    assert sorted(got, key=lambda r: r[2]) == [("k", v, t, u) for (_, v, t, _), (_, _, u, _) in zip(rows, rows[1:], strict=False)]
+
+
+FACT = "id string, logical_id string, entity_id string, property string, value string, source_id string, confidence string, status string, valid_from timestamp_ntz, valid_to timestamp_ntz"
+SIDES = ["entity_id", "property", "value_a", "value_b", "source_id_a", "source_id_b", "suggestion"]
+
+
+def test_conflicts_found_in_a_stream_equal_those_of_the_batch(spark, tmp_path):
+    from kgspark.operators import conflicts
+    from kgspark.streaming import hooks
+
+    data, where = f"file://{tmp_path}/in", f"file://{tmp_path}/hook"
+    sources = spark.createDataFrame([("s1", dt.datetime(2024, 1, 1)), ("s2", dt.datetime(2024, 1, 2))], "id string, ingested_at timestamp_ntz")
+    fact = lambda n, e, v, s: (f"{n}@1", n, e, "p", v, s, "EXTRACTED", "valid", dt.datetime(2024, 1, 1), None)
+    batches = [
+        [fact("a", "e1", "x", "s1"), fact("b", "e2", "y", "s1"), fact("c", "e1", "z", "s2")],
+        [fact("d", "e2", "w", "s2"), fact("e", "e3", "v", "s1")],
+        [fact("f", "e1", "q", "s3"), fact("g", "e3", "v", "s2"), fact("h", "e1", "x", "s2")],
+    ]
+    for rows in batches:
+        write(spark, data, rows, FACT)
+        hook = hooks.detect(ingest.read_stream(spark, data), sources, where)
+    all_ = spark.createDataFrame(sum(batches, []), FACT)
+    want = sorted(map(repr, conflicts.pairs(conflicts.candidates(all_, sources)).select(SIDES).collect()))
+    got = lambda: sorted(map(repr, hook.conflicts(spark).select(SIDES).collect()))
+    assert got() == want and len(want) >= 4
+    hook(spark.createDataFrame(batches[2], FACT), 2)  # a replay of a batch that is done
+    assert got() == want
+    # A replay of one that was written but is not in the ledger.
+    left = spark.read.parquet(f"{where}/ledger").where("batch < 2").collect()
+    spark.createDataFrame(left, "batch long, facts long, conflicts long").coalesce(1).write.mode("overwrite").parquet(f"{where}/ledger")
+    assert got() != want
+    hook(spark.createDataFrame(batches[2], FACT), 2)
+    assert got() == want
+
+
 def test_token_bucket_equals_a_loop(spark, tmp_path):
     data = f"file://{tmp_path}/in"
     times = [0, 0, 0, 0, 0.4, 1.2, 1.3, 1.4, 5, 5, 5]
