@@ -43,6 +43,39 @@ def pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, keys).where(ordered).withColumns({"suggestion": winner, "reason": reason})
 
 
+def classes(rows: DataFrame) -> DataFrame:
+    """J10, G01 without pairs: each candidate that has a rival (another value of another source for its entity and property),
+    with its best rival (value, source_id) and whether that one wins: entity_id, property, value, source_id, rival_value,
+    rival_source_id, loses.
+
+    Sides are in one order (confidence, recency, source), so of a group the best side decides, or, for those that share its
+    value or its source, the best of the rest. Three aggregations find these few sides; rows stay as many as candidates.
+    ``pairs`` lists all pairs where they are wanted.
+    """
+    keys = ["entity_id", "property"]
+    side = F.struct(rank(F.col("confidence")).alias("r"), recency(rows, "ingested_at").alias("t"), F.col("source_id").alias("s"), F.col("value").alias("v"))
+    held = rows.select(*keys, side.alias("own"))
+
+    def best(name: str, *others: str) -> Column:
+        """The best side whose value (v.x) and source (s.x) are not those of x."""
+        ok = F.lit(True)
+        for o in others:
+            field, of = o.split(".")
+            ok = ok & (F.col(f"own.{field}") != F.col(f"{of}.{field}"))
+        return F.max(F.when(ok, F.col("own"))).alias(name)
+
+    top = held.groupBy(*keys).agg(best("b1"))
+    more = held.join(top, keys).groupBy(*keys, "b1").agg(best("b2", "s.b1"), best("b3", "v.b1"), best("b4", "s.b1", "v.b1"))
+    rest = held.join(more, keys).groupBy(*keys, "b1", "b2", "b3", "b4").agg(best("b5", "v.b1", "s.b3"), best("b6", "s.b1", "v.b2"))
+    same_v, same_s = F.col("own.v") == F.col("b1.v"), F.col("own.s") == F.col("b1.s")
+    of_others = F.when(F.col("b3.s") != F.col("own.s"), F.col("b3")).otherwise(F.col("b5"))
+    of_sources = F.when(F.col("b2.v") != F.col("own.v"), F.col("b2")).otherwise(F.col("b6"))
+    rival = F.when(same_v & same_s, F.col("b4")).when(same_v, of_others).when(same_s, of_sources).otherwise(F.col("b1"))
+    met = held.join(rest, keys).withColumn("rival", rival).where("rival IS NOT NULL")
+    order = lambda c: F.struct(f"{c}.r", f"{c}.t", f"{c}.s")
+    return met.select(*keys, F.col("own.v").alias("value"), F.col("own.s").alias("source_id"), F.col("rival.v").alias("rival_value"), F.col("rival.s").alias("rival_source_id"), (order("own") < order("rival")).alias("loses"))
+
+
 def recency(rows: DataFrame, column: str) -> Column:
     """A source's time; the epoch where there is none."""
     epoch = F.lit("1970-01-01 00:00:00").cast(rows.schema["ingested_at"].dataType)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.operators import accounts, conflicts, curator, facts, queues, relations, truth
+from kgspark.operators import accounts, conflicts, curator, fact_store, facts, intervals, queues, relations, truth
 from kgspark.operators.visibility import Principal, overlaps, patched, visible, visible_rows, with_parent
 from kgspark.sources import graph as g
+from kgspark.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -256,7 +258,40 @@ def rollback_reconcile(spark: SparkSession, d: str) -> DataFrame:
 def asof_join_events_orders(spark: SparkSession, d: str) -> DataFrame:
     """F06 as an interval join: events in the thirty days after an order, by customer."""
     o = g.table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), F.expr("o_orderdate + INTERVAL '9500' DAY").alias("a"), F.expr("o_orderdate + INTERVAL '9530' DAY").alias("b"))
-    return g.table(spark, d, "events").join(o, "user_id").where("ts >= a AND ts < b").select("event_id", "o_orderkey")
+    return intervals.interval_join(g.table(spark, d, "events"), o, ["user_id"], "ts", "a", "b").select("event_id", "o_orderkey")
+
+
+@query(
+    """SELECT entity_id, property, value, source_id, rival_value, rival_source_id, loses FROM (
+ SELECT a.entity_id, a.property, a.value, a.source_id, b.value AS rival_value, b.source_id AS rival_source_id, (a.ra, a.ta, a.source_id) < (rb, tb, b.source_id) AS loses,
+  row_number() OVER (PARTITION BY a.entity_id, a.property, a.value, a.source_id ORDER BY rb DESC, tb DESC, b.source_id DESC, b.value DESC) AS n
+ FROM ordered a JOIN (SELECT *, ra AS rb, ta AS tb FROM ordered) b ON a.entity_id = b.entity_id AND a.property = b.property AND a.value <> b.value AND a.source_id <> b.source_id) WHERE n = 1""",
+    g.FACT, g.SOURCE, _CAND, f"ordered AS (SELECT *, {_RANK.format('cand')} AS ra, coalesce(ingested_at, TIMESTAMP '1970-01-01') AS ta FROM cand)",
+)
+def conflict_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every side of a conflict with its best rival, without pairs."""
+    return conflicts.classes(conflicts.candidates(g.facts(spark, d), g.sources(spark, d).where("id <> 1")))
+
+
+@query(
+    """SELECT 'update' AS outcome, logical_id, c_mktsegment AS value FROM customer JOIN fact ON logical_id = c_custkey || ':click:1' AND valid_to IS NULL WHERE value <> c_mktsegment
+ UNION ALL SELECT 'create', c_custkey || ':segment:0', c_mktsegment FROM customer
+ UNION ALL SELECT 'NOT_FOUND', c_custkey || ':click:1', NULL FROM customer WHERE c_custkey || ':click:1' NOT IN (SELECT logical_id FROM fact)
+ UNION ALL SELECT 'invalidate', logical_id, value FROM fact WHERE valid_to IS NULL AND property = 'purchase'""",
+    g.FACT,
+)
+def fact_store_writes(spark: SparkSession, d: str) -> DataFrame:
+    """One property of every customer changed and another one added, a third closed, in a store that rewrites
+    touched partitions only; what its audit rows say, with the values that are then open or were closed."""
+    store = fact_store.FactStore.created(g.facts(spark, d), f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}")
+    c, key = g.table(spark, d, "customer"), F.col("c_custkey")
+    none = F.lit(None)
+    seen = c.select(F.concat(key, F.lit(":click:1")).alias("logical_id"), F.col("c_mktsegment").alias("value"), none.cast("long").alias("entity_id"), none.cast("string").alias("property"))
+    made = c.select(F.concat(key, F.lit(":segment:0")).alias("logical_id"), F.col("c_mktsegment").alias("value"), key.alias("entity_id"), F.lit("segment").alias("property"))
+    refused = store.change(seen.union(made), F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
+    store.invalidate(facts.current(store.read()).where("property = 'purchase'"), F.lit("2030-01-02 00:00:00").cast("timestamp_ntz"))
+    done = store.versions().join(store.read().select(F.col("id").alias("fact_id"), "value"), "fact_id").select(F.col("change_type").alias("outcome"), "logical_id", "value")
+    return done.union(refused.select("reason", "logical_id", F.lit(None).cast("string")))
 
 
 @query(
