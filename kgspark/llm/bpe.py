@@ -167,7 +167,8 @@ def _assembled(docs: DataFrame, path: str | None, result: str, made) -> DataFram
     # This join and the last one read the same shuffle of the texts, so both keep the same columns.
     texts = squeezed(docs)
     once = encoded_once(texts.join(wanted, "key"), path).groupBy("hash").agg(F.first("ids").alias("ids"))
-    lists = joined(found, once, "hash", sizes=shared).groupBy("key").agg(F.collect_list(F.struct("hash", "ids")).alias("have"))
+    # A set: repeated rows have one key, and each of them needs the chunks of its text once.
+    lists = joined(found, once, "hash", sizes=shared).groupBy("key").agg(F.collect_set(F.struct("hash", "ids")).alias("have"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kgspark.llm import bpe
@@ -63,3 +64,18 @@ def test_a_stretch_is_widened_until_the_outer_words_agree():
     wrong = b"\0\0\0\0" * 2 + ENCODER.encode(b" six seven")
     whole = bpe.repaired(ENCODER, parts, [ENCODER.encode(parts[0]), wrong])
     assert list(memoryview(whole).cast("I")) == library("one two three four five six seven")
+
+
+def test_repeated_rows_need_their_chunks_once(spark, monkeypatch):
+    """Equal rows have one key; its list holds the chunks of the text, not those of all its copies."""
+    text = " ".join(f"word{i * 7919 % 5000} and{i}" for i in range(1500))
+    rows = [(1, text)] * 2000 + [(2, text + " more"), (3, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    seen = []
+    monkeypatch.setattr(bpe, "joined", lambda a, b, *k, real=bpe.joined, **kw: seen.append(real(a, b, *k, **kw)) or seen[-1])
+    got = {(r.doc_id, bytes(r.ids)) for r in bpe.encode(df).collect()}
+    assert {(i, list(memoryview(b).cast("I"))[:3] != []) for i, b in got} == {(1, True), (2, True), (3, True)}
+    for i, b in got:
+        assert list(memoryview(b).cast("I")) == library(dict(rows)[i])
+    sizes = [r.n for r in seen[0].groupBy("key").agg(F.size(F.collect_set(F.struct("hash", "ids"))).alias("n")).collect()]
+    assert max(sizes) == len({bpe.digest(c) for c in bpe.chunks(text.encode(), bpe.cuts([text.encode()])[0])})

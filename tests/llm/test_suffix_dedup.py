@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from kgspark.llm import suffix_dedup
 from kgspark.llm import suffix_dedup as s
 
 LAST = s.LAST
@@ -87,3 +88,22 @@ def test_contexts_of_a_hot_key_are_not_held():
     out = s._sorted(batches())
     assert next(out).num_rows == 1000 and read == 1
     assert sum(b.num_rows for b in out) == 49_000
+
+
+def test_texts_that_share_a_hash_get_other_seeds(spark, monkeypatch):
+    """A hash of two values only: no seed tells three texts apart by it, and with it and their ids only some do."""
+    from pyspark.sql import functions as F
+
+    real, seeds = F.xxhash64, []
+
+    def weak(*columns):
+        if columns[-1] == "text" and len(columns) == 2:
+            seeds.append(columns[0])
+            return F.pmod(real(*columns), F.lit(2 if len(seeds) % 2 else 1 << 40))
+        return real(*columns)
+
+    df = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "c", 3), (4, "a", 4)], "doc_id long, text string, own long")
+    monkeypatch.setattr(suffix_dedup.F, "xxhash64", weak)
+    named = suffix_dedup._named(df)
+    assert len(seeds) == 10  # four seeds ask for k1 alone; the fifth for k1 and the smallest id
+    assert named.select("k1", "k2").distinct().count() == 3
