@@ -35,7 +35,7 @@ def mentions(text: Column) -> Column:
 
 def convert(quantity: Column, factor: Column, places: Column | None) -> Column:
     """Exact decimal product, rounded half up where the rule says to how many places."""
-    exact = quantity.cast("decimal(18,4)") * factor.cast("decimal(18,4)")
+    exact = quantity.cast("decimal(18,4)") * factor.cast("decimal(18,12)")
     return exact if places is None else F.round(exact, places)
 
 

@@ -22,7 +22,9 @@ def line_number(location: Column) -> Column:
 
 
 def document_id(source_file: Column, prefix: str = "id_code_") -> Column:
-    return F.concat(F.lit(prefix), F.regexp_replace(source_file, "[^A-Za-z0-9]+", "_"))
+    """Letters, digits and underscores stay, so that ``a__b`` and ``a_b`` are two; ``module`` where nothing is left."""
+    slug = F.regexp_replace(F.regexp_replace(source_file, "[^a-zA-Z0-9_]+", "_"), "^_+|_+$", "")
+    return F.concat(F.lit(prefix), F.coalesce(F.nullif(slug, F.lit("")), F.lit("module")))
 
 
 def symbols(nodes: DataFrame, edges: DataFrame) -> DataFrame:

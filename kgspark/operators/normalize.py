@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.numbers import NUMBER, numbers, quantity_text, same_numbers
 from kgspark.functions.text import letters, overlap_coefficient
+from kgspark.operators import template
 
 ITEMS, STEPS = "## Items", "## Steps"
 KEYS = ("title", "id", "lang", "servings")
@@ -64,18 +65,36 @@ def translate(text: Column, terms: dict[str, str]) -> Column:
 
 
 def parse(md: Column, units: tuple[str, ...]) -> Column:
-    """struct(fm map, items array<struct(qty, unit, item)>, steps array<string>)."""
-    head = F.regexp_extract(md, "(?s)\\A---\\n(.*?)\\n---\\n", 1)
-    fm = F.str_to_map(head, F.lit("\n"), F.lit(": "))
-    body = F.split(F.regexp_replace(md, "(?s)\\A---\\n.*?\\n---\\n", ""), "\n")
-    known = "(?:(" + "|".join(map(re.escape, units)) + ") )?"
-    line = f"^- (\\d+(?:\\.\\d+)?) {known}(.*)$"
-    items = F.transform(
-        F.filter(body, lambda x: F.rlike(x, F.lit(line))),
-        lambda x: F.struct(F.regexp_extract(x, line, 1).alias("qty"), F.nullif(F.regexp_extract(x, line, 2), F.lit("")).alias("unit"), F.regexp_extract(x, line, 3).alias("item")),
-    )
-    steps = F.transform(F.filter(body, lambda x: F.rlike(x, F.lit("^\\d+\\. "))), lambda x: F.regexp_replace(x, "^\\d+\\. ", ""))
-    return F.struct(fm.alias("fm"), items.alias("items"), steps.alias("steps"))
+    """struct(fm map, items array<struct(qty, unit, item)>, steps array<string>).
+
+    It reads what it can: items of the section of items only, steps of the section of steps only, under the heading of any
+    template; line ends and blanks may be of any kind. A null document has an empty map and null lists. ``template.errors`` says what a strict reader would object to.
+    """
+    text = template.plain_ends(md)
+    fm = F.coalesce(template.front_matter(md), F.create_map().cast("map<string,string>"))
+    lines = F.transform(F.split(F.regexp_replace(text, "(?s)\\A---[ \\t]*\\n(?:.*?\\n)??[ \\t]*---[ \\t]*(?:\\n|\\z)", ""), "\n"), template.bare)
+    known = "(?:(" + "|".join(map(re.escape, units)) + ")(?= ) )?"
+    line = f"^- (\\d+(?:\\.\\d+)?)\\s+{known}(.*)$"
+
+    def sections(body: Column) -> Column:
+        def last(names: tuple[str, ...]) -> Column:
+            return F.coalesce(F.array_max(F.filter(F.transform(body, lambda x, i: F.when(x.isin(*names), i)), lambda i: i.isNotNull())), F.lit(-1))
+
+        def between(at: Column) -> Column:
+            i, s = at["i"], at["s"]
+            inside = F.filter(F.transform(body, lambda x, k: F.when((i >= 0) & (k > i) & ((s < i) | (k < s)), x)), lambda x: F.rlike(x, F.lit(line)))
+            after = F.filter(F.transform(body, lambda x, k: F.when((s >= 0) & (k > s) & ((i < s) | (k < i)), x)), lambda x: F.rlike(x, F.lit("^\\d+\\. ")))
+            items = F.transform(
+                inside,
+                lambda x: F.struct(F.regexp_extract(x, line, 1).alias("qty"), F.nullif(F.regexp_extract(x, line, 2), F.lit("")).alias("unit"), F.regexp_extract(x, line, 3).alias("item")),
+            )
+            return F.struct(items.alias("items"), F.transform(after, lambda x: F.regexp_replace(x, "^\\d+\\. ", "")).alias("steps"))
+
+        marks = F.struct(last((ITEMS, template.SOURCE.items, template.TRANSLATED.items)).alias("i"), last((STEPS, template.SOURCE.steps, template.TRANSLATED.steps)).alias("s"))
+        return F.get(F.transform(F.array(marks), between), F.lit(0))
+
+    body = F.get(F.transform(F.array(lines), sections), F.lit(0))
+    return F.struct(fm.alias("fm"), body["items"].alias("items"), body["steps"].alias("steps"))
 
 
 def translation_input(doc: Column, items: str = "## Ingredienti", steps: str = "## Procedimento") -> Column:
@@ -102,7 +121,7 @@ def canonical(doc: Column, rules: dict[str, tuple[str, str, int | None]], terms:
         qty, unit = x["qty"], x["unit"]
         exact = qty.cast("decimal(18,4)")
         for name, (target, factor, places) in rules.items():
-            product = exact * F.lit(factor).cast("decimal(18,4)")
+            product = exact * F.lit(factor).cast("decimal(18,12)")
             value = quantity_text(product if places is None else F.round(product, places))
             qty = F.when(x["unit"] == name, value).otherwise(qty)
             unit = F.when(x["unit"] == name, target).otherwise(unit)

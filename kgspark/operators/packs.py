@@ -164,10 +164,10 @@ def canonical(doc: Column, pack: Pack) -> Column:
         exact = x["qty"].cast("decimal(18,4)")
 
         def product(rule: UnitRule) -> Column:
-            out = exact * F.lit(rule.factor).cast("decimal(18,4)")
-            return (out if rule.rounding is None else F.round(out, rule.rounding)).cast("decimal(38,8)")
+            out = exact * F.lit(rule.factor).cast("decimal(18,12)")
+            return (out if rule.rounding is None else F.round(out, rule.rounding)).cast("decimal(38,16)")
 
-        qty = quantity_text(F.coalesce(unit_rule(pack, x["unit"], product), exact.cast("decimal(38,8)")))
+        qty = quantity_text(F.coalesce(unit_rule(pack, x["unit"], product), exact.cast("decimal(38,16)")))
         unit = F.coalesce(unit_rule(pack, x["unit"], lambda r: F.lit(r.to_unit)), x["unit"])
         lookup = clean_item(x["item"])
         found = F.element_at(table, folded(lookup))

@@ -47,38 +47,74 @@ def _only(bad: Column, *errors: Column) -> Column:
     return F.when(bad, F.array(*errors)).otherwise(F.array().cast(ERROR))
 
 
+#: Blanks of a line, as strict readers strip them.
+BLANK = " \t\u000b\u000c\r\u001c\u001d\u001e\u001f\u0085\u00a0"
+
+
+def bare(line: Column) -> Column:
+    return F.trim(line, F.lit(BLANK))
+
+
+def plain_ends(md: Column) -> Column:
+    """All line ends (CRLF, CR) as line feeds, without a byte order mark."""
+    return F.regexp_replace(F.regexp_replace(md, "\\A\ufeff", ""), "\\r\\n?", "\n")
+
+
 def _lines(md: Column) -> Column:
     """Lines of a text, without an empty one after its last line end."""
-    return F.split(F.regexp_replace(md, "\\n\\z", ""), "\n")
+    return F.split(F.regexp_replace(plain_ends(md), "\\n\\z", ""), "\n")
 
 
 def _last(lines: Column, text: str) -> Column:
     """The number (from 0) of the last line that is ``text`` between blanks; -1 where none is."""
-    at = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) == text, i)), lambda i: i.isNotNull())
+    at = F.filter(F.transform(lines, lambda x, i: F.when(bare(x) == text, i)), lambda i: i.isNotNull())
     return F.coalesce(F.array_max(at), F.lit(-1))
 
 
-def front_matter(md: Column) -> Column:
-    """map<string, string> of the ``key: value`` lines between the first two ``---``; NULL where there are none."""
-    head = F.regexp_extract(md, "(?s)\\A\\s*?---[ \\t]*\\n(.*?\\n)??[ \\t]*---[ \\t]*(?:\\n|\\z)", 1)
-    rows = F.filter(F.split(head, "\n"), lambda x: F.contains(x, F.lit(":")))
-    pairs = F.transform(rows, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
+def _raw_front_matter(md: Column) -> Column:
+    """map<string, string> of the ``key: value`` lines between the first two ``---``, values as written; NULL where there are none.
+
+    Of a key that is there twice the last value counts; comments and lines below a key (indented) are left out.
+    """
+    text = plain_ends(md)
+    head = F.regexp_extract(text, "(?s)\\A---[ \\t]*\\n(.*?\\n)??[ \\t]*---[ \\t]*(?:\\n|\\z)", 1)
+    rows = F.filter(F.split(head, "\n"), lambda x: F.rlike(x, F.lit("^[^\\s#][^:]*:(?:\\s|$)")))
+    pairs = F.transform(rows, lambda x: F.struct(_scalar(bare(F.substring_index(x, ":", 1))).alias("key"), bare(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.when(F.rlike(md, F.lit("(?s)\\A---[ \\t]*\\n(?:.*?\\n)??[ \\t]*---[ \\t]*(?:\\n|\\z)")), F.map_from_entries(last))
+    return F.when(F.rlike(text, F.lit("(?s)\\A---[ \\t]*\\n(?:.*?\\n)??[ \\t]*---[ \\t]*(?:\\n|\\z)")), F.map_from_entries(last))
+
+
+def _scalar(raw: Column) -> Column:
+    """The text of a YAML scalar: quotes and what they escape taken off, comments left out, null and ~ as NULL."""
+    double = F.regexp_extract(raw, '^"((?:[^"\\\\]|\\\\.)*)"\\s*(?:#.*)?$', 1)
+    single = F.regexp_extract(raw, "^'((?:[^']|'')*)'\\s*(?:#.*)?$", 1)
+    plain = bare(F.regexp_replace(raw, "(?:^|\\s)#.*$", ""))
+    unescaped = F.regexp_replace(F.replace(F.replace(double, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), '\\\\(.)', "$1")
+    return (
+        F.when(F.rlike(raw, F.lit('^"(?:[^"\\\\]|\\\\.)*"\\s*(?:#.*)?$')), unescaped)
+        .when(F.rlike(raw, F.lit("^'(?:[^']|'')*'\\s*(?:#.*)?$")), F.replace(single, F.lit("''"), F.lit("'")))
+        .when(~plain.isin("", "~", "null", "Null", "NULL"), plain)
+    )
+
+
+def front_matter(md: Column) -> Column:
+    """map<string, string> of the front matter, its values without their quotes; NULL where there is none."""
+    return F.transform_values(_raw_front_matter(md), lambda k, v: _scalar(v))
 
 
 def _front_errors(fm: Column, template: Template) -> Column:
     has = lambda k: F.map_contains_key(fm, k)
     value = lambda k: F.element_at(fm, k)
     missing = [_only(~has(k), _error("MISSING_KEY", F.lit(1), F.lit(k))) for k in template.keys]
-    whole = [_only(has(k) & ~F.rlike(value(k), F.lit("^[-+]?\\d+$")), _error("NOT_AN_INTEGER", F.lit(1), F.lit(k))) for k in template.whole]
-    level = _only(has("difficulty") & ~value("difficulty").isin(*template.levels), _error("UNKNOWN_DIFFICULTY", F.lit(1), value("difficulty")))
+    whole = [_only(has(k) & ~F.rlike(F.regexp_replace(value(k), "\\s+#.*$", ""), F.lit("^[-+]?\\d+$")), _error("NOT_AN_INTEGER", F.lit(1), F.lit(k))) for k in template.whole]
+    given = _scalar(value("difficulty"))
+    level = _only(has("difficulty") & ~F.coalesce(given.isin(*template.levels), F.lit(False)), _error("UNKNOWN_DIFFICULTY", F.lit(1), given))
     return F.concat(*missing, *whole, level)
 
 
 def _item_errors(line: Column, number: Column, units: tuple[str, ...]) -> Column:
     unit = "(?:(?:" + "|".join(map(re.escape, units)) + ")(?= |$) ?)?" if units else ""
-    text = F.trim(line)
+    text = bare(line)
     return F.when(~F.startswith(text, F.lit("- ")), F.array(_error("ITEM_EXPECTED", number, text))).otherwise(
         F.when(~F.rlike(text, F.lit("^- \\d+(?:\\.\\d+)?\\s+\\S")), F.array(_error("QUANTITY_EXPECTED", number, text))).otherwise(
             _only(F.rlike(text, F.lit(f"^- \\d+(?:\\.\\d+)?\\s+{unit}\\s*$")), _error("ITEM_EMPTY", number, text))
@@ -87,7 +123,7 @@ def _item_errors(line: Column, number: Column, units: tuple[str, ...]) -> Column
 
 
 def _step_errors(line: Column, number: Column, nth: Column) -> Column:
-    text = F.trim(line)
+    text = bare(line)
     given = F.regexp_extract(text, "^(\\d+)\\.\\s", 1).try_cast("int")
     return F.when(~F.rlike(text, F.lit("^\\d+\\.\\s+\\S")), F.array(_error("STEP_EXPECTED", number, text))).otherwise(_only(given != nth, _error("STEP_NUMBER", number, given.cast("string"))))
 
@@ -95,7 +131,7 @@ def _step_errors(line: Column, number: Column, nth: Column) -> Column:
 def _section(lines: Column, begin: Column, end: Column) -> Column:
     """array<struct(line, number)> of the lines with text after ``begin`` and before ``end``, numbered from 1."""
     rows = F.transform(lines, lambda x, i: F.struct(x.alias("line"), (i + 1).alias("number"), i.alias("at")))
-    return F.filter(rows, lambda r: (r["at"] > begin) & (r["at"] < end) & (F.trim(r["line"]) != ""))
+    return F.filter(rows, lambda r: (r["at"] > begin) & (r["at"] < end) & (bare(r["line"]) != ""))
 
 
 def _body_errors(lines: Column, template: Template, units: tuple[str, ...]) -> Column:
@@ -115,11 +151,11 @@ def errors(md: Column, template: Template, units: tuple[str, ...]) -> Column:
     """array<struct<code, line, what>>; empty for a document that keeps to the template."""
 
     def of(lines: Column) -> Column:
-        marks = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & (F.trim(x) == "---"), i)), lambda i: i.isNotNull())
-        begun = F.trim(F.get(lines, F.lit(0))) == "---"
+        marks = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & (bare(x) == "---"), i)), lambda i: i.isNotNull())
+        begun = bare(F.get(lines, F.lit(0))) == "---"
         closed = F.size(marks) > 0
         body = F.slice(lines, F.coalesce(F.get(marks, F.lit(0)), F.lit(0)) + 2, F.size(lines))
-        good = F.concat(_once(front_matter(md), lambda fm: _front_errors(fm, template)), _once(body, lambda b: _body_errors(b, template, units)))
+        good = F.concat(_once(_raw_front_matter(md), lambda fm: _front_errors(fm, template)), _once(body, lambda b: _body_errors(b, template, units)))
         return F.when(~begun, F.array(_error("NO_FRONT_MATTER", F.lit(1)))).when(~closed, F.array(_error("FRONT_MATTER_OPEN", F.lit(1)))).otherwise(good)
 
     return F.when(md.isNull(), F.array(_error("NO_FRONT_MATTER", F.lit(1)))).otherwise(_once(_lines(md), of))
@@ -152,7 +188,7 @@ def verify(source: Column, other: Column, units: tuple[str, ...]) -> Column:
     """
 
     def counted(md: Column, template: Template) -> Column:
-        lines = _lines(F.regexp_replace(md, "(?s)\\A---.*?\\n---[ \\t]*(?:\\n|\\z)", ""))
+        lines = _lines(F.regexp_replace(plain_ends(md), "(?s)\\A---.*?\\n---[ \\t]*(?:\\n|\\z)", ""))
 
         def of(x: Column) -> Column:
             i, s = _last(x, template.items), _last(x, template.steps)

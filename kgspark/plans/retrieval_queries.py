@@ -132,30 +132,41 @@ def display_names(spark: SparkSession, d: str) -> DataFrame:
     return g.table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.display_name(raw).alias("name"))
 
 
+_LINKED = """cust AS (SELECT c_custkey AS k, 'c' || c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN c_name ELSE 'c' || c_custkey END AS label, 'nation' || c_nationkey || '.py' AS file,
+ CASE c_custkey % 5 WHEN 1 THEN NULL WHEN 2 THEN 'nowhere' WHEN 3 THEN 'c' || c_custkey ELSE 'n' || c_nationkey END AS target,
+ CASE c_custkey % 5 WHEN 3 THEN CASE WHEN c_custkey % 2 = 0 THEN 'imports' ELSE 'calls' END WHEN 4 THEN 'RELATES_TO' ELSE 'in' END AS relation FROM customer)"""
+
+
 @query(
-    """SELECT 'edge' AS kind, 'n' || n_nationkey AS a, 'r' || n_regionkey AS b FROM nation WHERE n_nationkey % 5 NOT IN (1, 2)
- UNION ALL SELECT 'node', 'n' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'n' || n_nationkey END FROM nation
- UNION ALL SELECT 'node', 'r' || r_regionkey, r_name FROM region
- UNION ALL SELECT 'violation', 'EDGE_WITHOUT_END', 'n' || n_nationkey FROM nation WHERE n_nationkey % 5 = 1
- UNION ALL SELECT 'violation', 'NODE_WITHOUT_ID', n_name FROM nation WHERE n_nationkey % 7 = 0
- UNION ALL SELECT DISTINCT 'source', 'src_' || substr(sha256(f), 1, 24), f FROM (SELECT 'nation' || n_regionkey || '.py' AS f FROM nation)"""
-)
+    """SELECT 'edge' AS kind, id AS a, target AS b, relation AS c FROM cust WHERE k % 5 IN (0, 4) OR k % 5 = 3 AND k % 2 = 1
+ UNION ALL SELECT 'node', id, label, CASE WHEN k % 2 = 0 THEN 'code' ELSE 'doc' END FROM cust UNION ALL SELECT 'node', 'n' || n_nationkey, n_name, NULL FROM nation
+ UNION ALL SELECT 'violation', 'EDGE_WITHOUT_END', id || ' -> ? ' || file, NULL FROM cust WHERE k % 5 = 1
+ UNION ALL SELECT 'violation', 'NODE_WITHOUT_ID', n_name, NULL FROM nation
+ UNION ALL SELECT DISTINCT 'source', 'src_' || sha256(file), file, sha256(file) FROM cust
+ UNION ALL SELECT 'fact', id || '__label', label, 'src_' || sha256(file) FROM cust UNION ALL SELECT 'fact', 'n' || n_nationkey || '__label', n_name, NULL FROM nation""",
+    _LINKED,
+)
 def import_node_link(spark: SparkSession, d: str) -> DataFrame:
-    """A node-link file with labels, ids and ends missing here and there, read back and registered."""
-    n, r = g.table(spark, d, "nation"), g.table(spark, d, "region")
-    own, k = F.concat(F.lit("n"), "n_nationkey"), F.col("n_nationkey")
-    file = F.concat(F.lit("nation"), "n_regionkey", F.lit(".py"))
-    node = n.select(F.struct(own.alias("id"), F.when(k % 2 == 0, F.col("n_name")).alias("label"), file.alias("source_file")).alias("x"))
-    node = node.union(r.select(F.struct(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("label"), F.lit(None).cast("string").alias("source_file"))))
-    node = node.union(n.where("n_nationkey % 7 = 0").select(F.struct(F.lit(None).cast("string").alias("id"), F.col("n_name").alias("label"), file.alias("source_file"))))
-    target = F.when(k % 5 == 2, "nowhere").when(k % 5 != 1, F.concat(F.lit("r"), "n_regionkey"))
-    link = n.select(F.struct(own.alias("source"), target.alias("target"), file.alias("source_file")).alias("x"))
-    both = node.agg(F.collect_list("x").alias("nodes")).withColumn("k", F.lit(1)).join(link.agg(F.collect_list("x").alias("links")).withColumn("k", F.lit(1)), "k")
+    """A node-link graph in lines, with labels, ids and ends that are missing, empty or named otherwise and
+    with nodes related to themselves, read back, registered and given label facts."""
+    c, n, k = g.table(spark, d, "customer"), g.table(spark, d, "nation"), F.col("c_custkey")
+    text_, own = F.lit(None).cast("string"), F.concat(F.lit("c"), "c_custkey")
+    file = F.concat(F.lit("nation"), "c_nationkey", F.lit(".py"))
+    node = F.struct(own.alias("id"), F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, "").alias("label"), F.when(k % 2 == 0, "code").alias("file_type"), F.when(k % 2 == 1, "doc").alias("type"), file.alias("source_file"))
+    target = F.when(k % 5 == 2, "nowhere").when(k % 5 == 3, own).when(k % 5 != 1, F.concat(F.lit("n"), "c_nationkey"))
+    relation = F.when(k % 5 == 3, F.when(k % 2 == 0, "imports").otherwise("calls")).when(k % 5 == 4, "").otherwise("in")
+    ends = [F.when(k % 2 == 0, own).alias("source"), F.when(k % 2 == 1, own).alias("_src"), F.when(k % 2 == 0, target).alias("target"), F.when(k % 2 == 1, target).alias("_tgt")]
+    rows = c.select(F.to_json(F.struct(F.array(node).alias("nodes"), F.array(F.struct(*ends, relation.alias("relation"), file.alias("source_file"))).alias("links"))).alias("value"))
+    named = F.array(F.struct(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("label")), F.struct(F.lit("").alias("id"), F.col("n_name").alias("label")))
     path = f"{shared_dir(spark)}/node-link-{uuid.uuid4().hex}"
-    both.select(F.to_json(F.struct("nodes", "links"))).coalesce(1).write.text(path)
-    nodes, edges, violations = files.node_link(spark, path)
-    parts = [edges.select(F.lit("edge"), "source", "target"), nodes.select(F.lit("node"), "id", "label"), violations.select(F.lit("violation"), "code", "what"), files.registered(nodes, edges).select(F.lit("source"), "id", "uri")]
-    return reduce(DataFrame.union, parts).toDF("kind", "a", "b")
+    rows.union(n.select(F.to_json(F.struct(named.alias("nodes"))))).write.text(path)
+    nodes, edges, violations = files.node_link(spark, path, lines=True)
+    facts = files.label_facts(nodes)
+    parts = [
+        edges.select(F.lit("edge"), "source", "target", "relation"), nodes.select(F.lit("node"), "id", "label", "file_type"), violations.select(F.lit("violation"), "code", "what", text_),
+        files.registered(nodes, edges).select(F.lit("source"), "id", "uri", "hash"), facts.select(F.lit("fact"), "logical_id", "value", "source_id"),
+    ]
+    return reduce(DataFrame.union, parts).toDF("kind", "a", "b", "c")
 
 
 @query("SELECT namespace, term, row_number() OVER (PARTITION BY namespace ORDER BY length(term) DESC, term) AS nth FROM term", g.TERM)

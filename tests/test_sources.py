@@ -26,8 +26,8 @@ def test_node_link_graph(spark, tmp_path):
     }
     (tmp_path / "g.json").write_text(json.dumps(graph))
     nodes, edges, violations = files.node_link(spark, f"file://{tmp_path}/g.json")
-    assert {(r.id, r.label, r.file_type) for r in nodes.collect()} == {("a", "A", "unknown"), ("b", "b", "unknown")}
-    assert [(r.source, r.target, r.relation, r.confidence) for r in edges.collect()] == [("a", "b", "related_to", "EXTRACTED")]
+    assert {(r.id, r.label, r.file_type) for r in nodes.collect()} == {("a", "A", None), ("b", "b", None)}
+    assert sorted((r.source, r.target, r.relation, r.confidence) for r in edges.collect()) == [("a", "a", "RELATES_TO", "EXTRACTED"), ("a", "b", "RELATES_TO", "EXTRACTED")]
     assert sorted(r.code for r in violations.collect()) == ["EDGE_WITHOUT_END", "NODE_WITHOUT_ID"]
     assert sorted(r.uri for r in files.registered(nodes, edges).collect()) == ["x.py", "y.py"]
 
@@ -58,3 +58,31 @@ def test_decisions_count_once_and_are_audited(spark):
     assert sorted(r.id for r in queues.decided(after, say, now)[2].collect()) == [1, 2, 9]
     with pytest.raises(ValueError):
         queues.listed(queue, "lost")
+
+
+def test_links_by_other_names_empty_values_and_self_relations(spark, tmp_path):
+    (tmp_path / "g.json").write_text(
+        '{"nodes": [{"id": "a", "label": "", "type": "code", "source_file": "x.py", "confidence": "INFERRED"}, {"id": "", "label": "lost"}, {"id": "b", "file_type": ""}],'
+        ' "links": [{"_src": "a", "_tgt": "b", "relation": ""}, {"source": "a", "target": "a", "relation": "imports"}, {"source": "a", "target": "a", "relation": "calls"}, {"source_file": "y.py"}]}'
+    )
+    nodes, edges, violations = files.node_link(spark, f"file://{tmp_path}/g.json")
+    assert sorted((r.id, r.label, r.file_type, r.confidence) for r in nodes.collect()) == [("a", "a", "code", "INFERRED"), ("b", "b", None, "EXTRACTED")]
+    assert sorted((r.source, r.target, r.relation) for r in edges.collect()) == [("a", "a", "calls"), ("a", "b", "RELATES_TO")]
+    assert sorted(map(tuple, violations.collect())) == [("EDGE_WITHOUT_END", "? -> ? y.py"), ("NODE_WITHOUT_ID", "lost")]
+    (r,) = files.registered(nodes, edges).collect()
+    assert (r.id, r.type, r.hash) == (f"src_{r.hash}", "file", __import__("hashlib").sha256(b"x.py").hexdigest())
+    assert sorted((f.logical_id, f.value, f.source_id) for f in files.label_facts(nodes).collect()) == [("a__label", "a", r.id), ("b__label", "b", None)]
+
+
+def test_module_ids(spark):
+    from kgspark.operators import code
+
+    df = spark.createDataFrame([("src/a__b.py",), ("src/a_b.py",), ("/_x_.py/",), ("--",)], "f string")
+    assert [r.x for r in df.select(code.document_id(F.col("f")).alias("x")).collect()] == ["id_code_src_a__b_py", "id_code_src_a_b_py", "id_code_x__py", "id_code_module"]
+
+
+def test_small_factors_are_exact(spark):
+    from kgspark.functions import numbers
+
+    df = spark.createDataFrame([("100000", "0.00003527")], "q string, f string")
+    assert df.select(numbers.quantity_text(numbers.convert(F.col("q"), F.col("f"), None)).alias("x")).first().x == "3.527"

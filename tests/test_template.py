@@ -129,3 +129,32 @@ def test_packs_are_validated_whole(spark, tmp_path):
     pack = packs.load(tmp_path)
     assert packs.known_units(pack) == ("dl", "ml")
     assert [(r.id, r.label_it, r.is_public) for r in packs.terms(spark, pack).collect()] == [("ingredienti:A", "riso", True)]
+
+
+def parts(spark, md):
+    doc = spark.createDataFrame([(md,)], "t string").select(normalize.parse(F.col("t"), UNITS).alias("d")).first().d
+    return doc.fm, [tuple(i) for i in doc["items"]], doc.steps
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_line_ends_and_tabs_change_nothing(spark, end):
+    md = IT.replace("\n", end).replace(f"- 2", "\t- 2")
+    assert found(spark, md) == found(spark, IT) == []
+    assert parts(spark, md) == parts(spark, IT)
+
+
+def test_yaml_values_comments_and_repeated_keys(spark):
+    md = '---\n# head\ntitle: "Riso: \\"buono\\"" # note\nid: \'l\'\'orto\'\nlang: it # x\nservings: 4 # four\ntime_min: "30"\ndifficulty: "facile"\ntitle2: ~\nid: due\ntags:\n  - a: b\n---\n'
+    fm = spark.createDataFrame([(md,)], "t string").select(template.front_matter(F.col("t")).alias("m")).first().m
+    assert fm == {"title": 'Riso: "buono"', "id": "due", "lang": "it", "servings": "4", "time_min": "30", "difficulty": "facile", "title2": None, "tags": None}
+    body = IT[IT.index("## Ingredienti") :]
+    assert found(spark, md + body) == [("NOT_AN_INTEGER", 1)]  # a quoted number is a text
+    assert parts(spark, md + body)[0]["id"] == "due"  # a repeated key does not stop the job
+
+
+def test_items_and_steps_count_in_their_sections_only(spark):
+    md = IT.replace("## Ingredienti\n", "- 9 g nulla\n1. Nulla.\n## Ingredienti\n1. Nulla.\n").replace("## Procedimento\n", "## Procedimento\n- 7 g nulla\n")
+    assert parts(spark, md)[1:] == parts(spark, IT)[1:]
+    assert parts(spark, "- 9 g nulla\n1. Nulla.\n") == ({}, [], [])
+    none = spark.createDataFrame([(None,)], "t string").select(normalize.parse(F.col("t"), UNITS).alias("d")).first().d
+    assert (none.fm, none["items"], none.steps) == ({}, None, None)
