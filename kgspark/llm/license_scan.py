@@ -1,7 +1,9 @@
 """5. Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory. Native.
 
-Headers are lines with a licence cue; a licence file is compared as one text. Templates are notices, and the whole texts
-of the folder ``licences``. Terms are words and word pairs, weighted by
+Headers are lines with a licence cue, and the blocks (up to a blank line) that such lines stand in, each as one; a licence
+file is compared as one text. Templates are notices, standard headers, SPDX lines, and the whole texts of the folder
+``licences``. Texts move once, to be made distinct; from there on a unit is its MD5. A notice of a third of all files and a
+directory above a third of them are hot keys, and are joined by ``joined``. Terms are words and word pairs, weighted by
 their rarity among the templates; each text goes to the template of the largest cosine of at least LEAST. The templates'
 weights are a table of fixed size, which is broadcast. A file that states no licence takes that of the nearest directory
 above it with a licence file: its directories, one row each, join the licensed directories by path.
@@ -21,7 +23,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import documents, stored, table
+from kgspark.llm.common import documents, joined, stored, table
 
 LEAST = 0.5
 CUE = "(?i)licen[sc]e|copyright|permission is|warrant|redistribut|spdx|creative commons|public domain|\\bCC[ -]BY"
@@ -59,9 +61,31 @@ NOTICES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Zlib": ["Licensed under the zlib License."],
 }
+#: Standard headers of several lines.
+HEADERS = {
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+}
+for _name, _program, _license, _version in (
+    ("AGPL-3.0", "program", "GNU Affero General Public License", "version 3"),
+    ("GPL-2.0", "program", "GNU General Public License", "version 2"),
+    ("GPL-3.0", "program", "GNU General Public License", "version 3"),
+    ("LGPL-2.1", "library", "GNU Lesser General Public License", "version 2.1"),
+    ("LGPL-3.0", "library", "GNU Lesser General Public License", "version 3"),
+):
+    HEADERS[_name] = f"This {_program} is free software: you can redistribute it and/or modify it under the terms of the {_license} as published by the Free Software Foundation, either {_version} of the License, or (at your option) any later version."
+
+
+def _identifiers(name: str) -> list[str]:
+    """SPDX lines of a template; those of the GNU licences say whether later versions count too."""
+    ends = ("", "-only", "-or-later") if "GPL" in name or "GFDL" in name else ("",)
+    return [f"SPDX-License-Identifier: {name}{end}" for end in ends]
+
+
 #: Whole texts, without their copyright lines.
 TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
-TEMPLATES = {name: [*notices, *([TEXTS[name]] if name in TEXTS else [])] for name, notices in NOTICES.items()}
+TEMPLATES = {name: [*notices, *([HEADERS[name]] if name in HEADERS else []), *_identifiers(name), *([TEXTS[name]] if name in TEXTS else [])] for name, notices in NOTICES.items()}
 _TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -117,15 +141,19 @@ def license_scan(files: DataFrame, path: Column, is_file: Column | None = None,
     is_file = F.coalesce(F.rlike(F.col("path"), F.lit(FILE)), F.lit(False)) if is_file is None else is_file
     rows = rows.withColumn("licence_file", is_file)
     cued = F.filter(F.split("text", "\n"), lambda line: F.rlike(line, F.lit(CUE)))
+    blocks = F.filter(F.split("text", "\n\\s*\n"), lambda b: F.contains(F.trim(b), F.lit("\n")) & F.rlike(b, F.lit(CUE)))
+    cued = F.concat(cued, blocks)
     headers = F.when(F.col("licence_file"), F.array("text")).when(F.rlike("text", F.lit(CUE)), cued).otherwise(F.array().cast("array<string>"))
     row = F.xxhash64("doc_id", "path", "headers")
     # The texts are read once; what follows uses the headers alone.
     rows = rows.withColumn("headers", F.array_distinct(headers)).select("doc_id", "path", "licence_file", "headers", row.alias("row"))
     rows = stored(rows, "headers")
     # Equal headers are scored once: most documents that state a licence state it in the same words.
-    texts = rows.select(F.explode("headers").alias("text")).distinct().select(F.col("text").alias("unit"), "text")
+    name = F.unhex(F.md5("text"))
+    texts = rows.select(F.explode("headers").alias("text")).groupBy(name.alias("unit")).agg(F.first("text").alias("text"))
     best = stored(stated(texts, templates, least), "scored")
-    own = rows.where(F.size("headers") > 0).select("row", F.explode("headers").alias("unit")).distinct().join(best, "unit")
+    said = stored(rows.select("row", F.explode("headers").alias("text")).select("row", name.alias("unit")), "said")
+    own = joined(said, best, "unit", sizes=said.groupBy("unit").agg(F.count("*").alias("n")))
     own = own.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("x")).select("row", F.col("x.license").alias("own"), (-F.col("x.s")).alias("score"))
     rows = stored(rows.drop("headers").join(own, "row", "left"), "licensed")
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
@@ -133,8 +161,10 @@ def license_scan(files: DataFrame, path: Column, is_file: Column | None = None,
     given = given.select("dir", F.col("x.own").alias("theirs"), F.col("x.score").alias("their_score"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    given = stored(given, "given")
     bare = rows.where("own is null and path is not null").select("path").distinct().select("path", F.explode(above).alias("dir"))
-    nearest = bare.join(given, "dir").groupBy("path").agg(F.max(F.struct(F.length("dir").alias("n"), "dir", "theirs", "their_score")).alias("x"))
+    bare = stored(bare, "above")
+    nearest = joined(bare, given, "dir", sizes=bare.groupBy("dir").agg(F.count("*").alias("n"))).groupBy("path").agg(F.max(F.struct(F.length("dir").alias("n"), "dir", "theirs", "their_score")).alias("x"))
     rows = rows.join(nearest.withColumnRenamed("x", "up"), "path", "left")
     header = F.col("own").isNotNull()
     return rows.select(

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -107,3 +108,42 @@ def test_documents_that_begin_as_a_licence_are_licence_files(spark, tmp_path):
     spark.createDataFrame([(1, MIT, "src"), (2, "Prose.", "src"), (3, s.TEXTS["GPL-3.0"] + "\nEnd", "other")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.license, r.origin) for r in s.op5_license_scan(spark, str(tmp_path)).collect()}
     assert got == {1: ("MIT", "file"), 2: ("MIT", "inherited"), 3: ("GPL-3.0", "file")}
+
+
+def test_common_headers(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n\nimport os\n"
+    heads = {
+        "# SPDX-License-Identifier: MIT\nimport os\n": "MIT",
+        "// SPDX-License-Identifier: Apache-2.0\nint x;\n": "Apache-2.0",
+        "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;\n": "GPL-2.0",
+        gpl: "GPL-3.0",
+        "// Copyright 2009 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage x\n": "BSD-3-Clause",
+        "Prose about nothing.\nIt says that a licence is a fine thing to have.\n": None,
+    }
+    got = scan(spark, [(i, f"s/{i}.txt", text) for i, text in enumerate(heads)])
+    assert [got[i].license for i in range(len(heads))] == list(heads.values())
+
+
+def test_inheritance_equals_a_loop_over_a_random_tree(spark):
+    """Long paths, repeated rows, null doc_ids, very long texts and a root that is a hot directory."""
+    rng = random.Random(4)
+    dirs = [""] + ["/".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    licences = {d: rng.choice(["Released under the MIT License.", "Licensed under the ISC License.", "No statement."]) for d in sorted(set(dirs)) if rng.random() < 0.5}
+    rows = [(None if i % 50 == 0 else i, f"{d}/LICENSE" if d else "LICENSE", text) for i, (d, text) in enumerate(licences.items())]
+    plain = [(1000 + i, f"{d}/f{i}.txt" if d else f"f{i}.txt", "Prose. " * (40_000 if i == 3 else 1)) for i, d in enumerate(rng.choices(dirs, k=400))]
+    rows += plain + plain[:5]
+    names = {"Released under the MIT License.": "MIT", "Licensed under the ISC License.": "ISC"}
+    given = {d: names[t] for d, t in licences.items() if t in names}
+
+    def of(path):
+        at = path.rpartition("/")[0]
+        while True:
+            if at in given:
+                return given[at]
+            if not at:
+                return None
+            at = at.rpartition("/")[0]
+
+    df = spark.createDataFrame(rows, "doc_id long, file string, text string")
+    got = sorted((r.path, r.license or "") for r in s.license_scan(df, F.col("file")).collect())
+    assert got == sorted((path, (names.get(text) or of(path)) or "") for _, path, text in rows)
