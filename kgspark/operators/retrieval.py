@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -86,10 +86,17 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: as a column of its own, Catalyst would move it into the lambdas that read it
+    and compute it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def dense(sparse: DataFrame) -> DataFrame:
     """id, v: array<double> of DIMENSIONS from the rows (id, bucket, weight) of ``embed``."""
-    held = sparse.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))  # DIMENSIONS at most
-    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+    held = sparse.groupBy("id").agg(F.collect_list(F.struct("bucket", "weight")).alias("m"))  # DIMENSIONS at most
+    places = F.sequence(F.lit(0), F.lit(DIMENSIONS - 1))
+    return held.select("id", once(F.map_from_entries("m"), lambda m: F.transform(places, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))).alias("v"))
 
 
 #: Rows of one block of ``topk``, and of one step inside it.
@@ -158,19 +165,26 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalized(rows: DataFrame) -> DataFrame:
     """Rows with ``v`` at length 1; those without a length are left out."""
-    sized = rows.where(F.col("v").isNotNull()).withColumn("v", F.col("v").cast("array<double>")).withColumn("_norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    return sized.where("_norm > 0 AND _norm < double('Infinity')").withColumn("v", F.transform("v", lambda x: x / F.col("_norm"))).drop("_norm")
+    v = F.col("v").cast("array<double>")
+    unit = once(F.sqrt(dot(v, v)), lambda n: F.when((n > 0) & (n < float("inf")), F.transform(v, lambda x: x / n)))
+    return rows.where(F.col("v").isNotNull()).withColumn("v", unit).where(F.col("v").isNotNull())
 
 
-def topk(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
-    """query_id, vec_id, score, rank of the k nearest rows of each query by cosine, itself left out.
+def everywhere(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
+    """query_id, key, score, rank of the ``k`` best of all rows (key, v) for each of a stated set of queries (query_id, v).
 
-    A stated set of queries is held against all rows in blocks of about BLOCK, and at least one for each core.
+    Rows go in blocks of about BLOCK, at least one for each core, and every block gets the queries; all vectors are of length 1.
     """
     blocks = blocks or max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // BLOCK))
-    q = normalized(queries).select(F.col("vec_id").alias("query_id"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    r = normalized(rows).select(F.col("vec_id").alias("key"), "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    found = nearest(q, r, k + 1).where("key <> query_id").withColumnRenamed("key", "vec_id")
+    asked = queries.select("query_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    return nearest(asked, rows.select("key", "v", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block")), k)
+
+
+def topk(queries: DataFrame, rows: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
+    """query_id, vec_id, score, rank of the k nearest rows of each query by cosine, itself left out."""
+    q = normalized(queries).select(F.col("vec_id").alias("query_id"), "v")
+    r = normalized(rows).select(F.col("vec_id").alias("key"), "v")
+    found = everywhere(q, r, k + 1, blocks).where("key <> query_id").withColumnRenamed("key", "vec_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 

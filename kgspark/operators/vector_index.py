@@ -14,18 +14,41 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgspark.operators import retrieval
 from kgspark.operators.retrieval import dot, normalized
 from kgspark.sources.shared import stored
 
 SAMPLE, CELLS = 20_000, 4096
+#: Distances that a task holds at a time.
+HELD = 1 << 22
+
+
+def _dealt(centres: list[list[float]], most: int):
+    """Mapper that adds ``cells``, the places of the ``most`` nearest centres, to rows with ``v``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = np.array(centres)
+        own, step = (c * c).sum(axis=-1), max(1, HELD // max(1, len(c)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                cells = np.argsort(own - 2 * (v @ c.T), axis=1, kind="stable")[:, :most].astype(np.int32)
+                ends = np.arange(part.num_rows + 1, dtype=np.int32) * cells.shape[1]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, cells.ravel())], names=[*part.schema.names, "cells"])
+
+    return run
 
 
 @dataclass
@@ -68,9 +91,7 @@ class VectorIndex:
     def _in_cells(self, unit: DataFrame, most: int) -> DataFrame:
         """``unit`` with ``cells``: the ``most`` nearest centres; those of another length go."""
         width = len(self.centres[0]) if self.centres else 0
-        table = F.from_json(F.lit(json.dumps(self.centres)), "array<array<double>>")
-        far = F.transform(table, lambda c, i: F.struct((dot(c, c) - 2 * dot(c, F.col("v"))).alias("d"), i.alias("cell")))
-        return unit.where(F.size("v") == width).withColumn("cells", F.transform(F.slice(F.array_sort(far), 1, most), lambda x: x["cell"]))
+        return unit.where(F.size("v") == width).mapInArrow(_dealt(self.centres, most), T.StructType([*unit.schema, T.StructField("cells", T.ArrayType(T.IntegerType()))]))
 
     def add(self, rows: DataFrame) -> None:
         """Index further rows by the same centres; rows whose key is known are the caller's to leave out."""
@@ -82,12 +103,16 @@ class VectorIndex:
     def nearest(self, queries: DataFrame, k: int, probe: int | None = None) -> DataFrame:
         """query_id, key, score (cosine, six places), rank for ``queries`` (query_id, v); ``probe`` None: all cells, exact.
 
-        Queries meet the rows of the cells they probe; cells of more than BLOCK rows go in blocks.
+        Queries meet the rows of the cells they probe, cells of more than BLOCK rows in blocks; an exact search takes blocks
+        of all rows.
         """
         rows = self.stored()
+        if probe is None or probe >= len(self.centres):
+            width = len(self.centres[0]) if self.centres else 0
+            return retrieval.everywhere(normalized(queries).where(F.size("v") == width), rows, k)
         sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / retrieval.BLOCK).cast("int").alias("blocks"))  # CELLS at most
         number = lambda part: F.struct(F.col("cell"), part.alias("part"))
-        asked = self._in_cells(normalized(queries), probe or max(1, len(self.centres))).select("query_id", "v", F.explode("cells").alias("cell"))
+        asked = self._in_cells(normalized(queries).select("query_id", "v"), probe).select("query_id", "v", F.explode("cells").alias("cell"))
         asked = asked.join(F.broadcast(sizes), "cell").select("query_id", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "cell")
         dealt = rows.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
         block = F.xxhash64(number(F.col("part")))
