@@ -25,13 +25,14 @@ def _name(kind: str, *parts: Column) -> Column:
     return F.concat(F.col("logical_id"), F.lit(kind), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12))
 
 
-def changed(facts: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+def changed(facts: DataFrame, changes: DataFrame, now: Column, reopen: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The next facts, the audit rows (version_id, fact_id, logical_id, change_type, author_id, created_at), the refused
     changes (logical_id, reason).
 
     changes: logical_id, some of SETTABLE and author_id. The latest open version of a logical id is closed and followed by
     one with the new values, if there are any; an unknown logical id is inserted where entity_id and property are given.
-    A logical id named twice, one without an open version and an unknown one that cannot be inserted are refused.
+    A logical id named twice, one without an open version and an unknown one that cannot be inserted are refused. With
+    ``reopen`` one without an open version is inserted as if it were unknown.
     """
     sets = [c for c in SETTABLE if c in changes.columns and c in facts.columns]
     author = F.col("author_id") if "author_id" in changes.columns else F.lit(None).cast("string")
@@ -56,9 +57,9 @@ def changed(facts: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFram
     can = F.lit("entity_id" in sets and "property" in sets)
     if "entity_id" in sets and "property" in sets:
         can = F.col("_to.entity_id").isNotNull() & F.col("_to.property").isNotNull()
-    reason = F.when(F.col("_times") > 1, "NAMED_TWICE").when(~F.col("open"), "NO_OPEN_VERSION").when(F.col("open").isNull() & ~can, "NOT_FOUND")
+    reason = F.when(F.col("_times") > 1, "NAMED_TWICE").when(~F.col("open") & ~F.lit(reopen), "NO_OPEN_VERSION").when(~F.coalesce("open", F.lit(False)) & ~can, "NOT_FOUND")
     met = met.withColumn("reason", reason)
-    fresh = met.where("reason IS NULL AND open IS NULL").select("logical_id", "_by", *[F.col(f"_to.{c}").alias(c) for c in sets])
+    fresh = met.where("reason IS NULL AND NOT coalesce(open, false)").select("logical_id", "_by", *[F.col(f"_to.{c}").alias(c) for c in sets])
     fresh = fresh.withColumn("id", _name("__v_", now.cast("string")))
     fill = {f.name: F.lit(None).cast(f.dataType) for f in facts.schema if f.name not in fresh.columns}
     fresh = fresh.withColumns(fill | {"valid_from": now, "status": F.coalesce("status", F.lit("valid")) if "status" in sets else F.lit("valid")})
@@ -102,10 +103,14 @@ class FactStore:
     def _touched(self, rows: DataFrame) -> list[int]:
         return [r.part for r in rows.select(self._part().alias("part")).distinct().collect()]  # ``parts`` at most
 
-    def change(self, changes: DataFrame, now: Column) -> DataFrame:
+    def beside(self, rows: DataFrame) -> DataFrame:
+        """The partitions that the logical ids of ``rows`` lie in."""
+        return self.read(self._touched(rows))
+
+    def change(self, changes: DataFrame, now: Column, reopen: bool = False) -> DataFrame:
         """Write ``changed`` to the partitions of the changes; returns the refused ones."""
         changes = stored(changes)
-        next_, audit, refused = changed(self.read(self._touched(changes)), changes, now)
+        next_, audit, refused = changed(self.beside(changes), changes, now, reopen)
         return self._put(next_, audit, refused)
 
     def invalidate(self, logical_ids: DataFrame, now: Column) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import counted
+from kgspark.sources.shared import stored
 
 #: Fixed values of the ranking.
 K1, B = 1.2, 0.75
@@ -96,3 +97,20 @@ class SearchIndex:
         rows = rows.orderBy(F.desc("score"), "kind", "key")
         return rows if limit is None else rows.limit(limit)
 
+
+    def candidates(self, phrases: DataFrame) -> DataFrame:
+        """kind, key of the rows that hold the rarest word of a phrase (phrase): no others can hold all of it.
+
+        Only the partitions of the phrases' words are read, and a phrase with a word that no row has gives none.
+        """
+        tokens = F.explode(F.array_distinct(words(F.col("phrase")))).alias("token")
+        asked = stored(phrases.select("phrase", tokens).withColumn("part", partition(F.col("token"), self.partitions)))
+
+        def read(name: str, of: DataFrame) -> DataFrame:
+            parts = [r.part for r in of.select("part").distinct().collect()]  # as many as the index has at most
+            return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("part").isin(parts))
+
+        df = read("frequencies", asked).groupBy("part", "token").agg(F.sum("df").alias("df"))
+        rarest = F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "part")).alias("x")
+        rare = stored(asked.join(df, ["part", "token"], "left").groupBy("phrase").agg(rarest).select("x.token", "x.part").distinct())
+        return read("postings", rare).join(rare, ["part", "token"], "left_semi").select("kind", "key").distinct()

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgspark.functions import text
-from kgspark.operators import retrieval
+from kgspark.operators import curator, reextract, retrieval
+from kgspark.operators.fact_store import FactStore
 from kgspark.operators.search_index import SearchIndex
 from kgspark.operators.vector_index import VectorIndex
 from kgspark.plans.mining_queries import _TOK, _W
@@ -83,3 +84,39 @@ def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
     index = VectorIndex.built(e, _folder(spark, "vectors"))
     asked = index.stored().where("key % 100 = 0").select(F.col("key").alias("query_id"), "v")
     return index.recall(asked, 10, max(1, len(index.centres) * 2 // 3)).select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
+def _curated(spark: SparkSession, d: str) -> tuple[FactStore, DataFrame]:
+    """Orders whose items are part names, extracted by the nouns of these; then each brand's first name is approved as an alias
+    of the brand, its last one is pending, ``bolt`` is withdrawn, and the documents with these are extracted anew."""
+    part = g.table(spark, d, "part")
+    items = g.table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("pos"), F.col("p_name").alias("item")).distinct()
+    before = part.select(F.split("p_name", " ")[1].alias("alias")).distinct().withColumn("entry_id", F.concat(F.lit("ingredient:"), "alias"))
+    brands = part.groupBy("p_brand").agg(F.min("p_name").alias("approved"), F.max("p_name").alias("pending"))
+    brands = brands.unpivot("p_brand", ["approved", "pending"], "status", "term")
+    after = curator.applied(before, brands.withColumn("entry_id", F.concat(F.lit("brand:"), "p_brand"))).where("alias <> 'bolt'")
+    at = lambda day: F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
+    store = FactStore.created(reextract.first_facts(items, before, at("2029-01-01")), _folder(spark, "curated"), 16)
+    return store, reextract.reextract(store, reextract.indexed(items, _folder(spark, "items")), items, before, after, at("2030-01-01"), "curator")
+
+
+_CURATED = """named AS (SELECT p_name, min('brand:' || p_brand) AS entry FROM (SELECT p_brand, min(p_name) AS p_name FROM part GROUP BY p_brand) GROUP BY p_name),
+item AS (SELECT DISTINCT l_orderkey AS document_id, l_orderkey || ':item:' || l_partkey AS entity_id, 'ingredient:' || split_part(p_name, ' ', 2) AS v0,
+ coalesce(entry, CASE WHEN split_part(p_name, ' ', 2) <> 'bolt' THEN 'ingredient:' || split_part(p_name, ' ', 2) END) AS v1 FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN named USING (p_name))"""
+
+
+@query(
+    """SELECT entity_id || ':term' AS logical_id, entity_id, v0 AS value, TIMESTAMP '2029-01-01' AS valid_from, CASE WHEN v1 IS DISTINCT FROM v0 THEN TIMESTAMP '2030-01-01' END AS valid_to,
+ CASE WHEN v1 IS DISTINCT FROM v0 THEN 'obsolete' ELSE 'valid' END AS status FROM item
+ UNION ALL SELECT entity_id || ':term', entity_id, v1, TIMESTAMP '2030-01-01', NULL, 'valid' FROM item WHERE v1 <> v0""",
+    _CURATED,
+)
+def curator_reextract(spark: SparkSession, d: str) -> DataFrame:
+    """The versions of all facts after approved aliases and a withdrawn one."""
+    return _curated(spark, d)[0].read().select("logical_id", "entity_id", "value", "valid_from", "valid_to", "status")
+
+
+@query("SELECT document_id, count(*) FILTER (v1 <> v0) AS n_versions, count(*) FILTER (v1 IS NULL) AS n_invalidated FROM item WHERE v1 IS DISTINCT FROM v0 GROUP BY document_id", _CURATED)
+def curator_reextract_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that these aliases changed, and how many of their facts."""
+    return _curated(spark, d)[1].where("n_versions + n_invalidated > 0").select("document_id", "n_versions", "n_invalidated")
