@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.sources import graph as g
-from kgspark.streaming import ingest
+from kgspark.sources.shared import shared_dir
+from kgspark.streaming import ingest, job_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +55,16 @@ def token_bucket(spark: SparkSession, d: str) -> DataFrame:
     fast = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400))
     e = ingest.read_stream(spark, f"{d}/events.parquet").select(F.col("user_id").alias("key"), fast.alias("ts"), F.col("event_id").alias("seq"))
     return ingest.drained(ingest.token_bucket(e, 1.0, 3.0))
+
+
+@query("SELECT id, 'completed' AS status, n_rows, CAST(100 AS INT) AS progress FROM (SELECT 'events' AS id, count(*) AS n_rows FROM events UNION ALL SELECT 'conversations', count(*) FROM conversations)")
+def stream_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Two streams run as jobs, and what their progress tells of them."""
+    where = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    with job_log.JobLog(spark, where) as log:
+        runs = [job_log.tracked(ingest.read_stream(spark, f"{d}/{name}.parquet").select(key), log, name, f"{where}/{name}") for name, key in (("events", "event_id"), ("conversations", "conv_id"))]
+        for run in runs:
+            run.awaitTermination()
+            log.settled(run)
+    totals = [g.table(spark, d, name).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("id"), "n_rows") for name in ("events", "conversations")]
+    return job_log.told(log.events(), totals[0].union(totals[1])).select("id", "status", "n_rows", "progress")
