@@ -6,7 +6,8 @@ password, or the user where there is none). A value ends with its word. Its feat
 kinds, character transitions, the share covered by dictionary words, the path and the neighbouring words. The forest is
 trained from labelled findings; where none are given, a bounded sample of the corpus's own candidates is labelled by
 formats (a key prefix, an assignment to a name such as token or password, a URL's user part), up to half the bound for
-either label, and made-up findings of both kinds are added, as a corpus may have no short ones. Dictionary words are the
+either label, and made-up findings are added, which are labelled by what they were made as: short secrets, and hard
+negatives (hashes, UUIDs, integrity values, encoded data, paths and names) beside long secrets of the same letters. Dictionary words are the
 most frequent ones of all documents. The trained trees become one expression, so scanning is a projection: no shuffle, and
 a candidate costs a few comparisons.
 
@@ -151,14 +152,74 @@ def made_up(n: int = 400) -> list[tuple[str, int]]:
     return rows
 
 
+#: Contexts of values that are no secrets although they look like one ({} is the value), by kind; those of secrets.
+NO_SECRETS = {
+    "hash": ["commit {} fixed it", "merged {} into main", "see revision {} for this", "sha1 {} was built", 'checksum = "{}"', "digest: sha256:{}", "md5: {} of the file", 'etag: "{}"', "HEAD is now at {}", "parent {} of it"],
+    "uuid": ["request {} took long", "id={}", 'uuid: "{}"', "session_id={} ended", "/objects/{}/parts", "trace {} shows it"],
+    "integrity": ['integrity="sha256-{}="', 'integrity="sha512-{}=="', '"integrity": "sha384-{}"', "script-src 'sha256-{}='"],
+    "data": ["data:image/png;base64,{}", "src=data:font/woff2;base64,{} is inline", "body: {}", "payload {} follows"],
+    "name": ["call {} first", "import {} here", "open {} now", "class {} extends it"],
+}
+SECRETS = {
+    "hex": ['token = "{}"', "API_KEY={}", "password={}", 'secret: "{}"', "auth_token: {}", "access_key={}"],
+    "mixed": ['api_key = "{}"', "Authorization: Bearer {}", 'client_secret="{}"', "export SECRET_TOKEN={}", "private_key: '{}'", "--token={}"],
+    "prefixed": ["key {} is in use", "use {} here", 'id = "{}"', "{} leaked", "found {} in logs"],
+}
+
+
+def made_findings(n: int = 3000, seed: int = SEED, take: slice = slice(None)) -> list[tuple[str, int]]:
+    """``n`` texts with a long value that is a secret (1) or none (0), half each, in the contexts of each kind that ``take``
+    names. A label says which the value was made as, not what it looks like: the same hex digits are made as both."""
+    draw = random.Random(seed)
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    every = small + small.upper() + digits
+    syllables = "get set load find node list path user item text file name page view test data form base link main".split()
+
+    def some(letters: str, k: int, few: bool = False) -> str:
+        if few:  # keys of examples and tests have few different letters
+            letters = draw.sample(letters, draw.choice([2, 4, 8]))
+        return "".join(draw.choice(letters) for _ in range(k))
+
+    def key() -> str:
+        few = draw.random() < 0.5
+        kinds = ("AKIA", small.upper() + digits, 16), ("ghp_", every, 36), ("xoxb-" + some(digits, 12) + "-", every, 24), ("sk-", every, 40)
+        start, letters, k = draw.choice(kinds)
+        return start + some(letters, k, few)
+
+    def hexed(k: int) -> str:
+        return some(digits + "abcdef", k)
+
+    def name() -> str:
+        parts = [draw.choice(syllables) for _ in range(draw.randint(5, 8))]
+        return draw.choice(["/".join(parts), "_".join(parts), "_".join(parts).upper(), parts[0] + "".join(p.title() for p in parts[1:]), "-".join(parts)])
+
+    values = {
+        "hash": lambda: hexed(draw.choice([32, 40, 40, 64])),
+        "uuid": lambda: "-".join(map(hexed, (8, 4, 4, 4, 12))),
+        "integrity": lambda: some(every + "+/", draw.choice([43, 64, 86])),
+        "data": lambda: some(every + "+/", draw.randint(40, 200)),
+        "name": name,
+        "hex": lambda: hexed(draw.choice([16, 24, 32, 40, 64])),
+        "mixed": lambda: some(every + draw.choice(["", "-_", "+/"]), draw.randint(20, 64)),
+        "prefixed": key,
+    }
+    rows = []
+    for i in range(n):
+        kinds = SECRETS if i % 2 else NO_SECRETS
+        kind = draw.choice(sorted(kinds))
+        rows.append((f"It says {draw.choice(kinds[kind][take]).format(values[kind]())} there.", i % 2))
+    return rows
+
+
 def labelled(docs: DataFrame, path: str, sample: int = SAMPLE) -> DataFrame:
     """Findings labelled by format: x (a candidate), path, label; of each label those with the smallest hashes, together at
-    most ``sample``, so that rare secrets are learnt from however many other candidates there are; and the made-up ones."""
+    most ``sample``, so that rare secrets are learnt from however many other candidates there are; and the made-up ones, whose
+    labels no format gives."""
     rows = documents(docs, path).select(F.coalesce(path, F.lit("")).alias("path"), F.explode(candidates(F.col("text"))).alias("x"))
     rows = stored(rows.withColumn("label", format_label(F.col("x"))), "candidates")
     some = [rows.where(F.col("label") == label).orderBy(F.xxhash64("x"), "x").limit(sample // 2) for label in (0, 1)]
     rows = some[0].union(some[1])
-    made = docs.sparkSession.createDataFrame(made_up(), "text string, label int").select(F.lit("").alias("path"), F.explode(candidates(F.col("text"))).alias("x"), "label")
+    made = docs.sparkSession.createDataFrame(made_up() + made_findings(), "text string, label int").select(F.lit("").alias("path"), F.explode(candidates(F.col("text"))).alias("x"), "label")
     return rows.union(made)
 
 
