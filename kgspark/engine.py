@@ -77,9 +77,7 @@ class KnowledgeEngine:
         """Embed every document once and keep the vectors, by cells, with the weights of tokens; ``retrieve`` reads these."""
         spark = self.documents.sparkSession
         path = path or f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
-        n = self.documents.count()
-        df = self.documents.select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-        idf = df.select("token", F.log((n + 1) / (F.col("df") + 1)).alias("idf")).withColumn("idf", F.col("idf") + 1)
+        idf = retrieval.idf(self.documents).drop("df")
         idf.withColumn("part", search_index.partition(F.col("token"), search_index.PARTITIONS)).repartition("part").sortWithinPartitions("part", "token").write.partitionBy("part").parquet(f"{path}/idf")
         self.idf = spark.read.schema("token string, idf double, part int").parquet(f"{path}/idf")
         vectors = retrieval.dense(retrieval.embed(self.documents.select("id", "text"), self.idf.drop("part")))

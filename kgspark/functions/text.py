@@ -57,6 +57,12 @@ def stable_hash(token: Column) -> Column:
     return F.conv(F.substring(F.sha2(token, 256), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
+def hash_sign(token: Column) -> Column:
+    """1 or -1 by the second lowest bit of ``stable_hash``."""
+    digit = F.conv(F.substring(F.sha2(token, 256), 16, 1), 16, 10).cast("int")
+    return F.when(digit.bitwiseAND(2) == 2, 1).otherwise(-1)
+
+
 def clean_item(item: Column) -> Column:
     """Without parentheses, connectors and repeated spaces."""
     out = F.regexp_replace(item, "\\([^)]*\\)", " ")

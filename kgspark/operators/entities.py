@@ -16,6 +16,16 @@ def upsert_or_select(known: DataFrame, asked: DataFrame, name: str, prefix: str)
     return met.select(name, F.coalesce("id", made_id(prefix, F.col(name))).alias("id"), F.col("id").isNull().alias("created"))
 
 
+def duplicates(rows: DataFrame, content: str, key: str) -> DataFrame:
+    """Digest, n, first_id of every content that more than one row has."""
+    return rows.groupBy(F.sha2(content, 256).alias("digest")).agg(F.count("*").alias("n"), F.min(key).alias("first_id")).where("n > 1")
+
+
+def unseen(rows: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """Rows (key, digest) that a cache of the same columns does not have: new keys and changed contents."""
+    return rows.join(cache, [key, "digest"], "left_anti")
+
+
 def inserted(entities: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The entities with the new rows, and the rows refused (id, reason): ids that exist, or come twice in the batch."""
     first = rows.dropDuplicates(["id"])

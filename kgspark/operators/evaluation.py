@@ -35,6 +35,12 @@ def normalization(draft: DataFrame, golden: DataFrame) -> DataFrame:
     return counts.select(precision.alias("precision"), recall.alias("recall"), "matches", "draft_resolved", "golden_resolved")
 
 
+def coverage(rows: DataFrame, resolved: Column, right: Column) -> DataFrame:
+    """One row: resolved, total, coverage (null without rows), precision_ (1 if nothing is resolved)."""
+    n, total, good = F.count_if(resolved), F.count("*"), F.count_if(resolved & right)
+    return rows.agg(n.alias("resolved"), total.alias("total"), F.round(F.try_divide(n, total), 9).alias("coverage"), F.round(_ratio(good, n, 1.0), 9).alias("precision_"))
+
+
 def recall_at(golden: DataFrame, ranked: DataFrame, k: int = 5) -> DataFrame:
     """One row: recall, n: the share of golden (query_id, target_id) whose target is among a query's first k ranks."""
     hits = ranked.where(F.col("rank") <= k).select("query_id", "target_id", F.lit(1).alias("hit")).distinct()

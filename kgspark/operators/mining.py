@@ -33,6 +33,20 @@ def seed_hits(lines: DataFrame, key: list[str], text: str, terms: DataFrame) ->
     return whole_words(lines, key, text, terms).groupBy("term").agg(F.count("*").alias("frequency"))
 
 
+def merged(rows: DataFrame, term: str, alias: str) -> DataFrame:
+    """Term, frequency, aliases: the candidates of equal terms as one, with their different aliases in order."""
+    return rows.groupBy(F.col(term).alias("term")).agg(F.count("*").alias("frequency"), F.array_sort(F.collect_set(alias)).alias("aliases"))
+
+
+def contained(names: DataFrame, terms: DataFrame) -> DataFrame:
+    """longer_id, shorter_id: names (id, name) that hold a shorter term (id, term; one word or more) as whole words.
+
+    Names meet terms on their words and sequences of words, so no pairs are compared.
+    """
+    met = whole_words(names, ["id", "name"], "name", terms.select("term").distinct()).where(F.length("name") > F.length("term"))
+    return met.select(F.col("id").alias("longer_id"), "term").join(terms.select(F.col("id").alias("shorter_id"), "term"), "term").select("longer_id", "shorter_id")
+
+
 def decisions(adjudications: DataFrame, log: DataFrame) -> DataFrame:
     """Approved adjudications with the log rows of their document whose field begins with their section.
 

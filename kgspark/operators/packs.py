@@ -249,3 +249,10 @@ def doses(doc: Column, target: int = SERVINGS) -> Column:
         return F.struct(F.transform(done, lambda x: F.struct(x["qty"].alias("qty"), x["unit"].alias("unit"), x["item"].alias("item"))).alias("items"), log(done).alias("log"))
 
     return F.get(F.transform(F.array(F.transform(doc["items"], item)), parts), F.lit(0))
+
+
+def changelog(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
+    """Key, change (added, removed or changed) between two versions of keyed rows; equal ones are left out."""
+    a, b = [t.select(key, F.col(value).alias(v), F.lit(True).alias(f"_in_{v}")) for t, v in ((old, "_a"), (new, "_b"))]
+    change = F.when(F.col("_in__a").isNull(), "added").when(F.col("_in__b").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
+    return a.join(b, key, "full").select(key, change.alias("change")).where("change IS NOT NULL")

@@ -34,6 +34,14 @@ def search(query: str, indexes: list[tuple[str, DataFrame, str, list[str]]]) ->
     return reduce(DataFrame.unionByName, [one(*i) for i in indexes])
 
 
+def idf(docs: DataFrame) -> DataFrame:
+    """Token, df, idf (smooth) over the texts of ``docs``; a text's tokens are made distinct in its row, so only
+    counts move."""
+    n = docs.agg(F.count("*")).scalar()
+    df = docs.select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return df.select("token", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
 def embed(docs: DataFrame, idf: DataFrame) -> DataFrame:
     """Id, bucket, weight: signed feature hashing of ``text`` by tf-idf, L2-normalized, as sparse rows.
 
@@ -42,8 +50,7 @@ def embed(docs: DataFrame, idf: DataFrame) -> DataFrame:
     tf = docs.select("id", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("id", "token").count()
     w = (F.log("count") + 1) * F.coalesce("idf", F.lit(1.0))
     h = text.stable_hash(F.col("token"))
-    second = F.conv(F.substring(F.sha2("token", 256), 16, 1), 16, 10).cast("int").bitwiseAND(2)
-    rows = tf.join(idf, "token", "left").select("id", (h % DIMENSIONS).cast("int").alias("bucket"), (w * F.when(second == 2, 1).otherwise(-1)).alias("w"))
+    rows = tf.join(idf, "token", "left").select("id", (h % DIMENSIONS).cast("int").alias("bucket"), (w * text.hash_sign(F.col("token"))).alias("w"))
     sums = rows.groupBy("id", "bucket").agg(F.sum("w").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return sums.select("id", "bucket", F.when(norm > 0, F.col("w") / norm).otherwise(0.0).alias("weight"))

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgspark.functions import text
 from kgspark.operators import curator, reextract, retrieval
 from kgspark.operators.fact_store import FactStore
 from kgspark.operators.search_index import SearchIndex
@@ -69,10 +68,7 @@ def search_ranked(spark: SparkSession, d: str) -> DataFrame:
 def retrieve_stored(spark: SparkSession, d: str) -> DataFrame:
     """Part names embedded once and kept by cells; the five stored ones nearest to every hundredth, over all cells."""
     docs = g.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    n = docs.count()
-    df = docs.select("id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    idf = df.select("token", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    index = VectorIndex.built(retrieval.dense(retrieval.embed(docs, idf)).withColumnRenamed("id", "key"), _folder(spark, "vectors"))
+    index = VectorIndex.built(retrieval.dense(retrieval.embed(docs, retrieval.idf(docs).drop("df"))).withColumnRenamed("id", "key"), _folder(spark, "vectors"))
     asked = index.stored().where("key % 100 = 0").select(F.col("key").alias("query_id"), "v")
     return index.nearest(asked, 5).select("query_id", "key", "score", "rank")
 

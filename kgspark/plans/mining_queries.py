@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgspark.functions import numbers, text
+from kgspark.functions import numbers
 from kgspark.operators import entities, mining, retrieval
 from kgspark.sources import graph as g
 
@@ -35,10 +35,7 @@ b AS (SELECT id, CAST(h % 384 AS INT) AS bucket, sum(CASE WHEN (h // 2) % 2 = 1
 def embedding_sparse(spark: SparkSession, d: str) -> DataFrame:
     """Signed feature hashing of part names."""
     docs = g.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    n = docs.agg(F.count("*")).scalar()
-    tokens = docs.select("id", F.explode(text.tokens(F.col("text"))).alias("token")).distinct()
-    idf = tokens.groupBy("token").agg(F.count("*").alias("df")).select("token", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    return retrieval.embed(docs, idf).select("id", "bucket", F.round("weight", 6).alias("weight"))
+    return retrieval.embed(docs, retrieval.idf(docs).drop("df")).select("id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kgspark.functions import text
-from kgspark.operators import code, entities, evaluation, facts, review
+from kgspark.operators import code, entities, evaluation, facts, review, sequences
 from kgspark.plans import document_queries
 from kgspark.sources import graph as g
 from kgspark.sources.shared import stored
@@ -108,10 +108,7 @@ def source_upsert(spark: SparkSession, d: str) -> DataFrame:
 def position_pairing(spark: SparkSession, d: str) -> DataFrame:
     """The turns of both sides of a conversation paired by their place on their side."""
     c = g.table(spark, d, "conversations")
-    n = F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).cast("long")
-    rows = c.select("conv_id", "turn", "role", n.alias("position"))
-    other = rows.where("role <> 'user'").select("conv_id", "position", F.col("turn").alias("other_turn"))
-    return rows.where("role = 'user'").join(other, ["conv_id", "position"]).select("conv_id", "turn", "other_turn", "position")
+    return sequences.paired(c.where("role = 'user'"), c.where("role <> 'user'"), "conv_id", "role", "turn")
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN lang || '-CH' WHEN 2 THEN 'en' ELSE '' END AS lang FROM documents")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kgspark.functions import language, numbers, text
+from kgspark.operators import entities, evaluation, mining, packs, retrieval, sequences
 from kgspark.sources import graph as g
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,10 +71,7 @@ def tokens_bigrams(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT token, count(DISTINCT doc_id) AS df, round(ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) + 1, 6) AS idf FROM tok GROUP BY token", _TOK)
 def idf_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Document frequency and smooth inverse; a document's tokens are made distinct in its row, so only counts move."""
-    docs = g.table(spark, d, "documents")
-    n = docs.agg(F.count("*")).scalar()
-    df = docs.select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return df.select("token", "df", F.round(F.log((n + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
+    return retrieval.idf(g.table(spark, d, "documents")).withColumn("idf", F.round("idf", 6))
 
 
 @query("SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY ALL", _TOK)
@@ -87,14 +84,13 @@ def term_frequency(spark: SparkSession, d: str) -> DataFrame:
 def hash_buckets(spark: SparkSession, d: str) -> DataFrame:
     """The bucket and sign of a token's hash."""
     h = text.stable_hash(F.col("p_name"))
-    odd = F.conv(F.substring(F.sha2("p_name", 256), 16, 1), 16, 10).cast("int").bitwiseAND(2)
-    return g.table(spark, d, "part").select("p_partkey", (h % 384).cast("long").alias("bucket"), F.when(odd == 2, 1).otherwise(-1).alias("sign"))
+    return g.table(spark, d, "part").select("p_partkey", (h % retrieval.DIMENSIONS).cast("long").alias("bucket"), text.hash_sign(F.col("p_name")).alias("sign"))
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY ALL HAVING count(*) > 1")
 def content_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """T08, A03."""
-    return g.table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    return entities.duplicates(g.table(spark, d, "documents"), "text", "doc_id")
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 9 = 0")
@@ -102,7 +98,7 @@ def hash_incremental(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose (key, digest) a cache does not have; the cache has every third, every ninth outdated."""
     now = g.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
     cache = now.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit("outdated")).otherwise(F.col("digest")).alias("digest"))
-    return now.join(cache, ["doc_id", "digest"], "left_anti")
+    return entities.unseen(now, cache, "doc_id")
 
 
 # RE2 has no lookarounds: signs after a word character become spaces and separators are doubled, so each match has its own.
@@ -154,7 +150,7 @@ def slug_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_partkey, substr(sha256(p_name), 1, 24) AS entity_id, 'src_' || substr(sha256(p_brand), 1, 12) AS source_id FROM part")
 def deterministic_ids(spark: SparkSession, d: str) -> DataFrame:
     """T09."""
-    return g.table(spark, d, "part").select("p_partkey", F.substring(F.sha2("p_name", 256), 1, 24).alias("entity_id"), F.concat(F.lit("src_"), F.substring(F.sha2("p_brand", 256), 1, 12)).alias("source_id"))
+    return g.table(spark, d, "part").select("p_partkey", entities.made_id("", F.col("p_name"), 24).alias("entity_id"), entities.made_id("src_", F.col("p_brand")).alias("source_id"))
 
 
 _LET = "let AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '\\p{L}+')) AS w FROM conversations)"
@@ -171,15 +167,14 @@ def overlap_coefficient(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT conv_id, turn, coalesce(last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS section FROM conversations")
 def section_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     """The last user turn up to each turn."""
-    up = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return g.table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(up), F.lit(-1).cast("long")).alias("section"))
+    last = sequences.carried(F.when(F.col("role") == "user", F.col("turn")), "conv_id", "turn")
+    return g.table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(last, F.lit(-1).cast("long")).alias("section"))
 
 
 @query("SELECT conv_id, turn, turn = row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS in_sequence FROM conversations")
 def sequence_gap_check(spark: SparkSession, d: str) -> DataFrame:
     """N07."""
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    return g.table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") == n).alias("in_sequence"))
+    return g.table(spark, d, "conversations").select("conv_id", "turn", sequences.in_sequence("conv_id", "turn").alias("in_sequence"))
 
 
 @query("SELECT l_orderkey, string_agg(l_linenumber || '. ' || l_returnflag, chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag) || chr(10) AS body FROM lineitem GROUP BY l_orderkey")
@@ -200,15 +195,14 @@ def term_normalize_exact(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT a.id AS longer_id, b.id AS shorter_id FROM (SELECT id, x, unnest(string_split(x, ' ')) AS w FROM (SELECT DISTINCT lower(p_name) AS id, lower(p_name) AS x FROM part)) a JOIN term b ON a.w = b.term AND length(a.x) > length(b.term)", g.TERM)
 def term_containment_ambiguity(spark: SparkSession, d: str) -> DataFrame:
     """Names that hold a shorter term as a whole word, joined on their words and not by comparing all pairs."""
-    names = g.table(spark, d, "part").select(F.lower("p_name").alias("id")).distinct().select("id", F.explode(F.split("id", " ")).alias("term"))
-    t = g.terms(spark, d).select(F.col("id").alias("shorter_id"), "term")
-    return names.join(t, "term").where(F.length("id") > F.length("term")).select(F.col("id").alias("longer_id"), "shorter_id")
+    names = g.table(spark, d, "part").select(F.lower("p_name").alias("id")).distinct().withColumn("name", F.col("id"))
+    return mining.contained(names, g.terms(spark, d))
 
 
 @query("SELECT p_name AS term, count(*) AS frequency, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS aliases FROM part GROUP BY ALL")
 def entity_merge_freq(spark: SparkSession, d: str) -> DataFrame:
     """Merged candidates with their frequency and ordered aliases."""
-    return g.table(spark, d, "part").groupBy(F.col("p_name").alias("term")).agg(F.count("*").alias("frequency"), F.concat_ws(",", F.array_sort(F.collect_set("p_brand"))).alias("aliases"))
+    return mining.merged(g.table(spark, d, "part"), "p_name", "p_brand").withColumn("aliases", F.array_join("aliases", ","))
 
 
 _V = "old AS (SELECT p_partkey AS k, p_name AS v FROM part WHERE p_partkey % 5 <> 0), new AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN p_brand ELSE p_name END AS v FROM part WHERE p_partkey % 11 <> 0)"
@@ -218,16 +212,13 @@ _V = "old AS (SELECT p_partkey AS k, p_name AS v FROM part WHERE p_partkey % 5 <
 def pack_changelog(spark: SparkSession, d: str) -> DataFrame:
     """Added, removed and changed keys between two versions."""
     p = g.table(spark, d, "part")
-    old = p.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("a"))
-    new = p.where("p_partkey % 11 <> 0").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_brand")).otherwise(F.col("p_name")).alias("b"))
-    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed")
-    return old.join(new, "k", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("k", change.alias("change"))
+    old = p.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("v"))
+    new = p.where("p_partkey % 11 <> 0").select(F.col("p_partkey").alias("k"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_brand")).otherwise(F.col("p_name")).alias("v"))
+    return packs.changelog(old, new, "k", "v")
 
 
 @query("SELECT CAST(count(*) FILTER (quality IS NOT NULL) AS BIGINT) AS resolved, count(*) AS total, round(count(quality) / count(*), 9) AS coverage, round(count(*) FILTER (quality = 1) / count(quality), 9) AS precision_ FROM documents LEFT JOIN labels USING (doc_id)")
 def coverage_ratio(spark: SparkSession, d: str) -> DataFrame:
     """A11, A12, J22."""
     rows = g.table(spark, d, "documents").join(g.table(spark, d, "labels"), "doc_id", "left")
-    known, good = F.count("quality"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0))
-    precision = F.when(known == 0, F.lit(1.0)).otherwise(good / known)
-    return rows.agg(known.alias("resolved"), F.count("*").alias("total"), F.round(known / F.count("*"), 9).alias("coverage"), F.round(precision, 9).alias("precision_"))
+    return evaluation.coverage(rows, F.col("quality").isNotNull(), F.col("quality") == 1)
