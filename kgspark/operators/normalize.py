@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from kgspark.functions.numbers import NUMBER, numbers, quantity_text, same_numbers
 from kgspark.functions.text import letters, overlap_coefficient
 from kgspark.operators import template
+from kgspark.operators.template import once
 
 ITEMS, STEPS = "## Items", "## Steps"
 KEYS = ("title", "id", "lang", "servings")
@@ -24,14 +25,16 @@ THRESHOLDS = {"title": 0.4, "items": 0.5, "steps": 0.3}
 
 def _spliced(text: Column, pattern: str, put, values: Column | None = None) -> Column:
     """The text with every match replaced by ``put(match, nth, values)``."""
-    found, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
-    parts = F.struct(found.alias("found"), rest.alias("rest"), (F.lit(None) if values is None else values).alias("values"))
 
     def joined(x: Column) -> Column:
         pieces = F.transform(x["rest"], lambda p, i: F.when(i < F.size(x["found"]), F.concat(p, put(F.get(x["found"], i), i, x["values"]))).otherwise(p))
         return F.array_join(pieces, "")
 
-    return F.get(F.transform(F.array(parts), joined), F.lit(0))  # one element, so that the parts are found once
+    def of(x: Column) -> Column:
+        found, rest = F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), F.split(x, pattern)
+        return once(F.struct(found.alias("found"), rest.alias("rest"), (F.lit(None) if values is None else values).alias("values")), joined)
+
+    return once(text, of)
 
 
 def mask_numbers(text: Column) -> Column:
@@ -41,9 +44,13 @@ def mask_numbers(text: Column) -> Column:
 
 def reinject_numbers(text: Column, values: Column) -> Column:
     """Placeholders become the numbers again; NULL unless they are 1, 2, ... in order and as many."""
-    holes = F.regexp_extract_all(text, F.lit("\\{N(\\d+)\\}"), F.lit(1))
-    whole = F.transform(values, lambda v, i: (i + 1).cast("string"))
-    return F.when(holes == whole, _spliced(text, "\\{N\\d+\\}", lambda m, i, v: F.get(v, i), values))
+
+    def of(x: Column) -> Column:
+        holes = F.regexp_extract_all(x["text"], F.lit("\\{N(\\d+)\\}"), F.lit(1))
+        whole = F.transform(x["values"], lambda v, i: (i + 1).cast("string"))
+        return F.when(holes == whole, _spliced(x["text"], "\\{N\\d+\\}", lambda m, i, v: F.get(v, i), x["values"]))
+
+    return once(F.struct(text.alias("text"), values.alias("values")), of)
 
 
 def substitute(text: Column, terms: dict[str, str]) -> Column:
@@ -58,10 +65,12 @@ def substitute(text: Column, terms: dict[str, str]) -> Column:
 
 def translate(text: Column, terms: dict[str, str]) -> Column:
     """A dictionary translation under the guard that no number changes, goes or comes; NULL where one would."""
-    masked = substitute(mask_numbers(text), terms)
-    out = reinject_numbers(masked, F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)))
-    guarded = F.transform(F.array(out), lambda x: F.when(same_numbers(numbers(text), numbers(x)), x))
-    return F.get(guarded, F.lit(0))
+
+    def of(x: Column) -> Column:
+        out = reinject_numbers(substitute(mask_numbers(x), terms), F.regexp_extract_all(x, F.lit(NUMBER), F.lit(0)))
+        return once(out, lambda y: F.when(same_numbers(numbers(x), numbers(y)), y))
+
+    return once(text, of)
 
 
 def parse(md: Column, units: tuple[str, ...]) -> Column:
@@ -70,31 +79,37 @@ def parse(md: Column, units: tuple[str, ...]) -> Column:
     It reads what it can: items of the section of items only, steps of the section of steps only, under the heading of any
     template; line ends and blanks may be of any kind. A null document has an empty map and null lists. ``template.errors`` says what a strict reader would object to.
     """
-    text = template.plain_ends(md)
-    fm = F.coalesce(template.front_matter(md), F.create_map().cast("map<string,string>"))
-    lines = F.transform(F.split(F.regexp_replace(text, "(?s)\\A---[ \\t]*\\n(?:.*?\\n)??[ \\t]*---[ \\t]*(?:\\n|\\z)", ""), "\n"), template.bare)
     known = "(?:(" + "|".join(map(re.escape, units)) + ")(?= ) )?"
     line = f"^- (\\d+(?:\\.\\d+)?)\\s+{known}(.*)$"
 
-    def sections(body: Column) -> Column:
+    def given(text: Column) -> Column:
+        return once(F.struct(text.alias("text"), template.head(text).alias("head")), parted)
+
+    def parted(x: Column) -> Column:
+        fm = F.coalesce(template.scalars(x["head"]), F.create_map().cast("map<string,string>"))
+        rest = F.substr(x["text"], F.length(x["head"]) + 1)
+        return once(F.struct(fm.alias("fm"), F.transform(F.split(rest, "\n"), template.bare).alias("lines")), sections)
+
+    def sections(x: Column) -> Column:
+        body = x["lines"]
+
         def last(names: tuple[str, ...]) -> Column:
-            return F.coalesce(F.array_max(F.filter(F.transform(body, lambda x, i: F.when(x.isin(*names), i)), lambda i: i.isNotNull())), F.lit(-1))
+            return F.coalesce(F.array_max(F.filter(F.transform(body, lambda y, i: F.when(y.isin(*names), i)), lambda i: i.isNotNull())), F.lit(-1))
 
         def between(at: Column) -> Column:
             i, s = at["i"], at["s"]
-            inside = F.filter(F.transform(body, lambda x, k: F.when((i >= 0) & (k > i) & ((s < i) | (k < s)), x)), lambda x: F.rlike(x, F.lit(line)))
-            after = F.filter(F.transform(body, lambda x, k: F.when((s >= 0) & (k > s) & ((i < s) | (k < i)), x)), lambda x: F.rlike(x, F.lit("^\\d+\\. ")))
+            inside = F.filter(F.transform(body, lambda y, k: F.when((i >= 0) & (k > i) & ((s < i) | (k < s)), y)), lambda y: F.rlike(y, F.lit(line)))
+            after = F.filter(F.transform(body, lambda y, k: F.when((s >= 0) & (k > s) & ((i < s) | (k < i)), y)), lambda y: F.rlike(y, F.lit("^\\d+\\. ")))
             items = F.transform(
                 inside,
-                lambda x: F.struct(F.regexp_extract(x, line, 1).alias("qty"), F.nullif(F.regexp_extract(x, line, 2), F.lit("")).alias("unit"), F.regexp_extract(x, line, 3).alias("item")),
+                lambda y: F.struct(F.regexp_extract(y, line, 1).alias("qty"), F.nullif(F.regexp_extract(y, line, 2), F.lit("")).alias("unit"), F.regexp_extract(y, line, 3).alias("item")),
             )
-            return F.struct(items.alias("items"), F.transform(after, lambda x: F.regexp_replace(x, "^\\d+\\. ", "")).alias("steps"))
+            return F.struct(x["fm"].alias("fm"), items.alias("items"), F.transform(after, lambda y: F.regexp_replace(y, "^\\d+\\. ", "")).alias("steps"))
 
         marks = F.struct(last((ITEMS, template.SOURCE.items, template.TRANSLATED.items)).alias("i"), last((STEPS, template.SOURCE.steps, template.TRANSLATED.steps)).alias("s"))
-        return F.get(F.transform(F.array(marks), between), F.lit(0))
+        return once(marks, between)
 
-    body = F.get(F.transform(F.array(lines), sections), F.lit(0))
-    return F.struct(fm.alias("fm"), body["items"].alias("items"), body["steps"].alias("steps"))
+    return once(template.plain_ends(md), given)
 
 
 def translation_input(doc: Column, items: str = "## Ingredienti", steps: str = "## Procedimento") -> Column:
@@ -188,8 +203,9 @@ def verify_sections(source: Column, other: Column) -> Column:
         return letters(F.array_join(lines, " "))
 
     def row(section: str, least: float) -> Column:
-        o = F.round(overlap_coefficient(tokens(source, section), tokens(other, section)), 6)
-        return F.struct(F.lit(section).alias("section"), o.alias("overlap"), (o < least).alias("escalate"))
+        met = F.struct(F.array_distinct(tokens(source, section)).alias("a"), F.array_distinct(tokens(other, section)).alias("b"))
+        o = once(met, lambda x: F.round(overlap_coefficient(x["a"], x["b"]), 6))
+        return once(o, lambda x: F.struct(F.lit(section).alias("section"), x.alias("overlap"), (x < least).alias("escalate")))
 
     return F.array(*[row(s, t) for s, t in THRESHOLDS.items()])
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.numbers import quantity_text
 from kgspark.functions.text import clean_item, folded
+from kgspark.operators.template import once
 
 
 @dataclass(frozen=True)
@@ -169,12 +170,15 @@ def canonical(doc: Column, pack: Pack) -> Column:
 
         qty = quantity_text(F.coalesce(unit_rule(pack, x["unit"], product), exact.cast("decimal(38,16)")))
         unit = F.coalesce(unit_rule(pack, x["unit"], lambda r: F.lit(r.to_unit)), x["unit"])
-        lookup = clean_item(x["item"])
-        found = F.element_at(table, folded(lookup))
-        return F.struct(
-            qty.alias("qty"), unit.alias("unit"), F.coalesce(found, x["item"]).alias("item"), F.when(found.isNull(), lookup).alias("lost"),
-            F.coalesce(unit_rule(pack, x["unit"], lambda r: F.lit(r.rule_id)), F.lit("STRUCT-SERIALIZATION")).alias("rule"),
-        )
+
+        def looked(at: Column) -> Column:
+            return F.struct(
+                qty.alias("qty"), unit.alias("unit"), F.coalesce(at["found"], x["item"]).alias("item"), F.when(at["found"].isNull(), at["lookup"]).alias("lost"),
+                F.coalesce(unit_rule(pack, x["unit"], lambda r: F.lit(r.rule_id)), F.lit("STRUCT-SERIALIZATION")).alias("rule"),
+            )
+
+        lookup = lambda t: F.struct(t.alias("lookup"), F.element_at(table, folded(t)).alias("found"))
+        return once(once(clean_item(x["item"]), lookup), looked)
 
     def changes(done: Column) -> Column:
         def of(old: Column, i: Column) -> Column:
@@ -227,21 +231,24 @@ def doses(doc: Column, target: int = SERVINGS) -> Column:
     servings = F.coalesce(F.nullif(F.element_at(doc["fm"], "servings").try_cast("int"), F.lit(0)), F.lit(4))
 
     def item(x: Column) -> Column:
-        unit = F.lower(F.coalesce(x["unit"], F.lit("")))
-        met = F.element_at(table, unit)
-        exact = x["qty"].cast("decimal(14,4)") * F.coalesce(met["factor"], F.lit(1).cast("decimal(8,2)"))
-        scaled = F.round((exact * F.lit(target).cast("decimal(6,0)")) / servings.cast("decimal(6,0)"), 2)
-        rule = F.when(met.isNotNull(), met["rule"]).when(~unit.isin(*NATIVE, ""), "DOSE-UNKNOWN")
-        return F.struct(quantity_text(scaled).alias("qty"), F.nullif(F.coalesce(met["to"], unit), F.lit("")).alias("unit"), x["item"].alias("item"), rule.alias("rule"))
+        def of(at: Column) -> Column:
+            unit, met = at["unit"], at["met"]
+            exact = x["qty"].cast("decimal(14,4)") * F.coalesce(met["factor"], F.lit(1).cast("decimal(8,2)"))
+            scaled = F.round((exact * F.lit(target).cast("decimal(6,0)")) / servings.cast("decimal(6,0)"), 2)
+            rule = F.when(met.isNotNull(), met["rule"]).when(~unit.isin(*NATIVE, ""), "DOSE-UNKNOWN")
+            return F.struct(quantity_text(scaled).alias("qty"), F.nullif(F.coalesce(met["to"], unit), F.lit("")).alias("unit"), x["item"].alias("item"), rule.alias("rule"))
+
+        found = lambda u: F.struct(u.alias("unit"), F.element_at(table, u).alias("met"))
+        return once(once(F.lower(F.coalesce(x["unit"], F.lit(""))), found), of)
 
     def line(x: Column) -> Column:
         return F.concat_ws(" ", x["qty"], x["unit"], x["item"])
 
     def log(done: Column) -> Column:
         def of(new: Column, i: Column) -> Column:
-            before = line(F.get(doc["items"], i))
-            row = lambda rule: F.struct(F.concat(F.lit("items["), i.cast("string"), F.lit("]")).alias("field"), before.alias("before_text"), line(new).alias("after_text"), rule.alias("rule_id"))
-            return F.array_compact(F.array(F.when(new["rule"].isNotNull(), row(new["rule"])), row(F.lit("DOSE-SCALE"))))
+            told = F.struct(F.concat(F.lit("items["), i.cast("string"), F.lit("]")).alias("field"), line(F.get(doc["items"], i)).alias("before_text"), line(new).alias("after_text"))
+            row = lambda x, rule: F.struct(x["field"].alias("field"), x["before_text"].alias("before_text"), x["after_text"].alias("after_text"), rule.alias("rule_id"))
+            return once(told, lambda x: F.array_compact(F.array(F.when(new["rule"].isNotNull(), row(x, new["rule"])), row(x, F.lit("DOSE-SCALE")))))
 
         return F.flatten(F.transform(done, of))
 

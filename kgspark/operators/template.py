@@ -34,8 +34,8 @@ TRANSLATED = Template("## Ingredients", "## Method", ("title", "id", "lang", "se
 ERROR = "array<struct<code:string,line:int,what:string>>"
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)``, the value computed once."""
+def once(value: Column, use) -> Column:
+    """``use(value)``, the value computed once: what a lambda mentions twice, Spark computes twice."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
@@ -61,45 +61,78 @@ def plain_ends(md: Column) -> Column:
 
 
 def _lines(md: Column) -> Column:
-    """Lines of a text, without an empty one after its last line end."""
-    return F.split(F.regexp_replace(plain_ends(md), "\\n\\z", ""), "\n")
+    """Lines of a text between blanks, without an empty one after its last line end."""
+    return F.transform(F.split(F.regexp_replace(plain_ends(md), "\\n\\z", ""), "\n"), bare)
 
 
 def _last(lines: Column, text: str) -> Column:
-    """The number (from 0) of the last line that is ``text`` between blanks; -1 where none is."""
-    at = F.filter(F.transform(lines, lambda x, i: F.when(bare(x) == text, i)), lambda i: i.isNotNull())
+    """The number (from 0) of the last line that is ``text``; -1 where none is."""
+    at = F.filter(F.transform(lines, lambda x, i: F.when(x == text, i)), lambda i: i.isNotNull())
     return F.coalesce(F.array_max(at), F.lit(-1))
 
 
-def _raw_front_matter(md: Column) -> Column:
-    """map<string, string> of the ``key: value`` lines between the first two ``---``, values as written; NULL where there are none.
+#: Front matter with its two marks, and the ``key: value`` lines in it.
+HEAD = "(?s)\\A---[ \\t]*\\n(?:.*?\\n)??[ \\t]*---[ \\t]*(?:\\n|\\z)"
+PAIR = "(?<=\\n)([^\\s#:][^:\\n]*):(?=\\s|\\z|[\\u0085\\u2028\\u2029](?:\\n|\\z))([^\\n]*)"
+
+
+def head(text: Column) -> Column:
+    """The front matter of a text with plain line ends; empty where there is none."""
+    return F.regexp_extract(text, HEAD, 0)
+
+
+def _raw_pairs(given: Column) -> Column:
+    """map<string, string> of the ``key: value`` lines of a ``head``, values as written; NULL where it is empty.
 
     Of a key that is there twice the last value counts; comments and lines below a key (indented) are left out.
     """
-    text = plain_ends(md)
-    head = F.regexp_extract(text, "(?s)\\A---[ \\t]*\\n(.*?\\n)??[ \\t]*---[ \\t]*(?:\\n|\\z)", 1)
-    rows = F.filter(F.split(head, "\n"), lambda x: F.rlike(x, F.lit("^[^\\s#][^:]*:(?:\\s|$)")))
-    pairs = F.transform(rows, lambda x: F.struct(_scalar(bare(F.substring_index(x, ":", 1))).alias("key"), bare(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.when(F.rlike(text, F.lit("(?s)\\A---[ \\t]*\\n(?:.*?\\n)??[ \\t]*---[ \\t]*(?:\\n|\\z)")), F.map_from_entries(last))
+
+    def last(x: Column) -> Column:
+        pairs = F.arrays_zip(x["key"], x["value"])
+        kept = once(pairs, lambda p: F.filter(p, lambda q, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda r: r["key"] == q["key"])))
+        single = F.size(F.array_compact(F.array_distinct(x["key"]))) == F.size(x["key"])
+        return F.when(single, F.map_from_arrays(x["key"], x["value"])).otherwise(F.map_from_entries(kept))
+
+    def of(h: Column) -> Column:
+        keys = F.transform(F.regexp_extract_all(h, F.lit(PAIR), F.lit(1)), lambda k: _scalar(bare(k)))
+        values = F.transform(F.regexp_extract_all(h, F.lit(PAIR), F.lit(2)), bare)
+        return F.when(h != "", once(F.struct(keys.alias("key"), values.alias("value")), last))
+
+    return once(given, of)
+
+
+def _raw_front_matter(md: Column) -> Column:
+    return _raw_pairs(head(plain_ends(md)))
 
 
 def _scalar(raw: Column) -> Column:
-    """The text of a YAML scalar: quotes and what they escape taken off, comments left out, null and ~ as NULL."""
-    double = F.regexp_extract(raw, '^"((?:[^"\\\\]|\\\\.)*)"\\s*(?:#.*)?$', 1)
-    single = F.regexp_extract(raw, "^'((?:[^']|'')*)'\\s*(?:#.*)?$", 1)
-    plain = bare(F.regexp_replace(raw, "(?:^|\\s)#.*$", ""))
-    unescaped = F.regexp_replace(F.replace(F.replace(double, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), '\\\\(.)', "$1")
-    return (
-        F.when(F.rlike(raw, F.lit('^"(?:[^"\\\\]|\\\\.)*"\\s*(?:#.*)?$')), unescaped)
-        .when(F.rlike(raw, F.lit("^'(?:[^']|'')*'\\s*(?:#.*)?$")), F.replace(single, F.lit("''"), F.lit("'")))
-        .when(~plain.isin("", "~", "null", "Null", "NULL"), plain)
-    )
+    """The text of a YAML scalar without blanks around it: quotes and what they escape taken off, comments left out, null and ~ as NULL."""
+    blank = ("", "~", "null", "Null", "NULL")
+
+    def of(x: Column) -> Column:
+        double = F.regexp_extract(x, '^"((?:[^"\\\\]|\\\\.)*)"\\s*(?:#.*)?$', 1)
+        single = F.regexp_extract(x, "^'((?:[^']|'')*)'\\s*(?:#.*)?$", 1)
+        plain = once(bare(F.regexp_replace(x, "(?:^|\\s)#.*$", "")), lambda t: F.when(~t.isin(*blank), t))
+        unescaped = F.regexp_replace(F.replace(F.replace(double, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), '\\\\(.)', "$1")
+        simple = ~(F.startswith(x, F.lit('"')) | F.startswith(x, F.lit("'")) | F.contains(x, F.lit("#")) | x.isin(*blank))
+        return (
+            F.when(simple, x)  # most values: nothing to match
+            .when(F.rlike(x, F.lit('^"(?:[^"\\\\]|\\\\.)*"\\s*(?:#.*)?$')), unescaped)
+            .when(F.rlike(x, F.lit("^'(?:[^']|'')*'\\s*(?:#.*)?$")), F.replace(single, F.lit("''"), F.lit("'")))
+            .otherwise(plain)
+        )
+
+    return once(raw, of)
+
+
+def scalars(given: Column) -> Column:
+    """The pairs of a ``head``, values without their quotes; NULL where it is empty."""
+    return F.transform_values(_raw_pairs(given), lambda k, v: _scalar(v))
 
 
 def front_matter(md: Column) -> Column:
     """map<string, string> of the front matter, its values without their quotes; NULL where there is none."""
-    return F.transform_values(_raw_front_matter(md), lambda k, v: _scalar(v))
+    return scalars(head(plain_ends(md)))
 
 
 def _front_errors(fm: Column, template: Template) -> Column:
@@ -112,9 +145,8 @@ def _front_errors(fm: Column, template: Template) -> Column:
     return F.concat(*missing, *whole, level)
 
 
-def _item_errors(line: Column, number: Column, units: tuple[str, ...]) -> Column:
+def _item_errors(text: Column, number: Column, units: tuple[str, ...]) -> Column:
     unit = "(?:(?:" + "|".join(map(re.escape, units)) + ")(?= |$) ?)?" if units else ""
-    text = bare(line)
     return F.when(~F.startswith(text, F.lit("- ")), F.array(_error("ITEM_EXPECTED", number, text))).otherwise(
         F.when(~F.rlike(text, F.lit("^- \\d+(?:\\.\\d+)?\\s+\\S")), F.array(_error("QUANTITY_EXPECTED", number, text))).otherwise(
             _only(F.rlike(text, F.lit(f"^- \\d+(?:\\.\\d+)?\\s+{unit}\\s*$")), _error("ITEM_EMPTY", number, text))
@@ -122,43 +154,52 @@ def _item_errors(line: Column, number: Column, units: tuple[str, ...]) -> Column
     )
 
 
-def _step_errors(line: Column, number: Column, nth: Column) -> Column:
-    text = bare(line)
+def _step_errors(text: Column, number: Column, nth: Column) -> Column:
     given = F.regexp_extract(text, "^(\\d+)\\.\\s", 1).try_cast("int")
-    return F.when(~F.rlike(text, F.lit("^\\d+\\.\\s+\\S")), F.array(_error("STEP_EXPECTED", number, text))).otherwise(_only(given != nth, _error("STEP_NUMBER", number, given.cast("string"))))
+    wrong = once(given, lambda n: _only(n != nth, _error("STEP_NUMBER", number, n.cast("string"))))
+    return F.when(~F.rlike(text, F.lit("^\\d+\\.\\s+\\S")), F.array(_error("STEP_EXPECTED", number, text))).otherwise(wrong)
 
 
 def _section(lines: Column, begin: Column, end: Column) -> Column:
     """array<struct(line, number)> of the lines with text after ``begin`` and before ``end``, numbered from 1."""
-    rows = F.transform(lines, lambda x, i: F.struct(x.alias("line"), (i + 1).alias("number"), i.alias("at")))
-    return F.filter(rows, lambda r: (r["at"] > begin) & (r["at"] < end) & (bare(r["line"]) != ""))
+    rows = F.transform(lines, lambda x, i: F.when((i > begin) & (i < end) & (x != ""), F.struct(x.alias("line"), (i + 1).alias("number"))))
+    return F.filter(rows, lambda r: r.isNotNull())
 
 
 def _body_errors(lines: Column, template: Template, units: tuple[str, ...]) -> Column:
     def of(at: Column) -> Column:
         i, s, n = at["items"], at["steps"], F.size(lines)
-        items, steps = _section(lines, i, s), _section(lines, s, n)
         absent = F.concat(_only(i < 0, _error("MISSING_SECTION", F.lit(None), F.lit(template.items))), _only(s < 0, _error("MISSING_SECTION", F.lit(None), F.lit(template.steps))))
         order = F.array(_error("SECTION_ORDER", s + 1, F.lit(template.steps)))
-        in_items = F.concat(F.flatten(F.transform(items, lambda r: _item_errors(r["line"], r["number"], units))), _only(F.size(items) == 0, _error("NO_ITEMS", i + 1)))
-        in_steps = F.concat(F.flatten(F.transform(steps, lambda r, k: _step_errors(r["line"], r["number"], k + 1))), _only(F.size(steps) == 0, _error("NO_STEPS", s + 1)))
-        return F.when((i < 0) | (s < 0), absent).when(s < i, order).otherwise(F.concat(in_items, in_steps))
 
-    return _once(F.struct(_last(lines, template.items).alias("items"), _last(lines, template.steps).alias("steps")), of)
+        def in_items(items: Column) -> Column:
+            return F.concat(F.flatten(F.transform(items, lambda r: _item_errors(r["line"], r["number"], units))), _only(F.size(items) == 0, _error("NO_ITEMS", i + 1)))
+
+        def in_steps(steps: Column) -> Column:
+            return F.concat(F.flatten(F.transform(steps, lambda r, k: _step_errors(r["line"], r["number"], k + 1))), _only(F.size(steps) == 0, _error("NO_STEPS", s + 1)))
+
+        return F.when((i < 0) | (s < 0), absent).when(s < i, order).otherwise(F.concat(once(_section(lines, i, s), in_items), once(_section(lines, s, n), in_steps)))
+
+    return once(F.struct(_last(lines, template.items).alias("items"), _last(lines, template.steps).alias("steps")), of)
 
 
 def errors(md: Column, template: Template, units: tuple[str, ...]) -> Column:
     """array<struct<code, line, what>>; empty for a document that keeps to the template."""
 
-    def of(lines: Column) -> Column:
-        marks = F.filter(F.transform(lines, lambda x, i: F.when((i > 0) & (bare(x) == "---"), i)), lambda i: i.isNotNull())
-        begun = bare(F.get(lines, F.lit(0))) == "---"
-        closed = F.size(marks) > 0
-        body = F.slice(lines, F.coalesce(F.get(marks, F.lit(0)), F.lit(0)) + 2, F.size(lines))
-        good = F.concat(_once(_raw_front_matter(md), lambda fm: _front_errors(fm, template)), _once(body, lambda b: _body_errors(b, template, units)))
-        return F.when(~begun, F.array(_error("NO_FRONT_MATTER", F.lit(1)))).when(~closed, F.array(_error("FRONT_MATTER_OPEN", F.lit(1)))).otherwise(good)
+    def of(x: Column) -> Column:
+        lines = x["lines"]
+        marks = F.filter(F.transform(lines, lambda y, i: F.when((i > 0) & (y == "---"), i)), lambda i: i.isNotNull())
+        begun = F.get(lines, F.lit(0)) == "---"
+
+        def closed(mark: Column) -> Column:
+            body = F.slice(lines, mark + 2, F.size(lines))
+            good = F.concat(once(_raw_front_matter(x["md"]), lambda fm: _front_errors(fm, template)), once(body, lambda b: _body_errors(b, template, units)))
+            return F.when(mark.isNull(), F.array(_error("FRONT_MATTER_OPEN", F.lit(1)))).otherwise(good)
+
+        return F.when(~begun, F.array(_error("NO_FRONT_MATTER", F.lit(1)))).otherwise(once(F.get(marks, F.lit(0)), closed))
 
-    return F.when(md.isNull(), F.array(_error("NO_FRONT_MATTER", F.lit(1)))).otherwise(_once(_lines(md), of))
+    given = lambda text: once(F.struct(text.alias("md"), _lines(text).alias("lines")), of)
+    return once(md, lambda text: F.when(text.isNull(), F.array(_error("NO_FRONT_MATTER", F.lit(1)))).otherwise(given(text)))
 
 
 def front_matter_issues(source: Column, other: Column) -> Column:
@@ -191,19 +232,22 @@ def verify(source: Column, other: Column, units: tuple[str, ...]) -> Column:
         lines = _lines(F.regexp_replace(plain_ends(md), "(?s)\\A---.*?\\n---[ \\t]*(?:\\n|\\z)", ""))
 
         def of(x: Column) -> Column:
-            i, s = _last(x, template.items), _last(x, template.steps)
-            return F.struct(F.size(_section(x, i, s)).alias("items"), F.size(_section(x, s, F.size(x))).alias("steps"))
+            marks = F.struct(_last(x, template.items).alias("i"), _last(x, template.steps).alias("s"))
+            return once(marks, lambda m: F.struct(F.size(_section(x, m["i"], m["s"])).alias("items"), F.size(_section(x, m["s"], F.size(x))).alias("steps")))
 
-        return _once(lines, of)
+        return once(lines, of)
 
-    def parsed(good: Column) -> Column:
-        a, b = counted(source, SOURCE), counted(other, TRANSLATED)
+    def differs(x: Column) -> Column:
+        a, b = x["a"], x["b"]
         counts = F.array(F.when(a["items"] != b["items"], "INGREDIENT_COUNT_MISMATCH"), F.when(a["steps"] != b["steps"], "STEP_COUNT_MISMATCH"))
-        none = F.array().cast("array<string>")
-        return F.when(good, F.concat(front_matter_issues(front_matter(source), front_matter(other)), F.array_compact(counts))).otherwise(none)
+        return F.concat(front_matter_issues(x["fa"], x["fb"]), F.array_compact(counts))
+
+    def parsed(good: Column) -> Column:
+        sides = F.struct(counted(source, SOURCE).alias("a"), counted(other, TRANSLATED).alias("b"), front_matter(source).alias("fa"), front_matter(other).alias("fb"))
+        return F.when(good, once(sides, differs)).otherwise(F.array().cast("array<string>"))
 
     bad = F.struct(F.size(errors(source, SOURCE, units)).alias("a"), F.size(errors(other, TRANSLATED, units)).alias("b"))
     parse = lambda x: F.array_compact(F.array(F.when(x["a"] > 0, "SOURCE_PARSE"), F.when(x["b"] > 0, "TRANSLATED_PARSE")))
-    shape = _once(bad, lambda x: F.concat(parse(x), parsed((x["a"] == 0) & (x["b"] == 0))))
+    shape = once(bad, lambda x: F.concat(parse(x), parsed((x["a"] == 0) & (x["b"] == 0))))
     same = F.array_sort(numbers(source)) == F.array_sort(numbers(other))
     return F.concat(shape, F.array_compact(F.array(F.when(~same, "P2_NUMBER_INVARIANT"))))
