@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kgspark.functions import text
-from kgspark.operators import code, entities, evaluation, facts, review, sequences
+from kgspark.operators import code, entities, evaluation, facts, retrieval, review, sequences
 from kgspark.plans import document_queries
 from kgspark.sources import graph as g
 from kgspark.sources.shared import stored
@@ -142,11 +141,9 @@ def recall_at_5(spark: SparkSession, d: str) -> DataFrame:
     """Parts with ids divisible by 100 are asked for by name and brand; all parts that share a word are ranked by
     how many they share."""
     p = g.table(spark, d, "part")
-    words = p.select(F.col("p_partkey").alias("target_id"), F.explode(F.concat(F.split("p_name", " "), F.array(F.lower("p_brand")))).alias("word")).distinct()
-    asked = words.where("target_id % 100 = 0").select(F.col("target_id").alias("query_id"), "word")
-    score = asked.join(words, "word").groupBy("query_id", "target_id").agg(F.count("*").alias("score"))
-    ranked = score.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "target_id")))
-    golden = asked.select("query_id", F.col("query_id").alias("target_id")).distinct()
+    named = p.select(F.col("p_partkey").alias("id"), F.array_sort(F.array_distinct(F.concat(F.split("p_name", " "), F.array(F.lower("p_brand"))))).alias("words")).where("words IS NOT NULL")
+    ranked = retrieval.shared_words(named.where("id % 100 = 0"), named, 5)
+    golden = named.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("target_id")).distinct()
     return evaluation.recall_at(golden, ranked, 5)
 
 

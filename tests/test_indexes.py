@@ -139,3 +139,14 @@ def test_language_boost_and_reason(spark):
     reasons = {r.id: r.reason for r in retrieval.boosted(docs, "q", "fr").collect()}
     assert reasons[1] == "cosine=0.5000 boost_lang=0.10 boost_verification=0.05 boost_title=0.00 final=0.5775 terms=a, b"
     assert reasons[2].endswith("terms=-") and reasons[3].endswith("terms=-")
+
+
+def test_rows_of_shared_words_meet_as_sets(spark):
+    """As many rows as there are: 4,000 of three sets of words, ranked as all pairs would be."""
+    from kgspark.operators import retrieval
+
+    sets = {0: ["a", "x"], 1: ["b", "x"], 2: ["c"]}
+    rows = spark.createDataFrame([(i, sets[i % 3]) for i in range(4000)], "id long, words array<string>")
+    got = retrieval.shared_words(rows.where("id IN (1, 2, 3999)"), rows, 3)
+    by = {(r.query_id, r.rank): (r.target_id, r.score) for r in got.collect()}
+    assert by == {(1, 1): (1, 2), (1, 2): (4, 2), (1, 3): (7, 2), (2, 1): (2, 1), (2, 2): (5, 1), (2, 3): (8, 1), (3999, 1): (0, 2), (3999, 2): (3, 2), (3999, 3): (6, 2)}
