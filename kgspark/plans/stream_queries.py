@@ -52,8 +52,10 @@ SELECT event_id AS seq, allowed FROM b"""
 )
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
     """Three requests at once and one more for each second, over the events of a user; a day runs in a second."""
-    fast = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86400))
-    e = ingest.read_stream(spark, f"{d}/events.parquet").select(F.col("user_id").alias("key"), fast.alias("ts"), F.col("event_id").alias("seq"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    fast = F.timestamp_micros(F.floor(us / 86400))
+    # Events less than a fast microsecond apart keep their order.
+    e = ingest.read_stream(spark, f"{d}/events.parquet").select(F.col("user_id").alias("key"), fast.alias("ts"), us.alias("nth"), F.col("event_id").alias("seq"))
     return ingest.drained(ingest.token_bucket(e, 1.0, 3.0))
 
 

@@ -59,14 +59,16 @@ def versions(stream: DataFrame, late: str = "0 seconds") -> DataFrame:
 def token_bucket(stream: DataFrame, rate: float, most: float | None = None, late: str = "0 seconds") -> DataFrame:
     """Seq, allowed: each key's bucket holds ``most`` (2 * rate) tokens, fills by ``rate`` a second, and a row takes one.
 
-    stream: key, ts, seq, in order as ``versions`` has it. A full bucket is forgotten. A bucket that can hold no whole token
+    stream: key, ts, seq, in order as ``versions`` has it, and maybe nth (long): the order of rows of one ts, before seq.
+    Levels are exact. A full bucket is forgotten. A bucket that can hold no whole token
     would let nothing pass, so that is an error.
     """
     most = 2 * rate if most is None else most
     if most < 1:
         raise ValueError("a bucket has to hold a token")
-    rows = stream.select("key", F.lit(None).cast("string").alias("value"), F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"))
-    return ordered.run(rows, "key", "value string", ordered.Bucket(rate, most), "seq long, allowed boolean", late)
+    nth = F.col("nth") if "nth" in stream.columns else F.lit(None)
+    rows = stream.select("key", nth.cast("long").alias("value"), F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"))
+    return ordered.run(rows, "key", "value long", ordered.Bucket(rate, most), "seq long, allowed boolean", late)
 
 
 def window_counts(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

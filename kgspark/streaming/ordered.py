@@ -7,7 +7,9 @@ FLUSH rows on their way into state. Timers come in the order of time, so slices
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ class InOrder(StatefulProcessor):
         ms = expiredTimerInfo.getExpiryTimeInMs()
         at = (ms // WIDTH,)
         if self.waiting.containsKey(at):
-            rows = sorted((tuple(r) for r in self.waiting.getValue(at)[0]), key=lambda r: r[:2])
+            rows = sorted((tuple(r) for r in self.waiting.getValue(at)[0]), key=self.place)
             due = [r for r in rows if r[0] // 1000 <= ms]
             if len(due) < len(rows):
                 self.waiting.updateValue(at, (rows[len(due) :],))
@@ -58,6 +60,10 @@ class InOrder(StatefulProcessor):
                 yield from self.taken(key, due)
         yield from self.quiet(ms)
 
+    def place(self, row: tuple) -> tuple:
+        """The order of rows, that of time first."""
+        return row[:2]
+
     def taken(self, key, rows: list[tuple]) -> Iterator[Row]:
         raise NotImplementedError
 
@@ -86,28 +92,40 @@ class Versions(InOrder):
 
 
 class Bucket(InOrder):
-    """Each row takes a token if there is one; a bucket that is full again is as good as none."""
+    """Each row takes a token if there is one; a bucket that is full again is as good as none.
+
+    Levels are whole numbers: a token is as many parts as a microsecond's share of it needs, so no rounding adds up. The
+    value of a row, if any, is its place among rows of one time.
+    """
 
     def __init__(self, rate: float, most: float):
-        self.rate, self.most = rate, most
+        per = Fraction(str(rate)) / 1_000_000  # tokens a microsecond
+        full = Fraction(str(most))
+        self.token = math.lcm(per.denominator, full.denominator)
+        self.gain, self.most = int(per * self.token), int(full * self.token)
+        if self.most >= 1 << 63:
+            raise ValueError("rate and size have too many decimals")
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.level = handle.getValueState("level", "tokens double, us long")
+        self.level = handle.getValueState("level", "tokens long, us long")
+
+    def place(self, row: tuple) -> tuple:
+        return row[0], row[2] or 0, row[1]
 
     def taken(self, key, rows: list[tuple]) -> Iterator[Row]:
         tokens, last = self.level.get() if self.level.exists() else (self.most, None)
         for us, seq, _ in rows:
-            tokens = min(self.most, tokens + (0 if last is None else max(0, us - last) / 1e6 * self.rate))
+            tokens = min(self.most, tokens + (0 if last is None else max(0, us - last) * self.gain))
             last = us
-            allowed = tokens >= 1
-            tokens -= allowed
+            allowed = tokens >= self.token
+            tokens -= allowed * self.token
             yield Row(seq=seq, allowed=allowed)
-        self.level.update((float(tokens), last))
+        self.level.update((tokens, last))
         self.handle.registerTimer(self._full(tokens, last))
 
-    def _full(self, tokens: float, us: int) -> int:
-        return int(us / 1000 + (self.most - tokens) / self.rate * 1000) + 1
+    def _full(self, tokens: int, us: int) -> int:
+        return (us - (tokens - self.most) // self.gain) // 1000 + 1
 
     def quiet(self, ms: int) -> Iterator[Row]:
         if self.level.exists() and self._full(*self.level.get()) <= ms:

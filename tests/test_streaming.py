@@ -96,3 +96,12 @@ def test_late_rows_are_left_out_of_windows(spark, tmp_path):
         got = ingest.drained(ingest.window_counts(ingest.read_stream(spark, data)), where=out)
     n = {r.start.hour: r.n for r in got.collect()}
     assert n[0] == 2 and n[3] == 1
+
+
+def test_token_bucket_adds_up_exactly_and_keeps_the_order_of_one_time(spark, tmp_path):
+    """Ten tenths of a second fill one token, which doubles miss; rows of one microsecond go by nth before seq."""
+    data = str(tmp_path / "exact")
+    rows = [(1, 0, 0, 0)] + [(1, 100_000 * i, 0, i) for i in range(1, 31)] + [(2, 5, 2, 100), (2, 5, 1, 101)]
+    spark.createDataFrame(rows, "key long, us long, nth long, seq long").selectExpr("key", "timestamp_micros(us + 1700000000000000) AS ts", "nth", "seq").write.parquet(data)
+    got = {r.seq: r.allowed for r in ingest.drained(ingest.token_bucket(ingest.read_stream(spark, data), 1.0, 1.0)).collect()}
+    assert [s for s, allowed in sorted(got.items()) if allowed] == [0, 10, 20, 30, 101]
