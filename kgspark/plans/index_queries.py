@@ -16,7 +16,7 @@ from kgspark.operators.search_index import SearchIndex
 from kgspark.operators.vector_index import VectorIndex
 from kgspark.plans.mining_queries import _TOK, _W
 from kgspark.sources import graph as g
-from kgspark.sources.shared import shared_dir
+from kgspark.sources.shared import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,6 +87,7 @@ def _curated(spark: SparkSession, d: str) -> tuple[FactStore, DataFrame]:
     of the brand, its last one is pending, ``bolt`` is withdrawn, and the documents with these are extracted anew."""
     part = g.table(spark, d, "part")
     items = g.table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("pos"), F.col("p_name").alias("item")).distinct()
+    items = stored(items)  # the first extraction, the index and the new extraction read it
     before = part.select(F.split("p_name", " ")[1].alias("alias")).distinct().withColumn("entry_id", F.concat(F.lit("ingredient:"), "alias"))
     brands = part.groupBy("p_brand").agg(F.min("p_name").alias("approved"), F.max("p_name").alias("pending"))
     brands = brands.unpivot("p_brand", ["approved", "pending"], "status", "term")
