@@ -80,7 +80,8 @@ def parse(md: Column, units: tuple[str, ...]) -> Column:
     template; line ends and blanks may be of any kind. A null document has an empty map and null lists. ``template.errors`` says what a strict reader would object to.
     """
     known = "(?:(" + "|".join(map(re.escape, units)) + ")(?= ) )?"
-    line = f"^- (\\d+(?:\\.\\d+)?)\\s+{known}(.*)$"
+    # The three parts of an item on lines of their own, as a line holds no line end: one match gives them all.
+    line = f"^- (\\d+(?:\\.\\d+)?)\\s+{known}(.*)[\u0085\u2028\u2029]?\\z"
 
     def given(text: Column) -> Column:
         return once(F.struct(text.alias("text"), template.head(text).alias("head")), parted)
@@ -93,20 +94,23 @@ def parse(md: Column, units: tuple[str, ...]) -> Column:
     def sections(x: Column) -> Column:
         body = x["lines"]
 
-        def last(names: tuple[str, ...]) -> Column:
-            return F.coalesce(F.array_max(F.filter(F.transform(body, lambda y, i: F.when(y.isin(*names), i)), lambda i: i.isNotNull())), F.lit(-1))
+        def part(at: Column, other: Column) -> Column:
+            end = F.when(at < 0, F.lit(0)).when(other > at, other).otherwise(F.size(body))
+            return template.between(body, at, end)
 
         def between(at: Column) -> Column:
             i, s = at["i"], at["s"]
-            inside = F.filter(F.transform(body, lambda y, k: F.when((i >= 0) & (k > i) & ((s < i) | (k < s)), y)), lambda y: F.rlike(y, F.lit(line)))
-            after = F.filter(F.transform(body, lambda y, k: F.when((s >= 0) & (k > s) & ((i < s) | (k < i)), y)), lambda y: F.rlike(y, F.lit("^\\d+\\. ")))
+            items = F.transform(F.filter(part(i, s), lambda y: F.startswith(y, F.lit("- "))), lambda y: F.split(F.regexp_replace(y, line, "$1\n$2\n$3"), "\n"))
             items = F.transform(
-                inside,
-                lambda y: F.struct(F.regexp_extract(y, line, 1).alias("qty"), F.nullif(F.regexp_extract(y, line, 2), F.lit("")).alias("unit"), F.regexp_extract(y, line, 3).alias("item")),
+                F.filter(items, lambda p: F.size(p) == 3),
+                lambda p: F.struct(F.get(p, F.lit(0)).alias("qty"), F.nullif(F.get(p, F.lit(1)), F.lit("")).alias("unit"), F.get(p, F.lit(2)).alias("item")),
             )
-            return F.struct(x["fm"].alias("fm"), items.alias("items"), F.transform(after, lambda y: F.regexp_replace(y, "^\\d+\\. ", "")).alias("steps"))
+            steps = F.filter(F.transform(part(s, i), lambda y: F.regexp_replace(y, "^\\d+\\. ", "\n")), lambda y: F.startswith(y, F.lit("\n")))
+            return F.struct(x["fm"].alias("fm"), items.alias("items"), F.transform(steps, lambda y: F.substr(y, F.lit(2))).alias("steps"))
 
-        marks = F.struct(last((ITEMS, template.SOURCE.items, template.TRANSLATED.items)).alias("i"), last((STEPS, template.SOURCE.steps, template.TRANSLATED.steps)).alias("s"))
+        marks = F.struct(
+            template.last(body, ITEMS, template.SOURCE.items, template.TRANSLATED.items).alias("i"), template.last(body, STEPS, template.SOURCE.steps, template.TRANSLATED.steps).alias("s")
+        )
         return once(marks, between)
 
     return once(template.plain_ends(md), given)
@@ -151,26 +155,36 @@ def change_log(docs: DataFrame, key: str, before: str, after: str) -> DataFrame:
     Added and removed lines have a NULL side.
     """
 
-    def lines(c: str) -> Column:
-        doc = F.col(c)
-        items = F.transform(doc["items"], lambda x, i: F.array(*[F.struct(F.lit(f"items.{f}").alias("field"), i.alias("pos"), x[f].alias("text")) for f in ("qty", "unit", "item")]))
-        steps = F.transform(doc["steps"], lambda x, i: F.struct(F.lit("steps").alias("field"), i.alias("pos"), x.alias("text")))
-        return F.concat(F.flatten(items), steps)
+    def given(a: Column, b: Column, field: str, text) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b), F.lit(1)) - 1)
+        rows = F.transform(at, lambda i: F.struct(F.lit(field).alias("field"), i.alias("pos"), text(F.get(a, i)).alias("before_text"), text(F.get(b, i)).alias("after_text")))
+        return F.filter(rows, lambda r: ~r["before_text"].eqNullSafe(r["after_text"]))
 
-    old = docs.select(key, F.inline(lines(before))).withColumnRenamed("text", "before_text")
-    new = docs.select(key, F.inline(lines(after))).withColumnRenamed("text", "after_text")
-    return old.join(new, [key, "field", "pos"], "full").where(~F.col("before_text").eqNullSafe(F.col("after_text")))
+    old, new = F.col(before), F.col(after)
+    fields = [given(old["items"], new["items"], f"items.{f}", lambda x, f=f: x[f]) for f in ("qty", "unit", "item")]
+    steps = given(old["steps"], new["steps"], "steps", lambda x: x)
+    return docs.select(key, F.inline(F.concat(*fields, steps)))  # both sides are in one row: nothing moves
 
 
 def replay(docs: DataFrame, key: str, before: str, log: DataFrame) -> DataFrame:
-    """Key, items array<struct(qty, unit, item)>: the items of ``before`` with the log applied."""
-    items = docs.select(key, F.posexplode(F.col(f"{before}.items")).alias("pos", "x")).select(key, "pos", F.inline(F.array(*[F.struct(F.lit(f"items.{f}").alias("field"), F.col(f"x.{f}").alias("text")) for f in ("qty", "unit", "item")])))
-    edits = log.where("field LIKE 'items.%'").select(key, "field", "pos", "after_text", F.lit(True).alias("hit"))
-    done = items.join(edits, [key, "field", "pos"], "full").withColumn("text", F.when(F.col("hit"), F.col("after_text")).otherwise(F.col("text")))
-    pick = [F.max(F.when(F.col("field") == f"items.{f}", F.col("text"))).alias(f) for f in ("qty", "unit", "item")]
-    rows = done.groupBy(key, "pos").agg(*pick).where("qty IS NOT NULL OR unit IS NOT NULL OR item IS NOT NULL")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.struct("qty", "unit", "item").alias("x"))))
-    return rows.groupBy(key).agg(F.transform(ordered, lambda p: p["x"]).alias("items"))
+    """Key, items array<struct(qty, unit, item)>: the items of ``before`` with the log applied, in their row."""
+    # Of several rows of the log for one place the largest text counts.
+    place = F.concat_ws(":", "field", "pos")
+    edits = log.where("field LIKE 'items.%'").repartition(key).groupBy(key, place.alias("place"), "pos").agg(F.max("after_text").alias("text"))
+    edits = edits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "text"))).alias("edits"), F.max("pos").alias("most"))
+    held = docs.select(key, F.col(f"{before}.items").alias("old")).join(edits, key, "left")
+
+    def item(i: Column) -> Column:
+        def value(f: str) -> Column:
+            name = F.concat(F.lit(f"items.{f}:"), i.cast("string"))
+            return F.when(F.coalesce(F.map_contains_key("edits", name), F.lit(False)), F.element_at("edits", name)).otherwise(F.get("old", i)[f])
+
+        return F.struct(*[value(f).alias(f) for f in ("qty", "unit", "item")])
+
+    last = F.greatest(F.coalesce(F.size("old"), F.lit(0)) - 1, F.coalesce("most", F.lit(0)), F.lit(0))
+    rows = F.filter(F.transform(F.sequence(F.lit(0), last), item), lambda x: x["qty"].isNotNull() | x["unit"].isNotNull() | x["item"].isNotNull())
+    done = held.select(key, rows.alias("items"))
+    return done.where(F.size("items") > 0)
 
 
 def verify_counts(source: Column, other: Column) -> Column:
@@ -225,6 +239,6 @@ def recompose(graph: dict[str, DataFrame], key: str) -> DataFrame:
     value = graph["fact"].groupBy(F.col("entity_id").alias("id")).agg(*[F.max(F.when(F.col("property") == p, F.col("value"))).alias(p) for p in ("qty", "unit")])
     rows = graph["entity"].join(value, "id", "left")
     part = F.struct("pos", F.struct("qty", "unit", F.col("label").alias("item")).alias("x"))
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("type") == "item", part))).alias("i"), F.array_sort(F.collect_list(F.when(F.col("type") == "step", part))).alias("s"))
+    grouped = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("type") == "item", part))).alias("i"), F.sort_array(F.collect_list(F.when(F.col("type") == "step", part))).alias("s"))
     doc = F.struct("fm", F.transform("i", lambda p: p["x"]).alias("items"), F.transform("s", lambda p: p["x"]["item"]).alias("steps"))
     return graph["document"].join(grouped, key).select(key, doc.alias("doc"))

@@ -57,18 +57,33 @@ def bare(line: Column) -> Column:
 
 def plain_ends(md: Column) -> Column:
     """All line ends (CRLF, CR) as line feeds, without a byte order mark."""
-    return F.regexp_replace(F.regexp_replace(md, "\\A\ufeff", ""), "\\r\\n?", "\n")
+
+    def of(t: Column) -> Column:
+        odd = F.startswith(t, F.lit("\ufeff")) | F.contains(t, F.lit("\r"))  # few texts: the others are not searched
+        return F.when(odd, F.regexp_replace(F.regexp_replace(t, "\\A\ufeff", ""), "\\r\\n?", "\n")).otherwise(t)
+
+    return once(md, of)
 
 
 def _lines(md: Column) -> Column:
     """Lines of a text between blanks, without an empty one after its last line end."""
-    return F.transform(F.split(F.regexp_replace(plain_ends(md), "\\n\\z", ""), "\n"), bare)
+    ended = lambda t: F.when(F.endswith(t, F.lit("\n")), F.left(t, F.length(t) - 1)).otherwise(t)
+    return F.transform(F.split(once(plain_ends(md), ended), "\n"), bare)
+
+
+def last(lines: Column, *texts: str) -> Column:
+    """The number (from 0) of the last line that is one of ``texts``; -1 where none is."""
 
+    def of(x: Column) -> Column:
+        at = [F.nullif(F.array_position(x, F.lit(t)), F.lit(0)) for t in texts]
+        return F.coalesce((F.size(x) - (at[0] if len(at) == 1 else F.least(*at))).cast("int"), F.lit(-1))
+
+    return once(F.reverse(lines), of)
 
-def _last(lines: Column, text: str) -> Column:
-    """The number (from 0) of the last line that is ``text``; -1 where none is."""
-    at = F.filter(F.transform(lines, lambda x, i: F.when(x == text, i)), lambda i: i.isNotNull())
-    return F.coalesce(F.array_max(at), F.lit(-1))
+
+def between(lines: Column, begin: Column, end: Column) -> Column:
+    """The lines after ``begin`` (from 0) and before ``end``."""
+    return F.slice(lines, begin + 2, F.greatest(end - begin - 1, F.lit(0)))
 
 
 #: Front matter with its two marks, and the ``key: value`` lines in it.
@@ -78,7 +93,7 @@ PAIR = "(?<=\\n)([^\\s#:][^:\\n]*):(?=\\s|\\z|[\\u0085\\u2028\\u2029](?:\\n|\\z)
 
 def head(text: Column) -> Column:
     """The front matter of a text with plain line ends; empty where there is none."""
-    return F.regexp_extract(text, HEAD, 0)
+    return once(text, lambda t: F.when(F.startswith(t, F.lit("---")), F.regexp_extract(t, HEAD, 0)).otherwise(F.when(t.isNotNull(), F.lit(""))))
 
 
 def _raw_pairs(given: Column) -> Column:
@@ -87,16 +102,19 @@ def _raw_pairs(given: Column) -> Column:
     Of a key that is there twice the last value counts; comments and lines below a key (indented) are left out.
     """
 
-    def last(x: Column) -> Column:
+    def latest(x: Column) -> Column:
         pairs = F.arrays_zip(x["key"], x["value"])
         kept = once(pairs, lambda p: F.filter(p, lambda q, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda r: r["key"] == q["key"])))
         single = F.size(F.array_compact(F.array_distinct(x["key"]))) == F.size(x["key"])
         return F.when(single, F.map_from_arrays(x["key"], x["value"])).otherwise(F.map_from_entries(kept))
 
     def of(h: Column) -> Column:
-        keys = F.transform(F.regexp_extract_all(h, F.lit(PAIR), F.lit(1)), lambda k: _scalar(bare(k)))
-        values = F.transform(F.regexp_extract_all(h, F.lit(PAIR), F.lit(2)), bare)
-        return F.when(h != "", once(F.struct(keys.alias("key"), values.alias("value")), last))
+        return F.when(h != "", once(F.regexp_extract_all(h, F.lit(PAIR), F.lit(0)), split))
+
+    def split(found: Column) -> Column:
+        keys = F.transform(found, lambda p: _scalar(bare(F.substring_index(p, ":", 1))))  # a key has no colon
+        values = F.transform(found, lambda p: bare(F.substr(p, F.length(F.substring_index(p, ":", 1)) + 2)))
+        return once(F.struct(keys.alias("key"), values.alias("value")), latest)
 
     return once(given, of)
 
@@ -162,7 +180,7 @@ def _step_errors(text: Column, number: Column, nth: Column) -> Column:
 
 def _section(lines: Column, begin: Column, end: Column) -> Column:
     """array<struct(line, number)> of the lines with text after ``begin`` and before ``end``, numbered from 1."""
-    rows = F.transform(lines, lambda x, i: F.when((i > begin) & (i < end) & (x != ""), F.struct(x.alias("line"), (i + 1).alias("number"))))
+    rows = F.transform(between(lines, begin, end), lambda x, i: F.when(x != "", F.struct(x.alias("line"), (i + begin + 2).alias("number"))))
     return F.filter(rows, lambda r: r.isNotNull())
 
 
@@ -180,7 +198,7 @@ def _body_errors(lines: Column, template: Template, units: tuple[str, ...]) -> C
 
         return F.when((i < 0) | (s < 0), absent).when(s < i, order).otherwise(F.concat(once(_section(lines, i, s), in_items), once(_section(lines, s, n), in_steps)))
 
-    return once(F.struct(_last(lines, template.items).alias("items"), _last(lines, template.steps).alias("steps")), of)
+    return once(F.struct(last(lines, template.items).alias("items"), last(lines, template.steps).alias("steps")), of)
 
 
 def errors(md: Column, template: Template, units: tuple[str, ...]) -> Column:
@@ -188,7 +206,7 @@ def errors(md: Column, template: Template, units: tuple[str, ...]) -> Column:
 
     def of(x: Column) -> Column:
         lines = x["lines"]
-        marks = F.filter(F.transform(lines, lambda y, i: F.when((i > 0) & (y == "---"), i)), lambda i: i.isNotNull())
+        mark = F.nullif(F.array_position(F.slice(lines, F.lit(2), F.size(lines)), F.lit("---")), F.lit(0)).cast("int")
         begun = F.get(lines, F.lit(0)) == "---"
 
         def closed(mark: Column) -> Column:
@@ -196,7 +214,7 @@ def errors(md: Column, template: Template, units: tuple[str, ...]) -> Column:
             good = F.concat(once(_raw_front_matter(x["md"]), lambda fm: _front_errors(fm, template)), once(body, lambda b: _body_errors(b, template, units)))
             return F.when(mark.isNull(), F.array(_error("FRONT_MATTER_OPEN", F.lit(1)))).otherwise(good)
 
-        return F.when(~begun, F.array(_error("NO_FRONT_MATTER", F.lit(1)))).otherwise(once(F.get(marks, F.lit(0)), closed))
+        return F.when(~begun, F.array(_error("NO_FRONT_MATTER", F.lit(1)))).otherwise(once(mark, closed))
 
     given = lambda text: once(F.struct(text.alias("md"), _lines(text).alias("lines")), of)
     return once(md, lambda text: F.when(text.isNull(), F.array(_error("NO_FRONT_MATTER", F.lit(1)))).otherwise(given(text)))
@@ -232,7 +250,7 @@ def verify(source: Column, other: Column, units: tuple[str, ...]) -> Column:
         lines = _lines(F.regexp_replace(plain_ends(md), "(?s)\\A---.*?\\n---[ \\t]*(?:\\n|\\z)", ""))
 
         def of(x: Column) -> Column:
-            marks = F.struct(_last(x, template.items).alias("i"), _last(x, template.steps).alias("s"))
+            marks = F.struct(last(x, template.items).alias("i"), last(x, template.steps).alias("s"))
             return once(marks, lambda m: F.struct(F.size(_section(x, m["i"], m["s"])).alias("items"), F.size(_section(x, m["s"], F.size(x))).alias("steps")))
 
         return once(lines, of)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import normalize as n
 from kgspark.operators import packs, relations, template
+from kgspark.plans.retrieval_queries import TASK_ROWS
 from kgspark.sources import graph as g
 from kgspark.sources.shared import stored
 
@@ -32,16 +33,18 @@ def query(sql: str | None = None):
 def sources(spark: SparkSession, d: str, units: dict[str, str] = UNITS) -> DataFrame:
     """o_orderkey, md: an order's lines as items and steps."""
     p = g.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    rows = g.table(spark, d, "lineitem").join(p, "l_partkey")
-    unit = F.create_map(*[F.lit(x) for kv in units.items() for x in kv])
-    qty = F.col("l_quantity").cast("int").cast("string")
-    item = F.concat_ws(" ", F.lit("-"), qty, F.element_at(unit, F.col("l_returnflag")), "p_name")
-    step = F.concat(F.lit("Add the "), "p_name", F.lit(" and wait "), qty, F.lit(" min."))
+    lines = g.table(spark, d, "lineitem")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // TASK_ROWS))  # a task has as many rows whatever the input
+    rows = lines.join(p, "l_partkey")
+    unit = F.element_at(F.create_map(*[F.lit(x) for kv in units.items() for x in kv]), F.col("l_returnflag")).alias("unit")
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]
-    lines = rows.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct(*order, item.alias("item"), step.alias("step")))).alias("x"))
-    numbered = F.transform("x", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["step"]))
+    # Short values are shuffled; texts are made of them afterwards.
+    lines = rows.repartition(parts, "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct(*order, unit, "p_name"))).alias("x"))
+    qty = lambda x: x["l_quantity"].cast("int").cast("string")
+    items = F.transform("x", lambda x: F.concat_ws(" ", F.lit("-"), qty(x), x["unit"], x["p_name"]))
+    steps = F.transform("x", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". Add the "), x["p_name"], F.lit(" and wait "), qty(x), F.lit(" min.")))
     head = F.concat(F.lit("---\ntitle: Order "), F.col("o_orderkey").cast("string"), F.lit("\nid: ord-"), F.col("o_orderkey").cast("string"), F.lit("\nlang: en\nservings: "), F.size("x").cast("string"), F.lit(f"\n---\n{n.ITEMS}\n"))
-    md = F.concat(head, F.array_join(F.transform("x", lambda x: x["item"]), "\n"), F.lit(f"\n{n.STEPS}\n"), F.array_join(numbered, "\n"), F.lit("\n"))
+    md = F.concat(head, F.array_join(items, "\n"), F.lit(f"\n{n.STEPS}\n"), F.array_join(steps, "\n"), F.lit("\n"))
     return lines.select("o_orderkey", md.alias("md"))
 
 
@@ -57,7 +60,9 @@ def canonicalized(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey AS o_orderkey, count(*) AS n_items, count(*) AS n_steps, count(*) || '' AS servings FROM lineitem GROUP BY l_orderkey")
 def parse_documents(spark: SparkSession, d: str) -> DataFrame:
     """S11, T10-T12."""
-    return parsed(spark, d).select("o_orderkey", F.size("doc.items").cast("long").alias("n_items"), F.size("doc.steps").cast("long").alias("n_steps"), F.element_at("doc.fm", "servings").alias("servings"))
+    told = lambda doc: F.struct(F.size(doc["items"]).cast("long").alias("n_items"), F.size(doc["steps"]).cast("long").alias("n_steps"), F.element_at(doc["fm"], "servings").alias("servings"))
+    row = template.once(n.parse(F.col("md"), tuple(UNITS.values())), told)
+    return sources(spark, d).select("o_orderkey", F.inline(F.array(row)))  # a generator: the row is computed once
 
 
 @query("SELECT round(avg(CASE WHEN o % 5 IN (1, 2, 3) THEN 0.0 ELSE 1.0 END), 9) AS ratio, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS o FROM lineitem)")
@@ -158,9 +163,10 @@ def parse_strict(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 7, F.regexp_replace(md, f"(?s)(\n{n.STEPS}\n).*", "$1"))
         .otherwise(md)
     )
-    rows = stored(stored(sources(spark, d)).select("o_orderkey", template.errors(bad, PLAIN, tuple(UNITS.values())).alias("e")))
-    first = F.get("e", F.lit(0))
-    return rows.select("o_orderkey", F.size("e").alias("n_errors"), first["code"].alias("code"), F.coalesce(first["line"], F.lit(0)).cast("long").alias("line"))
+    first = lambda e: F.get(e, F.lit(0))
+    told = lambda e: F.struct(F.size(e).alias("n_errors"), first(e)["code"].alias("code"), F.coalesce(first(e)["line"], F.lit(0)).cast("long").alias("line"))
+    row = template.once(template.errors(bad, PLAIN, tuple(UNITS.values())), told)
+    return sources(spark, d).select("o_orderkey", F.inline(F.array(row)))  # a generator: the row is computed once
 
 
 @query(

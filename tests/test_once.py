@@ -29,3 +29,32 @@ def test_front_matter_of_odd_pairs(spark):
     md = "---\na: 1\n# b: 2\n c: 3\na: '2'\nd:4\ne: \"x # y\" # z\nf: ~\n---\nbody"
     row = spark.createDataFrame([(md,)], "md string").select(template.front_matter(F.col("md")).alias("x")).first()
     assert row.x == {"a": "2", "e": "x # y", "f": None}
+
+
+def test_strict_and_parsed_documents_are_not_written(spark, sf, monkeypatch):
+    """Their rows are computed in one pass, so no texts go to the shared folder."""
+    from kgspark.plans import document_queries
+
+    def refused(df):
+        raise AssertionError("a table was written")
+
+    monkeypatch.setattr(document_queries, "stored", refused)
+    assert document_queries.parse_strict(spark, sf).count() == document_queries.parse_documents(spark, sf).count() > 0
+
+
+def test_odd_lines_of_documents(spark):
+    md = "\ufeff---\r\na: b: c\r\n---\r\n## Items\r\n- 1 g\u2028\r\n- 2 g x\u2028y\r\n- 3  salt\u0085\r\n * 4 g no\r\n## Steps\r\n1. a\r\n2.b\r\n03.  c\r\n## Items\r\n- 4.50 dl m\r\n"
+    row = spark.createDataFrame([(md,)], "md string").select(normalize.parse(F.col("md"), UNITS).alias("x")).first()
+    assert row.x.fm == {"a": "b: c"}
+    assert [tuple(i) for i in row.x["items"]] == [("4.50", "dl", "m")]
+    assert row.x.steps == ["a", " c"]
+    begun = md.rsplit("## Items", 1)[0]
+    row = spark.createDataFrame([(begun,)], "md string").select(normalize.parse(F.col("md"), UNITS).alias("x")).first()
+    assert [tuple(i) for i in row.x["items"]] == [("1", None, "g"), ("3", None, "salt")]
+
+
+def test_change_log_moves_no_rows(spark):
+    docs = spark.createDataFrame([(1, MD)], "k int, md string").select("k", normalize.parse(F.col("md"), UNITS).alias("a"))
+    log = normalize.change_log(docs.withColumn("b", F.col("a")), "k", "a", "b")
+    assert "Exchange" not in log._jdf.queryExecution().executedPlan().toString()
+    assert log.count() == 0
