@@ -26,7 +26,7 @@ def counted(tokens_: Column) -> Column:
 
         return F.get(F.transform(F.array(begins), lengths), F.lit(0))
 
-    return F.get(F.transform(F.array(F.array_sort(tokens_)), runs), F.lit(0))
+    return F.get(F.transform(F.array(F.sort_array(F.array_compact(tokens_))), runs), F.lit(0))
 
 
 def tokens(text: Column) -> Column:

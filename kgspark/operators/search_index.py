@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.functions.text import counted
+from kgspark.operators.template import once
 from kgspark.sources.shared import stored
 
 #: Fixed values of the ranking.
@@ -35,10 +36,19 @@ def partition(token: Column, partitions: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(partitions)).cast("int")
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """kind, key, token, tf, length of ``rows`` (kind, key, w: its words); counted inside the row, so nothing moves."""
-    sized = rows.where("w IS NOT NULL").select("kind", F.col("key").cast("string").alias("key"), F.size("w").alias("length"), F.inline(counted(F.col("w"))))
-    return sized.select("kind", "key", "token", F.col("tf").cast("int").alias("tf"), "length")
+def counts(rows: DataFrame) -> DataFrame:
+    """kind, key, token, tf, length of ``rows`` (kind, key, w: its words), and a row without a token for each text.
+
+    Words are counted inside the row, so nothing moves.
+    """
+
+    def told(w: Column) -> Column:
+        length = F.coalesce(F.size(w), F.lit(0))
+        whole = F.struct(F.lit(None).cast("string").alias("token"), F.lit(0).alias("tf"), length.alias("length"))
+        each = F.when(w.isNull(), F.array().cast("array<struct<token:string,tf:int,length:int>>")).otherwise(F.transform(counted(w), lambda c: F.struct(c["token"].alias("token"), c["tf"].cast("int").alias("tf"), length.alias("length"))))
+        return F.concat(F.array(whole), each)
+
+    return rows.select("kind", F.col("key").cast("string").alias("key"), F.inline(once(F.col("w"), told)))
 
 
 def placed(spark: SparkSession, query: str, split: Callable[[Column], Column], partitions: int) -> dict[str, int]:
@@ -59,13 +69,15 @@ class SearchIndex:
     def built(cls, rows: DataFrame, path: str, partitions: int = PARTITIONS) -> SearchIndex:
         """Write the index of ``rows`` (kind, key, text)."""
         index = cls(rows.sparkSession, path, partitions)
-        made = rows.select("kind", "key", words(F.col("text")).alias("w"))
-        sizes = made.groupBy("kind").agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size("w"), F.lit(0))).alias("mean"))
+        made = counts(rows.select("kind", "key", words(F.col("text")).alias("w")))
+        made.write.mode("overwrite").parquet(f"{path}/counts")  # words are found and counted once; all below read them
+        made = rows.sparkSession.read.schema(made.schema).parquet(f"{path}/counts")
+        sizes = made.where("token IS NULL").groupBy("kind").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
         sizes.write.mode("overwrite").parquet(f"{path}/sizes")
-        df = made.select("kind", F.explode(F.array_distinct("w")).alias("token")).groupBy("kind", "token").agg(F.count("*").alias("df"))
-        df = df.withColumn("part", partition(F.col("token"), partitions))
+        posted = made.where("token IS NOT NULL").withColumn("part", partition(F.col("token"), partitions))
+        df = posted.groupBy("part", "kind", "token").agg(F.count("*").alias("df")).select("kind", "token", "df", "part")
         df.repartition("part").sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(f"{path}/frequencies")
-        held = postings(made).withColumn("part", partition(F.col("token"), partitions))
+        held = posted.select("kind", "key", "token", "tf", "length", "part")
         held.repartitionByRange("part", "token", "key").sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
         return index
 

@@ -58,3 +58,13 @@ def test_change_log_moves_no_rows(spark):
     log = normalize.change_log(docs.withColumn("b", F.col("a")), "k", "a", "b")
     assert "Exchange" not in log._jdf.queryExecution().executedPlan().toString()
     assert log.count() == 0
+
+
+def test_an_index_finds_words_once(spark, tmp_path):
+    from kgspark.operators import search_index
+
+    rows = spark.createDataFrame([("a", "1", "x y x"), ("a", "2", None), ("b", "3", "")], "kind string, key string, text string")
+    index = search_index.SearchIndex.built(rows, str(tmp_path / "index"))
+    stored = spark.read.parquet(f"{index.path}/counts")
+    assert {tuple(r) for r in stored.collect()} == {("a", "1", None, 0, 3), ("a", "1", "x", 2, 3), ("a", "1", "y", 1, 3), ("a", "2", None, 0, 0), ("b", "3", None, 0, 0)}
+    assert {(r.kind, r.n, r["mean"]) for r in spark.read.parquet(f"{index.path}/sizes").collect()} == {("a", 2, 1.5), ("b", 1, 0.0)}
