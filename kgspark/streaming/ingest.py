@@ -1,7 +1,7 @@
 """Streams over files, run to their end and checkpointed in the shared folder.
 
-State is kept for each key in the state store (RocksDB), rows are taken in the order of their event time, and no key's rows
-are gathered in memory. A restart from the same checkpoint goes on where it stopped.
+State is kept in the state store (RocksDB), rows are taken in the order of their event time, and no key's rows are gathered
+in memory. A restart from the same checkpoint goes on where it stopped.
 """
 
 from __future__ import annotations
@@ -24,14 +24,20 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drained(stream: DataFrame, mode: str = "append", where: str | None = None) -> DataFrame:
+def drained(stream: DataFrame | ordered.InOrder, mode: str = "append", where: str | None = None) -> DataFrame:
     """Run a stream over all there is and read what it wrote. The same ``where`` goes on with new files only."""
     spark = stream.sparkSession
     where = where or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ordered.ROCKS)
-    run = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").option("path", f"{where}/rows").trigger(availableNow=True).start()
+    if isinstance(stream, ordered.InOrder):
+        if mode != "append":
+            raise ValueError("rows in the order of time are appended")
+        out = stream.stream.writeStream.foreachBatch(stream.writer(where))
+    else:
+        out = stream.writeStream.format("parquet").option("path", f"{where}/rows")
+    run = out.outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{where}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{where}/rows").select(stream.schema.names)
 
 
 def changed(stream: DataFrame, key: str, digest: str, ts: str | None = None, late: str = "7 days") -> DataFrame:
@@ -44,19 +50,18 @@ def changed(stream: DataFrame, key: str, digest: str, ts: str | None = None, lat
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key, digest])
 
 
-def versions(stream: DataFrame, late: str = "0 seconds") -> DataFrame:
+def versions(stream: DataFrame, late: str = "0 seconds") -> ordered.InOrder:
     """logical_id, value, valid_from, valid_to of every version that a later row of its logical id closes.
 
     stream: logical_id, value, ts, seq. Rows wait as state until the watermark (``late`` behind the newest row) has passed
-    them and are then taken in the order of (ts, seq); those that come later than that are left out.
+    their millisecond and are then taken in the order of (ts, seq); those that come later than that, and those without a
+    ts, are left out.
     """
-    rows = stream.select("logical_id", "value", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"))
-    out = ordered.run(rows, "logical_id", "value string", ordered.Versions(), "logical_id string, value string, start long, stop long", late)
-    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
-    return out.select("logical_id", "value", at("start").alias("valid_from"), at("stop").alias("valid_to"))
+    rows = stream.select(F.col("logical_id").cast("string").alias("logical_id"), F.col("value").cast("string").alias("value"), F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"))
+    return ordered.InOrder(ordered.waiting(rows, "logical_id", late), ordered.Versions())
 
 
-def token_bucket(stream: DataFrame, rate: float, most: float | None = None, late: str = "0 seconds") -> DataFrame:
+def token_bucket(stream: DataFrame, rate: float, most: float | None = None, late: str = "0 seconds") -> ordered.InOrder:
     """Seq, allowed: each key's bucket holds ``most`` (2 * rate) tokens, fills by ``rate`` a second, and a row takes one.
 
     stream: key, ts, seq, in order as ``versions`` has it, and maybe nth (long): the order of rows of one ts, before seq.
@@ -68,7 +73,7 @@ def token_bucket(stream: DataFrame, rate: float, most: float | None = None, late
         raise ValueError("a bucket has to hold a token")
     nth = F.col("nth") if "nth" in stream.columns else F.lit(None)
     rows = stream.select("key", nth.cast("long").alias("value"), F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"))
-    return ordered.run(rows, "key", "value long", ordered.Bucket(rate, most), "seq long, allowed boolean", late)
+    return ordered.InOrder(ordered.waiting(rows, "key", late), ordered.Bucket(rate, most, rows.schema["key"].dataType))
 
 
 def window_counts(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

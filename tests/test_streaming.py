@@ -105,3 +105,43 @@ def test_token_bucket_adds_up_exactly_and_keeps_the_order_of_one_time(spark, tmp
     spark.createDataFrame(rows, "key long, us long, nth long, seq long").selectExpr("key", "timestamp_micros(us + 1700000000000000) AS ts", "nth", "seq").write.parquet(data)
     got = {r.seq: r.allowed for r in ingest.drained(ingest.token_bucket(ingest.read_stream(spark, data), 1.0, 1.0)).collect()}
     assert [s for s, allowed in sorted(got.items()) if allowed] == [0, 10, 20, 30, 101]
+
+
+def test_versions_wait_in_an_aggregation_and_rows_without_a_time_are_left_out(spark, tmp_path):
+    """No Python for each row or key; rows that are equal stay two."""
+    data = f"file://{tmp_path}/in"
+    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    rows = [("a", "1", t(0), 0), ("a", "lost", None, 1), ("a", "2", t(5), 2), ("a", "2", t(5), 2), ("a", None, t(6), 3), ("a", "3", t(7), 4), ("b", "1", t(1), 5)]
+    write(spark, data, rows, "logical_id string, value string, ts timestamp_ntz, seq long")
+    found = ingest.versions(ingest.read_stream(spark, data))
+    plan = found.stream._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan
+    got = [tuple(r) for r in ingest.drained(found).collect()]
+    assert sorted(got, key=lambda r: r[2:]) == [("a", "1", t(0), t(5)), ("a", "2", t(5), t(5)), ("a", "2", t(5), t(6)), ("a", None, t(6), t(7))]
+
+
+def test_a_batch_that_comes_again_writes_the_same(spark, tmp_path):
+    write(spark, f"file://{tmp_path}/in", [("a", "1", dt.datetime(2024, 1, 1), 0)], "logical_id string, value string, ts timestamp_ntz, seq long")
+    each = ingest.versions(ingest.read_stream(spark, f"file://{tmp_path}/in")).writer(f"file://{tmp_path}/out")
+    batches = [[("a", 1, 0, "x"), ("b", 2, 1, "y")], [("a", 5, 2, "z")], [], [("b", 9, 3, "w"), ("a", 7, 4, "v")]]
+    for n, rows in enumerate(batches):
+        for _ in range(2):
+            each(spark.createDataFrame(rows, "logical_id string, us long, seq long, value string"), n)
+    got = spark.read.parquet(f"file://{tmp_path}/out/rows").selectExpr("batch", "logical_id", "value", "unix_micros(valid_from::timestamp)", "unix_micros(valid_to::timestamp)")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a", "x", 1, 5), (3, "a", "z", 5, 7), (3, "b", "y", 2, 9)]
+
+
+def test_buckets_go_on_in_later_batches_until_they_are_full(spark, tmp_path):
+    write(spark, f"file://{tmp_path}/in", [("k", dt.datetime(2024, 1, 1), 0)], "key string, ts timestamp_ntz, seq long")
+    each = ingest.token_bucket(ingest.read_stream(spark, f"file://{tmp_path}/in"), 1.0, 2.0).writer(f"file://{tmp_path}/out")
+    s = 1_000_000
+    batches = [[("k", 0, 0, None), ("k", 0, 1, None), ("m", 0, 2, None)], [("k", s // 2, 3, None)], [], [("k", s, 4, None), ("m", s, 5, None), ("m", s, 6, None), ("m", s, 7, None)], [("n", 9 * s, 8, None)]]
+    left = []
+    for n, rows in enumerate(batches):
+        for _ in range(2):
+            each(spark.createDataFrame(rows, "key string, us long, seq long, value long"), n)
+        left.append(sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out/left/{n % 2}").select("key", "us", "tokens").collect()))
+    got = {r.seq: r.allowed for r in spark.read.parquet(f"file://{tmp_path}/out/rows").collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False, 8: True}
+    assert left[1] == left[2] == [("k", s // 2, s // 2), ("m", 0, s)]
+    assert left[4] == [("n", 9 * s, s)]
