@@ -1,9 +1,11 @@
 """Versioned writes that rewrite the touched partitions of a fact table only.
 
-Facts lie in PARTS partitions by the hash of their logical id. A write reads the partitions of its own logical ids, makes
-the next versions there, stages them, and overwrites these partitions alone; the others keep their files. Each change leaves
-an audit row (a Version) in a table of its own. Ids of versions follow from what they are made of, so a write that is
-repeated after a failure gives the same rows.
+Facts lie in PARTS partitions by the hash of their logical id. A write asks the partitions of its own logical ids for what
+they hold, in short rows, and stages what is to be done. Partitions with a difference are then read and overwritten in one
+job: Spark writes the next versions beside them and puts these in their place when the job is done; the others keep their
+files. So facts as a whole are shuffled and written once for each write. Each change leaves an audit row (a Version) in a
+table of its own. Ids of versions follow from what they are made of, so a write that is repeated after a failure gives the
+same rows.
 """
 
 from __future__ import annotations
@@ -25,52 +27,6 @@ def _name(kind: str, *parts: Column) -> Column:
     return F.concat(F.col("logical_id"), F.lit(kind), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12))
 
 
-def changed(facts: DataFrame, changes: DataFrame, now: Column, reopen: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The next facts, the audit rows (version_id, fact_id, logical_id, change_type, author_id, created_at), the refused
-    changes (logical_id, reason).
-
-    changes: logical_id, some of SETTABLE and author_id. The latest open version of a logical id is closed and followed by
-    one with the new values, if there are any; an unknown logical id is inserted where entity_id and property are given.
-    A logical id named twice, one without an open version and an unknown one that cannot be inserted are refused. With
-    ``reopen`` one without an open version is inserted as if it were unknown.
-    """
-    sets = [c for c in SETTABLE if c in changes.columns and c in facts.columns]
-    author = F.col("author_id") if "author_id" in changes.columns else F.lit(None).cast("string")
-    asked = changes.select("logical_id", F.struct(*sets).alias("_to"), author.alias("_by"))
-    asked = asked.groupBy("logical_id").agg(F.first("_to").alias("_to"), F.first("_by").alias("_by"), F.count("*").alias("_times"))
-    open_ = F.col("valid_to").isNull()
-    latest = Window.partitionBy("logical_id", open_).orderBy(F.desc("valid_from"), F.desc("id"))
-    marked = facts.withColumn("_last", open_ & (F.row_number().over(latest) == 1)).join(asked, "logical_id", "left")
-    new = {c: F.coalesce(F.col(f"_to.{c}"), F.col(c)) for c in sets}
-    differs = F.lit(False)
-    for c in sets:
-        differs = differs | ~new[c].eqNullSafe(F.col(c))
-    marked = stored(marked.withColumn("_hit", F.coalesce(F.col("_last") & (F.col("_times") == 1) & differs, F.lit(False))))
-    hit = F.col("_hit")
-    old = marked.withColumns({"valid_to": F.when(hit, now).otherwise(F.col("valid_to")), "status": F.when(hit, "obsolete").otherwise(F.col("status"))})
-    none = F.lit(None).cast(facts.schema["valid_to"].dataType)
-    status = F.coalesce("_to.status", F.lit("valid")) if "status" in sets else F.lit("valid")
-    after = marked.where("_hit").withColumn("id", _name("__v_", F.col("id"), now.cast("string"))).withColumns(new | {"valid_from": now, "valid_to": none, "status": status})
-
-    held = marked.groupBy("logical_id").agg(F.max("_last").alias("open"))
-    met = asked.join(held, "logical_id", "left")
-    can = F.lit("entity_id" in sets and "property" in sets)
-    if "entity_id" in sets and "property" in sets:
-        can = F.col("_to.entity_id").isNotNull() & F.col("_to.property").isNotNull()
-    reason = F.when(F.col("_times") > 1, "NAMED_TWICE").when(~F.col("open") & ~F.lit(reopen), "NO_OPEN_VERSION").when(~F.coalesce("open", F.lit(False)) & ~can, "NOT_FOUND")
-    met = met.withColumn("reason", reason)
-    fresh = met.where("reason IS NULL AND NOT coalesce(open, false)").select("logical_id", "_by", *[F.col(f"_to.{c}").alias(c) for c in sets])
-    fresh = fresh.withColumn("id", _name("__v_", now.cast("string")))
-    fill = {f.name: F.lit(None).cast(f.dataType) for f in facts.schema if f.name not in fresh.columns}
-    fresh = fresh.withColumns(fill | {"valid_from": now, "status": F.coalesce("status", F.lit("valid")) if "status" in sets else F.lit("valid")})
-    next_ = old.select(facts.columns).unionByName(after.select(facts.columns)).unionByName(fresh.select(facts.columns))
-
-    def audit(rows: DataFrame, kind: str) -> DataFrame:
-        return rows.select(_name("__audit_", F.col("id"), F.lit(kind)).alias("version_id"), F.col("id").alias("fact_id"), "logical_id", F.lit(kind).alias("change_type"), F.col("_by").cast("string").alias("author_id"), now.alias("created_at"))
-
-    return next_, audit(after, "update").union(audit(fresh, "create")), met.where("reason IS NOT NULL").select("logical_id", "reason")
-
-
 @dataclass
 class FactStore:
     """A fact table under ``path``, in the shared folder."""
@@ -89,8 +45,9 @@ class FactStore:
         return F.pmod(F.xxhash64("logical_id"), F.lit(self.parts)).cast("int")
 
     def _write(self, rows: DataFrame, mode: str) -> None:
-        dealt = rows.withColumn("part", self._part()).hint("rebalance", "part")  # a partition that grew large is split
-        dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/facts")
+        # Nothing is shuffled for it: a task writes a file for each partition that it has rows of, in which neighbours are alike.
+        dealt = rows.withColumn("part", self._part()).sortWithinPartitions("part", "logical_id").write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        dealt.option("compression", "zstd").partitionBy("part").parquet(f"{self.path}/facts")
 
     def read(self, parts: list[int] | None = None) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.path}/facts")
@@ -107,26 +64,86 @@ class FactStore:
         """The partitions that the logical ids of ``rows`` lie in."""
         return self.read(self._touched(rows))
 
+    def met(self, asks: DataFrame, columns: list[str]) -> DataFrame:
+        """``asks`` (logical_id and others) with ``held``, struct(open, valid_from, id and ``columns``): the latest
+        open version of their logical id, else its last closed one, null where it is unknown."""
+        row = {"_open": F.col("valid_to").isNull(), "_valid_from": F.col("valid_from"), "_id": F.col("id")} | {f"_{c}": F.col(c) for c in columns}
+        facts = self.beside(asks).select("logical_id", *[c.alias(name) for name, c in row.items()])
+        both = facts.unionByName(asks, allowMissingColumns=True).repartition("logical_id")
+        last = F.max(F.when(F.col("_open").isNotNull(), F.struct(*[F.col(name).alias(name[1:]) for name in row]))).over(Window.partitionBy("logical_id"))
+        return both.withColumn("held", F.when(F.col("logical_id").isNotNull(), last)).where("_open IS NULL").drop(*row)
+
+    def carry_out(self, met: DataFrame, now: Column, reopen: bool = False) -> DataFrame:
+        """Write what rows of ``met`` ask for; these with ``kind`` (update, create, invalidate, refused) and ``reason``, those
+        that change nothing left out.
+
+        met: also ``to`` (struct of some of SETTABLE), ``author`` and ``closes``, which asks to close instead of to set. Where
+        a logical id is set and closed at once, what was set is closed.
+        """
+        sets = met.schema["to"].dataType.names
+        own, closes, open_ = Window.partitionBy("logical_id"), F.col("closes"), F.coalesce("held.open", F.lit(False))
+        can = F.col("to.entity_id").isNotNull() & F.col("to.property").isNotNull() if {"entity_id", "property"} <= {*sets} else F.lit(False)
+        differs = F.lit(False)
+        for c in {*sets} & {*met.schema["held"].dataType.names}:
+            differs = differs | ~F.coalesce(F.col(f"to.{c}"), F.col(f"held.{c}")).eqNullSafe(F.col(f"held.{c}"))
+        reason = F.when(closes & ~open_, "NO_OPEN_VERSION").when(~closes & (F.col("_times") > 1), "NAMED_TWICE")
+        reason = reason.when(F.col("held").isNotNull() & ~open_ & ~F.lit(reopen), "NO_OPEN_VERSION").when(~open_ & ~can, "NOT_FOUND")
+        kind = F.when(F.col("reason").isNotNull(), "refused").when(closes, "invalidate").when(~open_, "create").when(differs, "update")
+        told = met.withColumn("_times", F.count_if(~closes).over(own)).withColumn("reason", reason).withColumn("kind", kind).where("kind IS NOT NULL")
+        both = told.withColumns({"_updates": F.max(F.col("kind") == "update").over(own), "_shut": F.max(F.col("kind") == "invalidate").over(own)})
+        made = F.when(F.col("kind") == "update", _name("__v_", F.col("held.id"), now.cast("string"))).when(F.col("kind") == "create", _name("__v_", now.cast("string")))
+        told = stored(both.withColumn("made", made).drop("_times"))
+        parts = self._touched(told.where("kind <> 'refused'"))
+        if parts:
+            self._write(self._next(told, parts, sets, now), "overwrite")
+
+        def audit(kind: str, fact: Column) -> DataFrame:
+            rows = told.where(F.col("kind") == kind).withColumn("fact_id", fact)
+            return rows.select(_name("__audit_", F.col("fact_id"), F.lit(kind)).alias("version_id"), "fact_id", "logical_id", F.lit(kind).alias("change_type"), F.col("author").cast("string").alias("author_id"), now.alias("created_at"))
+
+        closed = F.when(F.col("_updates"), _name("__v_", F.col("held.id"), now.cast("string"))).otherwise(F.col("held.id"))
+        rows = audit("update", F.col("made")).union(audit("create", F.col("made"))).union(audit("invalidate", closed))
+        rows.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/versions")
+        return told.drop("_updates", "_shut", "made")
+
+    def _next(self, told: DataFrame, parts: list[int], sets: list[str], now: Column) -> DataFrame:
+        """The next facts of ``parts``."""
+        facts = self.read(parts)
+        hits = told.where("kind = 'update' OR kind = 'invalidate' AND NOT _updates")
+        hits = hits.select(F.col("logical_id").alias("_of"), F.col("held.id").alias("_id"), (F.col("kind") == "update").alias("_sets"), "to", "made", F.col("_shut").alias("_shuts"))
+        hits = hits.hint("shuffle_hash")  # facts are sorted once, when they are written
+        met = facts.join(hits, (F.col("logical_id") == F.col("_of")) & (F.col("id") == F.col("_id")), "left")
+
+        def row(**new: Column) -> Column:
+            return F.struct(*[new.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in facts.schema])
+
+        given = {c: F.coalesce(F.col(f"to.{c}"), F.col(c)) for c in sets if c != "status"}
+        status = F.coalesce("to.status", F.lit("valid")) if "status" in sets else F.lit("valid")
+        closed = row(valid_to=now, status=F.lit("obsolete"))
+        after = row(**given, id=F.col("made"), valid_from=now, valid_to=F.when(F.col("_shuts"), now), status=F.when(F.col("_shuts"), "obsolete").otherwise(status))
+        next_ = met.select(F.inline(F.when(F.col("_of").isNull(), F.array(row())).when(F.col("_sets"), F.array(closed, after)).otherwise(F.array(closed))))
+        none = {f.name: F.lit(None) for f in facts.schema if f.name != "logical_id"}
+        fresh = {c: F.col(f"to.{c}") for c in sets} | {"id": F.col("made"), "valid_from": now, "status": status}
+        return next_.union(told.where("kind = 'create'").select(F.inline(F.array(row(**none | fresh)))))
+
     def change(self, changes: DataFrame, now: Column, reopen: bool = False) -> DataFrame:
-        """Write ``changed`` to the partitions of the changes; returns the refused ones."""
-        changes = stored(changes)
-        next_, audit, refused = changed(self.beside(changes), changes, now, reopen)
-        return self._put(next_, audit, refused)
+        """Close the latest open version of each logical id and let one with the new values follow; returns the
+        refused changes (logical_id, reason).
+
+        changes: logical_id, some of SETTABLE and author_id. Nothing is done where no value differs. An unknown logical id is
+        inserted where entity_id and property are given. A logical id named twice, one without an open version and an unknown
+        one that cannot be inserted are refused. With ``reopen`` one without an open version is inserted as if it were unknown.
+        """
+        has = self.read().columns
+        sets = [c for c in SETTABLE if c in changes.columns and c in has] or ["status"]
+        to = F.struct(*[(F.col(c) if c in changes.columns else F.lit(None).cast("string")).alias(c) for c in sets])
+        author = F.col("author_id") if "author_id" in changes.columns else F.lit(None).cast("string")
+        asks = stored(changes.select("logical_id", to.alias("to"), author.alias("author"), F.lit(False).alias("closes")))
+        return self.carry_out(self.met(asks, sets), now, reopen).where("kind = 'refused'").select("logical_id", "reason").distinct()
 
     def invalidate(self, logical_ids: DataFrame, now: Column) -> DataFrame:
         """Close the latest open versions; returns the refused logical ids."""
-        asked = stored(logical_ids.select("logical_id").distinct())
-        rows = self.read(self._touched(asked))
-        latest = Window.partitionBy("logical_id", F.col("valid_to").isNull()).orderBy(F.desc("valid_from"), F.desc("id"))
-        last = F.col("valid_to").isNull() & (F.row_number().over(latest) == 1)
-        marked = stored(rows.withColumn("_last", last).join(asked.withColumn("_asked", F.lit(True)), "logical_id", "left").withColumn("_hit", F.coalesce(F.col("_last") & F.col("_asked"), F.lit(False))))
-        next_ = marked.withColumns({"valid_to": F.when(F.col("_hit"), now).otherwise(F.col("valid_to")), "status": F.when(F.col("_hit"), "obsolete").otherwise(F.col("status"))}).select(rows.columns)
-        hit = marked.where("_hit")
-        audit = hit.select(_name("__audit_", F.col("id"), F.lit("invalidate")).alias("version_id"), F.col("id").alias("fact_id"), "logical_id", F.lit("invalidate").alias("change_type"), F.lit(None).cast("string").alias("author_id"), now.alias("created_at"))
-        return self._put(next_, audit, asked.join(hit.select("logical_id"), "logical_id", "left_anti").withColumn("reason", F.lit("NO_OPEN_VERSION")))
-
-    def _put(self, next_: DataFrame, audit: DataFrame, refused: DataFrame) -> DataFrame:
-        next_, audit, refused = stored(next_), stored(audit), stored(refused)  # before what they are read from is replaced
-        self._write(next_, "overwrite")
-        audit.write.mode("append").parquet(f"{self.path}/versions")
-        return refused
+        asks = stored(logical_ids.select("logical_id").distinct())
+        none = F.lit(None).cast("string")
+        met = self.met(asks, []).withColumns({"to": F.struct(none.alias("status")), "author": none, "closes": F.lit(True)})
+        return self.carry_out(met, now).where("kind = 'refused'").select("logical_id", "reason")

@@ -92,3 +92,33 @@ def test_a_phrase_with_an_unknown_word_has_no_candidates(spark, tmp_path):
     keys = lambda *phrases: sorted(r.key for r in index.candidates(spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect())
     assert keys("sea salt") == ["d"] and keys("salt") == ["d", "e"] and keys("sea weed") == [] and keys("", "!") == []
     assert reextract.difference(spark.createDataFrame([("A ", "1"), ("b", "2")], ALIAS), spark.createDataFrame([("a", "1"), ("b", "3")], ALIAS)).collect()[0].alias == "b"
+
+
+def test_what_is_indexed_and_staged_follows_what_differs(spark, tmp_path):
+    """Equal items are indexed once, and a write stages no facts that stay as they are."""
+    from pathlib import Path
+
+    from kgspark.sources.shared import shared_dir
+
+    items = spark.createDataFrame([(f"d{i}", 0, "salt" if i else "sea salt") for i in range(400)], "document_id string, pos int, item string")
+    before = spark.createDataFrame([("salt", "ING-SALT")], ALIAS)
+    store = fact_store.FactStore.created(reextract.first_facts(items, before, at(1)), f"file://{tmp_path}/s", 1)
+    index = reextract.indexed(items, f"file://{tmp_path}/ix")
+    assert spark.read.parquet(f"file://{tmp_path}/ix/counts").count() == 5
+    tables = lambda: {*Path(shared_dir(spark).removeprefix("file:").replace("//", "/")).glob("table-*")}
+    were = tables()
+    after = before.union(spark.createDataFrame([("sea salt", "ING-SEA")], ALIAS))
+    report = reextract.reextract(store, index, items, before, after, at(2)).collect()
+    assert [(r.document_id, r.n_versions) for r in report] == [("d0", 1)] and store.read().count() == 401
+    assert sum(spark.read.parquet(f"file://{t}").count() for t in tables() - were) < 40
+
+
+def test_a_place_that_is_set_and_emptied_at_once_is_closed(spark, tmp_path):
+    items = spark.createDataFrame([("d", 0, "salt"), ("d", 0, "water"), ("e", 0, "salt")], "document_id string, pos int, item string")
+    before, after = [spark.createDataFrame([("salt", e)], ALIAS) for e in "ST"]
+    store = fact_store.FactStore.created(reextract.first_facts(items, before, at(1)), f"file://{tmp_path}/s", 4)
+    report = reextract.reextract(store, reextract.indexed(items, f"file://{tmp_path}/ix"), items, before, after, at(2)).collect()
+    assert {r.document_id: (r.n_versions, r.n_invalidated) for r in report} == {"d": (1, 1), "e": (1, 0)}
+    assert sorted((r.entity_id, r.value, r.status) for r in store.read().collect()) == [("d:item:0", "S", "obsolete"), ("d:item:0", "T", "obsolete"), ("e:item:0", "S", "obsolete"), ("e:item:0", "T", "valid")]
+    ids = {r.id: r.value for r in store.read().collect()}
+    assert sorted((r.change_type, ids[r.fact_id]) for r in store.versions().collect()) == [("invalidate", "T"), ("update", "T"), ("update", "T")]
