@@ -6,6 +6,8 @@ vector is indexed). There are about as many cells as the square root of the rows
 exact; with ``probe`` cells, recall is what ``recall`` measures against it. (On the given vectors, which have no clusters: 0.94 from
 half of the cells, 0.98 to 1 from two thirds.)
 
+Rows of one vector can be indexed as one row and its ``copies``: vectors are then stored, and multiplied by queries, once.
+
 A cell that holds very many vectors is dealt over several files. Null, empty and zero vectors are in no cell and never found;
 so are vectors of another length than most have.
 """
@@ -24,6 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from kgspark.operators import retrieval
 from kgspark.operators.retrieval import dot, normalized
@@ -59,10 +62,11 @@ class VectorIndex:
     path: str
     centres: list[list[float]]
     key: str = "bigint"
+    copied: bool = False
 
     @classmethod
-    def built(cls, rows: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE) -> VectorIndex:
-        """Write the index of ``rows`` (key, v)."""
+    def built(cls, rows: DataFrame, path: str, cells: int | None = None, sample: int = SAMPLE, copies: DataFrame | None = None) -> VectorIndex:
+        """Write the index of ``rows`` (key, v) and of their ``copies`` (key, of): keys of the vector of the smaller key ``of``."""
         spark = rows.sparkSession
         unit = stored(normalized(rows).select("key", "v"))
         lengths = unit.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
@@ -71,18 +75,22 @@ class VectorIndex:
         fitted = unit.where(F.size("v") == (lengths.width if n else 0)).orderBy(F.xxhash64("key"), "key").limit(sample)
         cells = max(1, min(CELLS, cells or math.isqrt(n)))
         centres: list[list[float]] = []
-        if n:
+        if n and cells == 1:
+            centres = [list(fitted.first().v)]  # any will do; KMeans takes two at least
+        elif n:
             model = KMeans(k=cells, seed=7, maxIter=10, featuresCol="x").fit(fitted.select(array_to_vector("v").alias("x")))
             centres = [[float(x) for x in c] for c in model.clusterCenters()]
-        index = cls(spark, path, centres, rows.schema["key"].dataType.simpleString())
-        spark.createDataFrame([(json.dumps(centres), index.key)], "centres string, key string").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        index = cls(spark, path, centres, rows.schema["key"].dataType.simpleString(), copies is not None)
+        if copies is not None:
+            copies.select("key", "of").write.mode("overwrite").parquet(f"{path}/copies")
+        spark.createDataFrame([(json.dumps(centres), index.key, index.copied)], "centres string, key string, copied boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
         index._written(unit, "overwrite")
         return index
 
     @classmethod
     def opened(cls, spark: SparkSession, path: str) -> VectorIndex:
         held = spark.read.parquet(f"{path}/centres").first()
-        return cls(spark, path, json.loads(held.centres), held.key)
+        return cls(spark, path, json.loads(held.centres), held.key, held.asDict().get("copied", False))
 
     def _written(self, unit: DataFrame, mode: str) -> None:
         held = self._in_cells(unit, 1).withColumnRenamed("cells", "cell").withColumn("cell", F.get("cell", F.lit(0)))
@@ -97,19 +105,51 @@ class VectorIndex:
         """Index further rows by the same centres; rows whose key is known are the caller's to leave out."""
         self._written(normalized(rows), "append")
 
-    def stored(self) -> DataFrame:
+    def _different(self) -> DataFrame:
         return self.spark.read.schema(f"key {self.key}, v array<double>, cell int").parquet(f"{self.path}/cells")
 
+    def _copies(self) -> DataFrame:
+        return self.spark.read.schema(f"key {self.key}, of {self.key}").parquet(f"{self.path}/copies")
+
+    def stored(self) -> DataFrame:
+        rows = self._different()
+        if not self.copied:
+            return rows
+        return rows.union(self._copies().join(rows.withColumnRenamed("key", "of"), "of").select("key", "v", "cell"))
+
+    def keys(self) -> DataFrame:
+        """key, of: the keys of all rows, with the one that their vector is stored under."""
+        own = self._different().select("key", F.col("key").alias("of"))
+        return own.union(self._copies()) if self.copied else own
+
+    def nearest_to_stored(self, keys: DataFrame, k: int) -> DataFrame:
+        """query_id, key, score, rank, as ``nearest`` gives them, of the stored rows with ``keys`` (key, of); copies are asked
+        for once."""
+        asked = self._different().join(keys.select(F.col("of").alias("key")).distinct(), "key", "left_semi")
+        found = self.nearest(asked.select(F.col("key").alias("query_id"), "v"), k).withColumnRenamed("query_id", "of")
+        return keys.withColumnRenamed("key", "query_id").join(found, "of").select("query_id", "key", "score", "rank")
+
+    def _with_copies(self, found: DataFrame, k: int) -> DataFrame:
+        """The ``k`` best of all rows from those of the different vectors (query_id, key, score): as a vector's first key is its
+        smallest, a row is among the first ``k`` only if its vector is, and as one of its ``k`` smallest keys."""
+        nth = F.row_number().over(Window.partitionBy("of").orderBy("key"))
+        first = self._copies().withColumn("_n", nth).where(F.col("_n") < k).select("key", "of")
+        own = found.select("query_id", "key", "score")
+        both = own.union(own.withColumnRenamed("key", "of").join(first, "of").select("query_id", "key", "score"))
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+        return both.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+
     def nearest(self, queries: DataFrame, k: int, probe: int | None = None) -> DataFrame:
         """query_id, key, score (cosine, six places), rank for ``queries`` (query_id, v); ``probe`` None: all cells, exact.
 
         Queries meet the rows of the cells they probe, cells of more than BLOCK rows in blocks; an exact search takes blocks
         of all rows.
         """
-        rows = self.stored()
         if probe is None or probe >= len(self.centres):
             width = len(self.centres[0]) if self.centres else 0
-            return retrieval.everywhere(normalized(queries).where(F.size("v") == width), rows, k)
+            found = retrieval.everywhere(normalized(queries).where(F.size("v") == width), self._different(), k)
+            return self._with_copies(found, k).select("query_id", "key", "score", "rank") if self.copied else found
+        rows = self.stored()
         sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / retrieval.BLOCK).cast("int").alias("blocks"))  # CELLS at most
         number = lambda part: F.struct(F.col("cell"), part.alias("part"))
         asked = self._in_cells(normalized(queries).select("query_id", "v"), probe).select("query_id", "v", F.explode("cells").alias("cell"))

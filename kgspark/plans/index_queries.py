@@ -66,11 +66,13 @@ def search_ranked(spark: SparkSession, d: str) -> DataFrame:
     _TOK, _W, "unit AS (SELECT id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM b)",
 )
 def retrieve_stored(spark: SparkSession, d: str) -> DataFrame:
-    """Part names embedded once and kept by cells; the five stored ones nearest to every hundredth, over all cells."""
+    """Part names embedded once and kept by cells, equal names as one vector; the five stored ones nearest to
+    every hundredth, over all cells."""
     docs = g.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    index = VectorIndex.built(retrieval.dense(retrieval.embed(docs, retrieval.idf(docs).drop("df"))).withColumnRenamed("id", "key"), _folder(spark, "vectors"))
-    asked = index.stored().where("key % 100 = 0").select(F.col("key").alias("query_id"), "v")
-    return index.nearest(asked, 5).select("query_id", "key", "score", "rank")
+    names, copies = retrieval.different(docs)
+    vectors = retrieval.dense(retrieval.embed(names, retrieval.idf(docs).drop("df")))
+    index = VectorIndex.built(vectors.withColumnRenamed("id", "key"), _folder(spark, "vectors"), copies=copies)
+    return index.nearest_to_stored(index.keys().where("key % 100 = 0"), 5)
 
 
 @query("SELECT count(*) * 10 AS n, true AS enough FROM embeddings WHERE vec_id % 100 = 0")

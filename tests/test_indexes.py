@@ -186,3 +186,36 @@ def test_scores_take_bounded_memory(spark):
     assert peak < 100_000_000
     q, r = [b.column("v").flatten().to_numpy().reshape(-1, 8) for b in (asked, rows)]
     assert out.column("key").to_pylist() == np.argmax(np.round(q @ r.T, 6), axis=1).tolist()
+
+
+def test_copies_are_stored_once_and_all_found(spark, tmp_path):
+    v = unit(np.random.default_rng(8), 12, 12).tolist()
+    rows = [(i, v[i % 12]) for i in range(90)]
+    own, others = rows[:12], [(i, i % 12) for i in range(12, 90)]
+    VectorIndex.built(spark.createDataFrame(own, "key long, v array<double>"), f"file://{tmp_path}/ix", copies=spark.createDataFrame(others, "key long, of long"))
+    index = VectorIndex.opened(spark, f"file://{tmp_path}/ix")
+    assert index.stored().count() == 90 and spark.read.parquet(f"file://{tmp_path}/ix/cells").count() == 12
+    for k in (1, 3, 20):
+        got = {}
+        for r in index.nearest_to_stored(index.keys().where("key % 10 = 0"), k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.key, pytest.approx(r.score, abs=2e-6)))
+        assert got == {i: best(rows, rows[i][1], k) for i in range(0, 90, 10)}
+    assert [r.key for r in index.nearest_to(v[5], 3).collect()] == [5, 17, 29]
+    assert {r.key for r in index.nearest(spark.createDataFrame([(1, v[5])], "query_id long, v array<double>"), 3, 2).collect()} == {5, 17, 29}
+
+
+def test_equal_names_are_embedded_and_kept_once(spark, tmp_path):
+    from pathlib import Path
+
+    from kgspark.plans.catalog import QUERIES
+    from kgspark.sources.shared import shared_dir
+
+    spark.createDataFrame([(i, f"red {'nut' if i % 2 else 'bolt'}") for i in range(300)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    folders = lambda: {*Path(shared_dir(spark).removeprefix("file:").replace("//", "/")).glob("vectors-*")}
+    were = folders()
+    got = {}
+    for r in QUERIES["retrieve_stored"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.key, r.score))
+    assert got == {q: [(i, 1.0) for i in range(0, 10, 2)] for q in (0, 100, 200)}
+    (made,) = folders() - were
+    assert spark.read.parquet(f"file://{made}/cells").count() == 2
