@@ -224,21 +224,70 @@ def verify_sections(source: Column, other: Column) -> Column:
     return F.array(*[row(s, t) for s, t in THRESHOLDS.items()])
 
 
+#: What a document says of its part of the graph.
+GRAPH_ROW = "array<struct<kind:string,pos:int,label:string,property:string,value:string,fm:map<string,string>>>"
+
+
+def graph_rows(docs: DataFrame, key: str, doc: str, beside: str | None = None) -> DataFrame:
+    """The rows of parsed documents' graph in one table, each by its document's key: key, kind (document, item, step or
+    fact), id, pos, label, property, value, fm.
+
+    A document's row has its front matter and as label the column ``beside``. Every document is looked at once, and its rows
+    stay where it is: nothing moves. Ids are made of the rows, outside of lambdas.
+    """
+
+    def row(kind: str, pos=None, label=None, property_=None, value=None, fm=None) -> Column:
+        given = {"pos": (pos, "int"), "label": (label, "string"), "property": (property_, "string"), "value": (value, "string"), "fm": (fm, "map<string,string>")}
+        return F.struct(F.lit(kind).alias("kind"), *[(F.lit(None) if c is None else c).cast(type_).alias(name) for name, (c, type_) in given.items()])
+
+    def told(d: Column) -> Column:
+        items = F.transform(d["items"], lambda x, i: row("item", i, x["item"]))
+        steps = F.transform(d["steps"], lambda x, i: row("step", i, x))
+        fact = lambda p: F.transform(d["items"], lambda x, i: row("fact", i, property_=F.lit(p), value=x[p]))
+        none = F.array().cast(GRAPH_ROW)
+        whole = F.array(row("document", label=None if beside is None else F.col(beside), fm=d["fm"]))
+        return F.concat(whole, *[F.coalesce(rows, none) for rows in (items, steps, fact("qty"), fact("unit"))])
+
+    rows = docs.select(key, F.inline(once(F.col(doc), told))).where("kind <> 'fact' OR value IS NOT NULL")
+    part = F.when(F.col("kind") == "step", "step").when(F.col("kind") != "document", "item")
+    fact = F.col("kind") == "fact"
+    return rows.select(key, "kind", F.concat_ws(":", key, part, "pos").alias("id"), F.when(~fact, F.col("pos")).alias("pos"), "label", "property", "value", "fm")
+
+
 def subgraph(docs: DataFrame, key: str, doc: str) -> dict[str, DataFrame]:
-    """Entity and fact rows of parsed documents; ``recompose`` is the inverse."""
-    items = docs.select(key, F.posexplode(f"{doc}.items").alias("pos", "x"))
-    steps = docs.select(key, F.posexplode(f"{doc}.steps").alias("pos", "x"))
-    item_id, step_id = F.concat_ws(":", key, F.lit("item"), "pos"), F.concat_ws(":", key, F.lit("step"), "pos")
-    entity = items.select(key, item_id.alias("id"), "pos", F.lit("item").alias("type"), F.col("x.item").alias("label")).union(steps.select(key, step_id.alias("id"), "pos", F.lit("step").alias("type"), F.col("x").alias("label")))
-    facts = [items.select(item_id.alias("entity_id"), F.lit(p).alias("property"), F.col(f"x.{p}").alias("value")) for p in ("qty", "unit")]
-    return {"document": docs.select(key, F.col(f"{doc}.fm").alias("fm")), "entity": entity, "fact": facts[0].union(facts[1]).where("value IS NOT NULL")}
+    """Document, entity and fact rows of parsed documents; ``recompose`` is the inverse."""
+    rows = graph_rows(docs, key, doc)
+    entity = rows.where("kind IN ('item', 'step')").select(key, "id", "pos", F.col("kind").alias("type"), "label")
+    fact = rows.where("kind = 'fact'").select(F.col("id").alias("entity_id"), "property", "value")
+    return {"document": rows.where("kind = 'document'").select(key, "fm"), "entity": entity, "fact": fact}
 
 
 def recompose(graph: dict[str, DataFrame], key: str) -> DataFrame:
     """Key, doc (as ``parse`` gives it) from the rows of ``subgraph``."""
-    value = graph["fact"].groupBy(F.col("entity_id").alias("id")).agg(*[F.max(F.when(F.col("property") == p, F.col("value"))).alias(p) for p in ("qty", "unit")])
-    rows = graph["entity"].join(value, "id", "left")
-    part = F.struct("pos", F.struct("qty", "unit", F.col("label").alias("item")).alias("x"))
-    grouped = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("type") == "item", part))).alias("i"), F.sort_array(F.collect_list(F.when(F.col("type") == "step", part))).alias("s"))
-    doc = F.struct("fm", F.transform("i", lambda p: p["x"]).alias("items"), F.transform("s", lambda p: p["x"]["item"]).alias("steps"))
-    return graph["document"].join(grouped, key).select(key, doc.alias("doc"))
+    none = lambda kind: F.lit(None).cast(kind)
+    text, place, map_ = none("string"), none("int"), none("map<string,string>")
+    of = graph["entity"].select(key, F.col("id").alias("entity_id"))
+    document = graph["document"].select(key, F.lit("document").alias("kind"), text.alias("id"), place.alias("pos"), text.alias("label"), text.alias("property"), text.alias("value"), "fm")
+    entity = graph["entity"].select(key, "type", "id", "pos", "label", text, text, map_)
+    fact = graph["fact"].join(of, "entity_id").select(key, F.lit("fact"), "entity_id", place, text, "property", "value", map_)
+    return recomposed(document.union(entity).union(fact), key).select(key, "doc")
+
+
+def recomposed(rows: DataFrame, key: str) -> DataFrame:
+    """key, doc, label (that of the document's row) from ``graph_rows``, those of a document met once by its key; documents
+    without entities are left out. Of several facts for one property the largest value counts."""
+    of = lambda kind, *columns: F.collect_list(F.when(F.col("kind") == kind, F.struct(*columns)))
+    facts = lambda p: F.collect_list(F.when((F.col("kind") == "fact") & (F.col("property") == p), F.struct("id", "value"))).alias(p)
+    whole = F.col("kind") == "document"
+    met = rows.groupBy(key).agg(
+        F.sort_array(of("item", "pos", "id", "label")).alias("items"), F.sort_array(of("step", "pos", "id", "label")).alias("steps"), facts("qty"), facts("unit"),
+        F.first(F.when(whole, F.col("fm")), True).alias("fm"), F.first(F.when(whole, F.col("label")), True).alias("label"), F.max(whole).alias("whole"),
+    )
+
+    def value(p: str, id_: Column) -> Column:
+        return F.array_max(F.transform(F.filter(p, lambda f: f["id"] == id_), lambda f: f["value"])).alias(p)
+
+    items = F.transform("items", lambda e: F.struct(value("qty", e["id"]), value("unit", e["id"]), e["label"].alias("item")))
+    doc = F.struct("fm", items.alias("items"), F.transform("steps", lambda e: e["label"]).alias("steps"))
+    made = met.where(F.col("whole") & (F.size("items") + F.size("steps") > 0))
+    return made.select(key, F.inline(F.array(F.struct(doc.alias("doc"), "label"))))  # a generator: the document is made once
